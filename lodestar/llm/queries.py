@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, decontaminate, media, simhash
+from lodestar.llm import bpe, decontaminate, langid, license_scan, media, quality, simhash
 from lodestar.llm.columns import table
 
 
@@ -15,6 +15,18 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_license(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -23,6 +35,22 @@ def op10_media(spark, sf_dir):
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op9_bpe, op10_media)}
-
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_language, op7_quality, op8_license, op9_bpe, op10_media)}
+
+WINDOWS = decontaminate.WINDOW
+SQL = {
+    "op1_decontamination": f"""
+WITH doc AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+item AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+wins AS (SELECT DISTINCT item_id, ws[s + 1 : s + least(len(ws), {WINDOWS})] AS w FROM (SELECT item_id, ws, unnest(range(greatest(len(ws) - {WINDOWS} + 1, 1))) AS s FROM item WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT len(w) AS size FROM wins),
+starts AS (SELECT doc_id, s, size, ws[s + 1 : s + size] AS w FROM (SELECT doc_id, ws, size, unnest(range(len(ws) - size + 1)) AS s FROM doc JOIN sizes ON len(ws) >= size)),
+hits AS (SELECT doc_id, s, size, item_id FROM starts JOIN wins USING (w)),
+places AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(s, s + size)) AS place FROM (SELECT DISTINCT doc_id, s, size FROM hits)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(places.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(places.n, 0) > 0 AND {decontaminate.SHARE} * coalesce(places.n, 0) >= len(ws) AS contaminated
+FROM doc LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op8_license": license_scan.oracle(),
+}
