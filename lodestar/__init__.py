@@ -1,0 +1 @@
+"""Projection-predictive feature selection and model evaluation on Spark."""
