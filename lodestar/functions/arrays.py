@@ -11,6 +11,11 @@ def doubles(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it, also within lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
@@ -22,8 +27,8 @@ def weighted_mean(values: Column, weights: Column) -> Column:
 
 def log_sum_exp(values: Column) -> Column:
     """Logarithm of the sum of exponentials, shifted by the maximum."""
-    top = F.array_max(values)
-    return top + F.log(total(F.transform(values, lambda v: F.exp(v - top))))
+    shifted = lambda v, top: top + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    return let(values, lambda v: let(F.array_max(v), lambda top: shifted(v, top)))
 
 
 def log_weighted_mean_exp(values: Column, weights: Column) -> Column:
@@ -34,8 +39,7 @@ def log_weighted_mean_exp(values: Column, weights: Column) -> Column:
 
 def log_normalized(values: Column) -> Column:
     """Log weights that sum to one on the natural scale."""
-    norm = log_sum_exp(values)
-    return F.transform(values, lambda v: v - norm)
+    return let(values, lambda v: let(log_sum_exp(v), lambda norm: F.transform(v, lambda x: x - norm)))
 
 
 def differences(cumulative: Column) -> Column:
@@ -51,5 +55,5 @@ def cumulative(probabilities: Column) -> Column:
 
 def best_category(probabilities: Column, levels: list[str]) -> Column:
     """The level of the largest probability, the first of equals; null if all are null."""
-    at = F.array_position(probabilities, F.array_max(probabilities))
+    at = let(probabilities, lambda p: F.array_position(p, F.array_max(p)))
     return F.element_at(F.array(*[F.lit(v) for v in levels]), at.cast("int"))

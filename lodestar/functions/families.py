@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPS = 2.220446049250313e-16
 _NORMAL = NormalDist()
@@ -25,13 +27,21 @@ def lgamma(x: Column) -> Column:
     return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - steps
 
 
-@F.pandas_udf("double")
-def _pnorm(x):  # noqa: ANN001
+def np_lgamma(x: np.ndarray) -> np.ndarray:
+    """``lgamma`` on arrays."""
+    z = x + 8
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    steps = sum(np.log(x + i) for i in range(8))
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - steps
+
+
+@F.pandas_udf(T.DoubleType())
+def _pnorm(x: pd.Series) -> pd.Series:
     return x.map(_NORMAL.cdf, na_action="ignore")
 
 
-@F.pandas_udf("double")
-def _qnorm(p):  # noqa: ANN001
+@F.pandas_udf(T.DoubleType())
+def _qnorm(p: pd.Series) -> pd.Series:
     return p.map(lambda v: _NORMAL.inv_cdf(v) if 0 < v < 1 else math.copysign(math.inf, v - 0.5), na_action="ignore")
 
 
@@ -149,6 +159,22 @@ class Family:
             return 0.5 * (self.nu + 1) * np.log1p((y - mu) ** 2 / self.nu)
         return 0.5 * (y - mu) ** 2
 
+    def np_log_lik(self, y: np.ndarray, mu: np.ndarray, weights: np.ndarray, dis: np.ndarray) -> np.ndarray:
+        """``log_lik`` on arrays that broadcast against each other."""
+        if self.name == "binomial":
+            p = np.clip(mu, EPS, 1 - EPS)
+            choose = np.where(weights == 1, 0.0, np_lgamma(weights + 1) - np_lgamma(y + 1) - np_lgamma(weights - y + 1))
+            return choose + y * np.log(p) + (weights - y) * np.log1p(-p)
+        if self.name == "poisson":
+            return weights * (y * np.log(np.maximum(mu, EPS)) - mu - np_lgamma(y + 1))
+        if self.name == "Gamma":
+            return weights * (dis * np.log(dis / mu) - np_lgamma(dis) + (dis - 1) * np.log(y) - dis * y / mu)
+        if self.name == "student_t":
+            nu = np.float64(self.nu)
+            norm = np_lgamma((nu + 1) / 2) - np_lgamma(nu / 2) - 0.5 * np.log(nu * math.pi) - np.log(dis)
+            return weights * (norm - (nu + 1) / 2 * np.log1p(((y - mu) / dis) ** 2 / nu))
+        return weights * (-0.5 * math.log(2 * math.pi) - np.log(dis) - 0.5 * ((y - mu) / dis) ** 2)
+
     def pseudo_data(self, f: Column, y: Column, offset: Column, weights: Column) -> dict[str, Column]:
         """Working response z, working weight and gradient of the quadratic approximation at f."""
         eta = f + offset

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.arrays import doubles, total
+from lodestar.functions.arrays import doubles, let, total
 
 #: Draw weights within a cluster are shrunk by this factor, for numerical stability.
 SHRINK = 1 - 1e-10
@@ -65,12 +65,15 @@ def predictive_variance(mu: Column, dis: list[float], clusters: Clusters) -> Col
     for k in range(clusters.n):
         ws = clusters.within(k)
         w = doubles(ws)
-        mean = total(F.zip_with(mu, w, lambda v, u: v * u))
-        spread = total(F.zip_with(mu, w, lambda v, u, mean=mean: u * (v - mean) * (v - mean)))
+        spread = let(total(F.zip_with(mu, w, lambda v, u: v * u)), _spread_about(mu, w))
         out.append(F.lit(float(sum(a * d * d for a, d in zip(ws, dis, strict=True)))) + spread)
     return F.array(*out)
 
 
+def _spread_about(mu: Column, w: Column):
+    return lambda mean: total(F.zip_with(mu, w, lambda v, u: u * (v - mean) * (v - mean)))
+
+
 def mean_by_cluster(draws: DataFrame, cluster: str, value: str, weight: str) -> DataFrame:
     """Weighted means of parameter draws by cluster; draws without label are dropped."""
     return draws.filter(F.col(cluster).isNotNull()).groupBy(cluster).agg((F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias(value))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -20,10 +23,14 @@ def predictors(fits: list[Fit], columns: dict[str, Column], offset: Column | Non
     for name in names:
         beta = [f.beta.get(name, 0.0) for f in fits]
         if any(beta):
-            out = F.zip_with(out, doubles(beta), lambda a, b, x=columns[name]: a + b * x)
+            out = F.zip_with(out, doubles(beta), _plus_times(columns[name]))
     return out if offset is None else F.transform(out, lambda v: v + offset)
 
 
+def _plus_times(x: Column):
+    return lambda a, b: a + b * x
+
+
 def means(eta: Column, family: Family) -> Column:
     return F.transform(eta, family.link.inverse)
 
@@ -45,13 +52,33 @@ def summarize(df: DataFrame, mu: str, family: Family, weights: list[float], dis:
 def pointwise(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tuple[list[Fit], list[float], list[float]]], family: Family) -> DataFrame:
     """The pointwise table of submodels: for each size, fits by draw, their weights and dispersions.
 
-    One scan for all sizes: each row's summaries are made as an array over sizes and exploded.
+    One scan for all sizes; a batch of rows is multiplied by every size's coefficients at once. Draws
+    never leave the kernel: each row gives one mean and one log density for each size.
     """
-    structs = []
+    used = [n for n in columns if any(f.beta.get(n) for fits, _, _ in by_size.values() for f in fits)]
+    packed = {}
     for size, (fits, weights, dis) in by_size.items():
-        mu, w = means(predictors(fits, columns, F.col("offs")), family), doubles(weights)
-        structs.append(F.struct(F.lit(size).alias("size"), weighted_mean(mu, w).alias("mu"), log_weighted_mean_exp(densities(mu, family, dis), w).alias("lppd")))
-    return df.select("obs_id", "y", "wobs", F.inline(F.array(*structs)))
+        beta = np.array([[f.intercept, *[f.beta.get(n, 0.0) for n in used]] for f in fits]).T
+        packed[size] = (beta, np.asarray(weights, float), np.asarray(dis, float))
+    schema = pa.schema([("obs_id", pa.int64()), ("y", pa.float64()), ("wobs", pa.float64()), ("size", pa.int32()), ("mu", pa.float64()), ("lppd", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y, w, o, *x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns))
+            z = np.column_stack([np.ones(batch.num_rows), *x])
+            for size, (beta, weights, dis) in packed.items():
+                mu = family.link.np_inverse(z @ beta + o[:, None])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    ll = family.np_log_lik(y[:, None], mu, w[:, None], dis) + np.log(weights)
+                    top = ll.max(axis=1)
+                    lppd = top + np.log(np.exp(ll - top[:, None]).sum(axis=1))
+                cells = (batch.column(0), y, w, np.full(len(y), size, np.int32), mu @ weights, lppd)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
+
+    rows = df.select(F.col("obs_id").cast("bigint"), F.col("y").cast("double"), F.col("wobs").cast("double"), F.col("offs").cast("double"), *[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(used)])
+    return rows.mapInArrow(run, "obs_id bigint, y double, wobs double, size int, mu double, lppd double")
 
 
 def sampled(df: DataFrame, mu: str, family: Family, draws: int, seed: int, dis: list[float] | None = None, weights: list[float] | None = None, key: str = "obs_id") -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from lodestar.functions.arrays import doubles, log_normalized, log_sum_exp, total
@@ -60,7 +61,10 @@ def smoothed(ratios: np.ndarray) -> tuple[np.ndarray, float]:
     return lw - top - math.log(np.exp(lw - top).sum()), shape
 
 
-@pandas_udf("lw array<double>, khat double")
+_WEIGHTS = T.StructType([T.StructField("lw", T.ArrayType(T.DoubleType())), T.StructField("khat", T.DoubleType())])
+
+
+@pandas_udf(_WEIGHTS)
 def _psis(log_lik: pd.Series) -> pd.DataFrame:
     found = [smoothed(-np.asarray(v, dtype=float)) for v in log_lik]
     return pd.DataFrame({"lw": [f[0] for f in found], "khat": [f[1] for f in found]})

@@ -119,7 +119,11 @@ def _projected(ref: RefModel, held: GaussianFits, path: SearchPath, regul: float
     return out
 
 
-def _reference(ref: RefModel, data: DataFrame, weights: list[float], dis: list[float]) -> DataFrame:
+def _reference(ref: RefModel, data: DataFrame, weights: list[float], dis: list[float], fits: list[Fit] | None = None) -> DataFrame:
+    """The reference model's own rows: by its coefficients if it has any, else by its draws."""
+    fits = list(ref.fits) if fits is None else fits
+    if fits:
+        return evaluate.pointwise(data, ref.columns, {0: (fits, weights, dis)}, ref.family).withColumn("size", F.lit(None).cast("int"))
     rows = evaluate.summarize(data, "mu", ref.family, weights, dis) if not ref.is_datafit else data.select("obs_id", "y", "wobs", F.lit(None).cast("double").alias("mu"), F.lit(None).cast("double").alias("lppd"))
     return rows.select("obs_id", "y", "wobs", F.lit(None).cast("int").alias("size"), "mu", "lppd")
 
@@ -137,7 +141,7 @@ def varsel(ref: RefModel, method: str = "forward", largest: int = LARGEST, clust
     by_size = _projected(ref, _gaussian(ref, g, list(ref.fits), ref.dis, prediction_draws), path, regul)
     data = ref.data if test is None else ref.on(test).data
     table = evaluate.pointwise(data, ref.columns, by_size, ref.family).unionByName(_reference(ref, data, ref.weights, ref.dis))
-    return Selection(ref, path, table, {0: path.ranking})
+    return Selection(ref, path, table.persist(), {0: path.ranking})
 
 
 def _varsel_newton(ref: RefModel, largest: int, clusters: int, regul: float, test: DataFrame | None) -> Selection:
@@ -170,7 +174,7 @@ def _varsel_newton(ref: RefModel, largest: int, clusters: int, regul: float, tes
     path = SearchPath(ranking, sizes, [by_size[s][0][0] for s in sizes], scores)
     data = ref.data if test is None else ref.on(test).data
     table = evaluate.pointwise(data, ref.columns, by_size, ref.family).unionByName(_reference(ref, data, ref.weights, ref.dis))
-    return Selection(ref, path, table, {0: path.ranking})
+    return Selection(ref, path, table.persist(), {0: path.ranking})
 
 
 def cv_kfold(ref: RefModel, key: str = "obs_id", k: int = 5, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 50, regul: float = solve.REGUL, seed: int = 0, validate_search: bool = True, folded: DataFrame | None = None) -> Selection:
@@ -190,12 +194,10 @@ def cv_kfold(ref: RefModel, key: str = "obs_id", k: int = 5, method: str = "forw
         own = path if not validate_search else _searched(ref, g, fits, method, largest, clusters, regul)
         rankings[fold] = own.ranking
         rows = data.filter(F.col("fold") == fold)
-        if not ref.is_datafit:
-            rows = rows.withColumn("mu", evaluate.predictors(fits, ref.columns, F.col("offs")))
         parts.append(evaluate.pointwise(rows, ref.columns, _projected(ref, _gaussian(ref, g, fits, dis, prediction_draws), own, regul), ref.family))
-        parts.append(_reference(ref, rows, weights, dis or [0.0]))
+        parts.append(_reference(ref, rows, weights, dis or [0.0], fits))
     table = functools.reduce(DataFrame.unionByName, parts)
-    return Selection(ref, path, table, rankings)
+    return Selection(ref, path, table.persist(), rankings)
 
 
 def cv_loo(ref: RefModel, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 100, regul: float = solve.REGUL) -> Selection:
