@@ -21,6 +21,8 @@ from lodestar.llm.columns import column_function, shared_dir, small_batches
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n"
+#: Stands for a null page id in joins.
+NO_PAGE = -(1 << 63)
 
 
 def _base32(hexes: list) -> list:
@@ -53,20 +55,21 @@ def write(pages: DataFrame, path: str, page: str = "page_id", url: str = "url",
     """Writes the tables ``path/headers`` and ``path/payloads``.
 
     Null payloads are empty. Payloads under ``min_bytes`` are all responses. Rows that repeat a page
-    id and its payload are all responses of that page; their bytes are stored once. Rows with a null
-    page id are responses unless another page has their payload. Other columns are left out.
+    id and its payload are all responses of that page; their bytes are stored once. Null page ids
+    come before all others, so such a row is a response unless a numbered page has its payload. Other columns are left out.
     """
     small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
-    rows = pages.select(F.col(page).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
-    keyed = rows.select("page_id", "url", *_digests(F.col("payload")))
-    owners = rows.select("page_id", F.sha2("payload", 256).alias("sha256")).groupBy("sha256").agg(F.max("page_id").alias("owner"))
-    own = F.col("n") < min_bytes
-    kind = F.when(own | F.col("owner").isNull() | F.col("page_id").eqNullSafe(F.col("owner")), "response").otherwise("revisit")
-    typed = keyed.join(owners, "sha256").withColumn("record_type", kind)
+    rows = pages.select(F.coalesce(F.col(page).cast("bigint"), F.lit(NO_PAGE)).alias("page_key"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
+    keyed = rows.select("page_key", "url", *_digests(F.col("payload")))
+    owners = rows.select("page_key", F.sha2("payload", 256).alias("sha256")).groupBy("sha256").agg(F.max("page_key").alias("owner_key"))
+    named = lambda c: F.when(F.col(c) > NO_PAGE, F.col(c))
+    typed = keyed.join(owners, "sha256").withColumn("record_type", F.when((F.col("n") < min_bytes) | (F.col("page_key") == F.col("owner_key")), "response").otherwise("revisit"))
+    typed = typed.withColumns({"page_id": named("page_key"), "owner": named("owner_key")})
     typed.select("page_id", "sha256", headers(typed, date).alias("header")).write.mode("overwrite").parquet(f"{path}/headers")
-    stored = rows.withColumn("sha256", F.sha2("payload", 256)).join(owners.withColumnRenamed("sha256", "of"), (F.col("sha256") == F.col("of")) & F.col("page_id").eqNullSafe(F.col("owner")))
-    stored.select("sha256", F.col("owner").alias("stored_by"), "payload").dropDuplicates(["sha256"]).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
+    # Payloads are shuffled once: the join's partitions also serve to drop repeated rows.
+    stored = rows.withColumn("sha256", F.sha2("payload", 256)).join(owners.withColumnRenamed("owner_key", "page_key"), ["sha256", "page_key"]).dropDuplicates(["sha256", "page_key"])
+    stored.select("sha256", named("page_key").alias("stored_by"), "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
