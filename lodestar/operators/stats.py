@@ -153,10 +153,10 @@ def difference_estimate(rows: DataFrame, approx: str, exact: str, sampled: str,
     rows = rows.select(F.col(approx).alias("a"), F.when(F.col(sampled), F.col(exact)).alias("y"), w.alias("w"), F.col(sampled).alias("m"))
     inside = lambda c: F.sum(F.when(F.col("m"), c))
     e = F.col("y") - F.col("a")
-    first = rows.agg(F.count("*").alias("N"), F.count_if("m").alias("n"), F.sum("w").alias("sw"), inside(F.col("w")).alias("sm"), F.sum(F.col("w") * F.col("a")).alias("wa"), F.sum(F.col("w") * F.col("a") * F.col("a")).alias("waa"), inside(F.col("w") * e).alias("we"), inside(F.col("w") * (F.col("y") * F.col("y") - F.col("a") * F.col("a"))).alias("wq"))
+    first = rows.agg(F.count("*").alias("n_all"), F.count_if("m").alias("n_m"), F.sum("w").alias("sw"), inside(F.col("w")).alias("sm"), F.sum(F.col("w") * F.col("a")).alias("wa"), F.sum(F.col("w") * F.col("a") * F.col("a")).alias("waa"), inside(F.col("w") * e).alias("we"), inside(F.col("w") * (F.col("y") * F.col("y") - F.col("a") * F.col("a"))).alias("wq"))
     second = rows.crossJoin(F.broadcast(first.select((F.col("we") / F.col("sm")).alias("em"), "sm"))).agg(inside(F.col("w") / F.col("sm") * F.pow(e - F.col("em"), 2)).alias("ve"))
     met = first.crossJoin(second)
-    n_all, n = F.col("N"), F.col("n")
+    n_all, n = F.col("n_all"), F.col("n_m")
     t, t2 = F.col("wa") * n_all / F.col("sw"), F.col("waa") * n_all / F.col("sw")
     te, tq = n_all * F.col("we") / F.col("sm"), n_all * F.col("wq") / F.col("sm")
     var_e = F.col("ve") * n / F.when(n > 1, n - 1)
