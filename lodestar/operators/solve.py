@@ -93,7 +93,7 @@ def elastic_net(g: Gram, cols: list[str], target: str, lambdas: np.ndarray, alph
     beta, fits, diag = np.zeros(len(cols)), [], np.diag(a)
     residual = b.copy()
     for lam in lambdas:
-        soft, shrink = p * lam * alpha, p * lam * (1 - alpha)
+        soft, shrink = np.where(ok, p, 0.0) * lam * alpha, np.where(ok, p, 0.0) * lam * (1 - alpha)
         scope = np.flatnonzero(ok)
         while True:
             moved = 0.0
