@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import ArrowUDFType, arrow_udf
+from pyspark.sql.functions import arrow_udf
 
 #: Lower-cases A-Z, keeps a-z, 0-9 and every byte above 0x7F, and blanks the rest.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -54,7 +54,7 @@ def column_function(make: Callable[[], Callable[[list], list]], fields: dict[str
                 values = values.cast(pa.binary())
             yield pa.array(function(values.to_pylist()), type=kind)
 
-    return arrow_udf(run, ddl, ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    return arrow_udf(run, ddl).asNondeterministic()
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -211,10 +211,17 @@ def _found(docs: DataFrame, text: str, block: Block) -> DataFrame:
     """What one block finds, by the digest of the text."""
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.sha2(value, 256).alias("digest"), hit_column(docs, text, block).alias("h")).filter("size(h.items) > 0")
-    ends = F.transform(F.sequence(F.lit(0), F.size("h.spans") / 2 - 1), lambda i: F.struct(F.get("h.spans", (2 * i).cast("int")).alias("a"), F.get("h.spans", (2 * i + 1).cast("int")).alias("b")))
+    ends = F.transform("h.spans", lambda v, i: F.struct((i % 2).alias("odd"), v.alias("a"), F.get("h.spans", i + 1).alias("b")))
+    ends = F.transform(F.filter(ends, lambda p: p["odd"] == 0), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
     return cut(rows.select("digest", ends.alias("pairs"), F.col("h.items").alias("items")).dropDuplicates(["digest"]))
 
 
+def covered(spans: str):
+    """Words within flattened, disjoint spans: ends minus starts."""
+    signed = F.transform(spans, lambda v, i: F.when(i % 2 == 1, v).otherwise(-v))
+    return F.aggregate(signed, F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and hit_spans (word starts and ends).
 
@@ -222,7 +229,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     row; an item that occurs twice in the benchmark counts once. An empty benchmark hits nothing.
     """
     rows = with_hits(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), benchmark, "hits", **options)
-    n_hit = F.aggregate(F.sequence(F.lit(0), F.size("hits.spans")), F.lit(0).cast("bigint"), lambda s, i: s + F.when(i == F.size("hits.spans"), 0).when(i % 2 == 1, F.get("hits.spans", i)).otherwise(-F.get("hits.spans", i)))
+    n_hit = covered("hits.spans")
     names = F.array_sort(F.transform("hits.items", lambda i: i.cast("string")))
     out = rows.select("key", F.col("hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("hits.items").cast("bigint").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), F.col("hits.spans").alias("hit_spans"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("key", key)
@@ -232,5 +239,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
     """``docs`` without the contaminated ones; columns stay as they are, nothing is shuffled for one block."""
     mark = free_name(docs, "hits")
     rows = with_hits(docs, benchmark, mark, text)
-    hit = F.aggregate(F.sequence(F.lit(0), F.size(f"{mark}.spans")), F.lit(0).cast("bigint"), lambda s, i: s + F.when(i == F.size(f"{mark}.spans"), 0).when(i % 2 == 1, F.get(f"{mark}.spans", i)).otherwise(-F.get(f"{mark}.spans", i)))
+    hit = covered(f"{mark}.spans")
     return rows.filter(~((hit > 0) & (SHARE * hit >= F.col(f"{mark}.n_words")))).select(*[F.col(f"`{c}`") for c in docs.columns])
