@@ -428,3 +428,24 @@ def group_level_lookup(spark, sf_dir):
 def keyed_numbers(spark, sf_dir):
     o = tables.read(spark, sf_dir, "orders")
     return o.groupBy((F.col("o_orderkey") % 10).alias("bucket")).agg(F.sum(keyed(F.col("o_orderkey"), 2)).alias("total"))
+
+
+@query(f"SELECT s::INTEGER AS draw FROM range(1, {S + 1}) t(s) ORDER BY {keyed_sql('s', 4)} LIMIT 7")
+def draw_subsample(spark, sf_dir):
+    return spark.createDataFrame([(s,) for s in draws.subsampled(S, 7, 4)], "draw int")
+
+
+@query(f"WITH {POINTWISE}, {ABSOLUTE} SELECT size, ['(Intercept)', 'price', 'discount'][size + 1] AS term, round(em, 5) AS value, round((SELECT em FROM s WHERE size IS NULL), 5) AS reference FROM s WHERE size IS NOT NULL")
+def plot_points(spark, sf_dir):
+    out = post.plot_data(stats.statistics(_pointwise(spark, sf_dir), ["mse"]), ["price", "discount"])
+    return out.select("size", "term", shown("value", 5).alias("value"), shown("reference", 5).alias("reference"))
+
+
+@query(f"""WITH {LIK}, c AS (SELECT ll.obs_id AS obs_id, o.y AS y, m, ll.ll AS ll, ll.obs_id % 10 = 0 AS cens FROM ll JOIN o ON ll.obs_id = o.obs_id),
+o2 AS (SELECT obs_id, ln(sum(exp(CASE WHEN cens THEN ln(1 / (1 + exp((y - m) / 0.3))) ELSE ll END) / {S})) AS lppd FROM c GROUP BY obs_id) SELECT round(sum(lppd), 4) AS elpd FROM o2""")
+def censored_elpd(spark, sf_dir):
+    """Right-censored rows count by a user's upper tail instead of a density."""
+    rows = _likelihoods(spark, sf_dir)
+    tail = F.transform("mu", lambda m: F.log(1 / (1 + F.exp((F.col("y") - 0.05 - m) / 0.3))))
+    ll = F.when(F.col("obs_id") % 10 == 0, tail).otherwise(F.col("ll"))
+    return rows.agg(shown(F.sum(arrays.log_weighted_mean_exp(ll, arrays.doubles([1 / S] * S))), 4).alias("elpd"))

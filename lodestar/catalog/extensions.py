@@ -120,3 +120,21 @@ def incremental_moments(spark, sf_dir):
     parts = [moments(items.filter(F.col("l_suppkey") % 3 == k), cols, by=F.col("l_linenumber")) for k in range(3)]
     total = total_moments(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     return total.select(F.col("g").alias("line"), "n")
+
+
+@query()
+def cv_loo_subsampled(spark, sf_dir):
+    """Suppliers' balances explained by key arithmetic; elpd by the difference estimator."""
+    s = tables.read(spark, sf_dir, "supplier")
+    x1, x2 = (F.col("s_suppkey") % 13) / 10, (F.col("s_suppkey") % 7) / 10
+    rows = s.select(F.col("s_suppkey").alias("obs_id"), (2 * x1 + F.col("s_acctbal") / 10000).alias("y"), F.lit(1.0).alias("wobs"), F.lit(0.0).alias("offs"), x1.alias("a"), x2.alias("b"))
+    cols = {c: F.col(c) for c in "ab"}
+    return selection.cv_loo_subsampled(refmodel.gaussian_conjugate(rows, cols, {c: [c] for c in cols}, draws=60), 12, largest=2, prediction_draws=30)
+
+
+@query()
+def reference_predictions(spark, sf_dir):
+    """Log predictive densities of a reference model."""
+    rows = tables.line_items(spark, sf_dir)
+    cols = {c: F.col(c) for c in ("price", "discount")}
+    return selection.predict(refmodel.gaussian_conjugate(rows, cols, {c: [c] for c in cols}, draws=20), rows, "lpd")

@@ -307,3 +307,31 @@ def projected_predictions(spark, sf_dir):
 @query()
 def projected_coefficients(spark, sf_dir):
     return selection.project(_reference(spark, sf_dir), ["price", "discount", "tax"], n_draws=8).coefficients()
+
+
+@query()
+def binomial_cv_loo(spark, sf_dir):
+    """Leave-one-out of a binomial search under a Laplace reference model."""
+    cols = {c: F.col(c) for c in ("size", "toxic")}
+    ref = refmodel.glm_laplace(tables.labelled(spark, sf_dir), families.binomial(), cols, {c: [c] for c in cols}, draws=40)
+    return selection.cv_loo(ref, clusters=25).summary(["elpd", "acc"])
+
+
+@query()
+def binomial_cv_kfold(spark, sf_dir):
+    """K-fold cross-validation of a binomial search; every fold has its own reference model."""
+    cols = {c: F.col(c) for c in ("size", "toxic")}
+    ref = refmodel.glm_laplace(tables.labelled(spark, sf_dir), families.binomial(), cols, {c: [c] for c in cols}, draws=10)
+    return selection.cv_kfold(ref, k=3, clusters=2).summary(["elpd", "acc"])
+
+
+@query()
+def forced_search(spark, sf_dir):
+    """A search in which discount and tax enter before anything else."""
+    g = gram.gram(tables.line_items(spark, sf_dir), {**_columns(), "y": F.col("y")})
+    return search.forward(g, _blocks(), "y", 3, candidates=fm.forced_terms(["discount", "tax"], ["price", "quantity"])).table(spark)
+
+
+@query("SELECT * FROM (VALUES ('1'), ('x'), ('z'), ('x + z + x:z'), ('(1 | g)'), ('x + (x | g)'), ('z + (z | g)'), ('x + (1 | g)'), ('z + (1 | g)'), ('x + z + x:z + (1 | g)'), ('x + z + x:z + (x + z + x:z | g)')) t(block)")
+def candidate_blocks(spark, sf_dir):
+    return spark.createDataFrame([(b,) for b in fm.split_blocks(fm.parse("y ~ x + z + x:z + (x + z + x:z | g)"))], "block string")

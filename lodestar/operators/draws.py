@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.arrays import doubles, let, total
+from lodestar.operators.keyed import INCREMENT, MODULUS, MULTIPLIER
 
 #: Draw weights within a cluster are shrunk by this factor, for numerical stability.
 SHRINK = 1 - 1e-10
@@ -50,6 +51,12 @@ def thinned(draws: int, wanted: int) -> list[int]:
     return [int(np.round(v)) for v in np.linspace(1, draws, min(wanted, draws))]
 
 
+def subsampled(draws: int, wanted: int, seed: int = 0) -> list[int]:
+    """Draw numbers without replacement, in keyed random order."""
+    once = [((s % (1 << 32) * MULTIPLIER + INCREMENT + seed * 69069) % MODULUS, s) for s in range(1, draws + 1)]
+    return [s for _, s in sorted(((h * MULTIPLIER + INCREMENT) % MODULUS, s) for h, s in once)][: min(wanted, draws)]
+
+
 def picked(values: Column, numbers: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(i) for i in numbers]), lambda i: F.element_at(values, i))
 

@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from lodestar.functions.arrays import doubles, log_weighted_mean_exp, weighted_mean
 from lodestar.functions.families import Family
+from lodestar.operators.loo import smoothed
 from lodestar.operators.solve import Fit
 
 
@@ -49,9 +50,11 @@ def summarize(df: DataFrame, mu: str, family: Family, weights: list[float], dis:
     return rows.select("obs_id", "y", "wobs", weighted_mean(F.col("draws"), w).alias("mu"), log_weighted_mean_exp(densities(F.col("draws"), family, dis), w).alias("lppd"))
 
 
-def pointwise(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tuple[list[Fit], list[float], list[float]]], family: Family) -> DataFrame:
+def pointwise(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tuple[list[Fit], list[float], list[float]]], family: Family, leave_one_out: bool = False) -> DataFrame:
     """The pointwise table of submodels: for each size, fits by draw, their weights and dispersions.
 
+    With ``leave_one_out`` each row's draws are weighted by smoothed importance of leaving it out.
+
     One scan for all sizes; a batch of rows is multiplied by every size's coefficients at once. Draws
     never leave the kernel: each row gives one mean and one log density for each size.
     """
@@ -71,10 +74,12 @@ def pointwise(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tupl
             for size, (beta, weights, dis) in packed.items():
                 mu = family.link.np_inverse(z @ beta + o[:, None])
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    ll = family.np_log_lik(y[:, None], mu, w[:, None], dis) + np.log(weights)
-                    top = ll.max(axis=1)
-                    lppd = top + np.log(np.exp(ll - top[:, None]).sum(axis=1))
-                cells = (batch.column(0), y, w, np.full(len(y), size, np.int32), mu @ weights, lppd)
+                    ll, lw = family.np_log_lik(y[:, None], mu, w[:, None], dis), np.log(weights)[None, :]
+                    if leave_one_out:
+                        lw = smoothed(lw - ll)[0]
+                    top = (ll + lw).max(axis=1)
+                    lppd = top + np.log(np.exp(ll + lw - top[:, None]).sum(axis=1))
+                cells = (batch.column(0), y, w, np.full(len(y), size, np.int32), (mu * np.exp(lw)).sum(axis=1), lppd)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
 
     rows = df.select(F.col("obs_id").cast("bigint"), F.col("y").cast("double"), F.col("wobs").cast("double"), F.col("offs").cast("double"), *[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(used)])

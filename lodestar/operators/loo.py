@@ -14,6 +14,10 @@ from pyspark.sql.functions import pandas_udf
 from lodestar.functions.arrays import doubles, log_normalized, log_sum_exp, total
 
 
+#: Rows that are smoothed at once; bounds the memory of the tail fits.
+ROWS = 1024
+
+
 def sis_weights(log_lik: Column, draw_weights: list[float] | None = None) -> Column:
     """Normalized log importance weights, raw."""
     raw = F.transform(log_lik, lambda v: -v)
@@ -27,38 +31,45 @@ def tail_length(draws: int) -> int:
     return math.ceil(min(0.2 * draws, 3 * math.sqrt(draws)))
 
 
-def generalized_pareto(x: np.ndarray) -> tuple[float, float]:
-    """Shape and scale for sorted exceedances by Zhang and Stephens' posterior mean, the shape drawn to one half."""
-    n = len(x)
+def generalized_pareto(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shapes and scales for rows of sorted exceedances by Zhang and Stephens' posterior mean, shapes drawn to one half."""
+    n = x.shape[1]
     m = 30 + int(math.sqrt(n))
-    quarter = x[int(n / 4 + 0.5) - 1]
-    theta = 1 / x[-1] + (1 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (3 * quarter)
-    k = np.log1p(-theta[:, None] * x[None, :]).mean(axis=1)
+    quarter = x[:, int(n / 4 + 0.5) - 1]
+    grid = 1 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))
+    theta = 1 / x[:, -1:] + grid[None, :] / (3 * quarter[:, None])
+    k = np.log1p(-theta[:, :, None] * x[:, None, :]).mean(axis=2)
     profile = n * (np.log(-theta / k) - k - 1)
-    weights = np.exp(profile - profile.max())
-    theta_hat = float((theta * weights).sum() / weights.sum())
-    shape = float(np.log1p(-theta_hat * x).mean())
+    weights = np.exp(profile - profile.max(axis=1, keepdims=True))
+    theta_hat = (theta * weights).sum(axis=1) / weights.sum(axis=1)
+    shape = np.log1p(-theta_hat[:, None] * x).mean(axis=1)
     return (shape * n + 5) / (n + 10), -shape / theta_hat
 
 
-def smoothed(ratios: np.ndarray) -> tuple[np.ndarray, float]:
-    """Pareto-smoothed, normalized log weights and the shape estimate; infinite shape if the tail can't be fitted."""
-    lw = ratios - ratios.max()
-    size, shape = tail_length(len(lw)), math.inf
+def smoothed(ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of Pareto-smoothed, normalized log weights and their shapes; infinite where a tail can't be fitted."""
+    if len(ratios) > ROWS:
+        parts = [smoothed(ratios[i : i + ROWS]) for i in range(0, len(ratios), ROWS)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    lw = ratios - ratios.max(axis=1, keepdims=True)
+    size, shapes = tail_length(lw.shape[1]), np.full(len(lw), np.inf)
     if size >= 5:
-        order = np.argsort(lw, kind="stable")
-        tail, cut = order[-size:], lw[order[-size - 1]]
-        if lw[tail[-1]] - lw[tail[0]] > 1e-12:
-            base = math.exp(max(cut, -700.0))
-            excess = np.exp(lw[tail]) - base
-            if excess[0] > 0:
-                shape, scale = generalized_pareto(excess)
-                p = (np.arange(1, size + 1) - 0.5) / size
-                q = scale * np.expm1(-shape * np.log1p(-p)) / shape if abs(shape) > 1e-15 else -scale * np.log1p(-p)
-                lw[tail] = np.log(base + q)
-                lw = np.minimum(lw, 0.0)
-    top = lw.max()
-    return lw - top - math.log(np.exp(lw - top).sum()), shape
+        order = np.argsort(lw, axis=1, kind="stable")
+        tail = order[:, -size:]
+        values = np.take_along_axis(lw, tail, axis=1)
+        base = np.exp(np.maximum(np.take_along_axis(lw, order[:, -size - 1 : -size], axis=1), -700.0))
+        excess = np.exp(values) - base
+        ok = (values[:, -1] - values[:, 0] > 1e-12) & (excess[:, 0] > 0)
+        if ok.any():
+            shape, scale = generalized_pareto(excess[ok])
+            upper = np.log1p(-(np.arange(1, size + 1) - 0.5) / size)[None, :]
+            flat = np.where(np.abs(shape) > 1e-15, shape, 1e-15)[:, None]
+            replaced = np.log(base[ok] + scale[:, None] * np.expm1(-flat * upper) / flat)
+            part = lw[ok]
+            np.put_along_axis(part, tail[ok], np.minimum(replaced, 0.0), axis=1)
+            lw[ok], shapes[ok] = part, shape
+    top = lw.max(axis=1, keepdims=True)
+    return lw - top - np.log(np.exp(lw - top).sum(axis=1, keepdims=True)), shapes
 
 
 _WEIGHTS = T.StructType([T.StructField("lw", T.ArrayType(T.DoubleType())), T.StructField("khat", T.DoubleType())])
@@ -66,8 +77,8 @@ _WEIGHTS = T.StructType([T.StructField("lw", T.ArrayType(T.DoubleType())), T.Str
 
 @pandas_udf(_WEIGHTS)
 def _psis(log_lik: pd.Series) -> pd.DataFrame:
-    found = [smoothed(-np.asarray(v, dtype=float)) for v in log_lik]
-    return pd.DataFrame({"lw": [f[0] for f in found], "khat": [f[1] for f in found]})
+    lw, shapes = smoothed(-np.stack(log_lik.to_numpy())) if len(log_lik) else (np.empty((0, 0)), np.empty(0))
+    return pd.DataFrame({"lw": list(lw), "khat": shapes})
 
 
 def psis_weights(log_lik: Column) -> Column:

@@ -26,17 +26,18 @@ class SearchPath:
         return spark.createDataFrame(rows, "size int, term string, ce double")
 
 
-def forward(g: Gram, blocks: dict[str, list[str]], target: str, largest: int | None = None, regul: float = solve.REGUL, weights: dict[str, float] | None = None) -> SearchPath:
+def forward(g: Gram, blocks: dict[str, list[str]], target: str, largest: int | None = None, regul: float = solve.REGUL, weights: dict[str, float] | None = None, candidates: list[str] | None = None) -> SearchPath:
     """Forward search on one moment matrix: each size takes the candidate of least cross-entropy, the first of equals.
 
-    ``blocks`` maps candidate blocks to their columns. Several targets with weights score by their
-    weighted mean. A size without candidates is skipped.
+    ``blocks`` maps terms to their columns; ``candidates`` are blocks of terms that may enter together,
+    by default each term for itself. Several targets with weights score by their weighted mean. A
+    size without candidates is skipped.
     """
     targets = weights or {target: 1.0}
-    columns = {t: c for t, c in blocks.items()}
     chosen: list[str] = []
+    candidates = list(blocks) if candidates is None else candidates
     largest = len(blocks) if largest is None else min(largest, len(blocks))
-    cols_of = lambda terms: list(dict.fromkeys(c for t in terms for c in columns.get(t, [])))
+    cols_of = lambda terms: list(dict.fromkeys(c for t in terms for c in blocks[t]))
 
     def fitted(terms: list[str]) -> tuple[float, Fit]:
         cols, score, first = cols_of(terms), 0.0, None
@@ -49,7 +50,7 @@ def forward(g: Gram, blocks: dict[str, list[str]], target: str, largest: int | N
     score, fit = fitted([])
     path = ([], [0], [fit], [score])
     for size in range(2, largest + 2):
-        options = fm.candidates(chosen, list(blocks), size)
+        options = fm.candidates(chosen, candidates, size)
         best = None
         for new in options:
             score, fit = fitted([*chosen, *new])

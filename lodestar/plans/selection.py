@@ -20,7 +20,7 @@ from lodestar.operators import formula as fm
 from lodestar.operators.gram import INTERCEPT, Gram, gram, grams
 from lodestar.operators.search import SearchPath
 from lodestar.operators.solve import Fit
-from lodestar.sources.refmodel import RefModel, posterior
+from lodestar.sources.refmodel import RefModel, glm_laplace, posterior
 
 CLUSTERS = 20
 PREDICTION_DRAWS = 400
@@ -52,6 +52,7 @@ class Selection:
     path: SearchPath
     pointwise: DataFrame
     fold_rankings: dict[int, list[str]]
+    by_size: dict[int, tuple[list[Fit], list[float], list[float]]] | None = None
 
     def summary(self, names: list[str] | None = None, baseline: str | int | None = None, alpha: float = stats.ALPHA) -> DataFrame:
         """Statistics by size with differences to the reference model."""
@@ -141,7 +142,7 @@ def varsel(ref: RefModel, method: str = "forward", largest: int = LARGEST, clust
     by_size = _projected(ref, _gaussian(ref, g, list(ref.fits), ref.dis, prediction_draws), path, regul)
     data = ref.data if test is None else ref.on(test).data
     table = evaluate.pointwise(data, ref.columns, by_size, ref.family).unionByName(_reference(ref, data, ref.weights, ref.dis))
-    return Selection(ref, path, table.persist(), {0: path.ranking})
+    return Selection(ref, path, table.persist(), {0: path.ranking}, by_size)
 
 
 def _varsel_newton(ref: RefModel, largest: int, clusters: int, regul: float, test: DataFrame | None) -> Selection:
@@ -174,7 +175,7 @@ def _varsel_newton(ref: RefModel, largest: int, clusters: int, regul: float, tes
     path = SearchPath(ranking, sizes, [by_size[s][0][0] for s in sizes], scores)
     data = ref.data if test is None else ref.on(test).data
     table = evaluate.pointwise(data, ref.columns, by_size, ref.family).unionByName(_reference(ref, data, ref.weights, ref.dis))
-    return Selection(ref, path, table.persist(), {0: path.ranking})
+    return Selection(ref, path, table.persist(), {0: path.ranking}, by_size)
 
 
 def cv_kfold(ref: RefModel, key: str = "obs_id", k: int = 5, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 50, regul: float = solve.REGUL, seed: int = 0, validate_search: bool = True, folded: DataFrame | None = None) -> Selection:
@@ -184,6 +185,8 @@ def cv_kfold(ref: RefModel, key: str = "obs_id", k: int = 5, method: str = "forw
     that were left out.
     """
     data = folded if folded is not None else crossval.balanced_folds(ref.data, key, k, seed)
+    if ref.family.name != "gaussian":
+        return _cv_kfold_newton(ref, data, k, largest, clusters, regul, seed)
     by_fold = grams(data, {**ref.columns, "_y": _target()}, F.col("wobs"), F.col("fold"))
     full = functools.reduce(lambda a, b: a + b, by_fold.values())
     path = _searched(ref, full, list(ref.fits), method, largest, clusters, regul)
@@ -200,18 +203,31 @@ def cv_kfold(ref: RefModel, key: str = "obs_id", k: int = 5, method: str = "forw
     return Selection(ref, path, table.persist(), rankings)
 
 
+def _cv_kfold_newton(ref: RefModel, data: DataFrame, k: int, largest: int, clusters: int, regul: float, seed: int) -> Selection:
+    """Other families: the reference model, search and projections again on each fold's training rows."""
+    plain = data.drop("mu")
+    full = varsel(ref, "forward", largest, clusters, regul=regul)
+    rankings, parts = {0: full.path.ranking}, []
+    for fold in range(1, k + 1):
+        train = plain.filter(F.col("fold") != fold)
+        own = glm_laplace(train, ref.family, ref.columns, ref.terms, ref.n_draws, seed + fold)
+        part = varsel(own, "forward", largest, clusters, regul=regul, test=plain.filter(F.col("fold") == fold))
+        rankings[fold] = part.path.ranking
+        parts.append(part.pointwise)
+    return Selection(ref, full.path, functools.reduce(DataFrame.unionByName, parts).persist(), rankings, full.by_size)
+
+
 def cv_loo(ref: RefModel, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 100, regul: float = solve.REGUL) -> Selection:
     """Leave-one-out without repeating the search: smoothed importance weights of reference and projected draws."""
     if ref.is_datafit:
         raise ValueError("the data as reference model needs K-fold cross-validation")
     chosen = varsel(ref, method, largest, clusters, prediction_draws, regul)
-    g = gram(ref.data, {**ref.columns, "_y": _target()}, F.col("wobs"))
-    by_size = _projected(ref, _gaussian(ref, g, list(ref.fits), ref.dis, prediction_draws), chosen.path, regul)
-    parts = [_loo_rows(ref.data.withColumn("draws", F.col("mu")), ref, ref.dis, None)]
-    for size, (fits, _, dis) in by_size.items():
-        mus = evaluate.means(evaluate.predictors(fits, ref.columns, F.col("offs")), ref.family)
-        parts.append(_loo_rows(ref.data.withColumn("draws", mus), ref, dis, size))
-    return Selection(ref, chosen.path, functools.reduce(DataFrame.unionByName, parts), {0: chosen.path.ranking})
+    table = evaluate.pointwise(ref.data, ref.columns, chosen.by_size, ref.family, leave_one_out=True)
+    if ref.fits:
+        own = evaluate.pointwise(ref.data, ref.columns, {0: (list(ref.fits), ref.weights, ref.dis)}, ref.family, leave_one_out=True).withColumn("size", F.lit(None).cast("int"))
+    else:
+        own = _loo_rows(ref.data.withColumn("draws", F.col("mu")), ref, ref.dis, None)
+    return Selection(ref, chosen.path, table.unionByName(own).persist(), {0: chosen.path.ranking}, chosen.by_size)
 
 
 def _loo_rows(rows: DataFrame, ref: RefModel, dis: list[float], size: int | None) -> DataFrame:
@@ -262,3 +278,44 @@ def project(ref: RefModel, terms: list[str], n_draws: int = PREDICTION_DRAWS, re
     numbers = draws.thinned(ref.n_draws, n_draws)
     fits = irls.project(ref.data, ref.columns, draws.picked(F.col("mu"), numbers), ref.family, [irls.Job(tuple(cols), k) for k in range(len(numbers))], F.col("wobs"), F.col("offs"), regul)
     return Projection(ref, terms, fits, [1.0] * len(fits), [1 / len(fits)] * len(fits))
+
+
+def predict(ref: RefModel, data: DataFrame, kind: str = "response") -> DataFrame:
+    """Predictions of the reference model for rows with y, wobs and offs: ``response`` or ``link`` means, or ``lpd``."""
+    rows = evaluate.pointwise(data, ref.columns, {0: (list(ref.fits), ref.weights, ref.dis)}, ref.family)
+    if kind == "response":
+        return rows.select("obs_id", F.col("mu").alias("pred"))
+    if kind == "lpd":
+        return rows.select("obs_id", F.col("lppd").alias("pred"))
+    if kind == "link":
+        return data.select("obs_id", irls.predictor(averaged(list(ref.fits), ref.weights), ref.columns).alias("eta"), "offs").select("obs_id", (F.col("eta") + F.col("offs")).alias("pred"))
+    raise ValueError(f"unknown kind of prediction {kind}")
+
+
+def cv_loo_subsampled(ref: RefModel, n: int, key: str = "obs_id", seed: int = 0, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 100, regul: float = solve.REGUL) -> DataFrame:
+    """(size, y_hat, v_y_hat, hat_v_y): elpd of searches repeated without each of n sampled observations.
+
+    The fast leave-one-out of the full-data search is the approximation for every observation; for the
+    sampled ones the search itself runs on moments without the observation, and the difference
+    estimator joins both. Costs n small searches on the driver and one scan for the sampled rows.
+    """
+    fast = cv_loo(ref, method, largest, clusters, prediction_draws, regul)
+    g = gram(ref.data, {**ref.columns, "_y": _target()}, F.col("wobs"))
+    names = [*ref.columns, "_y"]
+    picked = loo.subsample(ref.data, key, n, seed)
+    rows = picked.select(key, "y", "wobs", "offs", *[c.cast("double").alias(f"_z{i}") for i, c in enumerate(ref.columns.values())]).collect()
+    exact = []
+    for row in rows:
+        z = np.array([1.0, *[row[f"_z{i}"] for i in range(len(ref.columns))], row.y - row.offs])
+        without = Gram((INTERCEPT, *names), g.matrix - row.wobs * np.outer(z, z), g.rows - 1)
+        fits, dis = posterior(without, list(ref.columns), "_y", prediction_draws, seed + 1)
+        path = _searched(ref, without, fits, method, largest, clusters, regul)
+        for size, (sub, weights, sub_dis) in _projected(ref, _gaussian(ref, without, fits, dis, prediction_draws), path, regul).items():
+            at = {c: z[i + 1] for i, c in enumerate(ref.columns)}
+            mu = np.array([f.intercept + sum(b * at[c] for c, b in f.beta.items()) for f in sub]) + row.offs
+            ll = ref.family.np_log_lik(np.full(len(mu), row.y), mu, np.full(len(mu), row.wobs), np.array(sub_dis)) + np.log(weights)
+            exact.append((row[key], size, float(ll.max() + np.log(np.exp(ll - ll.max()).sum()))))
+    table = ref.data.sparkSession.createDataFrame(exact, "obs_id long, size int, exact double")
+    joined = fast.pointwise.filter(F.col("size").isNotNull()).join(F.broadcast(table), ["obs_id", "size"], "left").withColumn("sampled", F.col("exact").isNotNull())
+    parts = [stats.difference_estimate(joined.filter(F.col("size") == s), "lppd", "exact", "sampled").select(F.lit(s).alias("size"), "*") for s in fast.path.sizes]
+    return functools.reduce(DataFrame.unionByName, parts)
