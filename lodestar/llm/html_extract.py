@@ -23,7 +23,7 @@ from lodestar.llm.columns import column_function, cut, small_batches
 VOTES = 3
 #: Hosts up to this number are broadcast with their paths; more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
-#: A winning container with less than this share of the page's best gives way to it.
+#: A winning container with less than this share of the text of the page's best gives way to it.
 LEAST_SHARE = 0.3
 
 #: Kinds of elements.
@@ -36,8 +36,8 @@ SPACES = frozenset("br td th img".split())
 INLINE_OUTSIDE_P = frozenset("p h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3".split())
 GOOD = frozenset("article content main post entry story body text page".split())
-BAD = frozenset("ad ads advert adverts advertisement adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies reply respond discussion sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended recommendations teaser footer masthead toolbar pagination pager skip hidden".split())
-LAYOUT = frozenset("with has no layout wrapper container page".split())
+BAD = frozenset("ad ads advert adverts advertisement advertising adsense adslot adsbygoogle werbung anzeige publicite publicidad sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies reply respond discussion sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended recommendations teaser footer masthead toolbar pagination pager skip hidden".split())
+LAYOUT = frozenset("with has no layout".split())
 BAD_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alertdialog alert menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -111,9 +111,9 @@ class Page:
                 given = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
                 classes = [w for w in _PARTS.split(given.get("class", "").lower()) if w]
                 dropped = self.strict and self._unwanted(name, attributes, given, classes)
-            if self.strict and name == "header" or "header" in classes and name != "body":
-                inside = any(e[0] in ("article", "main") for e in self.stack)
-                dropped, header = dropped or not inside, True
+            if self.strict and (name == "header" or "header" in classes and name not in ("html", "body", "main", "article")):
+                inside = GOOD & {*classes} or any(e[0] in ("article", "main") for e in self.stack)
+                dropped, header = dropped or not inside, name not in HEADINGS
         container = -1
         if name in CONTAINERS and not dropped:
             parent = next((e[1] for e in reversed(self.stack) if e[1] >= 0), -1)
@@ -131,7 +131,7 @@ class Page:
             return True
         if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) or "display:none" in given.get("style", "").replace(" ", "").lower():
             return True
-        words = {*classes, *(w for w in _PARTS.split(given.get("id", "").lower()) if w)}
+        words = {*classes, *(w for k in ("id", "aria-label") for w in _PARTS.split(given.get(k, "").lower()) if w)}
         return bool(words & BAD) and not words & LAYOUT
 
     @staticmethod
@@ -187,9 +187,21 @@ class Page:
                     total[above] += value / 2
         return [t * c[5] for t, c in zip(total, self.containers, strict=True)]
 
-    def text(self, container: int | None) -> str:
-        if container is None:
-            return ""
+    def raised(self, container: int) -> int:
+        """The article around a container, if there is one, else the container."""
+        at = container
+        while at >= 0 and self.containers[at][3] != "article":
+            at = self.containers[at][4]
+        return at if at >= 0 else container
+
+    def title(self, container: int) -> list[str]:
+        """Headings right before a container: they stand over it."""
+        first = last = self.containers[container][1]
+        while first and self.blocks[first - 1][2] in HEADINGS:
+            first -= 1
+        return [b[0] for b in self.blocks[first:last]]
+
+    def text(self, container: int) -> str:
         _, first, last, *_ = self.containers[container]
         return "\n".join([b[0] for b in self.blocks[first:last]])
 
@@ -203,8 +215,14 @@ def parsed(html: str) -> Page:
 def votes(html: str) -> list[tuple[str, int]]:
     """Paths of the best containers and their share of the best score, in thousandths."""
     page = parsed(html)
-    ranked = sorted(zip(page.scores(), (c[0] for c in page.containers), strict=True), key=lambda x: (-x[0], x[1]))
-    return [(path, round(1000 * s / ranked[0][0])) for s, path in ranked[:VOTES] if s > 0]
+    scores = page.scores()
+    ranked = sorted(range(len(scores)), key=lambda c: (-scores[c], page.containers[c][0]))[:VOTES]
+    shares: dict[str, int] = {}
+    for c in ranked:
+        if scores[c] > 0:
+            path = page.containers[page.raised(c)][0]
+            shares[path] = max(shares.get(path, 0), round(1000 * scores[c] / scores[ranked[0]]))
+    return list(shares.items())
 
 
 def main_text(html: str, path: str | None) -> str:
@@ -213,17 +231,18 @@ def main_text(html: str, path: str | None) -> str:
     scores = page.scores()
     if not scores:
         return ""
-    best = max(range(len(scores)), key=lambda c: (scores[c], -c))
+    best = page.raised(max(range(len(scores)), key=lambda c: (scores[c], -c)))
     there = [c for c in range(len(scores)) if page.containers[c][0] == path]
     if there:
-        first = max(there, key=lambda c: (scores[c], -c))
-        if scores[first] >= LEAST_SHARE * scores[best]:
+        size = lambda c: sum(len(b[0]) for b in page.blocks[page.containers[c][1] : page.containers[c][2]])
+        first = max(there, key=lambda c: (scores[c], size(c), -c))
+        if size(first) >= LEAST_SHARE * size(best):
             best = first
     own = page.containers[best]
-    if own[3] in ("article", "main", "body", "html"):
-        return page.text(best)
-    alike = [c for c in range(len(scores)) if page.containers[c][0] == own[0] and page.containers[c][4] == own[4] and scores[c] > 0]
-    return "\n".join([page.text(c) for c in alike or [best]])
+    alike = [best]
+    if own[3] not in ("article", "main", "body", "html"):
+        alike = [c for c in range(len(scores)) if page.containers[c][0] == own[0] and page.containers[c][4] == own[4] and scores[c] > 0] or alike
+    return "\n".join([*page.title(alike[0]), *filter(None, map(page.text, alike))])
 
 
 def host_of(url):

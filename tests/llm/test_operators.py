@@ -347,6 +347,26 @@ def test_html_extracts_the_article(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+LINE = "Some long running text of the story here, with words."
+BODY = f"<p>{LINE} </p><p>{LINE}</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        (f"<body><header><h1>Site</h1></header><article><header class='entry-header'><h1>Title</h1><span>By</span></header><div class='entry-content'>{BODY}</div><div class='comments-wrapper'><p>{LINE * 5}</p></div></article><div class='ad-container'>{LINE * 9}</div></body>", f"Title\n{LINE}\n{LINE}"),
+        (f"<body><div class='page-wrapper with-sidebar'><div><h1>Title</h1><div class='text'>{BODY}</div></div><div class='sidebar'>{LINE * 9}</div></div></body>", f"Title\n{LINE}\n{LINE}"),
+        (f"<body><div class='post'><div class='post-header'><h2>Title</h2><span>By</span></div><section><h3>Sub</h3><p>{LINE}</p></section><section><p>{LINE}</p></section></div><ol class='commentlist'><li>{LINE * 4}</li></ol></body>", f"Title\nSub\n{LINE}\n{LINE}"),
+        (f"<body><main><h1>T</h1><p>{LINE}</p><aside>x</aside></main><section aria-label='Comments'><p>{LINE * 3}</p></section></body>", f"T\n{LINE}"),
+        (f"<body><div role='navigation'>a</div><h1>T</h1>{BODY}<div hidden>no</div><div style='display: none'>no</div><footer>f</footer></body>", f"T\n{LINE}\n{LINE}"),
+        (f"<body><article><p title='a > b'>{LINE}</p><pre>x\n  y</pre><table><tr><td>1</td><td>2</td></tr></table><p>&lt;b&gt; &eacute;&#8364;</p></article>", f"{LINE}\nx y\n1 2\n<b> é€"),
+    ],
+)
+def test_html_layouts(html, expected):
+    found = html_extract.votes(html)
+    assert html_extract.main_text(html, found[0][0]) == expected
+
+
 def test_html_host_vote_beats_a_page(spark):
     good = "<body><div class='main7'><p>{}</p></div><div class='x'><p>short</p></div></body>"
     odd = "<body><div class='main8'><p>The story of this page in a few words.</p></div><div class='x'><p>{}</p></div></body>".format("promotion text that is longer than the story itself here")
