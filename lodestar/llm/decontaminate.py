@@ -28,7 +28,7 @@ WINDOW = 13
 SHINGLE = 5
 #: Contaminated: at least one word in this many is hit.
 SHARE = 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 22
@@ -163,8 +163,8 @@ def ordered(docs: DataFrame, text: str, block: Block) -> Block:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(counts.values()), pa.int64())], ["shingle", "n"])
 
     # At most one row for each of the block's shingles comes back.
-    totals = docs.select(F.col(text).cast("string")).mapInArrow(counted, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
-    block.order({r.shingle % (1 << 64): r.n for r in totals})
+    totals = docs.select(F.col(text).cast("string")).mapInArrow(counted, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
+    block.order(dict(zip(totals["shingle"].to_numpy().view(np.uint64).tolist(), totals["n"].to_pylist(), strict=True)))
     return block
 
 
