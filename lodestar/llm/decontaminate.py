@@ -202,8 +202,10 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, text: str = "tex
     united = united.agg(F.sort_array(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found_items"))
     words = column_function(lambda: lambda texts: [len(plain_words(t)) for t in texts], "bigint")
     merge = column_function(lambda: lambda rows: [joined([(p["a"], p["b"]) for p in r or []]) for r in rows], "array<bigint>")
-    out = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)).join(united.withColumnRenamed("digest", digest), digest, "left")
-    struct = F.struct(words(F.col(text).cast("string")).alias("n_words"), merge("pairs").alias("spans"), F.coalesce("found_items", F.array().cast("array<bigint>")).alias("items"))
+    met = free_name(docs, f"{name}_found")
+    united = united.select(F.col("digest").alias(digest), F.struct("pairs", "found_items").alias(met))
+    out = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)).join(united, digest, "left")
+    struct = F.struct(words(F.col(text).cast("string")).alias("n_words"), merge(F.col(met).getField("pairs")).alias("spans"), F.coalesce(F.col(met).getField("found_items"), F.array().cast("array<bigint>")).alias("items"))
     return out.select(*[out[c] for c in docs.columns], struct.alias(name))
 
 

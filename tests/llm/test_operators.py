@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from lodestar.llm import bpe, chat, decontaminate, html_extract, langid, license_scan, media, quality, simhash, warc
 
 SMALL = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, hits int, predicted string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, hits int, predicted string, pairs int, digest string, trusted_key long, fence double, fp long, key string, s int, `by_lang` int, scored int"
 
 
 def docs(spark, texts, ids=None, langs=None):
     ids = ids or range(len(texts))
     langs = langs or ["en"] * len(texts)
-    return spark.createDataFrame([(i, t, g, "s", len(t or ""), "clash", 1, "clash") for i, t, g in zip(ids, texts, langs, strict=True)], DOCS)
+    return spark.createDataFrame([(i, t, g, "s", len(t or ""), "clash", 1, "clash", 1, "d", 1, 1.0, 1, "k", 1, 1, 1) for i, t, g in zip(ids, texts, langs, strict=True)], DOCS)
 
 
 ODD = [None, "", "   ", "\n\t", "one", "### $$$", "a b", "é É ſ K", "x" * 30_000, "word " * 20_000]
