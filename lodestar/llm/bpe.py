@@ -3,8 +3,8 @@
 Each word of the split pattern is merged on a contiguous array of part boundaries with the rank
 of every adjacent pair beside it: scan for the smallest rank, delete that boundary, refresh the
 two neighbouring ranks. Words beyond ``SCAN_BYTES`` take the same merges from a heap, since a
-scan would be quadratic there. Words repeat, so a worker keeps the ids of the words it met, up to
-``MEMO_WORDS`` of them.
+scan would be quadratic there. Words repeat, so a worker keeps the ids of the words it met in two
+memos of at most ``MEMO_WORDS``: a full one becomes the older, and words that return move over.
 """
 
 from __future__ import annotations
@@ -46,10 +46,11 @@ class ByteBpe:
         self.added = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
         self.tokens = {i: token for token, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.splitter = self.finder = None
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}, "splitter": None, "finder": None}
+        return self.__dict__ | {"memo": {}, "older": {}, "splitter": None, "finder": None}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word of the split pattern."""
@@ -95,6 +96,15 @@ class ByteBpe:
                 heapq.heappush(queue, (r, p, a, stop))
         return [i for i in range(size) if alive[i]] + [size]
 
+    def _ids(self, word: str) -> bytes:
+        """Packed ids of a word that the newer memo didn't have when the text began."""
+        ids = self.memo.get(word) or self.older.get(word) or np.array(self.merge(word.encode()), "<u4").tobytes()
+        if len(word) <= SCAN_BYTES:
+            if len(self.memo) >= MEMO_WORDS:
+                self.memo, self.older = {}, self.memo
+            self.memo[word] = ids
+        return ids
+
     def packed(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         if self.splitter is None:
@@ -106,20 +116,8 @@ class ByteBpe:
             if i % 2:
                 found.append(self.added[part].to_bytes(4, "little"))
                 continue
-            words = self.splitter.findall(part)
-            memo = self.memo
-            try:
-                found.append(b"".join([memo[w] for w in words]))
-            except KeyError:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                for w in words:
-                    ids = memo.get(w)
-                    if ids is None:
-                        ids = np.array(self.merge(w.encode()), "<u4").tobytes()
-                        if len(w) <= SCAN_BYTES:
-                            memo[w] = ids
-                    found.append(ids)
+            get = self.memo.get
+            found.append(b"".join([get(w) or self._ids(w) for w in self.splitter.findall(part)]))
         return b"".join(found)
 
     def decode(self, packed: bytes) -> str:
