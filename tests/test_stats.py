@@ -14,8 +14,7 @@ WEIGHTS = [1, 2, 1, 2, 1, 2, 1, 2, 2, 1, 2, 1, 2, 1, 2, 1, 2, 1, 1]
 
 @pytest.mark.parametrize(("weights", "expected"), [([1] * 19, 0.68333333333333333), (WEIGHTS, 0.717948717948718)])
 def test_auc_golden(spark, weights, expected):
-    pred = [0.3, 0.8, 0.3, 0.8, 0.3, 0.8, 0.3, 0.8, 0.3, 0.8, 0.3, 0.8, 0.3, 0.3, 0.8, 0.3, 0.8, 0.3, 0.8]
-    rows = spark.createDataFrame([(float(a), b, float(w)) for a, b, w in zip(Y, pred, weights, strict=True)], "y double, mu double, wobs double")
+    rows = spark.createDataFrame([(float(a), b, float(w)) for a, b, w in zip(Y, PRED, weights, strict=True)], "y double, mu double, wobs double")
     assert stats.auc(rows, []).first().auc == pytest.approx(expected, abs=1e-14)
 
 
