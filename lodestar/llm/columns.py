@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 #: Lower-cases A-Z, keeps a-z, 0-9 and every byte above 0x7F, and blanks the rest.
@@ -93,8 +92,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it from there on."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def text_column(name: str):
-    """The column as text, whatever its type."""
-    return F.col(name).cast("string")
