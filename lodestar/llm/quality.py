@@ -1,13 +1,17 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters: the ``SYMBOLS - 1`` most frequent ones of the trusted text have a
-symbol each, all others share one. N-grams of ``ORDER`` symbols are counted over every trusted
-document; each task sums its own first, so a task sends each n-gram once at most. Lower orders count
-distinct left extensions. Counts meet their contexts' totals in joins sharded by context, order by
-order, which gives the discounted part of every seen n-gram and the back-off weight of every seen
-context. Those tables have at most SYMBOLS**ORDER rows however large the corpus is, so they are
-broadcast, and each document looks its n-grams up where it lies; shuffling a row for every n-gram of
-every document would move several times the corpus.
+The model is over characters, whichever they are: an n-gram is the code points of its ``ORDER - 1``
+characters of context and of its last one. N-grams are counted over every trusted document; each
+task sums its own first, so a task sends each n-gram once at most. Lower orders count distinct left
+extensions. Counts meet their contexts' totals in joins sharded by context, order by order, which
+gives the discounted part of every seen n-gram and the back-off weight of every seen context. Those
+tables grow with the trusted text and stay sharded.
+
+Each task over the documents asks for its distinct n-grams once; the questions meet the sharded
+tables in joins, and the answers go to the shared folder by the number of the task that asked.
+Scoring reads the answers of its own task there, so no text is shuffled; a task whose rows were
+dealt otherwise goes on to the other tasks' answers. The ``SYMBOLS - 1`` most frequent characters
+have short symbols, which only makes their n-grams quick to gather and look up.
 
 A document's rate is its mean surprise per character, drawn to its language's median as if
 ``PRIOR`` median characters were added, so that a few odd words in a short text don't decide. It is
@@ -17,15 +21,19 @@ distance between the quartiles, exact quantiles over all documents in bins of 1/
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.columns import column_function, cut, free_name, small_batches
+from lodestar.llm.columns import column_function, cut, free_name, shared_dir, small_batches
 
 BITS = 6
 SYMBOLS = 1 << BITS
@@ -39,6 +47,10 @@ LEAST_REACH = 0.35
 BROADCAST_KEYS = 2_000_000
 #: Characters scored at once; bounds the memory of a long text.
 CHUNK = 1 << 18
+#: Bits of a code point; three are one context.
+POINT = 21
+#: N-grams with a character outside the alphabet that a task holds before it merges equal ones.
+PENDING = 1 << 20
 
 
 def alphabet(trusted: DataFrame, text: str) -> str:
@@ -63,20 +75,99 @@ class Symbols:
     def __init__(self, known: str):
         self.of = np.zeros(0x110000, np.uint8)
         self.of[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
-        self.start = self.of[ord(" ")]
+        self.code = np.zeros(SYMBOLS, np.int64)
+        self.code[1 : len(known) + 1] = [ord(c) for c in known]
 
-    def grams(self, text: bytes | None) -> Iterator[np.ndarray]:
-        """Packed n-grams that end at each character, in chunks; blanks stand before the text."""
+    def windows(self, text: bytes | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """In chunks, the packed n-gram that ends at each character, and the places, contexts and last characters of those with a character outside the alphabet; blanks stand before the text."""
         codes = np.frombuffer((text or b"").decode().encode("utf-32-le"), np.uint32)
         for at in range(0, len(codes), CHUNK):
-            own = self.of[codes[max(0, at - ORDER + 1) : at + CHUNK]].astype(np.int32)
+            own = codes[max(0, at - ORDER + 1) : at + CHUNK]
             if at == 0:
-                own = np.concatenate([np.full(ORDER - 1, self.start, np.int32), own])
+                own = np.concatenate([np.full(ORDER - 1, ord(" "), np.uint32), own])
+            small = self.of[own].astype(np.int32)
             packed = np.zeros(len(own) - ORDER + 1, np.int32)
+            odd = np.zeros(len(packed), bool)
+            outside = small == 0
             for i in range(ORDER):
-                packed = (packed << BITS) | own[i : i + len(packed)]
+                packed = (packed << BITS) | small[i : i + len(packed)]
+                odd |= outside[i : i + len(packed)]
+            places = np.flatnonzero(odd)
+            context = np.zeros(len(places), np.int64)
+            for i in range(ORDER - 1):
+                context = (context << POINT) | own[places + i]
+            yield packed, places, context, own[places + ORDER - 1].astype(np.int32)
+
+    def grams(self, text: bytes | None) -> Iterator[np.ndarray]:
+        """Packed n-grams that end at each character, in chunks; blanks stand before the text."""
+        for packed, *_ in self.windows(text):
             yield packed
 
+    def spelled(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the packed n-grams that lie within the alphabet, with their contexts and last characters."""
+        digits = [(packed >> BITS * i) & (SYMBOLS - 1) for i in range(ORDER - 1, -1, -1)]
+        inside = np.all([d > 0 for d in digits], axis=0)
+        context = np.zeros(int(inside.sum()), np.int64)
+        for d in digits[:-1]:
+            context = (context << POINT) | self.code[d[inside]]
+        return packed[inside], context, self.code[digits[-1][inside]].astype(np.int32)
+
+    def packed(self, context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Packed n-grams of contexts and last characters, and which of them lie within the alphabet."""
+        digits = [self.of[(context >> POINT * i) & ((1 << POINT) - 1)] for i in range(ORDER - 2, -1, -1)] + [self.of[last]]
+        out = np.zeros(len(context), np.int32)
+        for d in digits:
+            out = (out << BITS) | d
+        return out, np.all([d > 0 for d in digits], axis=0)
+
+
+class Spelled:
+    """Counts of n-grams given by context and last character."""
+
+    def __init__(self):
+        self.held, self.waiting = [], 0
+
+    def add(self, context: np.ndarray, last: np.ndarray) -> None:
+        if len(context):
+            self.held.append((context, last, np.ones(len(context), np.int64)))
+            self.waiting += len(context)
+            if self.waiting > PENDING:
+                self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        context, last, n = (np.concatenate(c) for c in zip(*self.held, strict=True)) if self.held else (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))
+        order = np.lexsort((last, context))
+        context, last, n = context[order], last[order], n[order]
+        first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (last[1:] != last[:-1]))) if len(n) else np.empty(0, np.int64)
+        merged = context[first], last[first], np.add.reduceat(n, first) if len(n) else n
+        self.held, self.waiting = [merged], 0
+        return merged
+
+
+def gathered(rows: DataFrame, text: str, known: str, counted: bool) -> DataFrame:
+    """(part, context, last, n): each task's distinct n-grams; n counts them if ``counted``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, others, part = Symbols(known), Spelled(), TaskContext.get().partitionId()
+        total = np.zeros(SYMBOLS**ORDER, np.int32 if counted else bool)
+        for batch in batches:
+            for value in batch.column(0).drop_null().cast(pa.binary()).to_pylist():
+                for packed, _, context, last in symbols.windows(value):
+                    if counted:
+                        grams, n = np.unique(packed, return_counts=True)
+                        total[grams] += n.astype(np.int32)
+                    else:
+                        total[packed] = True
+                    others.add(context, last)
+        packed, context, last = symbols.spelled(np.flatnonzero(total))
+        for c, z, n in ((context, last, total[packed].astype(np.int64)), others.merge()):
+            for i in range(0, len(c), 1 << 16):
+                cells = (np.full(len(c[i : i + (1 << 16)]), part, np.int32), *(v[i : i + (1 << 16)] for v in (c, z, n)))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in cells], ["part", "context", "last", "n"])
+
+    small_batches(rows.sparkSession)
+    return rows.select(F.col(text).cast("string")).mapInArrow(run, "part int, context bigint, last int, n bigint")
+
 
 def gram_counts(trusted: DataFrame, text: str, known: str) -> DataFrame:
     """(gram, n) of the highest order over all trusted text."""
@@ -97,29 +188,63 @@ def gram_counts(trusted: DataFrame, text: str, known: str) -> DataFrame:
     return rows.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """Rows (size, gram, value, back): an n-gram's discounted part and, for contexts, the back-off weight.
+def shorter(context: Column, size: int, bits: int) -> Column:
+    """The context of an n-gram's last ``size`` characters."""
+    return context.bitwiseAND(F.lit((1 << bits * (size - 1)) - 1).cast("bigint"))
 
-    ``size`` is the n-gram's length; a row of a context has the length of the n-grams that follow
-    from it, back is true and gram is the context.
+
+def levels(counts: DataFrame, bits: int) -> list[tuple[DataFrame, DataFrame]]:
+    """From (context, last, n), for each length from 1: (context, last, value) and (context, back).
+
+    ``value`` is an n-gram's discounted part and ``back`` the back-off weight of a context.
     """
-    level, out = cut(counts), None
+    level, out = cut(counts.select("context", "last", "n")), []
     for size in range(ORDER, 0, -1):
-        here = level.select("gram", "n", F.shiftright("gram", BITS).alias("context"))
-        met = here.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
+        met = level.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
         d = discounts(met.n1, met.n2, met.n3, met.n4)
         cost = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        totals = here.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cost).alias("cost"))
-        parts = here.join(totals, "context").select(F.lit(size).alias("size"), "gram", ((F.col("n") - cost) / F.col("total")).alias("value"), F.lit(False).alias("back"))
-        weights = totals.select(F.lit(size).alias("size"), F.col("context").alias("gram"), (F.col("cost") / F.col("total")).alias("value"), F.lit(True).alias("back"))
-        rows = parts.unionByName(weights)
-        out = rows if out is None else out.unionByName(rows)
+        totals = level.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cost).alias("cost"))
+        parts = level.join(totals, "context").select("context", "last", ((F.col("n") - cost) / F.col("total")).alias("value"))
+        out.append((parts, totals.select("context", (F.col("cost") / F.col("total")).alias("back"))))
         if size > 1:
-            suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * (size - 1)) - 1))
-            level = cut(here.groupBy(suffix.alias("gram")).agg(F.count("*").alias("n")))
+            level = cut(level.groupBy(shorter(F.col("context"), size - 1, bits).alias("context"), "last").agg(F.count("*").alias("n")))
+    return out[::-1]
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """Rows (size, gram, value, back) of a model over the alphabet alone: an n-gram's discounted part and, for contexts, the back-off weight.
+
+    ``size`` is the n-gram's length; a row of a context has the length of the n-grams that follow
+    from it, back is true and gram is the context.
+    """
+    out = None
+    split = counts.select(F.shiftright("gram", BITS).cast("bigint").alias("context"), F.col("gram").bitwiseAND(F.lit(SYMBOLS - 1)).alias("last"), "n")
+    for size, (parts, weights) in enumerate(levels(split, BITS), 1):
+        gram = F.shiftleft("context", BITS).bitwiseOR(F.col("last"))
+        rows = parts.select(F.lit(size).alias("size"), gram.alias("gram"), "value", F.lit(False).alias("back"))
+        rows = rows.unionByName(weights.select(F.lit(size).alias("size"), F.col("context").alias("gram"), F.col("back").alias("value"), F.lit(True).alias("back")))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def surprises(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(context, last, surprise) of the distinct n-grams (context, last) of ``asked``, in nats.
+
+    Characters that no trusted text has are one more character of the lowest order.
+    """
+    p = F.lit(1.0 / (tables[0][0].count() + 1))
+    found = None
+    for size, (parts, weights) in enumerate(tables, 1):
+        own = asked.select(shorter(F.col("context"), size, POINT).alias("context"), "last").distinct()
+        rows = own.join(parts, ["context", "last"], "left").join(weights, "context", "left")
+        if found is not None:
+            below = found.select(F.col("context").alias("short"), F.col("last").alias("end"), "p")
+            rows = rows.join(below, (shorter(F.col("context"), size - 1, POINT) == F.col("short")) & (F.col("last") == F.col("end")))
+            p = F.col("p")
+        found = rows.select("context", "last", (F.coalesce("value", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * p).alias("p"))
+    return found.select("context", "last", (-F.log(F.greatest("p", F.lit(1e-12)))).cast("float").alias("surprise"))
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Chen and Goodman's discounts for counts of one, two, and three or more."""
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
@@ -128,7 +253,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 class Model:
-    """The finished tables; each worker lays them out once as a dense array of surprises."""
+    """The tables of a model over the alphabet alone, laid out as a dense array of surprises."""
 
     def __init__(self, known: str, rows):
         self.known = known
@@ -152,13 +277,54 @@ class Model:
                 p[at] += v
         self.surprise, self.symbols = -np.log(np.maximum(p, 1e-12)), Symbols(self.known)
 
+
+class Answers:
+    """The surprises of the n-grams that one task asked for; of other tasks' as well once one is missing."""
+
+    def __init__(self, folder: str, known: str, part: int):
+        self.symbols = Symbols(known)
+        self.files, self.folder = pa.fs.FileSystem.from_uri(folder) if ":/" in folder else (pa.fs.LocalFileSystem(), folder)
+        names = [f.base_name for f in self.files.get_file_info(pa.fs.FileSelector(self.folder)) if f.base_name.startswith("part=")]
+        self.left = sorted(names, key=lambda n: (n != f"part={part}", n))
+        self.dense = np.full(SYMBOLS**ORDER, np.nan, np.float32)
+        self.others = pa.table({"context": pa.array([], pa.int64()), "last": pa.array([], pa.int32()), "surprise": pa.array([], pa.float32())})
+        self.index()
+
+    def load(self) -> None:
+        if not self.left:
+            raise RuntimeError("the documents changed while they were scored")
+        found = pq.read_table(f"{self.folder}/{self.left.pop(0)}", columns=self.others.column_names, filesystem=self.files, partitioning=None)
+        packed, inside = self.symbols.packed(found["context"].to_numpy(), found["last"].to_numpy())
+        self.dense[packed[inside]] = found["surprise"].to_numpy()[inside]
+        self.others = pa.concat_tables([self.others, found.filter(pa.array(~inside)).cast(self.others.schema)])
+        self.index()
+
+    def index(self) -> None:
+        context, last = self.others["context"].to_numpy(), self.others["last"].to_numpy()
+        self.contexts = np.unique(context)
+        keys = (np.searchsorted(self.contexts, context) << POINT) | last
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], self.others["surprise"].to_numpy()[order]
+
+    def spelled(self, context: np.ndarray, last: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(context), np.nan, np.float32)
+        at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+        key = (at << POINT) | last
+        to = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.contexts[at] == context) & (self.keys[to] == key), self.values[to], np.float32(np.nan))
+
     def score(self, text: bytes | None) -> tuple[float, int]:
         """Total surprise in nats and the number of characters."""
-        if self.surprise is None:
-            self.layout()
         total, n = 0.0, 0
-        for packed in self.symbols.grams(text):
-            total += float(self.surprise[packed].sum(dtype=np.float64))
+        for packed, places, context, last in self.symbols.windows(text):
+            while True:
+                each = self.dense[packed]
+                each[places] = self.spelled(context, last)
+                if not np.isnan(each).any():
+                    break
+                self.load()
+            total += float(each.sum(dtype=np.float64))
             n += len(packed)
         return total, n
 
@@ -173,21 +339,28 @@ def trusted_rows(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return docs.join(keys, F.col(key) == F.col(trusted), "left_semi")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """The model of all trusted documents; without any, every character is equally likely."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[str, str]:
+    """The folder of the answers to all documents' n-grams under the model of all trusted ones, and the alphabet.
+
+    Without trusted documents every character is equally likely.
+    """
     trusted = trusted_rows(docs, labels, key).filter(F.col(text).isNotNull()).select(key, text)
     known = alphabet(trusted, text)
-    return Model(known, kneser_ney(gram_counts(trusted, text, known)).toPandas())
+    counts = gathered(trusted, text, known, True).groupBy("context", "last").agg(F.sum("n").alias("n"))
+    asked = cut(gathered(docs, text, known, False).select("part", "context", "last"))
+    found = asked.join(surprises(asked, levels(counts, POINT)), ["context", "last"])
+    folder = f"{shared_dir(docs.sparkSession)}/surprises-{uuid.uuid4().hex}"
+    found.repartition("part").write.partitionBy("part").parquet(folder)
+    return folder, known
 
 
-def scored(docs: DataFrame, model: Model, text: str):
+def scored(docs: DataFrame, model: tuple[str, str], text: str):
     """Struct column of nll (total surprise) and n (characters)."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        known = shared.value
-        return lambda texts: [known.score(t) for t in texts]
+        answers = Answers(*model, TaskContext.get().partitionId())
+        return lambda texts: [answers.score(t) for t in texts]
 
     return column_function(make, {"nll": "double", "n": "bigint"})(F.col(text).cast("string"))
 

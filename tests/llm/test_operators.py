@@ -441,6 +441,51 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.judge(df, labels).filter("NOT rejected").collect()}
 
 
+def test_quality_tells_rare_characters_apart(spark):
+    rng = np.random.default_rng(1)
+    latin = "".join(map(chr, range(0x61, 0x7B))) + "".join(map(chr, range(0xC0, 0x100)))
+    cyrillic = ["добро", "слово", "молоко", "город", "дорога"]
+    texts = [" ".join("".join(rng.choice(list(latin), 5)) for _ in range(1500)) for _ in range(20)]
+    texts += [" ".join(rng.choice(cyrillic, 30)) for _ in range(12)]
+    letters = list("".join(cyrillic))
+    junk = " ".join("".join(rng.permutation(letters)[: len(w)]) for w in texts[-1].split(" "))
+    df = docs(spark, [*texts, junk])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts) - 1)], "doc_id long, quality int, toxic int")
+    assert not set(quality.alphabet(df, "text")) & set(letters)
+    rows = {r.doc_id: r.perplexity for r in quality.judge(df, labels).collect()}
+    assert rows[len(texts)] > 2 * rows[len(texts) - 1]
+
+
+def test_quality_surprises_are_kneser_ney(spark):
+    texts = ["abc 12, abd 12; добро abc", "добро 13, abc", "xyz ab 1"]
+    df = docs(spark, texts)
+    counts = quality.gathered(df, "text", "ab c", True).groupBy("context", "last").agg(F.sum("n").alias("n"))
+    plain = Counter(tuple(map(ord, t[i : i + 4])) for t in ("   " + t for t in texts) for i in range(len(t) - 3))
+    shift = lambda cs: sum(c << 21 * i for i, c in enumerate(reversed(cs)))
+    assert {(r.context, r["last"]): r.n for r in counts.collect()} == {(shift(g[:3]), g[3]): n for g, n in plain.items()}
+    asked = spark.createDataFrame([(shift(g[:3]), g[3]) for g in [*plain, tuple(map(ord, "abcй"))]], "context long, last int")
+    got = {(r.context, r["last"]): r.surprise for r in quality.surprises(asked, quality.levels(counts, 21)).collect()}
+    tables, level = [], dict(plain)
+    for _ in range(4):
+        tables.insert(0, level)
+        level = dict(Counter(g[1:] for g in level))
+
+    def p(g):
+        if not g:
+            return 1 / (len(tables[0]) + 1)
+        here = tables[len(g) - 1]
+        n = Counter(here.values())
+        d = quality.discounts(n[1], n[2], n[3], n[4])
+        own = {k: c for k, c in here.items() if k[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        c = own.get(g, 0)
+        return ((c - d[min(c, 3) - 1]) if c else 0) / sum(own.values()) + sum(d[min(v, 3) - 1] for v in own.values()) / sum(own.values()) * p(g[1:])
+
+    for g in [*plain, tuple(map(ord, "abcй"))]:
+        assert got[shift(g[:3]), g[3]] == pytest.approx(-np.log(p(g)), rel=1e-5)
+
+
 def test_quality_fences_are_quantiles(spark):
     rng = np.random.default_rng(0)
     rows = [("a" if i % 3 else "", float(v) * 10, 10) for i, v in enumerate(rng.normal(2, 0.2, 300))] + [("a", 5.0, 0)]
