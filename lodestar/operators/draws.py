@@ -5,7 +5,7 @@ A row holds one observation and an array over draws, so compression never shuffl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,14 +86,14 @@ def mean_by_cluster(draws: DataFrame, cluster: str, value: str, weight: str) ->
     return draws.filter(F.col(cluster).isNotNull()).groupBy(cluster).agg((F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias(value))
 
 
-def draw_gram(df: DataFrame, eta: str, n_draws: int) -> np.ndarray:
-    """Inner products of all pairs of draws over all observations, from one Arrow pass."""
+def draw_gram(df: DataFrame, eta: str, n_draws: int, change: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> np.ndarray:
+    """Inner products of all pairs of draws over all observations, from one Arrow pass; ``change`` maps the values first."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.zeros((n_draws, n_draws))
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(0).to_pylist(), dtype=float)
+                x = change(np.array(batch.column(0).to_pylist(), dtype=float))
                 g += x.T @ x
         at = np.arange(n_draws * n_draws)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(g.ravel())], ["at", "v"])

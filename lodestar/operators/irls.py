@@ -121,13 +121,12 @@ def _pass(rows: DataFrame, family: Family, fits: list[tuple[int, int, list[int],
 
     # As many rows come back as the fits have coefficients and their pairs.
     cells = rows.mapInArrow(partial, "fit bigint, at bigint, v double").groupBy("fit", "at").agg(F.sum("v").alias("v")).collect()
+    flats = {i: np.zeros(1 + len(index) + len(index) ** 2) for i, _, index, _ in fits}
+    for i, at, v in cells:
+        flats[i][at] = v
     found = {}
     for i, _, index, _ in fits:
-        k = len(index)
-        flat = np.zeros(1 + k + k * k)
-        for r in cells:
-            if r.fit == i:
-                flat[r["at"]] = r.v
+        k, flat = len(index), flats[i]
         found[i] = (flat[0], flat[1 : 1 + k], flat[1 + k :].reshape(k, k))
     return found
 

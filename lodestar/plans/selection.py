@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.arrays import doubles
+from lodestar.functions.families import EPS
 from lodestar.operators import crossval, draws, evaluate, irls, loo, post, search, solve, stats
 from lodestar.operators import formula as fm
 from lodestar.operators.gram import INTERCEPT, Gram, gram, grams
@@ -136,7 +137,7 @@ def _target():
 def varsel(ref: RefModel, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = PREDICTION_DRAWS, regul: float = solve.REGUL, test: DataFrame | None = None) -> Selection:
     """Search on all data and evaluate every size on it, or on test rows with y, wobs and offs."""
     if ref.family.name != "gaussian":
-        return _varsel_newton(ref, largest, clusters, regul, test)
+        return _varsel_newton(ref, method, largest, clusters, prediction_draws, regul, test)
     g = gram(ref.data, {**ref.columns, "_y": _target()}, F.col("wobs"))
     path = _searched(ref, g, list(ref.fits), method, largest, clusters, regul)
     by_size = _projected(ref, _gaussian(ref, g, list(ref.fits), ref.dis, prediction_draws), path, regul)
@@ -145,12 +146,52 @@ def varsel(ref: RefModel, method: str = "forward", largest: int = LARGEST, clust
     return Selection(ref, path, table.persist(), {0: path.ranking}, by_size)
 
 
-def _varsel_newton(ref: RefModel, largest: int, clusters: int, regul: float, test: DataFrame | None) -> Selection:
-    """Forward search for other families: one set of Newton passes for each size scores all candidates."""
-    numbers = draws.thinned(ref.n_draws, clusters)
-    targets = draws.picked(F.col("mu"), numbers)
-    n, chosen, ranking, sizes, scores, by_size = len(numbers), [], [], [], [], {}
-    share = [1 / n] * n
+def _without_dispersion(ref: RefModel, method: str = "forward") -> None:
+    """The families and searches that Newton passes serve; the others have no cross-entropy to project by."""
+    if ref.family.name not in ("binomial", "poisson"):
+        raise ValueError(f"no projection for the family {ref.family.name}; a latent projection can serve it")
+    if method != "forward":
+        raise ValueError(f"no search by {method} for the family {ref.family.name}")
+
+
+def _clustered(ref: RefModel, wanted: int) -> draws.Clusters:
+    """k-means of all draws on the link scale."""
+    if ref.n_draws <= wanted:
+        return draws.Clusters(tuple(range(ref.n_draws)), tuple(ref.weights))
+    link, top = ref.family.link, 1 - EPS if ref.family.name == "binomial" else np.inf
+    labels = draws.kmeans(draws.draw_gram(ref.data, "mu", ref.n_draws, lambda mu: link.np_link(np.clip(mu, EPS, top))), wanted)
+    return draws.Clusters(tuple(labels), tuple(ref.weights))
+
+
+def _projected_newton(ref: RefModel, path: SearchPath, prediction_draws: int, regul: float) -> dict[int, tuple[list[Fit], list[float], list[float]]]:
+    """Up to ``prediction_draws`` draws projected onto every size, all in the same Newton passes."""
+    numbers = draws.thinned(ref.n_draws, prediction_draws)
+    n, own = len(numbers), [ref.weights[i - 1] for i in numbers]
+    cols = [tuple(c for step in path.ranking[:k] for t in fm.split_top(step) for c in ref.terms[t]) for k in range(len(path.sizes))]
+    jobs = [irls.Job(c, k) for c in cols for k in range(n)]
+    fits = irls.project(ref.data, ref.columns, draws.picked(F.col("mu"), numbers), ref.family, jobs, F.col("wobs"), F.col("offs"), regul)
+    return {size: (fits[i * n : (i + 1) * n], [w / sum(own) for w in own], [1.0] * n) for i, size in enumerate(path.sizes)}
+
+
+def _varsel_newton(ref: RefModel, method: str, largest: int, clusters: int, prediction_draws: int, regul: float, test: DataFrame | None) -> Selection:
+    """Search on clustered draws and projections of single draws for other families."""
+    _without_dispersion(ref, method)
+    path = _searched_newton(ref, largest, clusters, regul)
+    return _evaluated_newton(ref, path, prediction_draws, regul, test)
+
+
+def _evaluated_newton(ref: RefModel, path: SearchPath, prediction_draws: int, regul: float, test: DataFrame | None) -> Selection:
+    by_size = _projected_newton(ref, path, prediction_draws, regul)
+    data = ref.data if test is None else ref.on(test).data
+    table = evaluate.pointwise(data, ref.columns, by_size, ref.family).unionByName(_reference(ref, data, ref.weights, ref.dis))
+    return Selection(ref, path, table.persist(), {0: path.ranking}, by_size)
+
+
+def _searched_newton(ref: RefModel, largest: int, clusters: int, regul: float) -> SearchPath:
+    """Forward search on the means of clusters: one set of Newton passes for each size scores all candidates."""
+    own = _clustered(ref, clusters)
+    targets, share = draws.aggregated(F.col("mu"), own), own.shares()
+    n, chosen, ranking, sizes, scores, firsts = own.n, [], [], [], [], []
     for size in range(1, min(largest, len(ref.terms)) + 2):
         options = [[]] if size == 1 else fm.candidates(chosen, list(ref.terms), size)
         if not options:
@@ -171,11 +212,8 @@ def _varsel_newton(ref: RefModel, largest: int, clusters: int, regul: float, tes
             ranking.append(" + ".join(options[best]))
         sizes.append(size - 1)
         scores.append(row[f"c{best}"])
-        by_size[size - 1] = (groups[best], share, [1.0] * n)
-    path = SearchPath(ranking, sizes, [by_size[s][0][0] for s in sizes], scores)
-    data = ref.data if test is None else ref.on(test).data
-    table = evaluate.pointwise(data, ref.columns, by_size, ref.family).unionByName(_reference(ref, data, ref.weights, ref.dis))
-    return Selection(ref, path, table.persist(), {0: path.ranking}, by_size)
+        firsts.append(groups[best][0])
+    return SearchPath(ranking, sizes, firsts, scores)
 
 
 def cv_kfold(ref: RefModel, key: str = "obs_id", k: int = 5, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 50, regul: float = solve.REGUL, seed: int = 0, validate_search: bool = True, folded: DataFrame | None = None) -> Selection:
@@ -186,7 +224,7 @@ def cv_kfold(ref: RefModel, key: str = "obs_id", k: int = 5, method: str = "forw
     """
     data = folded if folded is not None else crossval.balanced_folds(ref.data, key, k, seed)
     if ref.family.name != "gaussian":
-        return _cv_kfold_newton(ref, data, k, largest, clusters, regul, seed)
+        return _cv_kfold_newton(ref, data, k, method, largest, clusters, prediction_draws, regul, seed, validate_search)
     by_fold = grams(data, {**ref.columns, "_y": _target()}, F.col("wobs"), F.col("fold"))
     full = functools.reduce(lambda a, b: a + b, by_fold.values())
     path = _searched(ref, full, list(ref.fits), method, largest, clusters, regul)
@@ -203,15 +241,15 @@ def cv_kfold(ref: RefModel, key: str = "obs_id", k: int = 5, method: str = "forw
     return Selection(ref, path, table.persist(), rankings)
 
 
-def _cv_kfold_newton(ref: RefModel, data: DataFrame, k: int, largest: int, clusters: int, regul: float, seed: int) -> Selection:
+def _cv_kfold_newton(ref: RefModel, data: DataFrame, k: int, method: str, largest: int, clusters: int, prediction_draws: int, regul: float, seed: int, validate_search: bool) -> Selection:
     """Other families: the reference model, search and projections again on each fold's training rows."""
     plain = data.drop("mu")
-    full = varsel(ref, "forward", largest, clusters, regul=regul)
+    full = varsel(ref, method, largest, clusters, prediction_draws, regul)
     rankings, parts = {0: full.path.ranking}, []
     for fold in range(1, k + 1):
-        train = plain.filter(F.col("fold") != fold)
+        train, test = plain.filter(F.col("fold") != fold), plain.filter(F.col("fold") == fold)
         own = glm_laplace(train, ref.family, ref.columns, ref.terms, ref.n_draws, seed + fold)
-        part = varsel(own, "forward", largest, clusters, regul=regul, test=plain.filter(F.col("fold") == fold))
+        part = varsel(own, method, largest, clusters, prediction_draws, regul, test) if validate_search else _evaluated_newton(own, full.path, prediction_draws, regul, test)
         rankings[fold] = part.path.ranking
         parts.append(part.pointwise)
     return Selection(ref, full.path, functools.reduce(DataFrame.unionByName, parts).persist(), rankings, full.by_size)
@@ -275,6 +313,7 @@ def project(ref: RefModel, terms: list[str], n_draws: int = PREDICTION_DRAWS, re
         fits = [solve.ridge(held.g, cols, t, regul) for t in held.targets]
         dis = [solve.dispersion(held.g, f, t, d * d) for f, t, d in zip(fits, held.targets, held.dis, strict=True)]
         return Projection(ref, terms, fits, dis, held.weights)
+    _without_dispersion(ref)
     numbers = draws.thinned(ref.n_draws, n_draws)
     fits = irls.project(ref.data, ref.columns, draws.picked(F.col("mu"), numbers), ref.family, [irls.Job(tuple(cols), k) for k in range(len(numbers))], F.col("wobs"), F.col("offs"), regul)
     return Projection(ref, terms, fits, [1.0] * len(fits), [1 / len(fits)] * len(fits))

@@ -151,6 +151,29 @@ def test_hold_out_and_training_evaluation_agree(spark):
         selection.project(ref, ["nope"])
 
 
+def test_other_families_cluster_draws_and_project_single_ones(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=150)
+    low, high = 1 / (1 + np.exp(1 - 0.5 * x)), 1 / (1 + np.exp(-1.5 - x))
+    df = table(spark, obs_id=range(150), y=(rng.random(150) < low), wobs=[1] * 150, offs=[0] * 150, x=x, noise=rng.normal(size=150)).withColumn("obs_id", F.col("obs_id").cast("long"))
+    shifts = rng.normal(size=10) * 0.01
+    mus = np.array([(low if i % 5 else high) + s for i, s in enumerate(shifts)]).clip(0.001, 0.999)
+    drawn = spark.createDataFrame([(i, mus[:, i].tolist()) for i in range(150)], "obs_id long, mu array<double>")
+    cols = {c: F.col(c) for c in ("x", "noise")}
+    ref = refmodel.from_draws(df, drawn, families.binomial(), cols, {c: [c] for c in cols})
+    chosen = selection.varsel(ref, largest=1, clusters=2, prediction_draws=7)
+    h = lambda p: -(p * np.log(p) + (1 - p) * np.log(1 - p))
+    assert chosen.path.scores[0] == pytest.approx(0.2 * h(mus[::5].mean()) + 0.8 * h(np.delete(mus, [0, 5], axis=0).mean()), abs=1e-6)
+    fits, weights, _ = chosen.by_size[1]
+    single = irls.project(ref.data, cols, F.col("mu"), ref.family, [irls.Job(("x",), k) for k in (0, 9)], F.col("wobs"), F.col("offs"))
+    assert len(fits) == 7 and sum(weights) == pytest.approx(1)
+    assert [fits[0].beta["x"], fits[-1].beta["x"]] == pytest.approx([f.beta["x"] for f in single], rel=1e-5)
+    with pytest.raises(ValueError, match="no search by l1"):
+        selection.varsel(ref, "l1")
+    with pytest.raises(ValueError, match="no projection for the family student_t"):
+        selection.varsel(refmodel.from_draws(df, drawn, families.student_t(5.0), cols, {c: [c] for c in cols}, [1.0] * 10))
+
+
 def test_running_moments_equal_batch(spark, tmp_path):
     source = str(tmp_path / "in")
     for k in range(3):
