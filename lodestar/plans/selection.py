@@ -8,9 +8,11 @@ evaluates all sizes. Other families search with batched Newton passes.
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,12 +257,21 @@ def _cv_kfold_newton(ref: RefModel, data: DataFrame, k: int, method: str, larges
     return Selection(ref, full.path, functools.reduce(DataFrame.unionByName, parts).persist(), rankings, full.by_size)
 
 
-def cv_loo(ref: RefModel, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 100, regul: float = solve.REGUL) -> Selection:
-    """Leave-one-out without repeating the search: smoothed importance weights of reference and projected draws."""
+def cv_loo(ref: RefModel, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 100, regul: float = solve.REGUL, validate_search: bool = False, seed: int = 0) -> Selection:
+    """Leave-one-out: smoothed importance weights of reference and projected draws on the full-data path.
+
+    With ``validate_search`` the submodels come from a search repeated without each observation;
+    without, the elpd by size ignores that the search has seen the observation.
+    """
     if ref.is_datafit:
         raise ValueError("the data as reference model needs K-fold cross-validation")
+    if validate_search:
+        _repeatable(ref)
     chosen = varsel(ref, method, largest, clusters, prediction_draws, regul)
-    table = evaluate.pointwise(ref.data, ref.columns, chosen.by_size, ref.family, leave_one_out=True)
+    if validate_search:
+        table = _loo_searches(ref, ref.data, method, largest, clusters, prediction_draws, regul, seed)
+    else:
+        table = evaluate.pointwise(ref.data, ref.columns, chosen.by_size, ref.family, leave_one_out=True)
     if ref.fits:
         own = evaluate.pointwise(ref.data, ref.columns, {0: (list(ref.fits), ref.weights, ref.dis)}, ref.family, leave_one_out=True).withColumn("size", F.lit(None).cast("int"))
     else:
@@ -268,6 +279,45 @@ def cv_loo(ref: RefModel, method: str = "forward", largest: int = LARGEST, clust
     return Selection(ref, chosen.path, table.unionByName(own).persist(), {0: chosen.path.ranking}, chosen.by_size)
 
 
+def _repeatable(ref: RefModel) -> None:
+    """Only a conjugate Gaussian model follows from moments without a row."""
+    if ref.family.name != "gaussian" or not ref.fits:
+        raise ValueError("searches without each observation need a Gaussian reference model with coefficients")
+
+
+def _loo_searches(ref: RefModel, rows: DataFrame, method: str, largest: int, clusters: int, prediction_draws: int, regul: float, seed: int) -> DataFrame:
+    """The pointwise table of reference fit, search and projection repeated without each of ``rows``.
+
+    The moments of all data go to tasks over the rows; each takes its row off them, and all else
+    follows from the small matrix that is left.
+    """
+    g = gram(ref.data, {**ref.columns, "_y": _target()}, F.col("wobs"))
+    names, n_draws, plain = list(ref.columns), ref.n_draws, replace(ref, data=None, columns={}, fits=())
+
+    def without(z: np.ndarray, w: float) -> tuple[Gram, list[Fit], list[float]]:
+        left = Gram((INTERCEPT, *names, "_y"), g.matrix - w * np.outer(z, z), g.rows - 1)
+        return left, *posterior(left, names, "_y", n_draws, seed + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, y, w, o, *x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
+            design, out = np.column_stack([np.ones(len(y)), *x, y - o]), []
+            for i, z in enumerate(design):
+                left, fits, dis = without(z, w[i])
+                path = _searched(plain, left, fits, method, largest, clusters, regul)
+                for size, (sub, weights, sub_dis) in _projected(plain, _gaussian(plain, left, fits, dis, prediction_draws), path, regul).items():
+                    at = dict(zip(names, z[1:-1], strict=True))
+                    mu = plain.family.link.np_inverse(np.array([f.intercept + sum(b * at[c] for c, b in f.beta.items()) for f in sub]) + o[i])
+                    ll = plain.family.np_log_lik(y[i], mu, w[i], np.array(sub_dis)) + np.log(weights)
+                    out.append((ids[i], y[i], w[i], size, float(mu @ np.array(weights)), float(ll.max() + np.log(np.exp(ll - ll.max()).sum()))))
+            if out:
+                kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["obs_id", "y", "wobs", "size", "mu", "lppd"])
+
+    cells = rows.select(F.col("obs_id").cast("bigint"), *[F.col(c).cast("double") for c in ("y", "wobs", "offs")], *[c.cast("double").alias(f"_z{i}") for i, c in enumerate(ref.columns.values())])
+    return cells.repartition(F.col("obs_id")).mapInArrow(run, "obs_id bigint, y double, wobs double, size int, mu double, lppd double")
+
+
 def _loo_rows(rows: DataFrame, ref: RefModel, dis: list[float], size: int | None) -> DataFrame:
     with_lik = rows.withColumn("ll", evaluate.densities(F.col("draws"), ref.family, dis))
     raw = loo.psis_weights(F.col("ll"))["lw"] if loo.tail_length(len(dis)) >= 5 else loo.sis_weights(F.col("ll"))
@@ -335,26 +385,13 @@ def cv_loo_subsampled(ref: RefModel, n: int, key: str = "obs_id", seed: int = 0,
     """(size, y_hat, v_y_hat, hat_v_y): elpd of searches repeated without each of n sampled observations.
 
     The fast leave-one-out of the full-data search is the approximation for every observation; for the
-    sampled ones the search itself runs on moments without the observation, and the difference
-    estimator joins both. Costs n small searches on the driver and one scan for the sampled rows.
+    sampled ones, any number up to all, the search itself runs on moments without the observation, in
+    tasks, and the difference estimator joins both.
     """
+    _repeatable(ref)
     fast = cv_loo(ref, method, largest, clusters, prediction_draws, regul)
-    g = gram(ref.data, {**ref.columns, "_y": _target()}, F.col("wobs"))
-    names = [*ref.columns, "_y"]
     picked = loo.subsample(ref.data, key, n, seed)
-    rows = picked.select(key, "y", "wobs", "offs", *[c.cast("double").alias(f"_z{i}") for i, c in enumerate(ref.columns.values())]).collect()
-    exact = []
-    for row in rows:
-        z = np.array([1.0, *[row[f"_z{i}"] for i in range(len(ref.columns))], row.y - row.offs])
-        without = Gram((INTERCEPT, *names), g.matrix - row.wobs * np.outer(z, z), g.rows - 1)
-        fits, dis = posterior(without, list(ref.columns), "_y", prediction_draws, seed + 1)
-        path = _searched(ref, without, fits, method, largest, clusters, regul)
-        for size, (sub, weights, sub_dis) in _projected(ref, _gaussian(ref, without, fits, dis, prediction_draws), path, regul).items():
-            at = {c: z[i + 1] for i, c in enumerate(ref.columns)}
-            mu = np.array([f.intercept + sum(b * at[c] for c, b in f.beta.items()) for f in sub]) + row.offs
-            ll = ref.family.np_log_lik(np.full(len(mu), row.y), mu, np.full(len(mu), row.wobs), np.array(sub_dis)) + np.log(weights)
-            exact.append((row[key], size, float(ll.max() + np.log(np.exp(ll - ll.max()).sum()))))
-    table = ref.data.sparkSession.createDataFrame(exact, "obs_id long, size int, exact double")
-    joined = fast.pointwise.filter(F.col("size").isNotNull()).join(F.broadcast(table), ["obs_id", "size"], "left").withColumn("sampled", F.col("exact").isNotNull())
+    exact = _loo_searches(ref, picked, method, largest, clusters, prediction_draws, regul, seed).select("obs_id", "size", F.col("lppd").alias("exact"))
+    joined = fast.pointwise.filter(F.col("size").isNotNull()).join(exact, ["obs_id", "size"], "left").withColumn("sampled", F.col("exact").isNotNull()).persist()
     parts = [stats.difference_estimate(joined.filter(F.col("size") == s), "lppd", "exact", "sampled").select(F.lit(s).alias("size"), "*") for s in fast.path.sizes]
     return functools.reduce(DataFrame.unionByName, parts)

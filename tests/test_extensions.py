@@ -151,6 +151,30 @@ def test_hold_out_and_training_evaluation_agree(spark):
         selection.project(ref, ["nope"])
 
 
+def test_leave_one_out_repeats_the_search(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(30, 3))
+    df = table(spark, obs_id=range(30), y=x @ [0.6, 0.3, 0.2] + rng.normal(size=30), wobs=[1] * 30, offs=rng.normal(size=30), a=x[:, 0], b=x[:, 1], c=x[:, 2]).withColumn("obs_id", F.col("obs_id").cast("long"))
+    cols = {c: F.col(c) for c in "abc"}
+    terms = {c: [c] for c in cols}
+    ref = refmodel.gaussian_conjugate(df, cols, terms, draws=20)
+    whole = selection.cv_loo(ref, clusters=3, prediction_draws=10, validate_search=True)
+    got = {(r.obs_id, r.size): (r.mu, r.lppd) for r in whole.pointwise.filter("size IS NOT NULL").collect()}
+    assert len(got) == 30 * 4
+    for i in (0, 17):
+        own = refmodel.gaussian_conjugate(df.filter(F.col("obs_id") != i), cols, terms, draws=20)
+        rows = selection.varsel(own, clusters=3, prediction_draws=10, test=df.filter(F.col("obs_id") == i)).pointwise.filter("size IS NOT NULL").collect()
+        for r in rows:
+            assert got[i, r.size] == pytest.approx((r.mu, r.lppd), rel=1e-6)
+    sums = {r["size"]: r for r in selection.cv_loo_subsampled(ref, 30, clusters=3, prediction_draws=10).collect()}
+    for size, r in sums.items():
+        assert r.y_hat == pytest.approx(sum(v[1] for (_, s), v in got.items() if s == size)) and r.v_y_hat == pytest.approx(0)
+    poisson = refmodel.from_draws(df, spark.createDataFrame([(i, [1.0]) for i in range(30)], "obs_id long, mu array<double>"), families.poisson(), cols, terms)
+    for call in (lambda: selection.cv_loo(poisson, validate_search=True), lambda: selection.cv_loo_subsampled(poisson, 3)):
+        with pytest.raises(ValueError, match="need a Gaussian reference model"):
+            call()
+
+
 def test_other_families_cluster_draws_and_project_single_ones(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=150)
