@@ -132,7 +132,8 @@ def auc(rows: DataFrame, by: list[str], y: str = "y", score: str = "mu", weight:
 
 def bootstrap_rows(rows: DataFrame, n: int, key: str, replicates: int, seed: int = 0) -> DataFrame:
     """``replicates`` resamples with replacement of rows keyed 0..n-1, drawn by keyed hashes."""
-    drawn = rows.sparkSession.range(replicates).withColumnRenamed("id", "replicate").crossJoin(F.broadcast(rows.select(F.col(key).alias("slot"))))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint")) if replicates else F.array().cast("array<bigint>")
+    drawn = rows.select(F.col(key).alias("slot"), F.explode(numbers).alias("replicate"))
     drawn = drawn.select("replicate", (keyed(F.col("replicate") * n + F.col("slot"), seed) % n).alias(key))
     return drawn.join(rows, key)
 

@@ -124,3 +124,12 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "size int, obs_id long, y double, wobs double, mu double, lppd double")
     assert stats.statistics(df).count() == 0
     assert stats.auc(df, ["size"]).count() == 0
+
+
+def test_bootstrap_draws_without_cross_join(spark):
+    rows = spark.range(50).select(F.col("id").alias("slot"), (F.col("id") * 2).alias("v"))
+    got = stats.bootstrap_rows(rows, 50, "slot", 6, 3)
+    once = lambda k: ((k * 1664525 + 1013904223 + 3 * 69069) % (1 << 32) * 1664525 + 1013904223) % (1 << 32)
+    assert sorted((r.replicate, r.slot, r.v) for r in got.collect()) == sorted((k, d, 2 * d) for k in range(6) for d in (once(k * 50 + i) % 50 for i in range(50)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "broadcast" not in plan
