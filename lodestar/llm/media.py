@@ -136,8 +136,14 @@ def _gzip(b: bytes, at: int) -> int:
 
 
 def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else 0
+    """Up to the last end mark: linearised files and saved updates have several, each after its own startxref."""
+    size, since, stop = 0, at, len(b)
+    while (end := b.find(b"%%EOF", since, stop)) >= 0 and b.find(b"startxref", since, end) >= 0:
+        if not size and (other := b.find(b"%PDF-", end)) >= 0:
+            stop = other
+        since = end + 5
+        size = since - at
+    return size
 
 
 VALID = {

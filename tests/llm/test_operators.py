@@ -594,6 +594,17 @@ def test_media_sniffing(spark):
     assert carved == {"image/png": png(), "image/gif": GIF}
 
 
+def test_media_pdf_goes_to_its_last_end(spark):
+    part = b"1 0 obj\nendobj\nstartxref\n9\n%%EOF\n"
+    one = b"%PDF-1.7\n" + part * 3
+    inner = b"%PDF-1.4\n" + part
+    outer = b"%PDF-1.7\n" + inner + part
+    cases = [one, one + b"text %%EOF", one + inner, outer, b"%PDF-1.7 text %%EOF"]
+    assert [media._pdf(c, 0) for c in cases] == [len(one) - 1, len(one) - 1, len(one) - 1, len(outer) - 1, 0]
+    df = spark.createDataFrame([(1, b"junk" + one)], "id long, data binary")
+    assert [bytes(r.content) for r in media.carve(df, "data").collect()] == [one[:-1]]
+
+
 def test_json_of_queries_is_registered():
     import __spark_entry__ as entry
 
