@@ -16,7 +16,9 @@ have short symbols, which only makes their n-grams quick to gather and look up.
 A document's rate is its mean surprise per character, drawn to its language's median as if
 ``PRIOR`` median characters were added, so that a few odd words in a short text don't decide. It is
 rejected if its rate is over the fence of its language: the upper quartile plus ``REACH`` times the
-distance between the quartiles, exact quantiles over all documents in bins of 1/``BINS``.
+distance between the quartiles, exact quantiles over all documents in bins of 1/``BINS``. Where a
+language has ``LEAST_GOOD`` documents labelled good, toxic or not, the fence is no higher than the
+rate that ``GOOD_SHARE`` of them don't exceed.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ REACH = 4.0
 BINS = 1000
 #: The least distance of the fence from the median, in nats per character.
 LEAST_REACH = 0.35
+#: The share of documents labelled good that a fence keeps, and how many of them it takes to set one.
+GOOD_SHARE = 0.999
+LEAST_GOOD = 100
 #: More trusted keys than this meet the documents in a shuffled join instead of a broadcast one.
 BROADCAST_KEYS = 2_000_000
 #: Characters scored at once; bounds the memory of a long text.
@@ -365,11 +370,16 @@ def scored(docs: DataFrame, model: tuple[str, str], text: str):
     return column_function(make, {"nll": "double", "n": "bigint"})(F.col(text).cast("string"))
 
 
+def _upto(binned: DataFrame) -> DataFrame:
+    """Adds the sum of n up to each bin and over all bins of the language."""
+    by_rate = Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    return binned.withColumn("upto", F.sum("n").over(by_rate)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
+
+
 def fences(scores: DataFrame) -> DataFrame:
     """(lang, median, fence) from the quantiles of all rows of (lang, nll, n) with characters."""
     binned = scores.filter("n > 0").groupBy("lang", F.floor(F.col("nll") / F.col("n") * BINS).alias("bin")).agg(F.count("*").alias("n"))
-    by_rate = Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    upto = binned.withColumn("upto", F.sum("n").over(by_rate)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
+    upto = _upto(binned)
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), (F.col("bin") + 0.5) / BINS))
     quartiles = upto.groupBy("lang").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
     fence = F.greatest(F.col("q3") + REACH * (F.col("q3") - F.col("q1")), F.col("median") + LEAST_REACH)
@@ -380,6 +390,17 @@ def _rate():
     return (F.col("nll") + PRIOR * F.col("median")) / (F.col("n") + PRIOR)
 
 
+def labelled_fences(scores: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """``fences`` of rows (key, lang, nll, n), lowered to the quantiles of those labelled good."""
+    by_lang = _bounded(fences(scores))
+    good = cut(labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min("quality").alias("q")).filter("q = 1").select("key"))
+    good = F.broadcast(good) if good.count() <= BROADCAST_KEYS else good
+    rated = scores.filter("n > 0").join(good, "key", "left_semi").join(F.broadcast(by_lang), "lang")
+    upto = _upto(rated.groupBy("lang", F.floor(_rate() * BINS).alias("bin")).agg(F.count("*").alias("n")))
+    kept = upto.filter(F.col("all") >= LEAST_GOOD).groupBy("lang").agg(F.min(F.when(F.col("upto") >= GOOD_SHARE * F.col("all"), (F.col("bin") + 1) / BINS)).alias("kept"))
+    return by_lang.join(F.broadcast(_bounded(kept)), "lang", "left").select("lang", "median", F.least("fence", "kept").alias("fence"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Per row: key, n_chars, perplexity, rate, fence and rejected.
 
@@ -388,7 +409,7 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), scored(docs, fit(docs, labels, key, text), text).alias("s"))
     rows = cut(rows.select("key", "lang", "s.nll", "s.n"))
-    told = rows.join(F.broadcast(_bounded(fences(rows))), "lang", "left").withColumn("rate", F.when(F.col("n") > 0, _rate()))
+    told = rows.join(F.broadcast(_bounded(labelled_fences(rows, labels, key))), "lang", "left").withColumn("rate", F.when(F.col("n") > 0, _rate()))
     return told.select(F.col("key").alias(key), F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), "rate", "fence", F.coalesce(F.col("rate") > F.col("fence"), F.lit(False)).alias("rejected"))
 
 
@@ -403,8 +424,9 @@ def _bounded(by_lang: DataFrame, most: int = 100_000) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without the rejected rows; columns stay as they are and texts aren't shuffled."""
     model = fit(docs, labels, key, text)
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), scored(docs, model, text).alias("s")).select("lang", "s.nll", "s.n")
-    fence = _bounded(fences(rows)).select(F.struct("lang", "median", "fence").alias("fence"))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), scored(docs, model, text).alias("s"))
+    rows = cut(rows.select("key", "lang", "s.nll", "s.n"))
+    fence = _bounded(labelled_fences(rows, labels, key)).select(F.struct("lang", "median", "fence").alias("fence"))
     by_lang, mark = free_name(docs, "by_lang"), free_name(docs, "scored")
     left = docs.withColumn(mark, scored(docs, model, text))
     out = left.join(F.broadcast(fence.withColumnRenamed("fence", by_lang)), F.coalesce(F.col(lang).cast("string"), F.lit("")) == F.col(f"{by_lang}.lang"), "left")

@@ -497,6 +497,19 @@ def test_quality_fences_are_quantiles(spark):
         assert r.fence == pytest.approx(max(at(0.75) + quality.REACH * (at(0.75) - at(0.25)), at(0.5) + quality.LEAST_REACH))
 
 
+def test_quality_fences_follow_labelled_documents(spark):
+    rng = np.random.default_rng(4)
+    spread = [(i, "a", float(v) * 1000, 1000) for i, v in enumerate(rng.uniform(1.5, 1.9, 300))]
+    odd = [(300 + i, "a", 2100.0 + i, 1000) for i in range(20)]
+    few = [(400 + i, "b", 1500.0 + i, 1000) for i in range(50)]
+    scores = spark.createDataFrame([*spread, *odd, *few], "key long, lang string, nll double, n long")
+    labels = spark.createDataFrame([(i, int(i < 300), i % 2) for i, *_ in [*spread, *odd]], "doc_id long, quality int, toxic int")
+    old, new = ({r.lang: r for r in f.collect()} for f in (quality.fences(scores), quality.labelled_fences(scores, labels, "doc_id")))
+    rate = lambda x: (x[2] + quality.PRIOR * old["a"].median) / (x[3] + quality.PRIOR)
+    assert max(map(rate, odd)) < old["a"].fence
+    assert max(map(rate, spread)) <= new["a"].fence < min(map(rate, odd)) and new["b"] == old["b"]
+
+
 def test_quality_odd_tables(spark):
     df = docs(spark, ODD, langs=[None, "en"] * 5)
     labels = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (6, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
