@@ -3,8 +3,8 @@
 Copies of a fingerprint collapse first. Each distinct fingerprint then emits every variant within
 half the radius (itself and its 64 one-bit flips): two fingerprints at two bits or fewer share a
 variant, and those that share one are within two bits. At most 65 distinct fingerprints can meet
-on a variant, so no group is unbounded. Each meeting links neighbours in fingerprint order, every
-link is verified, and components are found on those links.
+on a variant, so no group is unbounded. Each meeting links all to its least fingerprint, every link
+is verified, and components are found on those links.
 """
 
 from __future__ import annotations
@@ -54,35 +54,39 @@ def with_fingerprint(df: DataFrame, name: str, text: str = "text") -> DataFrame:
 def near_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     """Links (a, b), a < b, between distinct fingerprints; they connect all pairs within ``RADIUS`` bits.
 
-    Every fingerprint with a neighbour has a link, and those that meet on a variant are chained, so
+    Any two that meet on a variant are within the radius, so each is linked to the least that meets
+    there; the distance is verified all the same. Every fingerprint with a neighbour has a link, and
     the links' components are those of all close pairs.
     """
     flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col(fp).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)))
     variants = distinct.select(fp, F.explode(F.concat(F.array(fp), flips)).alias("variant"))
-    met = variants.withColumn("a", F.lag(fp).over(Window.partitionBy("variant").orderBy(fp)))
+    met = variants.withColumn("a", F.min(fp).over(Window.partitionBy("variant")))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col(fp))) <= RADIUS
-    return met.filter(F.col("a").isNotNull() & close).select("a", F.col(fp).alias("b")).distinct()
+    return met.filter((F.col("a") < F.col(fp)) & close).select("a", F.col(fp).alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every end of the links (a, b); root is the smallest node of the component.
-
-    Labels fall to the neighbours' grandparents while each tree hooks onto the least label that its
-    members see; the number of rounds grows with the logarithm of a component's diameter. Each round
-    is a few joins on narrow rows and is cut into the shared folder. No links give no rows.
+    """(node, root) for the ends of the links (a, b) that aren't their component's smallest node, the root.
+
+    Edges point from a node to smaller ones. A round hangs what points to a node onto the least that
+    this node points to, then ties a node's smaller neighbours to their least; rounds end when
+    nothing moves, after about the logarithm of a component's diameter. A root with many nodes is one
+    key of the first join only: that is a sort-merge join, which Spark splits by its skew handling,
+    and every other step combines within tasks or sees a node's own smaller neighbours. No links give
+    no rows.
     """
-    ends = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))))
-    state = cut(ends.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("near")).select("node", F.least("node", "near").alias("root")))
+    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("near"), F.lit(True).alias("moved")).distinct())
     while True:
-        jumped = state.join(state.select(F.col("node").alias("root"), F.col("root").alias("grand")), "root")
-        jumped = cut(jumped.select("node", "root", "grand"))
-        seen = ends.join(jumped.select(F.col("node").alias("u"), "grand"), "u").groupBy(F.col("v").alias("node")).agg(F.min("grand").alias("least"))
-        lowered = jumped.join(seen, "node").select("node", "root", F.least("grand", "least").alias("low"))
-        hooked = lowered.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("hook"))
-        after = cut(lowered.join(hooked, "node", "left").select("node", F.least("low", F.coalesce("hook", "low")).alias("root"), F.col("root").alias("was")))
-        state = after.select("node", "root")
-        if after.filter("root <> was").isEmpty():
-            return state
+        least = edges.groupBy(F.col("node").alias("near")).agg(F.min("near").alias("hub"))
+        hung = edges.join(least.hint("merge"), "near", "left").select("node", F.coalesce("hub", "near").alias("near"), F.col("hub").isNotNull().alias("up"))
+        tied = hung.withColumn("least", F.min("near").over(Window.partitionBy("node")))
+        other = F.col("near") > F.col("least")
+        own = F.struct(F.col("node").alias("node"), F.col("least").alias("near"), (F.col("up") | other).alias("moved"))
+        below = F.when(other, F.struct(F.col("near").alias("node"), F.col("least").alias("near"), F.lit(True).alias("moved")))
+        rows = tied.select(F.inline(F.array_compact(F.array(own, below))))
+        edges = cut(rows.groupBy("node", "near").agg(F.max("moved").alias("moved")))
+        if edges.filter("moved").isEmpty():
+            return edges.select("node", F.col("near").alias("root"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,13 +100,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def with_components(marked: DataFrame) -> DataFrame:
-    """Adds component_id to rows of (key, fp)."""
+    """Adds component_id to rows of (key, fp).
+
+    Both joins can meet a key that many rows share, a component's root or a common fingerprint; they
+    are sort-merge joins, whose skewed partitions Spark splits.
+    """
     distinct = cut(marked.groupBy("fp").agg(F.min("key").alias("least")))
     roots = components(near_links(distinct))
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = classes.join(smallest, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp")
+    by_fp = classes.join(smallest.hint("merge"), "root").select("fp", "component_id")
+    return marked.join(by_fp.hint("merge"), "fp")
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
