@@ -2,7 +2,7 @@
 
 A text is the mean of the embeddings of its character n-grams, hashed into ``BUCKETS``; a linear
 softmax on that mean gives the language. Embeddings and weights are trained by stochastic gradient
-descent in numpy on a bounded sample of labelled rows (``SAMPLE_ROWS`` whole texts). A part of the
+descent in numpy on a bounded sample of labelled rows (``SAMPLE_ROWS`` whole texts, an equal share of each language). A part of the
 sample is kept apart to calibrate, as whole texts and as short slices: a temperature makes probabilities honest,
 and bars on the probability and on the share of n-grams known from training are set so that all but
 ``REJECT_SHARE`` of correctly recognised texts pass. What is below a bar is rejected.
@@ -12,9 +12,15 @@ As the softmax is linear in the mean, a trained model is one table of bucket sco
 
 from __future__ import annotations
 
+import math
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestar.llm.columns import column_function, free_name, small_batches
 
@@ -71,6 +77,12 @@ def buckets(codes: np.ndarray) -> np.ndarray:
     return np.concatenate([buckets_of(codes, n) for n in GRAMS])
 
 
+def _weighted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's buckets and their shares of its n-grams, in few bytes."""
+    ids, n = np.unique(buckets(codes), return_counts=True)
+    return ids.astype(np.uint16), (n / n.sum()).astype(np.float32)
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -126,13 +138,13 @@ def train(rows: list[tuple[bytes, str]], epochs: int = EPOCHS, seed: int = SEED)
     width = np.random.default_rng(seed + 1)
     emb = width.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((WIDTH, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    seen = [(*np.unique(buckets(c), return_counts=True), y) for c, y in examples if len(c)]
+    seen = [(*_weighted(c), y) for c, y in examples if len(c)]
+    del examples
     steps, total = 0, epochs * max(1, len(seen))
     for _ in range(epochs):
         for i in rng.permutation(len(seen)):
-            ids, n, y = seen[i]
+            ids, weights, y = seen[i]
             rate = RATE * (1 - steps / total) * min(share[y], 3)
-            weights = (n / n.sum()).astype(np.float32)
             hidden = weights @ emb[ids]
             error = softmax(hidden @ out + bias)
             error[y] -= 1
@@ -168,18 +180,35 @@ def _calibrate(model: Model, held: list[tuple[np.ndarray, int]], rng: np.random.
         model.known_bar = float(min(np.quantile(known[right], REJECT_SHARE), HIGHEST_BAR))
 
 
-def sample(docs: DataFrame, key: str, text: str, lang: str, rows: int = SAMPLE_ROWS) -> list[tuple[bytes, str]]:
-    """At most ``rows`` labelled whole texts, those of the least hashed keys; the only rows a model learns from.
+def sample(docs: DataFrame, key: str, text: str, lang: str, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(text, lang) of at most ``rows`` labelled whole texts, an equal share of each language; the only rows a model learns from.
 
-    Rows of the held-out quarter (crc32 of the key mod 4 is 2) and rows without label are never taken.
+    A language's rows are those of the least hashed keys, ties by key and text. Rows of the held-out
+    quarter (crc32 of the key mod 4 is 2) and rows without label are never taken. Of more than
+    ``rows`` languages the most frequent are learned.
     """
-    order = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
-    last = usable.select(order.alias("h")).orderBy("h").limit(rows).agg(F.max("h").alias("h")).first().h
-    if last is None:
-        return []
-    taken = usable.filter(order <= last).select(F.col(text).cast("string"), F.col(lang).cast("string")).limit(rows)
-    return sorted((t.encode(), label) for t, label in taken.collect())
+    usable = usable.select(F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("h"), F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
+    share = max(1, rows // max(1, len(counts)))
+    # So few of a language's hashes are under its bound that ranking them is cheap, and with near
+    # certainty at least its share of them; a smaller language comes whole.
+    wide = share + 8 * math.isqrt(share) + 16
+    bounds = docs.sparkSession.createDataFrame([(r.lang, min(1.0, wide / r.n)) for r in counts], "lang string, bound double")
+    near = usable.join(F.broadcast(bounds), "lang").filter(F.shiftrightunsigned("h", 24) < F.col("bound") * float(1 << 40))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "key", "text")))
+    return ranked.filter(F.col("rank") <= share).select("text", "lang")
+
+
+def trained(docs: DataFrame, key: str, text: str, lang: str) -> Model:
+    """The model of the sample, trained in one task, as the sample is bounded whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((t, label) for batch in batches for t, label in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], ["model"])
+
+    made = sample(docs, key, text, lang).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else train([])
 
 
 def held_out(key: str):
@@ -205,13 +234,13 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     Texts that are null or have no letter are ``und`` with score 0 and rejected; without labelled
     rows to learn from all are. Repeated rows stay; null keys are allowed.
     """
-    model = train(sample(docs, key, text, lang))
+    model = trained(docs, key, text, lang)
     rows = docs.select(F.col(key).alias("key"), held_out(key).alias("held_out"), predicted(docs, model, text).alias("p"))
     return rows.select(F.col("key").alias(key), "held_out", "p.lang_pred", "p.score", (~F.col("p.passed")).alias("rejected"))
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without the rows whose language is rejected; columns stay as they are."""
-    model = train(sample(docs, key, text, lang))
+    model = trained(docs, key, text, lang)
     mark = free_name(docs, "predicted")
     return docs.withColumn(mark, predicted(docs, model, text)).filter(F.col(mark).getField("passed")).select(*docs.columns)
