@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.columns import column_function, cut, free_name, shared_dir, small_batches
+from lodestar.llm.columns import column_function, cut, free_name, remove, shared_dir, small_batches
 
 BITS = 6
 SYMBOLS = 1 << BITS
@@ -50,6 +50,8 @@ GOOD_SHARE = 0.999
 LEAST_GOOD = 100
 #: More trusted keys than this meet the documents in a shuffled join instead of a broadcast one.
 BROADCAST_KEYS = 2_000_000
+#: More languages than this meet the documents in a shuffled join as well.
+MANY_LANGUAGES = 100_000
 #: Characters scored at once; bounds the memory of a long text.
 CHUNK = 1 << 18
 #: Bits of a code point; three are one context.
@@ -103,11 +105,6 @@ class Symbols:
                 context = (context << POINT) | own[places + i]
             yield packed, places, context, own[places + ORDER - 1].astype(np.int32)
 
-    def grams(self, text: bytes | None) -> Iterator[np.ndarray]:
-        """Packed n-grams that end at each character, in chunks; blanks stand before the text."""
-        for packed, *_ in self.windows(text):
-            yield packed
-
     def spelled(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Those of the packed n-grams that lie within the alphabet, with their contexts and last characters."""
         digits = [(packed >> BITS * i) & (SYMBOLS - 1) for i in range(ORDER - 1, -1, -1)]
@@ -174,80 +171,52 @@ def gathered(rows: DataFrame, text: str, known: str, counted: bool) -> DataFrame
     return rows.select(F.col(text).cast("string")).mapInArrow(run, "part int, context bigint, last int, n bigint")
 
 
-def gram_counts(trusted: DataFrame, text: str, known: str) -> DataFrame:
-    """(gram, n) of the highest order over all trusted text."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, total = Symbols(known), np.zeros(SYMBOLS**ORDER, np.int32)
-        for batch in batches:
-            for value in batch.column(0).cast(pa.binary()).to_pylist():
-                for packed in symbols.grams(value):
-                    grams, n = np.unique(packed, return_counts=True)
-                    total[grams] += n.astype(np.int32)
-        seen = np.flatnonzero(total)
-        for i in range(0, len(seen), 1 << 16):
-            part = seen[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], ["gram", "n"])
-
-    rows = trusted.select(F.col(text).cast("string")).mapInArrow(counted, "gram bigint, n bigint")
-    return rows.groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def shorter(context: Column, size: int, bits: int) -> Column:
     """The context of an n-gram's last ``size`` characters."""
     return context.bitwiseAND(F.lit((1 << bits * (size - 1)) - 1).cast("bigint"))
 
 
-def levels(counts: DataFrame, bits: int) -> list[tuple[DataFrame, DataFrame]]:
-    """From (context, last, n), for each length from 1: (context, last, value) and (context, back).
+def levels(counts: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """From (context, last, n): (size, context, last, value) and (size, context, back) of every length.
 
-    ``value`` is an n-gram's discounted part and ``back`` the back-off weight of a context.
+    ``value`` is an n-gram's discounted part and ``back`` the back-off weight of a context. All
+    lengths share their tables, so that each step is one shuffle whatever the order of the model.
     """
-    level, out = cut(counts.select("context", "last", "n")), []
-    for size in range(ORDER, 0, -1):
-        met = level.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
+    level = cut(counts.select("context", "last", "n"))
+    rows = level.select(F.lit(ORDER).alias("size"), "*")
+    for size in range(ORDER - 1, 0, -1):
+        level = level.groupBy(shorter(F.col("context"), size, bits).alias("context"), "last").agg(F.count("*").alias("n"))
+        rows = rows.unionByName(level.select(F.lit(size).alias("size"), "*"))
+    rows = cut(rows)
+    cost = F.lit(0.0)
+    for met in rows.groupBy("size").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect():
         d = discounts(met.n1, met.n2, met.n3, met.n4)
-        cost = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        totals = level.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cost).alias("cost"))
-        parts = level.join(totals, "context").select("context", "last", ((F.col("n") - cost) / F.col("total")).alias("value"))
-        out.append((parts, totals.select("context", (F.col("cost") / F.col("total")).alias("back"))))
-        if size > 1:
-            level = cut(level.groupBy(shorter(F.col("context"), size - 1, bits).alias("context"), "last").agg(F.count("*").alias("n")))
-    return out[::-1]
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """Rows (size, gram, value, back) of a model over the alphabet alone: an n-gram's discounted part and, for contexts, the back-off weight.
-
-    ``size`` is the n-gram's length; a row of a context has the length of the n-grams that follow
-    from it, back is true and gram is the context.
-    """
-    out = None
-    split = counts.select(F.shiftright("gram", BITS).cast("bigint").alias("context"), F.col("gram").bitwiseAND(F.lit(SYMBOLS - 1)).alias("last"), "n")
-    for size, (parts, weights) in enumerate(levels(split, BITS), 1):
-        gram = F.shiftleft("context", BITS).bitwiseOR(F.col("last"))
-        rows = parts.select(F.lit(size).alias("size"), gram.alias("gram"), "value", F.lit(False).alias("back"))
-        rows = rows.unionByName(weights.select(F.lit(size).alias("size"), F.col("context").alias("gram"), F.col("back").alias("value"), F.lit(True).alias("back")))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        own = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        cost = F.when(F.col("size") == met.size, own).otherwise(cost)
+    totals = cut(rows.groupBy("size", "context").agg(F.sum("n").alias("total"), F.sum(cost).alias("cost")))
+    named = totals.select("size", "context", "total")
+    parts = rows.join(named, ["size", "context"]).select("size", "context", "last", ((F.col("n") - cost) / F.col("total")).alias("value"))
+    return parts, totals.select("size", "context", (F.col("cost") / F.col("total")).alias("back"))
 
 
-def surprises(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+def surprises(asked: DataFrame, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
     """(context, last, surprise) of the distinct n-grams (context, last) of ``asked``, in nats.
 
+    Every n-gram asks for its ends of all lengths; equal ends of one length are looked up once.
     Characters that no trusted text has are one more character of the lowest order.
     """
-    p = F.lit(1.0 / (tables[0][0].count() + 1))
-    found = None
-    for size, (parts, weights) in enumerate(tables, 1):
-        own = asked.select(shorter(F.col("context"), size, POINT).alias("context"), "last").distinct()
-        rows = own.join(parts, ["context", "last"], "left").join(weights, "context", "left")
-        if found is not None:
-            below = found.select(F.col("context").alias("short"), F.col("last").alias("end"), "p")
-            rows = rows.join(below, (shorter(F.col("context"), size - 1, POINT) == F.col("short")) & (F.col("last") == F.col("end")))
-            p = F.col("p")
-        found = rows.select("context", "last", (F.coalesce("value", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * p).alias("p"))
-    return found.select("context", "last", (-F.log(F.greatest("p", F.lit(1e-12)))).cast("float").alias("surprise"))
+    parts, weights = tables
+    ends = F.array(*[F.struct(F.lit(size).alias("size"), shorter(F.col("context"), size, POINT).alias("short")) for size in range(1, ORDER + 1)])
+    wanted = asked.select("context", "last").distinct().select("context", "last", F.inline(ends))
+    told = wanted.select("size", "short", "last").distinct()
+    told = told.join(weights.withColumnRenamed("context", "short"), ["size", "short"], "left").join(parts.withColumnRenamed("context", "short"), ["size", "short", "last"], "left")
+    met = wanted.join(told, ["size", "short", "last"])
+    at = lambda c, size: F.max(F.when(F.col("size") == size, F.col(c))).alias(f"{c}{size}")
+    found = met.groupBy("context", "last").agg(*[at(c, size) for size in range(1, ORDER + 1) for c in ("value", "back")])
+    p = F.lit(1.0 / (parts.filter("size = 1").count() + 1))
+    for size in range(1, ORDER + 1):
+        p = F.coalesce(f"value{size}", F.lit(0.0)) + F.coalesce(f"back{size}", F.lit(1.0)) * p
+    return found.select("context", "last", (-F.log(F.greatest(p, F.lit(1e-12)))).cast("float").alias("surprise"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -257,32 +226,6 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(e, 0.1), top - 0.1) for e, top in zip(estimates, (1, 2, 3), strict=True))
 
 
-class Model:
-    """The tables of a model over the alphabet alone, laid out as a dense array of surprises."""
-
-    def __init__(self, known: str, rows):
-        self.known = known
-        self.rows = {(s, b): (g.to_numpy(np.int32), v.to_numpy(np.float32)) for (s, b), (g, v) in {k: (x["gram"], x["value"]) for k, x in rows.groupby(["size", "back"])}.items()}
-        self.symbols = self.surprise = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"symbols": None, "surprise": None}
-
-    def layout(self) -> None:
-        p = np.full(SYMBOLS, 1 / SYMBOLS, np.float32)
-        for size in range(1, ORDER + 1):
-            back = np.ones(SYMBOLS ** (size - 1), np.float32)
-            if (size, True) in self.rows:
-                at, v = self.rows[size, True]
-                back[at] = v
-            lower = p if size == 1 else np.tile(p, SYMBOLS)
-            p = lower * np.repeat(back, SYMBOLS)
-            if (size, False) in self.rows:
-                at, v = self.rows[size, False]
-                p[at] += v
-        self.surprise, self.symbols = -np.log(np.maximum(p, 1e-12)), Symbols(self.known)
-
-
 class Answers:
     """The surprises of the n-grams that one task asked for; of other tasks' as well once one is missing."""
 
@@ -338,10 +281,8 @@ def trusted_rows(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Documents with a label of good quality and none of toxicity or bad quality."""
     trusted = free_name(docs, "trusted_key")
     verdict = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(trusted)).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    keys = cut(verdict.filter("q = 1 AND t = 0").select(trusted))
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return docs.join(keys, F.col(key) == F.col(trusted), "left_semi")
+    keys = verdict.filter("q = 1 AND t = 0").select(trusted)
+    return docs.join(_cheap(keys, BROADCAST_KEYS), F.col(key) == F.col(trusted), "left_semi")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[str, str]:
@@ -392,43 +333,55 @@ def _rate():
 
 def labelled_fences(scores: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """``fences`` of rows (key, lang, nll, n), lowered to the quantiles of those labelled good."""
-    by_lang = _bounded(fences(scores))
-    good = cut(labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min("quality").alias("q")).filter("q = 1").select("key"))
-    good = F.broadcast(good) if good.count() <= BROADCAST_KEYS else good
-    rated = scores.filter("n > 0").join(good, "key", "left_semi").join(F.broadcast(by_lang), "lang")
+    by_lang = _cheap(fences(scores), MANY_LANGUAGES)
+    good = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min("quality").alias("q")).filter("q = 1").select("key")
+    rated = scores.filter("n > 0").join(_cheap(good, BROADCAST_KEYS), "key", "left_semi").join(by_lang, "lang")
     upto = _upto(rated.groupBy("lang", F.floor(_rate() * BINS).alias("bin")).agg(F.count("*").alias("n")))
     kept = upto.filter(F.col("all") >= LEAST_GOOD).groupBy("lang").agg(F.min(F.when(F.col("upto") >= GOOD_SHARE * F.col("all"), (F.col("bin") + 1) / BINS)).alias("kept"))
-    return by_lang.join(F.broadcast(_bounded(kept)), "lang", "left").select("lang", "median", F.least("fence", "kept").alias("fence"))
+    return by_lang.join(_cheap(kept, MANY_LANGUAGES), "lang", "left").select("lang", "median", F.least("fence", "kept").alias("fence"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Per row: key, n_chars, perplexity, rate, fence and rejected.
 
     Null and empty texts have no characters: perplexity is null and they are kept, as there is
-    nothing against them. Rows without language form a group of their own. Repeated rows stay.
+    nothing against them. Rows without language form a group of their own. Repeated rows stay, equal
+    rates fall on the same side of a fence, and texts of any length are read whole, in chunks. Without
+    documents there are no rows; without labels every character is equally likely. Other columns of
+    ``docs`` are not read.
     """
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), scored(docs, fit(docs, labels, key, text), text).alias("s"))
+    spark = docs.sparkSession
+    model = fit(docs, labels, key, text)
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), scored(docs, model, text).alias("s"))
     rows = cut(rows.select("key", "lang", "s.nll", "s.n"))
-    told = rows.join(F.broadcast(_bounded(labelled_fences(rows, labels, key))), "lang", "left").withColumn("rate", F.when(F.col("n") > 0, _rate()))
+    remove(spark, model[0])
+    told = rows.join(_cheap(labelled_fences(rows, labels, key), MANY_LANGUAGES), "lang", "left").withColumn("rate", F.when(F.col("n") > 0, _rate()))
     return told.select(F.col("key").alias(key), F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), "rate", "fence", F.coalesce(F.col("rate") > F.col("fence"), F.lit(False)).alias("rejected"))
 
 
-def _bounded(by_lang: DataFrame, most: int = 100_000) -> DataFrame:
-    """The table of languages, checked to be small enough to broadcast."""
-    by_lang = cut(by_lang)
-    if by_lang.count() > most:
-        raise ValueError(f"more than {most} languages")
-    return by_lang
+def _cheap(table: DataFrame, most: int) -> DataFrame:
+    """The table, written down, with a broadcast hint if it is found to have no more than ``most`` rows."""
+    table = cut(table)
+    return F.broadcast(table) if table.count() <= most else table
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the rejected rows; columns stay as they are and texts aren't shuffled."""
+    """``docs`` without the rows that ``judge`` rejects; columns stay as they are.
+
+    Texts are scored once: documents and scores are written to the shared folder, fences come from
+    the scores, and the rows within them are read back. No text is shuffled.
+    """
+    spark = docs.sparkSession
     model = fit(docs, labels, key, text)
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), scored(docs, model, text).alias("s"))
-    rows = cut(rows.select("key", "lang", "s.nll", "s.n"))
-    fence = _bounded(labelled_fences(rows, labels, key)).select(F.struct("lang", "median", "fence").alias("fence"))
-    by_lang, mark = free_name(docs, "by_lang"), free_name(docs, "scored")
-    left = docs.withColumn(mark, scored(docs, model, text))
-    out = left.join(F.broadcast(fence.withColumnRenamed("fence", by_lang)), F.coalesce(F.col(lang).cast("string"), F.lit("")) == F.col(f"{by_lang}.lang"), "left")
+    mark = free_name(docs, "scored")
+    path = f"{shared_dir(spark)}/scored-{uuid.uuid4().hex}"
+    docs.withColumn(mark, scored(docs, model, text)).write.parquet(path)
+    remove(spark, model[0])
+    held = spark.read.parquet(path)
+    language = F.coalesce(F.col(lang).cast("string"), F.lit(""))
+    scores = held.select(F.col(key).alias("key"), language.alias("lang"), F.col(mark).getField("nll").alias("nll"), F.col(mark).getField("n").alias("n"))
+    by_lang = free_name(docs, "by_lang")
+    fence = _cheap(labelled_fences(scores, labels, key).select(F.struct("lang", "median", "fence").alias(by_lang)), MANY_LANGUAGES)
+    out = held.join(fence, language == F.col(f"{by_lang}.lang"), "left")
     rate = (F.col(f"{mark}.nll") + PRIOR * F.col(f"{by_lang}.median")) / (F.col(f"{mark}.n") + PRIOR)
     return out.filter(~F.coalesce((F.col(f"{mark}.n") > 0) & (rate > F.col(f"{by_lang}.fence")), F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
