@@ -1,17 +1,25 @@
 """Main-text extraction by consensus host paths.
 
-Each page's containers are scored by the running text they hold. A page votes for its best containers
-under a generalised path of tags and classes (digits and attributes other than class are left out);
-Spark sums the votes by host and path, so a host's layout is settled by all its pages. Every page is
-then extracted again from the container on its host's winning path, or from its own best container
-if it has none there.
+Each page's containers are scored by the running text they hold. A page votes for every container that
+comes near its best, under a generalised path of tags and classes (digits and attributes other than
+class are left out); Spark sums the votes by host and path, so a host's layout is settled by all its
+pages. Every page is then extracted again from the container on its host's winning path, or from its
+own best container if it has none there.
+
+Headings and paragraphs are never judged by their names. Elements made for something else than text
+(menus, hidden parts) are left out; a form is unless it holds most of the page's running text, and a
+container whose class, id or label names a side part is unless it holds nearly all of it. Where the
+name is ambiguous it takes a second sign: many links, a place outside the article, or little text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,34 +27,127 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.columns import column_function, cut, small_batches
 
-#: Containers that a page votes for.
-VOTES = 3
+#: A page votes for containers with at least this share of its best one's score.
+NEAR = 0.5
 #: Hosts up to this number are broadcast with their paths; more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 #: A winning container with less than this share of the text of the page's best gives way to it.
 LEAST_SHARE = 0.3
+#: Siblings of the chosen container with this share of its score and fewer links than this belong to it.
+SIBLING_SHARE, SIBLING_LINKS = 0.2, 0.3
+#: What no form has: most of the running text. What a small part has: this share of it at most.
+MOST, LITTLE = 0.5, 0.1
+#: Longer paths are told apart by a digest.
+PATH_CHARS = 400
+#: Between the paths of siblings that hold a text together.
+AND = " + "
 
 #: Kinds of elements.
-SKIPPED = frozenset("head script style noscript template iframe object embed svg canvas math audio video map".split())
-BOILERPLATE = frozenset("nav aside footer form button select option textarea input dialog menu menuitem fieldset label".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+SKIPPED = frozenset("head script style noscript template iframe object embed svg canvas math audio video map title noembed noframes xmp".split())
+ASIDE = frozenset("nav aside footer button select option textarea input dialog menu menuitem label".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
-CONTAINERS = frozenset("html body main article section div td center table tbody tr blockquote".split())
+CONTAINERS = frozenset("html body main article section div td center table tbody tr blockquote form fieldset header ul ol dl li".split())
+#: Containers that can't be the main one, but can be left out.
+SIDES = frozenset("form fieldset header ul ol dl li".split())
+WHOLE = frozenset("html body main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACES = frozenset("br td th img".split())
-INLINE_OUTSIDE_P = frozenset("p h1 h2 h3 h4 h5 h6".split())
-HEADINGS = frozenset("h1 h2 h3".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+ROLES = frozenset("navigation banner complementary contentinfo search form dialog alertdialog alert menu menubar toolbar".split())
+#: Words of names. A name is of a side part if its last word is, or its first before neutral ones.
 GOOD = frozenset("article content main post entry story body text page".split())
-BAD = frozenset("ad ads advert adverts advertisement advertising adsense adslot adsbygoogle werbung anzeige publicite publicidad sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies reply respond discussion sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended recommendations teaser footer masthead toolbar pagination pager skip hidden".split())
+SIDE = frozenset("ad ads advert adverts advertisement advertising adsense adslot adsbygoogle werbung anzeige publicite publicidad sponsor sponsored promo promotion cookie cookies consent gdpr newsletter comment comments commentlist disqus replies sidebar nav navbar navigation menu breadcrumb breadcrumbs share sharing social footer masthead toolbar pagination pager popup modal overlay login signup".split())
+UNSURE = frozenset("banner notice notices alert subscribe subscription reply respond discussion widget widgets related recommended recommendations teaser teasers skip header".split())
+NEUTRAL = frozenset("area bar block bottom box button buttons container content form group holder icons inner item items left link links list main media message panel posts articles stories right row section slot thread top unit wrap wrapper".split())
 LAYOUT = frozenset("with has no layout".split())
-BAD_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alertdialog alert menu menubar toolbar".split())
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|title|svg|object)\b(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'<>]|\"[^\"<]*\"|'[^'<]*')*+|[^>]*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=][^\s/>=]*+)(\s*+=\s*+)?+")
+_BARE = re.compile(r"[^\s>]*+")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _PARTS = re.compile(r"[^a-z]+")
+#: Classes of an article's own header, of which the headings are text.
+_TITLED = re.compile(r"(?:^|\s)(?:article|content|main|post|entry|story|page)[-_]*header(?:\s|$)", re.I)
+_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+FREE, FORM, SIDE_PART, PERHAPS = range(4)
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """Texts ("", text, {}), start tags ("<", name, attributes) and end tags (">", name, {}), in one pass that never goes back."""
+    at, size = 0, len(html)
+    last_quote = {q: html.rfind(q) for q in "\"'"}
+    while at < size:
+        tag = html.find("<", at)
+        if tag < 0 or tag + 1 == size:
+            yield "", html[at:], {}
+            return
+        follows = html[tag + 1]
+        closing = follows == "/"
+        name = _NAME.match(html, tag + 1 + closing) if closing or follows.isalpha() else None
+        if name is None and not closing and follows not in "!?":
+            yield "", html[at : tag + 1], {}
+            at = tag + 1
+            continue
+        if tag > at:
+            yield "", html[at:tag], {}
+        if name is None:
+            comment = html.startswith("<!--", tag)
+            end = html.find("-->" if comment else ">", tag + 2)
+            at = size if end < 0 else end + (3 if comment else 1)
+            continue
+        word, at, given = name[0].lower(), name.end(), {}
+        while (m := _ATTRIBUTE.match(html, at)) is not None:
+            key, at = m[1].lower(), m.end()
+            value = ""
+            if m[2]:
+                quote = html[at : at + 1]
+                if quote in last_quote and quote and at < last_quote[quote]:
+                    end = html.index(quote, at + 1)
+                    value, at = html[at + 1 : end], end + 1
+                else:
+                    bare = _BARE.match(html, at)
+                    value, at = bare[0], bare.end()
+            given.setdefault(key, value)
+        end = html.find(">", at)
+        at = size if end < 0 else end + 1
+        if closing:
+            yield ">", word, {}
+            continue
+        yield "<", word, given
+        if word in RAW:
+            end = _RAW_END[word].search(html, at)
+            at = end.start() if end else size
+
+
+def named(attributes: dict[str, str]) -> int:
+    """What the class and id say of a container."""
+    told = FREE
+    label = attributes.get("aria-label", "").lower().split()
+    for token in [*f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split(), "-".join(label) if len(label) < 3 else ""]:
+        parts = [w for w in _PARTS.split(token) if len(w) > 1]
+        if not parts or parts[0] in LAYOUT:
+            continue
+        head = parts[-1] if parts[-1] in SIDE or parts[-1] in UNSURE else None
+        if head is None and (parts[0] in SIDE or parts[0] in UNSURE) and all(w in NEUTRAL or w in SIDE or w in UNSURE for w in parts[1:]):
+            head = parts[0]
+        if head in SIDE or head in UNSURE and any(w in SIDE for w in parts):
+            return SIDE_PART
+        if head in UNSURE and not GOOD & {*parts}:
+            told = PERHAPS
+    return told
+
+
+class Open:
+    """An open element, with what holds for all that is in it."""
+
+    __slots__ = ("tag", "container", "own", "dropped", "header", "link", "block", "article")
+
+    def __init__(self, tag: str, over: Open | None):
+        self.tag, self.own = tag, False
+        self.container, self.dropped, self.header, self.link, self.block, self.article = (over.container, over.dropped, over.header, over.link, over.block, over.article) if over else (-1, False, False, False, "", False)
 
 
 class Page:
@@ -54,137 +155,167 @@ class Page:
 
     def __init__(self, html: str, strict: bool = True):
         self.blocks: list[tuple[str, int, str]] = []  # text, characters within links, tag
-        self.containers: list[list] = []  # path, first block, last block, tag, parent, weight
-        self.strict = strict
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, container or -1, dropped, within a header
-        self.pieces: list[str] = []
-        self.links = 0
-        self.tag = ""
-        self._open("html", "")
-        at = 0
-        for m in _TOKEN.finditer(html):
-            if m.start() > at:
-                self._text(html[at : m.start()])
-            at = m.end()
-            if m[3]:
-                name = m[3].lower()
-                self._close(name) if m[2] else self._open(name, m[4] or "")
-        self._text(html[at:])
+        self.containers: list[list] = []  # path, first block, last block, tag, parent, weight, kind, in an article
+        self.strict, self.pieces, self.links = strict, [], 0
+        self.stack = [Open("", None)]
+        self.count: Counter[str] = Counter()
+        self._start("html", {})
+        for kind, value, attributes in tokens(html):
+            if kind == "<":
+                self._start(value, attributes)
+            elif kind == ">":
+                self._end(value)
+            else:
+                self._text(value)
         self._flush()
-        for entry in self.stack:
-            if entry[1] >= 0:
-                self.containers[entry[1]][2] = len(self.blocks)
+        self._pop_to(1)
+        self._leave_out()
 
     def _text(self, raw: str) -> None:
-        _, _, dropped, header = self.stack[-1]
-        if dropped or header and self.tag not in HEADINGS:
+        top = self.stack[-1]
+        if top.dropped or top.header and top.block not in HEADINGS:
             return
         text = unescape(raw) if "&" in raw else raw
         self.pieces.append(text)
-        if any(e[0] == "a" for e in self.stack[-4:]):
+        if top.link:
             self.links += len(text.strip())
 
     def _flush(self) -> None:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                self.blocks.append((text, min(self.links, len(text)), self.tag))
+                self.blocks.append((text, min(self.links, len(text)), self.stack[-1].block))
             self.pieces, self.links = [], 0
 
-    def _open(self, name: str, attributes: str) -> None:
-        if name in ("html", "body") and any(e[0] == name for e in self.stack):
+    def _start(self, name: str, given: dict[str, str]) -> None:
+        if name in ("html", "body") and self.count[name]:
             return
         if name in BLOCKS:
             self._flush()
-            self._end_paragraph(name)
-            self.tag = name
-        elif name in SPACES:
+        self._close_implied(name)
+        if name in SPACES:
             self.pieces.append(" ")
         if name in VOID:
             return
-        dropped, header = self.stack[-1][2:] if self.stack else (False, False)
-        classes: list[str] = []
-        if not dropped:
-            if name in SKIPPED or self.strict and name in BOILERPLATE:
-                dropped = True
-            elif "=" in attributes or "hidden" in attributes:
-                given = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-                classes = [w for w in _PARTS.split(given.get("class", "").lower()) if w]
-                dropped = self.strict and self._unwanted(name, attributes, given, classes)
-            if self.strict and (name == "header" or "header" in classes and name not in ("html", "body", "main", "article")):
-                inside = GOOD & {*classes} or any(e[0] in ("article", "main") for e in self.stack)
-                dropped, header = dropped or not inside, name not in HEADINGS
-        container = -1
-        if name in CONTAINERS and not dropped:
-            parent = next((e[1] for e in reversed(self.stack) if e[1] >= 0), -1)
-            label = ".".join([name, *sorted(set(classes))])
-            path = f"{self.containers[parent][0]}>{label}" if parent >= 0 else label
-            container = len(self.containers)
-            self.containers.append([path, len(self.blocks), None, name, parent, self._weight(name, classes)])
-        self.stack.append((name, container, dropped, header))
+        here = Open(name, self.stack[-1])
+        if name in BLOCKS:
+            here.block = name
+        here.link |= name == "a"
+        here.article |= name in ("article", "main")
+        kind = FREE
+        if not here.dropped:
+            here.dropped = name in SKIPPED or self.strict and self._unwanted(name, given)
+            if self.strict and name in CONTAINERS and name not in WHOLE:
+                kind = FORM if name in ("form", "fieldset") or name == "header" and not here.article else named(given)
+            if self.strict and (name == "header" and here.article or name not in WHOLE and _TITLED.search(given.get("class", ""))):
+                here.header, kind = True, FREE
+        if name in CONTAINERS and not here.dropped:
+            parent = here.container
+            classes = sorted({w for w in _PARTS.split(given.get("class", "").lower()) if w})
+            path = ".".join([name, *classes])
+            path = f"{self.containers[parent][0]}>{path}" if parent >= 0 else path
+            if len(path) > PATH_CHARS:
+                path = "#" + hashlib.md5(path.encode()).hexdigest()
+            here.container, here.own = len(self.containers), True
+            self.containers.append([path, len(self.blocks), None, name, parent, self._weight(name, classes), kind, self.stack[-1].article])
+        self.stack.append(here)
+        self.count[name] += 1
 
     @staticmethod
-    def _unwanted(name: str, attributes: str, given: dict[str, str], classes: list[str]) -> bool:
-        if name in ("html", "body", "main", "article"):
-            return False
-        if given.get("role", "").lower() in BAD_ROLES or given.get("aria-hidden", "").lower() == "true":
+    def _unwanted(name: str, given: dict[str, str]) -> bool:
+        if name in ASIDE:
             return True
-        if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) or "display:none" in given.get("style", "").replace(" ", "").lower():
+        if name in WHOLE or name in HEADINGS:
+            return False
+        if name != "article" and given.get("role", "").lower() in ROLES:
             return True
-        words = {*classes, *(w for k in ("id", "aria-label") for w in _PARTS.split(given.get(k, "").lower()) if w)}
-        return bool(words & BAD) and not words & LAYOUT
+        return "hidden" in given and given["hidden"].lower() != "until-found" or given.get("aria-hidden", "").lower() == "true" or bool(_HIDES.search(given.get("style", "")))
 
     @staticmethod
     def _weight(name: str, classes: list[str]) -> float:
+        if name in SIDES:
+            return 0.0
         return (2.0 if name in ("article", "main") else 0.3 if name in ("html", "body") else 1.0) * (1.5 if GOOD & {*classes} else 1.0)
 
-    def _end_paragraph(self, name: str) -> None:
-        """A block ends an open paragraph, a list item an open item, a row an open row."""
-        closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th")}.get(name, ())
+    def _close_implied(self, name: str) -> None:
+        """A block ends an open paragraph, a heading an open heading, an item an open item, a row an open row."""
+        ends = CLOSES.get(name, ())
         for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i][0]
-            if tag in INLINE_OUTSIDE_P and tag in ("p", name) or tag in closes:
+            tag = self.stack[i].tag
+            if name in BLOCKS and tag == "p" or tag in HEADINGS and name in HEADINGS or tag in ends:
+                self._flush()
                 self._pop_to(i)
                 return
-            if tag in BLOCKS:
+            if tag in BLOCKS or name not in BLOCKS and not ends:
                 return
 
     def _pop_to(self, i: int) -> None:
         for entry in self.stack[i:]:
-            if entry[1] >= 0:
-                self.containers[entry[1]][2] = len(self.blocks)
+            self.count[entry.tag] -= 1
+            if entry.own:
+                self.containers[entry.container][2] = len(self.blocks)
         del self.stack[i:]
 
-    def _close(self, name: str) -> None:
+    def _end(self, name: str) -> None:
         if name in BLOCKS:
             self._flush()
         elif name in ("td", "th"):
             self.pieces.append(" ")
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == name:
-                self._pop_to(i)
-                break
-        if name in BLOCKS:
-            self.tag = next((e[0] for e in reversed(self.stack) if e[0] in BLOCKS), "")
+        if not self.count[name] or name in ("html", "body"):
+            return
+        i = len(self.stack) - 1
+        while self.stack[i].tag != name:
+            i -= 1
+        # An inline end tag behind a block that is still open doesn't close that block.
+        if name in BLOCKS or name in ("td", "th") or not any(e.tag in BLOCKS for e in self.stack[i + 1 :]):
+            self._pop_to(i)
+        else:
+            self.count[name] -= 1
+            self.stack[i].tag = ""
+            for e in self.stack[i + 1 :]:
+                e.link &= name != "a"
+
+    def _leave_out(self) -> None:
+        """Marks the blocks of side parts; the rest is kept."""
+        self.kept = [True] * len(self.blocks)
+        self.under: dict[int, list[int]] = {}
+        for c, (_, _, _, _, parent, *_) in enumerate(self.containers):
+            self.under.setdefault(parent, []).append(c)
+        running = [0, *accumulate(max(0, len(t) - links) for t, links, _ in self.blocks)]
+        whole = [0, *accumulate(len(t) for t, *_ in self.blocks)]
+        has_article = any(c[3] in ("article", "main") for c in self.containers)
+        done = 0
+        for _, first, last, _, _, _, kind, inside in self.containers:
+            if kind == FREE or last <= done or first == last:
+                continue
+            own, all_chars = running[last] - running[first], whole[last] - whole[first]
+            if own > (1 - LITTLE if kind == SIDE_PART else MOST) * running[-1]:
+                continue
+            small = own <= LITTLE * running[-1]
+            if kind != PERHAPS or own < 0.7 * all_chars or has_article and not inside or small:
+                self.kept[first:last] = [False] * (last - first)
+                done = last
 
     def scores(self) -> list[float]:
         """Running text under each container: all of a block for its own, half for the one above."""
         total = [0.0] * len(self.containers)
-        order = sorted(range(len(self.containers)), key=lambda c: (self.containers[c][1], c))
         under: list[int] = []
         k = 0
         for b, (text, links, _) in enumerate(self.blocks):
-            while k < len(order) and self.containers[order[k]][1] <= b:
-                under.append(order[k])
+            while k < len(self.containers) and self.containers[k][1] <= b:
+                if self.containers[k][2] > b:
+                    while under and self.containers[under[-1]][2] <= b:
+                        under.pop()
+                    if self.containers[k][3] not in SIDES:
+                        under.append(k)
                 k += 1
             while under and self.containers[under[-1]][2] <= b:
                 under.pop()
-            own = next((c for c in reversed(under) if self.containers[c][1] <= b < self.containers[c][2]), None)
-            if own is not None:
+            if self.kept[b] and under:
                 value = max(0, len(text) - 2 * links)
-                total[own] += value
-                if (above := self.containers[own][4]) >= 0:
-                    total[above] += value / 2
+                total[under[-1]] += value
+                if len(under) > 1:
+                    total[under[-2]] += value / 2
         return [t * c[5] for t, c in zip(total, self.containers, strict=True)]
 
     def raised(self, container: int) -> int:
@@ -197,52 +328,71 @@ class Page:
     def title(self, container: int) -> list[str]:
         """Headings right before a container: they stand over it."""
         first = last = self.containers[container][1]
-        while first and self.blocks[first - 1][2] in HEADINGS:
+        while first and self.kept[first - 1] and self.blocks[first - 1][2] in HEADINGS:
             first -= 1
         return [b[0] for b in self.blocks[first:last]]
 
-    def text(self, container: int) -> str:
+    def size(self, container: int) -> int:
+        _, first, last, *_ = self.containers[container]
+        return sum(len(self.blocks[b][0]) for b in range(first, last) if self.kept[b])
+
+    def links_of(self, container: int) -> float:
+        """The share of a container's text that is links."""
         _, first, last, *_ = self.containers[container]
-        return "\n".join([b[0] for b in self.blocks[first:last]])
+        return sum(self.blocks[b][1] for b in range(first, last) if self.kept[b]) / max(1, self.size(container))
+
+    def texts(self, containers: list[int]) -> list[str]:
+        """Kept blocks of the containers, each once, in page order."""
+        return [self.blocks[b][0] for b in sorted({b for c in containers for b in range(self.containers[c][1], self.containers[c][2]) if self.kept[b]})]
 
 
 def parsed(html: str) -> Page:
-    """The page without boilerplate; if nothing is left, with all but scripts and the like."""
+    """The page without side parts; if nothing is left, with all but scripts and the like."""
     page = Page(html)
-    return page if page.blocks else Page(html, strict=False)
+    return page if any(page.kept) else Page(html, strict=False)
+
+
+def siblings(page: Page, scores: list[float], best: int) -> list[int]:
+    """The container and those beside it that go on with its text: enough of it, and few links."""
+    tag, parent = page.containers[best][3:5]
+    if tag in ("article", "main", "body", "html"):
+        return [best]
+    beside = (c for c in page.under[parent] if scores[c] > 0 and scores[c] >= SIBLING_SHARE * scores[best])
+    return sorted({best, *(c for c in beside if page.links_of(c) < SIBLING_LINKS)})
 
 
 def votes(html: str) -> list[tuple[str, int]]:
-    """Paths of the best containers and their share of the best score, in thousandths."""
+    """Paths of the containers near the best, with those of their siblings, and their share of the best score in thousandths."""
     page = parsed(html)
     scores = page.scores()
-    ranked = sorted(range(len(scores)), key=lambda c: (-scores[c], page.containers[c][0]))[:VOTES]
+    best = max(scores, default=0.0)
     shares: dict[str, int] = {}
-    for c in ranked:
-        if scores[c] > 0:
-            path = page.containers[page.raised(c)][0]
-            shares[path] = max(shares.get(path, 0), round(1000 * scores[c] / scores[ranked[0]]))
+    done: set[int] = set()
+    for c, score in enumerate(scores):
+        if score > 0 and score >= NEAR * best and c not in done:
+            chosen = siblings(page, scores, page.raised(c))
+            done.update(chosen)
+            path = AND.join(sorted({page.containers[x][0] for x in chosen}))
+            shares[path] = max(shares.get(path, 0), round(1000 * score / best))
     return list(shares.items())
 
 
 def main_text(html: str, path: str | None) -> str:
-    """The text of the container on ``path``, siblings of the same path with it, or of the page's own best."""
+    """The text of the containers on ``path`` under one parent, or of the page's own best and its siblings."""
     page = parsed(html)
     scores = page.scores()
     if not scores:
         return ""
     best = page.raised(max(range(len(scores)), key=lambda c: (scores[c], -c)))
-    there = [c for c in range(len(scores)) if page.containers[c][0] == path]
+    wanted = set(path.split(AND)) if path else set()
+    there = [c for c in range(len(scores)) if page.containers[c][0] in wanted]
+    chosen = siblings(page, scores, best)
     if there:
-        size = lambda c: sum(len(b[0]) for b in page.blocks[page.containers[c][1] : page.containers[c][2]])
-        first = max(there, key=lambda c: (scores[c], size(c), -c))
-        if size(first) >= LEAST_SHARE * size(best):
-            best = first
-    own = page.containers[best]
-    alike = [best]
-    if own[3] not in ("article", "main", "body", "html"):
-        alike = [c for c in range(len(scores)) if page.containers[c][0] == own[0] and page.containers[c][4] == own[4] and scores[c] > 0] or alike
-    return "\n".join([*page.title(alike[0]), *filter(None, map(page.text, alike))])
+        first = max(there, key=lambda c: (scores[c], page.size(c), -c))
+        if page.size(first) >= LEAST_SHARE * page.size(best):
+            tag, parent = page.containers[first][3:5]
+            chosen = [first] if tag in ("article", "main", "body", "html") else [c for c in there if page.containers[c][4] == parent and scores[c] > 0] or [first]
+    return "\n".join([*page.title(min(chosen)), *page.texts(chosen)])
 
 
 def host_of(url):
@@ -265,7 +415,12 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Per page: page_id, url, text and n_chars. Null or empty pages have an empty text; repeated rows stay."""
+    """Per page: page_id, url, text and n_chars.
+
+    Null or empty pages have an empty text; repeated rows stay; pages of any length are read whole, in
+    time proportional to it. Of containers or paths that tie, the earlier container and the later path
+    are taken. An empty table gives no rows. Other columns of ``pages`` are not read, whatever their names.
+    """
     small_batches(pages.sparkSession)
     paths = cut(host_paths(pages, url, html))
     if paths.count() <= BROADCAST_HOSTS:
