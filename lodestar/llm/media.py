@@ -8,7 +8,9 @@ the first byte are embedded and can be carved by offset and length.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 
@@ -60,6 +62,21 @@ def wav_data(b: bytes, at: int = 0) -> tuple[int, int, int] | None:
     return (stop - at, *data) if form and data else None
 
 
+class Marks:
+    """Places of marks in some bytes, each mark searched for once however often it is asked for."""
+
+    def __init__(self, b: bytes):
+        self.b, self.places = b, {}
+
+    def first(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from ``at`` on, or -1."""
+        if mark not in self.places:
+            self.places[mark] = [m.start() for m in re.finditer(re.escape(mark), self.b)]
+        places = self.places[mark]
+        i = bisect.bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+
 def _png(b: bytes, at: int) -> int:
     p, first = at + 8, True
     while p + 12 <= len(b):
@@ -104,7 +121,7 @@ def _bmp(b: bytes, at: int) -> int:
     return size if spare == 0 and head in (12, 40, 52, 56, 108, 124) and 14 + head <= start <= size <= len(b) - at else 0
 
 
-def _jpeg(b: bytes, at: int) -> int:
+def _jpeg(b: bytes, at: int, marks: Marks) -> int:
     p, frame = at + 2, False
     while p + 4 <= len(b) and b[p] == 0xFF:
         kind = b[p + 1]
@@ -114,8 +131,8 @@ def _jpeg(b: bytes, at: int) -> int:
         frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
         p += 2 + size
         if kind == 0xDA:
-            end = b.find(b"\xff\xd9", p)
-            return end + 2 - at if frame and end >= 0 else 0
+            end = marks.first(b"\xff\xd9", p) if frame else -1
+            return end + 2 - at if end >= 0 else 0
     return 0
 
 
@@ -135,11 +152,11 @@ def _gzip(b: bytes, at: int) -> int:
     return 0
 
 
-def _pdf(b: bytes, at: int) -> int:
+def _pdf(b: bytes, at: int, marks: Marks) -> int:
     """Up to the last end mark: linearised files and saved updates have several, each after its own startxref."""
     size, since, stop = 0, at, len(b)
-    while (end := b.find(b"%%EOF", since, stop)) >= 0 and b.find(b"startxref", since, end) >= 0:
-        if not size and (other := b.find(b"%PDF-", end)) >= 0:
+    while 0 <= (end := marks.first(b"%%EOF", since)) < stop and 0 <= marks.first(b"startxref", since) < end:
+        if not size and (other := marks.first(b"%PDF-", end)) >= 0:
             stop = other
         since = end + 5
         size = since - at
@@ -151,10 +168,10 @@ VALID = {
     "image/png": _png,
     "image/gif": _gif,
     "image/bmp": _bmp,
-    "image/jpeg": _jpeg,
     "application/gzip": _gzip,
-    "application/pdf": _pdf,
 }
+#: Formats that end at a mark found by searching on.
+MARKED = {"image/jpeg": _jpeg, "application/pdf": _pdf}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -168,12 +185,12 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniffed(b: bytes, finder: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """Type, start and length of every confirmed medium, in order; what lies inside an embedded one isn't told apart."""
-    found, inside = [], 0
+    found, inside, marks = [], 0, Marks(b)
     for end, (kind, back) in finder.iter(b.decode("latin-1")):
         start = end + 1 - back
         if start < 0 or found and 0 < start < inside:
             continue
-        if size := VALID[kind](b, start):
+        if size := VALID[kind](b, start) if kind in VALID else MARKED[kind](b, start, marks):
             found.append((kind, start, size))
             inside = max(inside, start + size if start else 0)
     return sorted(found, key=lambda x: x[1])
