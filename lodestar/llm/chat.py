@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestar.llm.columns import small_batches
+from lodestar.llm.columns import ARROW, small_batches
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 #: What a text must not hold as it is: our marks and control strings of public chat templates.
@@ -29,7 +30,7 @@ _ESCAPE = re.compile(r"\\(\\?)")
 FLUSH_BYTES = 4 << 20
 TRAINED = "assistant"
 
-EXAMPLES = "conv_id bigint, example bigint, n_turns bigint, formatted string, loss_start bigint, loss_end bigint, last boolean"
+EXAMPLES = "example bigint, n_turns bigint, formatted string, loss_start bigint, loss_end bigint, last boolean"
 
 
 def escape(text: str) -> str:
@@ -107,28 +108,40 @@ def examples(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn"
     loss_start and loss_end are null where nothing is trainable; ``last`` marks the example with all
     turns. Null roles and texts are empty. Rows of equal turn are ordered by role and text, so
     repeated rows stand beside each other and all count. A null conversation id is one conversation.
-    An empty table gives no examples.
+    An empty table gives no examples. Ids are whole numbers or, of any other type, strings. Texts of any
+    length are one value. Other columns are not read, whatever their names.
     """
     small_batches(conversations.sparkSession)
+    kind = "bigint" if isinstance(conversations.schema[conv].dataType, T.IntegralType) else "string"
+    schema = _EXAMPLES.set(0, pa.field("conv_id", ARROW[kind]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        yield from _batches(_streamed(rows), _EXAMPLES, 3)
+        yield from _batches(_streamed(rows), schema, 3)
 
-    rows = conversations.select(F.col(conv).cast("bigint").alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, EXAMPLES)
+    rows = conversations.select(F.col(conv).cast(kind).alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kind}, {EXAMPLES}")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Reads examples back, in the order they were written: per conversation its turns and what its loss masks cover."""
+    """Reads examples back, in the order they were written: per conversation its turns and what its loss masks cover.
+
+    Examples that come in another order are an error; after a shuffle, or read from files that were
+    split, sort them within partitions by conversation and number first.
+    """
+    kind = dict(formatted.dtypes)["conv_id"]
+    schema = _DIGESTS.set(0, pa.field("conv_id", ARROW[kind]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def conversations():
-            loss, chars, total = hashlib.sha256(), 0, 0
+            loss, chars, total, due = hashlib.sha256(), 0, 0, (None, 0)
             for batch in batches:
                 for conv, example, n, text, start, stop, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if example == 0:
+                    if example == 0 and due[1] == 0:
                         loss, chars, total = hashlib.sha256(), 0, 0
+                    elif due != (conv, example):
+                        raise ValueError(f"example {example} of conversation {conv} is out of order")
+                    due = (None, 0) if last else (conv, example + 1)
                     total += len(text)
                     if start is not None:
                         said = unescape(text[start:stop])
@@ -141,6 +154,6 @@ def digests(formatted: DataFrame) -> DataFrame:
                         whole = hashlib.sha256("".join([f"{r}\n{t}\n" for r, t in turns]).encode())
                         yield conv, n, whole.hexdigest(), chars, loss.hexdigest(), total, example + 1
 
-        yield from _batches(conversations(), _DIGESTS, 2)
+        yield from _batches(conversations(), schema, 2)
 
-    return formatted.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint")
+    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint")
