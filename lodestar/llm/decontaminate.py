@@ -49,7 +49,7 @@ def rolling(ids: np.ndarray, k: int) -> np.ndarray:
 class Block:
     """The windows of some benchmark items and, once ``order`` has set it, their prefix index."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int, shingle: int):
+    def __init__(self, items: list[tuple[str, bytes]], window: int, shingle: int):
         self.vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set] = {}
         for item, text in items:
@@ -108,7 +108,7 @@ class Block:
             for x, n in zip(*(a.tolist() for a in np.unique(h, return_counts=True)), strict=True):
                 into[x] = into.get(x, 0) + n
 
-    def hits(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+    def hits(self, words: list[bytes]) -> tuple[list[int], list[str]]:
         """Starts and ends of the verified windows' joined spans, flattened, and the items they are of."""
         ids = self.ids_of(words)
         spans, items, done = [], set(), set()
@@ -139,7 +139,7 @@ def joined(spans: list[tuple[int, int]]) -> list[int]:
 def blocks(benchmark: DataFrame, item: str, text: str, window: int, shingle: int, block_bytes: int) -> Iterator[Block]:
     """Blocks of bounded size, read partition by partition; rows without item or text have no windows."""
     held, size = [], 0
-    rows = benchmark.select(F.col(item).cast("bigint"), F.col(text).cast("string")).dropna()
+    rows = benchmark.select(F.col(item).cast("string"), F.col(text).cast("string")).dropna()
     for item_id, value in rows.toLocalIterator():
         held.append((item_id, value.encode()))
         size += len(held[-1][1])
@@ -181,7 +181,7 @@ def hit_column(docs: DataFrame, text: str, block: Block):
 
         return rows
 
-    fields = {"n_words": "bigint", "spans": "array<bigint>", "items": "array<bigint>"}
+    fields = {"n_words": "bigint", "spans": "array<bigint>", "items": "array<string>"}
     return column_function(make, fields)(F.col(text).cast("string"))
 
 
@@ -205,7 +205,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, text: str = "tex
     met = free_name(docs, f"{name}_found")
     united = united.select(F.col("digest").alias(digest), F.struct("pairs", "found_items").alias(met))
     out = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)).join(united, digest, "left")
-    struct = F.struct(words(F.col(text).cast("string")).alias("n_words"), merge(F.col(met).getField("pairs")).alias("spans"), F.coalesce(F.col(met).getField("found_items"), F.array().cast("array<bigint>")).alias("items"))
+    struct = F.struct(words(F.col(text).cast("string")).alias("n_words"), merge(F.col(met).getField("pairs")).alias("spans"), F.coalesce(F.col(met).getField("found_items"), F.array().cast("array<string>")).alias("items"))
     return out.select(*[out[c] for c in docs.columns], struct.alias(name))
 
 
@@ -232,8 +232,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """
     rows = with_hits(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), benchmark, "hits", **options)
     n_hit = covered("hits.spans")
-    names = F.array_sort(F.transform("hits.items", lambda i: i.cast("string")))
-    out = rows.select("key", F.col("hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("hits.items").cast("bigint").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), F.col("hits.spans").alias("hit_spans"))
+    out = rows.select("key", F.col("hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("hits.items").cast("bigint").alias("n_items"), F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"), F.col("hits.spans").alias("hit_spans"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("key", key)
 
 
