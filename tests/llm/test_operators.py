@@ -4,8 +4,10 @@ import hashlib
 import json
 import random
 import struct
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -199,12 +201,11 @@ def contaminated_case():
 @pytest.mark.parametrize("block_bytes", [1 << 20, 60])
 def test_decontamination_against_brute_force(spark, block_bytes):
     items, texts = contaminated_case()
+    texts += ["word " * 3000 + items[5][1] + " tail" * 3000, texts[1], texts[1]]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = {r.doc_id: r for r in decontaminate.contamination(docs(spark, texts), bench, block_bytes=block_bytes).collect()}
     usable = [x for x in items if x[0] is not None and x[1] is not None]
     for i, t in enumerate(texts):
-        if t is not None and len(t) > 10_000:
-            continue
         n, hit, found = brute_hits(t, usable)
         r = rows[i]
         assert (r.n_words, r.n_hit, r.n_items) == (n, hit, len(found)), (i, t)
@@ -212,6 +213,12 @@ def test_decontamination_against_brute_force(spark, block_bytes):
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
 
 
+def test_decontamination_takes_any_item_ids(spark):
+    bench = spark.createDataFrame([("b-1", "one two three"), ("a-1", "two")], "item_id string, text string")
+    r = decontaminate.contamination(docs(spark, ["zero one two three"]), bench).first()
+    assert (r.n_hit, r.n_items) == (3, 2) and r.items_sha256 == hashlib.sha256(b"a-1,b-1").hexdigest()
+
+
 def test_decontamination_filter_and_empty(spark):
     items, texts = contaminated_case()
     bench, df = spark.createDataFrame(items, "item_id long, text string"), docs(spark, texts)
@@ -294,6 +301,15 @@ def test_chat_escape(text):
     assert chat.turns_of(chat.marked(text, text) * 2) == [(text, text)] * 2
 
 
+def test_chat_checks_the_order_and_takes_any_ids(spark):
+    rows = spark.createDataFrame([("c", i, "assistant" if i % 2 else "user", "x" * 20_000 if i == 3 else str(i)) for i in range(6)], "conv_id string, turn long, role string, text string")
+    made = chat.examples(rows)
+    told = chat.digests(made).collect()
+    assert [(r.conv_id, r.n_turns, r.n_examples) for r in told] == [("c", 6, 3)]
+    with pytest.raises(Exception, match="out of order"):
+        chat.digests(made.coalesce(1).orderBy(F.desc("example")).coalesce(1)).collect()
+
+
 # WARC
 
 
@@ -306,13 +322,19 @@ def test_warc_archive(spark, tmp_path):
     assert got == Counter({(1, 1, "revisit", 2): 1, (2, 1, "response", None): 2, (None, 1, "response", None): 1, (None, 0, "revisit", 5): 1, (5, 0, "response", None): 1, (7, 6, "response", None): 1})
     payloads = spark.read.parquet(f"{path}/payloads")
     assert payloads.count() == 4
+    told = []
     for r in warc.records(spark, path).collect():
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
         block = rest[: int(fields[b"Content-Length"])]
         assert head.startswith(b"WARC/1.1\r\n") and rest[len(block) :] == b"\r\n\r\n"
         http, _, body = block.partition(b"\r\n\r\n")
-        assert (fields[b"WARC-Type"] == b"revisit") == (body == b"" and b"Content-Length: 0" not in http) or body == b""
+        size = int(dict(line.split(b": ", 1) for line in http.split(b"\r\n")[1:])[b"Content-Length"])
+        assert len(body) == (size if fields[b"WARC-Type"] == b"response" else 0)
+        assert (b"WARC-Refers-To" in fields) == (fields[b"WARC-Type"] == b"revisit")
+        told.append((fields[b"WARC-Record-ID"], r.page_id, fields[b"WARC-Target-URI"]))
+    assert len({i for i, *_ in told}) == len(set(told)) == len(rows) - 1  # a repeated row is the same record
+    assert b"x%0D%0Ay" in {u for *_, u in told}
     least = warc.archive(df, min_bytes=1).filter("payload_bytes = 0").collect()
     assert {r.record_type for r in least} == {"response"}
     assert warc.archive(df.limit(0)).count() == 0
@@ -325,6 +347,12 @@ def test_warc_finds_damage(spark, tmp_path):
     spark.createDataFrame(bad).write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="damaged payload"):
         warc.read(spark, path).collect()
+    other = str(tmp_path / "other")
+    warc.write(spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string"), other)
+    bad = spark.read.parquet(f"{other}/headers").withColumn("header", F.replace("header", F.lit("Content-Length: 1\r"), F.lit("Content-Length: 2\r"))).collect()
+    spark.createDataFrame(bad, "page_id long, sha256 string, header string").write.mode("overwrite").parquet(f"{other}/headers")
+    with pytest.raises(Exception, match="header and payload differ"):
+        warc.read(spark, other).collect()
 
 
 # HTML
@@ -382,51 +410,65 @@ def test_html_never_fails(html):
     assert all(line == " ".join(line.split()) and line for line in text.split("\n")) or text == ""
 
 
-# Quality
+class Plain(HTMLParser):
+    """Text of the article element by Python's own parser: an independent reading of the test pages."""
 
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks, self.held = 0, [], []
+        self.feed(html)
+        self.cut()
+
+    def cut(self):
+        self.blocks += [t] if (t := " ".join("".join(self.held).split())) else []
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.cut() if tag in ("p", "h1", "h2", "article", "div", "footer") else self.held.append(" " if tag == "br" else "")
+
+    def handle_endtag(self, tag):
+        self.cut() if tag in ("p", "h1", "h2", "article", "div", "footer") else None
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.held.append(data)
 
-def test_kneser_ney_sums_to_one_and_matches_plain_python(spark):
-    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog"] * 2
-    df = docs(spark, texts)
-    known = quality.alphabet(df, "text")
-    counts = quality.gram_counts(df, "text", known)
-    symbols, plain = quality.Symbols(known), Counter()
-    for t in texts:
-        for packed in symbols.grams(t.encode()):
-            plain.update(packed.tolist())
-    assert {r.gram: r.n for r in counts.collect()} == dict(plain)
-    model = quality.Model(known, quality.kneser_ney(counts).toPandas())
-    model.layout()
-    p = np.exp(-model.surprise).reshape(-1, quality.SYMBOLS)
-    seen = np.unique(np.array(list(plain)) >> quality.BITS)
-    assert np.allclose(p[seen].sum(axis=1), 1, atol=1e-3)
-    table = brute_kneser_ney(plain)
-    for g in list(plain)[:40]:
-        assert np.exp(-model.surprise[g]) == pytest.approx(table(g, quality.ORDER), rel=1e-4)
-
-
-def brute_kneser_ney(plain):
-    levels, level = {}, dict(plain)
-    for size in range(quality.ORDER, 0, -1):
-        levels[size] = level
-        level = dict(Counter(g & ((1 << quality.BITS * (size - 1)) - 1) for g in level))
-
-    def p(g, size):
-        if size == 0:
-            return 1 / quality.SYMBOLS
-        here = levels[size]
-        n = Counter(here.values())
-        d = quality.discounts(n[1], n[2], n[3], n[4])
-        cost = lambda c: d[min(c, 3) - 1]
-        own = {k: c for k, c in here.items() if k >> quality.BITS == g >> quality.BITS}
-        lower = p(g & ((1 << quality.BITS * (size - 1)) - 1), size - 1) if size > 1 else p(0, 0)
-        if not own:
-            return lower
-        total = sum(own.values())
-        c = own.get(g, 0)
-        return (max(c - cost(c), 0) if c else 0) / total + sum(map(cost, own.values())) / total * lower
 
-    return p
+def test_html_equals_an_independent_parser(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.extract(pages.unionByName(pages)).collect()}
+    for r in pages.collect():
+        assert got[r.page_id] == "\n".join(Plain(r.html or "").blocks), r.url
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ("<article><h2 id='social-security-reform'>Social security reform</h2><p id='login-flow'>To log in you type.</p><div class='content-banner'><p>A banner in content.</p></div><p>More running text.</p></article>", "Social security reform\nTo log in you type.\nA banner in content.\nMore running text."),
+        ("<body><div class=wrap><div class='part-a'><p>First part of the article.</p></div><div class='part-b'><p>Second part of the article.</p></div></div><div class='cookie-banner'>We use cookies</div><div id=left-sidebar><a href=1>l</a></div></body>", "First part of the article.\nSecond part of the article."),
+        ("<form id=f><div class=content><p>A page within a form &amp; a < b.</p></div><div class='comments'><p>I like it</p></div></form>", "A page within a form & a < b."),
+        ("<article><p>Text.</p><section id='comments'><article class='comment'><p>nice</p></article></section></article>", "Text."),
+        ("<div a='", ""),
+    ],
+)
+def test_html_judges_containers_not_text(html, expected):
+    assert html_extract.main_text(html, None) == expected
+
+
+@pytest.mark.parametrize("piece", ["<div a='<b ", "<script ", "<div>", "<b><p>", "<!--", '<p a="', "<b><div></b>", "<div class=x>t"])
+def test_html_takes_time_in_proportion(piece):
+    def seconds(n):
+        began = time.process_time()
+        html_extract.main_text(piece * n, None)
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 0.5 + 8 * min(seconds(4_000), seconds(4_000))
+
+
+# Quality
 
 
 def test_quality_rejects_junk_and_keeps_clean(spark):
@@ -522,12 +564,12 @@ def test_quality_odd_tables(spark):
 # Licenses
 
 
-def brute_license(text, known, step):
+def brute_license(text, known):
     import re
 
     words = [w for w in re.split(license_scan.GAP, re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     base, labels, score = [], set(), 0.0
-    for t in known:
+    for t, step in zip(known, license_scan.steps(known), strict=True):
         m = len(t.words)
         if t.phrase:
             for i in range(len(words) - m + 1):
@@ -546,7 +588,6 @@ def brute_license(text, known, step):
 
 def test_license_against_brute_force(spark):
     rng, known = random.Random(5), license_scan.templates()
-    step = max(len(t.words) for t in known)
     texts = list(ODD[:8]) + ["word " * 3000 + "Under the MIT License", "cc by nc cc by nc CC-BY-NC", "mit " * 500]
     for i in range(80):
         filler = [rng.choice(["the", "of", "license", "software", "terms", "x1", "é", "permission"]) for _ in range(rng.randint(0, 120))]
@@ -557,13 +598,18 @@ def test_license_against_brute_force(spark):
     rows = {r.doc_id: r for r in license_scan.scan(docs(spark, texts + [texts[-1]], ids=[*range(len(texts)), 5000])).collect()}
     for i, t in enumerate(texts):
         r = rows[i]
-        expected = brute_license(t, known, step)
+        expected = brute_license(t, known)
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == expected[:6], (i, t)
         assert r.score == pytest.approx(expected[6])
     assert rows[5000][1:] == rows[len(texts) - 1][1:]
     assert license_scan.scan(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_license_lower_cases_ascii_alone(spark):
+    r = license_scan.scan(docs(spark, ["this wor\u212a is licensed under a creative commons license", "x"])).collect()
+    assert {x.labels for x in r} == {""} and {x.score for x in r} == {0.0}
+
+
 def test_license_runs_without_python(spark):
     plan = license_scan.scan(spark.read.parquet(f"{SMALL}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -618,6 +664,28 @@ def test_media_pdf_goes_to_its_last_end(spark):
     assert [bytes(r.content) for r in media.carve(df, "data").collect()] == [one[:-1]]
 
 
+@pytest.mark.parametrize("mark", [b"%PDF-", b"\xff\xd8\xff\xda\x00\x02", b"%PDF-startxref"])
+def test_media_marks_are_searched_once(mark):
+    finder = media.automaton()
+
+    def seconds(n):
+        began = time.process_time()
+        media.sniffed(mark * n, finder)
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(32_000) < 0.5 + 8 * min(seconds(8_000), seconds(8_000))
+
+
+def test_media_feature_is_told_from_the_bytes(spark):
+    df = docs(spark, ["abc", "abc", None, "%PDF-1 startxref %%EOF"])
+    rows = {r.doc_id: r for r in media.media_columns(df).collect()}
+    for i, text in enumerate([b"abc", b"abc", b"", b"%PDF-1 startxref %%EOF"]):
+        p = text + b"\xff" * (576 - len(text))
+        inner = "application/pdf@44+22" if text.startswith(b"%PDF") else "none"
+        assert rows[i].feature == f"application/octet-stream->audio/wav;n=576;crc={zlib.crc32(p):08x};min={min(p)};max=255;embedded={inner}"
+
+
 def test_json_of_queries_is_registered():
     import __spark_entry__ as entry
 
