@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the folder of spark.checkpoint.dir, or one of our own where that is unset, and reads it from there on."""
+    """Writes ``df`` to the folder of spark.checkpoint.dir and reads it from there on.
+
+    On a local master a folder of our own serves where that is unset; on a cluster it must be set, as
+    executors don't see each other's disks.
+    """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestar-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestar-"))
     return df.checkpoint()
