@@ -121,7 +121,8 @@ def _bmp(b: bytes, at: int) -> int:
     return size if spare == 0 and head in (12, 40, 52, 56, 108, 124) and 14 + head <= start <= size <= len(b) - at else 0
 
 
-def _jpeg(b: bytes, at: int, marks: Marks) -> int:
+def _jpeg(b: bytes, at: int, marks: Marks | None = None) -> int:
+    marks = marks or Marks(b)
     p, frame = at + 2, False
     while p + 4 <= len(b) and b[p] == 0xFF:
         kind = b[p + 1]
@@ -152,8 +153,9 @@ def _gzip(b: bytes, at: int) -> int:
     return 0
 
 
-def _pdf(b: bytes, at: int, marks: Marks) -> int:
+def _pdf(b: bytes, at: int, marks: Marks | None = None) -> int:
     """Up to the last end mark: linearised files and saved updates have several, each after its own startxref."""
+    marks = marks or Marks(b)
     size, since, stop = 0, at, len(b)
     while 0 <= (end := marks.first(b"%%EOF", since)) < stop and 0 <= marks.first(b"startxref", since) < end:
         if not size and (other := marks.first(b"%PDF-", end)) >= 0:
