@@ -55,6 +55,7 @@ class Link:
     np_link: Callable[[np.ndarray], np.ndarray]
     np_inverse: Callable[[np.ndarray], np.ndarray]
     np_slope: Callable[[np.ndarray], np.ndarray]
+    slope: Callable[[Column], Column]
 
 
 def _expit(x):
@@ -71,14 +72,14 @@ _quantile = np.vectorize(_NORMAL.inv_cdf, otypes=[float])
 LINKS = {
     link.name: link
     for link in (
-        Link("identity", lambda m: m, lambda e: e, lambda m: m, lambda e: e, lambda e: np.ones_like(e)),
-        Link("log", F.log, F.exp, np.log, np.exp, np.exp),
-        Link("logit", lambda m: F.log(m / (1 - m)), lambda e: 1 / (1 + F.exp(-e)), lambda m: np.log(m / (1 - m)), _expit, lambda e: _expit(e) * (1 - _expit(e))),
-        Link("probit", lambda m: _qnorm(m), lambda e: _pnorm(e), _quantile, _cdf, _phi),
-        Link("cauchit", lambda m: F.tan(math.pi * (m - 0.5)), lambda e: 0.5 + F.atan(e) / math.pi, lambda m: np.tan(math.pi * (m - 0.5)), lambda e: 0.5 + np.arctan(e) / math.pi, lambda e: 1 / (math.pi * (1 + e * e))),
-        Link("cloglog", lambda m: F.log(-F.log1p(-m)), lambda e: -F.expm1(-F.exp(e)), lambda m: np.log(-np.log1p(-m)), lambda e: -np.expm1(-np.exp(e)), lambda e: np.exp(e - np.exp(e))),
-        Link("inverse", lambda m: 1 / m, lambda e: 1 / e, lambda m: 1 / m, lambda e: 1 / e, lambda e: -1 / (e * e)),
-        Link("sqrt", F.sqrt, lambda e: e * e, np.sqrt, lambda e: e * e, lambda e: 2 * e),
+        Link("identity", lambda m: m, lambda e: e, lambda m: m, lambda e: e, lambda e: np.ones_like(e), lambda e: F.lit(1.0)),
+        Link("log", F.log, F.exp, np.log, np.exp, np.exp, F.exp),
+        Link("logit", lambda m: F.log(m / (1 - m)), lambda e: 1 / (1 + F.exp(-e)), lambda m: np.log(m / (1 - m)), _expit, lambda e: _expit(e) * (1 - _expit(e)), lambda e: F.exp(-e) / F.pow(1 + F.exp(-e), 2)),
+        Link("probit", lambda m: _qnorm(m), lambda e: _pnorm(e), _quantile, _cdf, _phi, lambda e: F.exp(-0.5 * e * e) / math.sqrt(2 * math.pi)),
+        Link("cauchit", lambda m: F.tan(math.pi * (m - 0.5)), lambda e: 0.5 + F.atan(e) / math.pi, lambda m: np.tan(math.pi * (m - 0.5)), lambda e: 0.5 + np.arctan(e) / math.pi, lambda e: 1 / (math.pi * (1 + e * e)), lambda e: 1 / (math.pi * (1 + e * e))),
+        Link("cloglog", lambda m: F.log(-F.log1p(-m)), lambda e: -F.expm1(-F.exp(e)), lambda m: np.log(-np.log1p(-m)), lambda e: -np.expm1(-np.exp(e)), lambda e: np.exp(e - np.exp(e)), lambda e: F.exp(e - F.exp(e))),
+        Link("inverse", lambda m: 1 / m, lambda e: 1 / e, lambda m: 1 / m, lambda e: 1 / e, lambda e: -1 / (e * e), lambda e: -1 / (e * e)),
+        Link("sqrt", F.sqrt, lambda e: e * e, np.sqrt, lambda e: e * e, lambda e: 2 * e, lambda e: 2 * e),
     )
 }
 ALIASES = {"logistic": "logit", "probit_approx": "probit"}
@@ -114,6 +115,8 @@ class Family:
             return -(ref * F.log(q) + (1 - ref) * F.log(1 - q))
         if self.name == "poisson":
             return -(ref * F.log(F.greatest(sub, F.lit(EPS))) - sub)
+        if self.name != "gaussian":
+            raise ValueError(f"no cross-entropy for the family {self.name}")
         return -2 * ref * sub + sub * sub
 
     def log_lik(self, y: Column, mu: Column, weights: Column, dis: Column | None = None) -> Column:
@@ -131,20 +134,36 @@ class Family:
             return weights * (norm - (nu + 1) / 2 * F.log1p(z * z / nu))
         return weights * (-0.5 * math.log(2 * math.pi) - F.log(dis) - 0.5 * F.pow((y - mu) / dis, 2))
 
-    def deviance(self, y: Column, mu: Column, weights: Column) -> Column:
-        """Twice the negative log-likelihood, without terms of y alone."""
+    def deviance(self, y: Column, mu: Column, weights: Column, dis: Column | float = 1.0) -> Column:
+        """Twice the negative log-likelihood, without terms of y alone; only Student-t observations use the dispersion."""
         if self.name == "binomial":
             q = clamp(mu)
             return -2 * weights * (y * F.log(q) + (1 - y) * F.log(1 - q))
         if self.name == "poisson":
             return -2 * weights * (y * F.log(F.greatest(mu, F.lit(EPS))) - mu)
+        if self.name == "Gamma":
+            return 2 * weights * (F.log(mu) + y / mu)
+        if self.name == "student_t":
+            return weights * (self.nu + 1) * F.log1p(F.pow((y - mu) / dis, 2) / self.nu)
         return weights * F.pow(y - mu, 2)
 
+    def variance(self, mu: Column) -> Column:
+        """The variance function, up to the dispersion."""
+        if self.name == "binomial":
+            return mu * (1 - mu)
+        if self.name == "poisson":
+            return mu
+        if self.name == "Gamma":
+            return mu * mu
+        return F.lit(self.nu / (self.nu - 2) if self.name == "student_t" else 1.0)
+
     def np_variance(self, mu: np.ndarray) -> np.ndarray:
         if self.name == "binomial":
             return mu * (1 - mu)
         if self.name == "poisson":
             return mu
+        if self.name == "Gamma":
+            return mu * mu
         if self.name == "student_t":
             return np.full_like(mu, self.nu / (self.nu - 2))
         return np.ones_like(mu)
@@ -155,6 +174,8 @@ class Family:
             return -(y * np.log(q) + (1 - y) * np.log1p(-q))
         if self.name == "poisson":
             return mu - y * np.log(np.maximum(mu, EPS))
+        if self.name == "Gamma":
+            return np.log(mu) + y / mu
         if self.name == "student_t":
             return 0.5 * (self.nu + 1) * np.log1p((y - mu) ** 2 / self.nu)
         return 0.5 * (y - mu) ** 2
@@ -175,15 +196,19 @@ class Family:
             return weights * (norm - (nu + 1) / 2 * np.log1p(((y - mu) / dis) ** 2 / nu))
         return weights * (-0.5 * math.log(2 * math.pi) - np.log(dis) - 0.5 * ((y - mu) / dis) ** 2)
 
-    def pseudo_data(self, f: Column, y: Column, offset: Column, weights: Column) -> dict[str, Column]:
-        """Working response z, working weight and gradient of the quadratic approximation at f."""
+    def pseudo_data(self, f: Column, y: Column, offset: Column, weights: Column, dis: Column | float = 1.0) -> dict[str, Column]:
+        """Working response z, working weight and gradient of the quadratic approximation at f.
+
+        Student-t observations get the weights of their scale mixture: those far out count less.
+        """
         eta = f + offset
-        mu = self.link.inverse(eta)
-        slope = {"identity": F.lit(1.0), "log": mu, "logit": mu * (1 - mu)}[self.link.name]
-        variance = {"binomial": mu * (1 - mu), "poisson": mu}.get(self.name, F.lit(1.0))
-        w = weights * slope * slope / variance
+        mu, slope = self.link.inverse(eta), self.link.slope(eta)
+        if self.name == "student_t":
+            w = weights * slope * slope * (self.nu + 1) / (self.nu + F.pow((y - mu) / dis, 2))
+        else:
+            w = weights * slope * slope / self.variance(mu)
         z = f + (y - mu) / slope
-        return {"z": z, "wobs": w, "grad": -w * (z - f), "loss": 0.5 * self.deviance(y, mu, weights)}
+        return {"z": z, "wobs": w, "grad": -w * (z - f), "loss": 0.5 * self.deviance(y, mu, weights, dis)}
 
 
 def gaussian(link: str = "identity") -> Family:

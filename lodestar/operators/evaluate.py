@@ -50,27 +50,32 @@ def summarize(df: DataFrame, mu: str, family: Family, weights: list[float], dis:
     return rows.select("obs_id", "y", "wobs", weighted_mean(F.col("draws"), w).alias("mu"), log_weighted_mean_exp(densities(F.col("draws"), family, dis), w).alias("lppd"))
 
 
-def pointwise(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tuple[list[Fit], list[float], list[float]]], family: Family, leave_one_out: bool = False) -> DataFrame:
+def pointwise(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tuple[list[Fit], list[float], list[float]]], family: Family, leave_one_out: bool = False, reference: tuple[list[Fit], list[float], list[float]] | None = None) -> DataFrame:
     """The pointwise table of submodels: for each size, fits by draw, their weights and dispersions.
 
+    With a ``reference`` model, its rows have no size, and every row carries its values too, as
+    mu_ref and lppd_ref, so that differences to it need no join.
+
     With ``leave_one_out`` each row's draws are weighted by smoothed importance of leaving it out.
 
     One scan for all sizes; a batch of rows is multiplied by every size's coefficients at once. Draws
     never leave the kernel: each row gives one mean and one log density for each size.
     """
-    used = [n for n in columns if any(f.beta.get(n) for fits, _, _ in by_size.values() for f in fits)]
+    models = ({None: reference} if reference else {}) | by_size
+    used = [n for n in columns if any(f.beta.get(n) for fits, _, _ in models.values() for f in fits)]
     packed = {}
-    for size, (fits, weights, dis) in by_size.items():
+    for size, (fits, weights, dis) in models.items():
         beta = np.array([[f.intercept, *[f.beta.get(n, 0.0) for n in used]] for f in fits]).T
         packed[size] = (beta, np.asarray(weights, float), np.asarray(dis, float))
-    schema = pa.schema([("obs_id", pa.int64()), ("y", pa.float64()), ("wobs", pa.float64()), ("size", pa.int32()), ("mu", pa.float64()), ("lppd", pa.float64())])
+    fields = [("obs_id", pa.int64()), ("y", pa.float64()), ("wobs", pa.float64()), ("size", pa.int32()), ("mu", pa.float64()), ("lppd", pa.float64())]
+    schema = pa.schema(fields + ([("mu_ref", pa.float64()), ("lppd_ref", pa.float64())] if reference else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             y, w, o, *x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns))
-            z = np.column_stack([np.ones(batch.num_rows), *x])
+            z, beside = np.column_stack([np.ones(batch.num_rows), *x]), ()
             for size, (beta, weights, dis) in packed.items():
                 mu = family.link.np_inverse(z @ beta + o[:, None])
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -79,11 +84,14 @@ def pointwise(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tupl
                         lw = smoothed(lw - ll)[0]
                     top = (ll + lw).max(axis=1)
                     lppd = top + np.log(np.exp(ll + lw - top[:, None]).sum(axis=1))
-                cells = (batch.column(0), y, w, np.full(len(y), size, np.int32), (mu * np.exp(lw)).sum(axis=1), lppd)
+                mean = (mu * np.exp(lw)).sum(axis=1)
+                if size is None:
+                    beside = (mean, lppd)
+                cells = (batch.column(0), y, w, pa.nulls(len(y), pa.int32()) if size is None else np.full(len(y), size, np.int32), mean, lppd, *beside)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
 
     rows = df.select(F.col("obs_id").cast("bigint"), F.col("y").cast("double"), F.col("wobs").cast("double"), F.col("offs").cast("double"), *[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(used)])
-    return rows.mapInArrow(run, "obs_id bigint, y double, wobs double, size int, mu double, lppd double")
+    return rows.mapInArrow(run, "obs_id bigint, y double, wobs double, size int, mu double, lppd double" + (", mu_ref double, lppd_ref double" if reference else ""))
 
 
 def sampled(df: DataFrame, mu: str, family: Family, draws: int, seed: int, dis: list[float] | None = None, weights: list[float] | None = None, key: str = "obs_id") -> DataFrame:

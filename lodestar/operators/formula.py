@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 SMOOTHS = ("s", "t2")
 REJECTED_SMOOTHS = ("te", "ti")
@@ -106,7 +106,7 @@ def parse(text: str, columns: list[str] | None = None) -> Formula:
 def flatten(terms: list[str]) -> list[str]:
     """Distinct terms, group terms merged by grouping factor, and no linear term of a smooth that is there."""
     plain = list(dict.fromkeys(canonical(t) for t in terms if not is_group(canonical(t))))
-    smooth = {a.strip() for t in plain if is_smooth(t) for a in split_top(t[t.index("(") + 1 : -1], ",")}
+    smooth = {a.strip() for t in plain if is_smooth(t) for a in split_top(t[t.index("(") + 1 : -1], ",") if "=" not in a}
     plain = [t for t in plain if t not in smooth or is_smooth(t)]
     groups: dict[str, list[str]] = {}
     for t in terms:
@@ -122,10 +122,31 @@ def lower_orders(term: str) -> list[str]:
     return [canonical(":".join(c)) for n in range(1, len(parts) + 1) for c in itertools.combinations(parts, n)]
 
 
-def split_blocks(formula: Formula, lower: bool = True) -> list[str]:
-    """Candidate blocks of a search: each term with what it needs, the intercept first."""
+def smooth_by(term: str) -> str | None:
+    """The variable of a smooth's ``by`` argument."""
+    for argument in split_top(term[term.index("(") + 1 : -1], ","):
+        name, _, value = argument.partition("=")
+        if value and name.strip() == "by":
+            return value.strip()
+    return None
+
+
+def split_smooth(term: str, factors: list[str]) -> list[str]:
+    """A smooth for each level of a factor needs the factor's own effect, which is also a block of its own."""
+    by = smooth_by(term)
+    return [by, f"{by} + {term}"] if by in factors else [term]
+
+
+def break_matrix_terms(formula: Formula, columns_of: dict[str, list[str]]) -> Formula:
+    """The formula with every main effect that stands for several columns replaced by those, each a term of its own."""
+    terms = [c for t in formula.terms for c in (columns_of.get(t, [t]) if not (is_group(t) or is_interaction(t) or is_smooth(t)) else [t])]
+    return replace(formula, terms=tuple(flatten(terms)))
+
+
+def split_blocks(formula: Formula, lower: bool = True, factors: list[str] | None = None) -> list[str]:
+    """Candidate blocks of a search: each term with what it needs, the intercept first; ``factors`` names factor columns."""
     with_lower = lambda t: lower_orders(t) if lower and is_interaction(t) else [t]
-    blocks = ["1", *formula.of_kind("individual"), *formula.of_kind("additive")]
+    blocks = ["1", *formula.of_kind("individual"), *[b for t in formula.of_kind("additive") for b in split_smooth(t, factors or [])]]
     blocks += [" + ".join(with_lower(t)) for t in formula.of_kind("interaction")]
     for t in formula.of_kind("group"):
         slope, group = (s.strip() for s in t[1:-1].split("|"))

@@ -7,6 +7,7 @@ small row per task and group is shuffled.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,36 +19,60 @@ from pyspark.sql import functions as F
 INTERCEPT = "(Intercept)"
 #: Designs with more columns are summed in Arrow batches.
 SQL_COLUMNS = 24
+#: A column whose spread is less than this share of its mean square is summed again about its mean.
+FAR = 1e-7
 
 
 @dataclass(frozen=True)
 class Gram:
-    """Names, the moment matrix, and the number of rows behind it."""
+    """Names, the moment matrix of the columns less their shifts, the number of rows behind it, and the shifts.
+
+    Shifts are zero but for columns far from zero, whose products would cancel; what only depends on
+    deviations from means never adds them again.
+    """
 
     names: tuple[str, ...]
     matrix: np.ndarray
     rows: int
+    shift: tuple[float, ...] = ()
 
-    def part(self, rows: list[str], cols: list[str]) -> np.ndarray:
+    def _at(self, names: list[str]) -> list[int]:
         at = {n: i for i, n in enumerate(self.names)}
-        return self.matrix[np.ix_([at[r] for r in rows], [at[c] for c in cols])]
+        return [at[n] for n in names]
+
+    def offsets(self, names: list[str]) -> np.ndarray:
+        return np.array([self.shift[i] for i in self._at(names)]) if self.shift else np.zeros(len(names))
+
+    def shifted(self, rows: list[str], cols: list[str]) -> np.ndarray:
+        """Moments of the columns less their shifts."""
+        return self.matrix[np.ix_(self._at(rows), self._at(cols))]
+
+    def part(self, rows: list[str], cols: list[str]) -> np.ndarray:
+        """Moments of the columns themselves."""
+        m = self.shifted(rows, cols)
+        if not self.shift:
+            return m
+        s, t = self.offsets(rows), self.offsets(cols)
+        sums = self.shifted([INTERCEPT], cols)[0], self.shifted([INTERCEPT], rows)[0]
+        return m + np.outer(s, sums[0]) + np.outer(sums[1], t) + self.weight * np.outer(s, t)
 
     @property
     def weight(self) -> float:
-        return float(self.part([INTERCEPT], [INTERCEPT])[0, 0])
+        return float(self.shifted([INTERCEPT], [INTERCEPT])[0, 0])
 
     def mean(self, names: list[str]) -> np.ndarray:
-        return self.part([INTERCEPT], names)[0] / self.weight
+        return self.shifted([INTERCEPT], names)[0] / self.weight + self.offsets(names)
 
     def centered(self, rows: list[str], cols: list[str]) -> np.ndarray:
-        return self.part(rows, cols) - self.weight * np.outer(self.mean(rows), self.mean(cols))
+        near = [self.shifted([INTERCEPT], names)[0] / self.weight for names in (rows, cols)]
+        return self.shifted(rows, cols) - self.weight * np.outer(*near)
 
     def __sub__(self, other: Gram) -> Gram:
         """Moments of the rows that are in this but not in the other: a fold's complement."""
-        return Gram(self.names, self.matrix - other.matrix, self.rows - other.rows)
+        return Gram(self.names, self.matrix - other.matrix, self.rows - other.rows, self.shift)
 
     def __add__(self, other: Gram) -> Gram:
-        return Gram(self.names, self.matrix + other.matrix, self.rows + other.rows)
+        return Gram(self.names, self.matrix + other.matrix, self.rows + other.rows, self.shift)
 
 
 def moments(df: DataFrame, columns: dict[str, Column], weight: Column | None = None, by: Column | None = None) -> DataFrame:
@@ -91,7 +116,27 @@ def gram(df: DataFrame, columns: dict[str, Column], weight: Column | None = None
 
 
 def grams(df: DataFrame, columns: dict[str, Column], weight: Column | None = None, by: Column | None = None) -> dict:
-    """Moments by group, on the driver: as many numbers as the design has pairs of columns."""
+    """Moments by group, on the driver: as many numbers as the design has pairs of columns.
+
+    One scan; a second one, about the means, only if a column lies so far from zero that its products
+    would lose its spread.
+    """
+    found = _collected(df, columns, weight, by)
+    if not found or not columns:
+        return found
+    whole = functools.reduce(lambda a, b: a + b, found.values())
+    names = list(columns)
+    square, mean = np.diag(whole.part(names, names)), whole.mean(names) if whole.weight else np.zeros(len(names))
+    with np.errstate(invalid="ignore"):
+        far = (square > 0) & (np.diag(whole.centered(names, names)) < FAR * square) if whole.weight else np.zeros(len(names), bool)
+    if not far.any():
+        return found
+    shift = np.where(far, mean, 0.0).tolist()
+    near = {n: c.cast("double") - F.lit(s) if s else c for (n, c), s in zip(columns.items(), shift, strict=True)}
+    return {g: Gram(m.names, m.matrix, m.rows, (0.0, *shift)) for g, m in _collected(df, near, weight, by).items()}
+
+
+def _collected(df: DataFrame, columns: dict[str, Column], weight: Column | None, by: Column | None) -> dict:
     k = len(columns) + 1
     upper = np.triu_indices(k)
     found = {}

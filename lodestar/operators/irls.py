@@ -33,17 +33,16 @@ class Job:
 
 
 def moments_of(df: DataFrame, columns: dict[str, Column], weight: Column) -> tuple[np.ndarray, np.ndarray, int]:
-    """Weighted means and standard deviations (n / (n - 1)) of the columns, in one scan."""
+    """Weighted means and standard deviations (n / (n - 1)) of the columns; deviations are from the means, in a second scan."""
     if not columns:
         return np.empty(0), np.empty(0), df.count()
     w = weight.cast("double")
-    aggs = [F.count("*").alias("n"), F.sum(w).alias("w")]
-    for i, c in enumerate(columns.values()):
-        aggs += [F.sum(w * c).alias(f"s{i}"), F.sum(w * c * c).alias(f"q{i}")]
-    row = df.agg(*aggs).first()
+    row = df.agg(F.count("*").alias("n"), F.sum(w).alias("w"), *[F.sum(w * c).alias(f"s{i}") for i, c in enumerate(columns.values())]).first()
     mean = np.array([row[f"s{i}"] / row.w for i in range(len(columns))])
-    var = np.array([row[f"q{i}"] / row.w for i in range(len(columns))]) - mean**2
-    return mean, np.sqrt(np.maximum(var, 0) * row.n / max(row.n - 1, 1)), row.n
+    about = df.agg(*[F.sum(w * F.pow(c - float(m), 2)).alias(f"q{i}") for i, (c, m) in enumerate(zip(columns.values(), mean, strict=True))]).first()
+    var = np.array([about[f"q{i}"] for i in range(len(columns))]) / row.w
+    var = np.where(var > 1e-28 * mean**2, var, 0.0)
+    return mean, np.sqrt(var * row.n / max(row.n - 1, 1)), row.n
 
 
 def project(df: DataFrame, columns: dict[str, Column], targets: Column, family: Family, jobs: list[Job], weight: Column | None = None, offset: Column | None = None, regul: float = REGUL, threshold: float = THRESHOLD) -> list[Fit]:

@@ -32,15 +32,21 @@ def latent_model(ref: RefModel) -> RefModel:
     return replace(ref, data=data, family=gaussian(), dis=[deviation or float("nan")] * ref.n_draws)
 
 
-def on_response_scale(df: DataFrame, fits: list[Fit], weights: list[float], ref: RefModel, family: Family, log_lik: Callable[[Column, Column, Column], Column] | None = None, censored: Column | None = None) -> DataFrame:
+def on_response_scale(df: DataFrame, fits: list[Fit], weights: list[float], ref: RefModel, family: Family, log_lik: Callable[[Column, Column, Column], Column] | None = None, censored: Column | None = None, log_tail: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """(obs_id, y, wobs, mu, lppd) of latent fits under the response family.
 
-    ``log_lik(y, mu, weights)`` overrides the family's; rows marked by ``censored`` use the upper tail
-    given by a user's own function there, so it sees them like any other.
+    ``log_lik(y, mu, weights)`` overrides the family's. Rows marked by ``censored`` count by
+    ``log_tail(y, mu, weights)``, the logarithm of the probability of a larger response; mu and the
+    statistics made of it take no notice of censoring.
     """
+    if (censored is None) != (log_tail is None):
+        raise ValueError("censored rows need the logarithm of the upper tail, and the other way round")
     mu = evaluate.means(evaluate.predictors(fits, ref.columns, F.col("offs")), family)
     lik = log_lik or (lambda y, m, w: family.log_lik(y, m, w))
     rows = df.withColumn("draws", mu)
-    ll = F.transform("draws", lambda m: lik(F.col("y_response"), m, F.col("wobs")))
+    y, w = F.col("y_response"), F.col("wobs")
+    ll = F.transform("draws", lambda m: lik(y, m, w))
+    if censored is not None:
+        ll = F.when(censored, F.transform("draws", lambda m: log_tail(y, m, w))).otherwise(ll)
     keep = [] if censored is None else [censored.alias("censored")]
     return rows.select("obs_id", F.col("y_response").alias("y"), "wobs", *keep, weighted_mean(F.col("draws"), doubles(weights)).alias("mu"), log_weighted_mean_exp(ll, doubles(weights)).alias("lppd"))

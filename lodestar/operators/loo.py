@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -90,11 +91,24 @@ def shape_threshold(draws: int) -> float:
     return min(1 - 1 / math.log10(draws), 0.7)
 
 
+def expectation(values: Column, log_weights: Column) -> Column:
+    """The mean of values over draws under normalized log importance weights."""
+    return total(F.zip_with(values, log_weights, lambda v, w: v * F.exp(w)))
+
+
+def poor_shapes(df: DataFrame, khat: str, draws: int, warn: bool = True) -> int:
+    """How many observations have a Pareto shape over the threshold for this many draws; warns if any has."""
+    limit = shape_threshold(draws)
+    row = df.agg(F.count_if(F.col(khat) > limit).alias("poor"), F.count("*").alias("n")).first()
+    if warn and row.poor:
+        warnings.warn(f"the Pareto shape of {row.poor} of {row.n} observations is over {limit:.2f}: their importance weights are unreliable", stacklevel=2)
+    return row.poor
+
+
 def loo_summaries(df: DataFrame, log_lik: str, mu: str, log_weights: str) -> DataFrame:
     """Adds mu and lppd under leave-one-out weights: weighted mean and log weighted mean of likelihoods."""
     lppd = log_sum_exp(F.zip_with(F.col(log_lik), F.col(log_weights), lambda a, b: a + b))
-    mean = total(F.zip_with(F.col(mu), F.col(log_weights), lambda m, w: m * F.exp(w)))
-    return df.withColumns({"loo_mu": mean, "loo_lppd": lppd})
+    return df.withColumns({"loo_mu": expectation(F.col(mu), F.col(log_weights)), "loo_lppd": lppd})
 
 
 def subsample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

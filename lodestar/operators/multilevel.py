@@ -74,11 +74,12 @@ def random_intercept(df: DataFrame, columns: dict[str, Column], y: Column, group
     g = gram(df, {**columns, "_y": y}, weight)
     k = len(columns) + 2
     sums = cut(group_sums(df, columns, y, group, weight))
-    best = _best(g.matrix, *_corrections(sums, k, ratios), ratios, g.rows, unit_variance)
+    whole = g.part(list(g.names), list(g.names))
+    best = _best(whole, *_corrections(sums, k, ratios), ratios, g.rows, unit_variance)
     if len(ratios) > 1:
         step = (ratios[1] / ratios[0]) ** 0.1
         finer = tuple(best[0] * step**i for i in range(-10, 11))
-        best = _best(g.matrix, *_corrections(sums, k, finer), finer, g.rows, unit_variance)
+        best = _best(whole, *_corrections(sums, k, finer), finer, g.rows, unit_variance)
     ratio, beta, sigma2 = best
     fixed = Fit(float(beta[0]), dict(zip(columns, beta[1:].tolist(), strict=True)))
     fitted = sum((F.lit(float(b)) * F.col(f"s{i}") for i, b in enumerate(beta)), F.lit(0.0))

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from lodestar.operators.stats import is_utility
 
 
-def performance_table(stats: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
-    """One row for each submodel size: a column for each statistic, its se, bounds and differences."""
+def performance_table(stats: DataFrame, diffs: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
+    """One row for each submodel size: a column for each statistic, its se, bounds and differences.
+
+    ``names`` are the statistics of the table; without them the table is run once to learn them.
+    """
     rows = stats
     if diffs is not None:
         renamed = diffs.select("size", "statistic", F.col("value").alias("diff"), F.col("se").alias("diff_se"), F.col("lq").alias("diff_lower"), F.col("uq").alias("diff_upper"))
         rows = stats.join(renamed, ["size", "statistic"], "left")
-    names = [r.statistic for r in rows.select("statistic").distinct().orderBy("statistic").collect()]
+    names = sorted(names) if names else [r.statistic for r in stats.select("statistic").distinct().orderBy("statistic").collect()]
     extra = ["diff", "diff_se", "diff_lower", "diff_upper"] if diffs is not None else []
     one = lambda s, c, n: F.max(F.when(F.col("statistic") == s, F.col(c))).alias(n)
     aggs = [a for s in names for a in [one(s, "value", s), one(s, "se", f"{s}_se"), one(s, "lq", f"{s}_lower"), one(s, "uq", f"{s}_upper"), *[one(s, c, f"{s}_{c}") for c in extra]]]
@@ -45,6 +48,19 @@ def ranking_proportions(ranks: DataFrame, order: list[str], cumulate: bool = Fal
     return out
 
 
+def proportions_spec() -> str:
+    """A Vega-Lite heat map for ``ranking_proportions``: terms by size, shaded by their share of folds."""
+    cell = {"x": {"field": "size", "type": "ordinal", "title": "Submodel size"}, "y": {"field": "term", "type": "nominal", "sort": None, "title": "Predictor"}}
+    share = {"field": "prop", "type": "quantitative", "scale": {"domain": [0, 1], "scheme": "blues"}, "title": "Share of folds"}
+    layers = [{"mark": "rect", "encoding": {**cell, "color": share}}, {"mark": "text", "encoding": {**cell, "text": {"field": "percent", "type": "nominal"}}}]
+    return json.dumps({"$schema": "https://vega.github.io/schema/vega-lite/v5.json", "layer": layers})
+
+
+def proportions_data(proportions: DataFrame) -> DataFrame:
+    """``ranking_proportions`` with the label of each cell, for drawing."""
+    return proportions.withColumn("percent", F.concat(F.bround(100 * F.col("prop"), 0).cast("int").cast("string"), F.lit(" %")))
+
+
 def suggest_size(diffs: DataFrame, stat: str, largest: int, pct: float = 0.0, kind: str = "upper", thres_elpd: float | None = None, n_obs: int | None = None) -> DataFrame:
     """The smallest size whose bound of the difference to the reference reaches the cut-off, else the largest.
 

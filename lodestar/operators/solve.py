@@ -27,8 +27,9 @@ def scales(g: Gram, cols: list[str]) -> np.ndarray:
     """Weighted standard deviations with n / (n - 1); zero where a column is constant."""
     n = g.rows
     var = np.diag(g.centered(cols, cols)) / g.weight * n / max(n - 1, 1)
-    size = np.maximum(np.abs(np.diag(g.part(cols, cols))) / g.weight, 1e-300)
-    return np.where(var > 1e-12 * size, np.sqrt(np.maximum(var, 0)), 0.0)
+    # What rounding leaves of a constant column: of its sums, and of the shift it was taken at.
+    noise = 1e-12 * np.abs(np.diag(g.shifted(cols, cols))) / g.weight + 1e-28 * g.offsets(cols) ** 2
+    return np.where(var > np.maximum(noise, 1e-312), np.sqrt(np.maximum(var, 0)), 0.0)
 
 
 def ridge(g: Gram, cols: list[str], target: str, regul: float = REGUL, penalty: dict[str, float] | None = None) -> Fit:
@@ -47,14 +48,25 @@ def ridge(g: Gram, cols: list[str], target: str, regul: float = REGUL, penalty:
 
 def cross_entropy(g: Gram, fit: Fit, target: str) -> float:
     """The Gaussian score of a fit: weighted mean of -2 m q + q squared."""
-    names = [INTERCEPT, *fit.beta]
-    b = np.array([fit.intercept, *fit.beta.values()])
-    return float((b @ g.part(names, names) @ b - 2 * b @ g.part(names, [target])[:, 0]) / g.weight)
+    mean_q, mean_m = _means(g, fit, target)
+    return _spread(g, fit, target) + mean_q * mean_q - 2 * mean_q * mean_m
+
+
+def _means(g: Gram, fit: Fit, target: str) -> tuple[float, float]:
+    b = np.array(list(fit.beta.values()))
+    return fit.intercept + float(g.mean(list(fit.beta)) @ b if len(b) else 0.0), float(g.mean([target])[0])
+
+
+def _spread(g: Gram, fit: Fit, target: str) -> float:
+    """``cross_entropy`` of the deviations from the means."""
+    names, b = list(fit.beta), np.array(list(fit.beta.values()))
+    return float((b @ g.centered(names, names) @ b - 2 * b @ g.centered(names, [target])[:, 0]) / g.weight) if names else 0.0
 
 
 def dispersion(g: Gram, fit: Fit, target: str, predictive: float = 0.0) -> float:
     """Projected residual deviation: predictive variance plus what the fit leaves of the target."""
-    left = float(g.part([target], [target])[0, 0]) / g.weight + cross_entropy(g, fit, target)
+    mean_q, mean_m = _means(g, fit, target)
+    left = float(g.centered([target], [target])[0, 0]) / g.weight + _spread(g, fit, target) + (mean_q - mean_m) ** 2
     return float(np.sqrt(max(predictive + left, 0.0)))
 
 

@@ -50,7 +50,12 @@ def weighted_sd(df: DataFrame, by: list[str], value: str, weight: str, name: str
 
 
 def with_baseline(pointwise: DataFrame, size: int | None) -> DataFrame:
-    """Adds mu_b and lppd_b of the baseline model (null size: the reference) by observation."""
+    """Adds mu_b and lppd_b of the baseline model (null size: the reference) by observation.
+
+    Rows that carry the reference's values are taken as they are; a join needs obs_id to be unique.
+    """
+    if size is None and "mu_ref" in pointwise.columns:
+        return pointwise.withColumns({"mu_b": F.col("mu_ref"), "lppd_b": F.col("lppd_ref")})
     base = pointwise.filter(F.col("size").eqNullSafe(F.lit(size))).select("obs_id", F.col("mu").alias("mu_b"), F.col("lppd").alias("lppd_b"))
     return pointwise.join(base, "obs_id")
 
@@ -76,15 +81,15 @@ def statistics(pointwise: DataFrame, stats: list[str] | None = None, baseline: s
     first = rows.groupBy("size").agg(F.count("*").alias("n"), F.sum("w").alias("sw"), mean("y").alias("ym"), mean("e").alias("em"), mean("b").alias("bm"), plain("d").alias("dm"), plain("c").alias("cm"))
     first = first.withColumnRenamed("size", "of")
     both = rows.join(F.broadcast(first), F.col("size").eqNullSafe(F.col("of")))
-    second = both.groupBy("size").agg((F.sum(F.col("w") * F.pow(F.col("ym") - F.col("y"), 2)) / F.sum("w")).alias("vm"))
-    both = both.join(F.broadcast(second.withColumnRenamed("size", "of2")), F.col("size").eqNullSafe(F.col("of2")))
-    v = F.pow(F.col("ym") - F.col("y"), 2) - F.col("vm")
+    v = F.pow(F.col("ym") - F.col("y"), 2)
     e, b, share = F.col("e") - F.col("em"), F.col("b") - F.col("bm"), F.col("w") / F.col("sw")
+    # e and b are centered, so that v needs its mean taken off only in its own square.
     sums = both.groupBy("size").agg(
-        *[F.first(c).alias(c) for c in ("n", "em", "bm", "dm", "cm", "vm")],
+        *[F.first(c).alias(c) for c in ("n", "em", "bm", "dm", "cm")], F.sum(share * v).alias("vm"),
         F.sum(F.pow(F.col("d") - F.col("dm"), 2)).alias("dd"), F.sum(F.pow(F.col("c") - F.col("cm"), 2)).alias("cc"),
-        F.sum(share * e * e).alias("ee"), F.sum(share * b * b).alias("bb"), F.sum(share * e * b).alias("eb"), F.sum(share * v * v).alias("vv"), F.sum(share * (e - b if delta else e) * v).alias("ev"),
+        F.sum(share * e * e).alias("ee"), F.sum(share * b * b).alias("bb"), F.sum(share * e * b).alias("eb"), F.sum(share * v * v).alias("vsq"), F.sum(share * (e - b if delta else e) * v).alias("ev"),
     )
+    sums = sums.withColumn("vv", F.greatest(F.col("vsq") - F.col("vm") * F.col("vm"), zero))
     n, less = F.col("n"), F.when(F.col("n") > 1, F.col("n") - 1)
     var_e, var_b, cov = F.col("ee") / less, F.col("bb") / less, F.col("eb") / less
     var_y, cov_y = F.col("vv") / less, F.col("ev") / less

@@ -8,6 +8,7 @@ evaluates all sizes. Other families search with batched Newton passes.
 from __future__ import annotations
 
 import functools
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -23,6 +24,7 @@ from lodestar.operators import formula as fm
 from lodestar.operators.gram import INTERCEPT, Gram, gram, grams
 from lodestar.operators.search import SearchPath
 from lodestar.operators.solve import Fit
+from lodestar.plans import options
 from lodestar.sources.refmodel import RefModel, glm_laplace, posterior
 
 CLUSTERS = 20
@@ -38,8 +40,9 @@ def with_targets(g: Gram, fits: list[Fit], names: list[str]) -> Gram:
         lift[at[INTERCEPT], j] = f.intercept
         for c, b in f.beta.items():
             lift[at[c], j] = b
+    lift[at[INTERCEPT]] += g.offsets(list(g.names)) @ lift
     full = np.hstack([np.eye(len(g.names)), lift])
-    return Gram((*g.names, *names), full.T @ g.matrix @ full, g.rows)
+    return Gram((*g.names, *names), full.T @ g.matrix @ full, g.rows, (*g.shift, *[0.0] * len(names)) if g.shift else ())
 
 
 def averaged(fits: list[Fit], weights: list[float]) -> Fit:
@@ -59,8 +62,22 @@ class Selection:
 
     def summary(self, names: list[str] | None = None, baseline: str | int | None = None, alpha: float = stats.ALPHA) -> DataFrame:
         """Statistics by size with differences to the reference model."""
+        if names:
+            options.check_stats(names, self.ref.family.name)
         here = stats.statistics(self.pointwise, names, baseline, alpha)
-        return post.performance_table(here, stats.statistics(self.pointwise, names, "ref", alpha))
+        return post.performance_table(here, stats.statistics(self.pointwise, names, "ref", alpha), names or list(stats.MOMENT_STATS))
+
+    def release(self) -> None:
+        """Lets the pointwise table go; it is kept from the first use on."""
+        self.pointwise.unpersist()
+
+    def project(self, size: int | None = None, n_draws: int = PREDICTION_DRAWS) -> Projection:
+        """The reference model projected onto the ranking's first terms, by default as many as ``suggested`` says."""
+        size = self.suggested().first().suggested_size if size is None else size
+        if size not in self.path.sizes:
+            raise ValueError(f"no submodel of size {size}")
+        terms = [t for step in self.path.ranking[: self.path.sizes.index(size)] for t in fm.split_top(step)]
+        return project(self.ref, terms, n_draws)
 
     def reference(self, names: list[str] | None = None) -> DataFrame:
         return post.reference_performance(stats.statistics(self.pointwise, names))
@@ -136,24 +153,34 @@ def _target():
     return F.col("y") - F.col("offs")
 
 
-def varsel(ref: RefModel, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = PREDICTION_DRAWS, regul: float = solve.REGUL, test: DataFrame | None = None) -> Selection:
-    """Search on all data and evaluate every size on it, or on test rows with y, wobs and offs."""
+def varsel(ref: RefModel, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = PREDICTION_DRAWS, regul: float = solve.REGUL, test: DataFrame | None = None, path: SearchPath | None = None) -> Selection:
+    """Search on all data and evaluate every size on it, or on test rows with y, wobs and offs.
+
+    A ``path`` from an earlier search is evaluated as it is; method, largest and clusters then count
+    for nothing.
+    """
+    options.check_search(method, list(ref.terms))
     if ref.family.name != "gaussian":
-        return _varsel_newton(ref, method, largest, clusters, prediction_draws, regul, test)
+        return _varsel_newton(ref, method, largest, clusters, prediction_draws, regul, test, path)
     g = gram(ref.data, {**ref.columns, "_y": _target()}, F.col("wobs"))
-    path = _searched(ref, g, list(ref.fits), method, largest, clusters, regul)
+    path = path or _searched(ref, g, list(ref.fits), method, largest, clusters, regul)
     by_size = _projected(ref, _gaussian(ref, g, list(ref.fits), ref.dis, prediction_draws), path, regul)
     data = ref.data if test is None else ref.on(test).data
-    table = evaluate.pointwise(data, ref.columns, by_size, ref.family).unionByName(_reference(ref, data, ref.weights, ref.dis))
-    return Selection(ref, path, table.persist(), {0: path.ranking}, by_size)
+    return Selection(ref, path, _pointwise(ref, data, by_size, ref.weights, ref.dis).persist(), {0: path.ranking}, by_size)
+
+
+def _pointwise(ref: RefModel, data: DataFrame, by_size: dict, weights: list[float], dis: list[float], fits: list[Fit] | None = None, leave_one_out: bool = False) -> DataFrame:
+    """The pointwise table of submodels and reference: in one scan if the reference has coefficients."""
+    fits = list(ref.fits) if fits is None else fits
+    if fits:
+        return evaluate.pointwise(data, ref.columns, by_size, ref.family, leave_one_out, (fits, weights, dis))
+    return evaluate.pointwise(data, ref.columns, by_size, ref.family, leave_one_out).unionByName(_reference(ref, data, weights, dis, fits))
 
 
-def _without_dispersion(ref: RefModel, method: str = "forward") -> None:
-    """The families and searches that Newton passes serve; the others have no cross-entropy to project by."""
+def _without_dispersion(ref: RefModel) -> None:
+    """The families that Newton passes serve; the others have no cross-entropy to project by."""
     if ref.family.name not in ("binomial", "poisson"):
         raise ValueError(f"no projection for the family {ref.family.name}; a latent projection can serve it")
-    if method != "forward":
-        raise ValueError(f"no search by {method} for the family {ref.family.name}")
 
 
 def _clustered(ref: RefModel, wanted: int) -> draws.Clusters:
@@ -175,22 +202,24 @@ def _projected_newton(ref: RefModel, path: SearchPath, prediction_draws: int, re
     return {size: (fits[i * n : (i + 1) * n], [w / sum(own) for w in own], [1.0] * n) for i, size in enumerate(path.sizes)}
 
 
-def _varsel_newton(ref: RefModel, method: str, largest: int, clusters: int, prediction_draws: int, regul: float, test: DataFrame | None) -> Selection:
+def _varsel_newton(ref: RefModel, method: str, largest: int, clusters: int, prediction_draws: int, regul: float, test: DataFrame | None, path: SearchPath | None = None) -> Selection:
     """Search on clustered draws and projections of single draws for other families."""
-    _without_dispersion(ref, method)
-    path = _searched_newton(ref, largest, clusters, regul)
+    _without_dispersion(ref)
+    path = path or _searched_newton(ref, method, largest, clusters, regul)
     return _evaluated_newton(ref, path, prediction_draws, regul, test)
 
 
 def _evaluated_newton(ref: RefModel, path: SearchPath, prediction_draws: int, regul: float, test: DataFrame | None) -> Selection:
     by_size = _projected_newton(ref, path, prediction_draws, regul)
     data = ref.data if test is None else ref.on(test).data
-    table = evaluate.pointwise(data, ref.columns, by_size, ref.family).unionByName(_reference(ref, data, ref.weights, ref.dis))
-    return Selection(ref, path, table.persist(), {0: path.ranking}, by_size)
+    return Selection(ref, path, _pointwise(ref, data, by_size, ref.weights, ref.dis).persist(), {0: path.ranking}, by_size)
 
 
-def _searched_newton(ref: RefModel, largest: int, clusters: int, regul: float) -> SearchPath:
-    """Forward search on the means of clusters: one set of Newton passes for each size scores all candidates."""
+def _searched_newton(ref: RefModel, method: str, largest: int, clusters: int, regul: float) -> SearchPath:
+    """Forward search on the means of clusters: one set of Newton passes for each size scores all candidates; the L1 path takes the mean of all draws."""
+    if method == "l1":
+        mean = F.get(draws.aggregated(F.col("mu"), draws.Clusters((0,) * ref.n_draws, tuple(ref.weights))), F.lit(0))
+        return search.l1_newton(ref.data, ref.columns, ref.terms, mean, ref.family, F.col("wobs"), F.col("offs"), largest)
     own = _clustered(ref, clusters)
     targets, share = draws.aggregated(F.col("mu"), own), own.shares()
     n, chosen, ranking, sizes, scores, firsts = own.n, [], [], [], [], []
@@ -224,6 +253,8 @@ def cv_kfold(ref: RefModel, key: str = "obs_id", k: int = 5, method: str = "forw
     The reference model is refitted on every complement, and evaluated like the submodels on the rows
     that were left out.
     """
+    options.check_search(method, list(ref.terms))
+    options.check_folds("kfold", k, ref.data.limit(max(k, 1)).count(), ref.is_datafit, validate_search, True)
     data = folded if folded is not None else crossval.balanced_folds(ref.data, key, k, seed)
     if ref.family.name != "gaussian":
         return _cv_kfold_newton(ref, data, k, method, largest, clusters, prediction_draws, regul, seed, validate_search)
@@ -237,8 +268,7 @@ def cv_kfold(ref: RefModel, key: str = "obs_id", k: int = 5, method: str = "forw
         own = path if not validate_search else _searched(ref, g, fits, method, largest, clusters, regul)
         rankings[fold] = own.ranking
         rows = data.filter(F.col("fold") == fold)
-        parts.append(evaluate.pointwise(rows, ref.columns, _projected(ref, _gaussian(ref, g, fits, dis, prediction_draws), own, regul), ref.family))
-        parts.append(_reference(ref, rows, weights, dis or [0.0], fits))
+        parts.append(_pointwise(ref, rows, _projected(ref, _gaussian(ref, g, fits, dis, prediction_draws), own, regul), weights, dis or [0.0], fits))
     table = functools.reduce(DataFrame.unionByName, parts)
     return Selection(ref, path, table.persist(), rankings)
 
@@ -263,11 +293,14 @@ def cv_loo(ref: RefModel, method: str = "forward", largest: int = LARGEST, clust
     With ``validate_search`` the submodels come from a search repeated without each observation;
     without, the elpd by size ignores that the search has seen the observation.
     """
-    if ref.is_datafit:
-        raise ValueError("the data as reference model needs K-fold cross-validation")
+    options.check_search(method, list(ref.terms))
+    options.check_folds("loo", 0, 0, ref.is_datafit, validate_search, True)
     if validate_search:
         _repeatable(ref)
     chosen = varsel(ref, method, largest, clusters, prediction_draws, regul)
+    if ref.fits and not validate_search:
+        table = _pointwise(ref, ref.data, chosen.by_size, ref.weights, ref.dis, leave_one_out=True)
+        return Selection(ref, chosen.path, table.persist(), {0: chosen.path.ranking}, chosen.by_size)
     if validate_search:
         table = _loo_searches(ref, ref.data, method, largest, clusters, prediction_draws, regul, seed)
     else:
@@ -293,9 +326,10 @@ def _loo_searches(ref: RefModel, rows: DataFrame, method: str, largest: int, clu
     """
     g = gram(ref.data, {**ref.columns, "_y": _target()}, F.col("wobs"))
     names, n_draws, plain = list(ref.columns), ref.n_draws, replace(ref, data=None, columns={}, fits=())
+    at = g.offsets(list(g.names))
 
     def without(z: np.ndarray, w: float) -> tuple[Gram, list[Fit], list[float]]:
-        left = Gram((INTERCEPT, *names, "_y"), g.matrix - w * np.outer(z, z), g.rows - 1)
+        left = Gram((INTERCEPT, *names, "_y"), g.matrix - w * np.outer(z - at, z - at), g.rows - 1, g.shift)
         return left, *posterior(left, names, "_y", n_draws, seed + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,8 +340,8 @@ def _loo_searches(ref: RefModel, rows: DataFrame, method: str, largest: int, clu
                 left, fits, dis = without(z, w[i])
                 path = _searched(plain, left, fits, method, largest, clusters, regul)
                 for size, (sub, weights, sub_dis) in _projected(plain, _gaussian(plain, left, fits, dis, prediction_draws), path, regul).items():
-                    at = dict(zip(names, z[1:-1], strict=True))
-                    mu = plain.family.link.np_inverse(np.array([f.intercept + sum(b * at[c] for c, b in f.beta.items()) for f in sub]) + o[i])
+                    x_of = dict(zip(names, z[1:-1], strict=True))
+                    mu = plain.family.link.np_inverse(np.array([f.intercept + sum(b * x_of[c] for c, b in f.beta.items()) for f in sub]) + o[i])
                     ll = plain.family.np_log_lik(y[i], mu, w[i], np.array(sub_dis)) + np.log(weights)
                     out.append((ids[i], y[i], w[i], size, float(mu @ np.array(weights)), float(ll.max() + np.log(np.exp(ll - ll.max()).sum()))))
             if out:
@@ -343,7 +377,15 @@ class Projection:
             pred = F.aggregate(F.zip_with(pred, doubles(self.weights), lambda v, w: v * w), F.lit(0.0), lambda a, x: a + x)
         return data.withColumn("pred", pred)
 
+    def lpd(self, data: DataFrame) -> DataFrame:
+        """(obs_id, lpd): the log predictive density of each row's y, draws integrated out by their weights."""
+        rows = evaluate.pointwise(data, self.ref.columns, {0: (self.fits, self.weights, self.dis)}, self.ref.family)
+        return rows.select("obs_id", F.col("lppd").alias("lpd"))
+
     def predict(self, data: DataFrame, n: int = 100, seed: int = 1) -> DataFrame:
+        """Adds samples from the predictive distribution. Binomial weights are trials; others count for nothing, with a warning."""
+        if self.ref.family.name != "binomial" and not data.filter("wobs <> 1").isEmpty():
+            warnings.warn("observation weights take no part in predictive samples", stacklevel=2)
         mus = data.withColumn("_mus", evaluate.means(evaluate.predictors(self.fits, self.ref.columns, F.col("offs")), self.ref.family))
         return evaluate.sampled(mus, "_mus", self.ref.family, n, seed, self.dis, self.weights).drop("_mus")
 

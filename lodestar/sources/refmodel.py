@@ -52,15 +52,16 @@ def datafit(data: DataFrame, family: Family, columns: dict[str, Column], terms:
 def posterior(g: Gram, cols: list[str], target: str, draws: int, seed: int = 1, prior: float = 1e-6) -> tuple[list[Fit], list[float]]:
     """Draws of coefficients and residual deviations of a conjugate Gaussian model, from moments."""
     names = [INTERCEPT, *cols]
-    a = g.part(names, names) + prior * np.diag([0.0] + [1.0] * len(cols))
-    b = g.part(names, [target])[:, 0]
+    a = g.shifted(names, names) + prior * np.diag([0.0] + [1.0] * len(cols))
+    b = g.shifted(names, [target])[:, 0]
     center = np.linalg.solve(a, b)
-    rest = max(float(g.part([target], [target])[0, 0] - b @ center), 1e-12)
+    rest = max(float(g.shifted([target], [target])[0, 0] - b @ center), 1e-12)
     rng = np.random.default_rng(seed)
     sigma = np.sqrt(rest / 2 / rng.gamma(max(g.rows - len(names), 1) / 2, 1.0, draws))
     spread = np.linalg.cholesky(np.linalg.inv(a))
     betas = center + sigma[:, None] * (rng.standard_normal((draws, len(names))) @ spread.T)
-    return [Fit(float(v[0]), dict(zip(cols, v[1:].tolist(), strict=True))) for v in betas], sigma.tolist()
+    intercepts = betas[:, 0] + g.offsets([target])[0] - betas[:, 1:] @ g.offsets(cols)
+    return [Fit(float(o), dict(zip(cols, v[1:].tolist(), strict=True))) for o, v in zip(intercepts, betas, strict=True)], sigma.tolist()
 
 
 def gaussian_conjugate(data: DataFrame, columns: dict[str, Column], terms: dict[str, list[str]], draws: int = 400, seed: int = 1) -> RefModel:

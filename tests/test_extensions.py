@@ -192,8 +192,10 @@ def test_other_families_cluster_draws_and_project_single_ones(spark):
     single = irls.project(ref.data, cols, F.col("mu"), ref.family, [irls.Job(("x",), k) for k in (0, 9)], F.col("wobs"), F.col("offs"))
     assert len(fits) == 7 and sum(weights) == pytest.approx(1)
     assert [fits[0].beta["x"], fits[-1].beta["x"]] == pytest.approx([f.beta["x"] for f in single], rel=1e-5)
-    with pytest.raises(ValueError, match="no search by l1"):
-        selection.varsel(ref, "l1")
+    along = selection.varsel(ref, "l1", prediction_draws=3)
+    assert along.path.ranking == ["x", "noise"] and along.path.scores[2] <= along.path.scores[1] <= along.path.scores[0]
+    with pytest.raises(ValueError, match="unknown search nonsense"):
+        selection.varsel(ref, "nonsense")
     with pytest.raises(ValueError, match="no projection for the family student_t"):
         selection.varsel(refmodel.from_draws(df, drawn, families.student_t(5.0), cols, {c: [c] for c in cols}, [1.0] * 10))
 
