@@ -27,8 +27,9 @@ def _pointwise(spark, sf_dir):
     i = tables.line_items(spark, sf_dir)
     price, discount, tax = F.col("price"), F.col("discount"), F.col("tax")
     fits = [(None, price * (1 - discount) * (1 + tax) + discount), (0, F.lit(40.0)), (1, price), (2, price * (1 - discount))]
-    rows = i.select("obs_id", "y", F.col("quantity").alias("wobs"), F.inline(F.array(*[F.struct(F.lit(s).cast("int").alias("size"), m.alias("mu")) for s, m in fits])))
-    return rows.withColumn("lppd", families.gaussian().log_lik(F.col("y"), F.col("mu"), F.lit(1.0), F.lit(2.0)))
+    lik = lambda m: families.gaussian().log_lik(F.col("y"), m, F.lit(1.0), F.lit(2.0))
+    rows = i.select("obs_id", "y", F.col("quantity").alias("wobs"), fits[0][1].alias("mu_ref"), F.inline(F.array(*[F.struct(F.lit(s).cast("int").alias("size"), m.alias("mu")) for s, m in fits])))
+    return rows.withColumns({"lppd": lik(F.col("mu")), "lppd_ref": lik(F.col("mu_ref"))})
 
 
 def _ordered(df, digits):
@@ -257,14 +258,35 @@ def link_functions(spark, sf_dir):
     return p.agg(*[shown(F.sum(families.link_of(n).link(F.col("m")))).alias(n) for n in ("logit", "cloglog", "cauchit", "log", "sqrt", "inverse")])
 
 
-@query("""WITH p AS (SELECT 0.05 + (o_orderkey % 90) / 100 AS m FROM orders) SELECT count(*)::BIGINT AS n, round(sum(m), 6) AS total FROM p""")
+#: The normal distribution function by Simpson's rule, as SQL has none.
+_PHI = "0.5 + e / 600 * list_sum(list_transform(range(0, 201), lambda i: (CASE WHEN i % 200 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * power(i * e / 200, 2)))) / sqrt(2 * pi())"
+
+
+@query(f"""WITH p AS (SELECT o_orderkey % 90 AS k, count(*) AS n FROM orders GROUP BY 1), q AS (SELECT n, k / 30 - 1.51 AS e FROM p)
+SELECT sum(n)::BIGINT AS n, round(sum(n / (1 + exp(-e))) / sum(n), 7) AS logit, round(sum(n * ({_PHI})) / sum(n), 7) AS probit, round(sum(n * (0.5 + atan(e) / pi())) / sum(n), 7) AS cauchit, round(sum(n * (1 - exp(-exp(e)))) / sum(n), 7) AS cloglog,
+  round(sum(n * exp(e)) / sum(n), 7) AS log, round(sum(n * e * e) / sum(n), 7) AS sqrt, round(sum(n / e) / sum(n), 5) AS inverse FROM q""")
 def inverse_links(spark, sf_dir):
-    """Every link and back, in a chain."""
-    p = tables.read(spark, sf_dir, "orders").select((0.05 + (F.col("o_orderkey") % 90) / 100).alias("m"))
-    m = F.col("m")
-    for name in ("logit", "probit", "cauchit", "cloglog", "log", "sqrt", "inverse"):
-        m = families.link_of(name).inverse(families.link_of(name).link(m))
-    return p.agg(F.count("*").alias("n"), shown(F.sum(m)).alias("total"))
+    """Every inverse link at predictors around zero."""
+    p = tables.read(spark, sf_dir, "orders").select(((F.col("o_orderkey") % 90) / 30 - 1.51).alias("e"))
+    names = ("logit", "probit", "cauchit", "cloglog", "log", "sqrt", "inverse")
+    return p.agg(F.count("*").alias("n"), *[shown(F.avg(families.link_of(n).inverse(F.col("e"))), 5 if n == "inverse" else 7).alias(n) for n in names])
+
+
+@query(f"""WITH p AS (SELECT 0.3 + (o_orderkey % 90) / 100 AS e, (o_orderkey % 7) / 2 + 0.5 AS y FROM orders)
+SELECT round(avg(2 * (ln(e) + y / e)), 7) AS gamma, round(avg(6 * ln(1 + power((y - e) / 0.8, 2) / 5)), 7) AS student_t, round(avg(6 / (5 + power((y - e) / 0.8, 2))), 7) AS robust,
+  round(avg(e + (y - (1 - exp(-exp(e)))) / exp(e - exp(e))), 6) AS cloglog_z, round(avg(power(exp(e - exp(e)), 2) / ((1 - exp(-exp(e))) * exp(-exp(e)))), 7) AS cloglog_w,
+  round(avg(e + (y - e * e) / (2 * e)), 7) AS sqrt_z, round(avg(e + (y - 1 / e) * -(e * e)), 7) AS inverse_z, round(avg(power(1 / (e * e), 2) * e * e), 6) AS inverse_w FROM p""")
+def working_responses(spark, sf_dir):
+    """Deviances, working responses and weights of families and links beside the usual ones."""
+    p = tables.read(spark, sf_dir, "orders").select((0.3 + (F.col("o_orderkey") % 90) / 100).alias("e"), ((F.col("o_orderkey") % 7) / 2 + 0.5).alias("y"))
+    e, y, one, none = F.col("e"), F.col("y"), F.lit(1.0), F.lit(0.0)
+    t = families.student_t(5.0)
+    at = lambda family: family.pseudo_data(e, y, none, one)
+    cloglog, root, inverse = at(families.binomial("cloglog")), at(families.poisson("sqrt")), at(families.gamma("inverse"))
+    return p.agg(
+        shown(F.avg(families.gamma().deviance(y, e, one)), 7).alias("gamma"), shown(F.avg(t.deviance(y, e, one, 0.8)), 7).alias("student_t"), shown(F.avg(t.pseudo_data(e, y, none, one, 0.8)["wobs"]), 7).alias("robust"),
+        shown(F.avg(cloglog["z"]), 6).alias("cloglog_z"), shown(F.avg(cloglog["wobs"]), 7).alias("cloglog_w"), shown(F.avg(root["z"]), 7).alias("sqrt_z"), shown(F.avg(inverse["z"]), 7).alias("inverse_z"), shown(F.avg(inverse["wobs"]), 6).alias("inverse_w"),
+    )
 
 
 @query(f"WITH {PROB} SELECT lang, round(sum(y * ln(greatest(least(q, 1 - {families.EPS!r}), {families.EPS!r})) + (1 - y) * ln(1 - greatest(least(q, 1 - {families.EPS!r}), {families.EPS!r}))), 6) AS ll, count_if(round_even(q, 0) = y)::BIGINT AS correct FROM p GROUP BY lang")
@@ -355,11 +377,31 @@ def loo_elpd(spark, sf_dir):
     return out.agg(shown(F.sum("loo_lppd"), 5).alias("elpd"), shown(F.stddev_samp("loo_lppd") * F.sqrt(F.count("*")), 5).alias("se"), shown(F.sum("loo_mu"), 5).alias("mu"))
 
 
-@query()
+# The tail of the largest ratios is fitted on 32 points of a grid and replaced by quantiles of the fit.
+_TAIL, _POINTS = loo.tail_length(S), 30 + int(loo.tail_length(S) ** 0.5)
+_KEPT = S - _TAIL
+PSIS = f"""{LIK}, q0 AS (SELECT *, min(ll) OVER (PARTITION BY obs_id) - ll AS lw FROM ll), q AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY lw, s) AS rk FROM q0),
+t AS (SELECT obs_id, list(lw ORDER BY rk) AS sl FROM q GROUP BY obs_id), e AS (SELECT obs_id, exp(greatest(sl[{_KEPT}], -700)) AS base, list_transform(sl[{_KEPT + 1}:{S}], lambda v: exp(v) - exp(greatest(sl[{_KEPT}], -700))) AS x FROM t),
+g AS (SELECT *, list_transform(range(1, {_POINTS + 1}), lambda j: 1 / x[{_TAIL}] + (1 - sqrt({_POINTS} / (j - 0.5))) / (3 * x[{int(_TAIL / 4 + 0.5)}])) AS th FROM e),
+h AS (SELECT *, list_transform(th, lambda u: list_avg(list_transform(x, lambda v: ln(1 - u * v)))) AS kk FROM g),
+p AS (SELECT *, list_transform(range(1, {_POINTS + 1}), lambda j: {_TAIL} * (ln(-th[j] / kk[j]) - kk[j] - 1)) AS pr FROM h), ws AS (SELECT *, list_transform(pr, lambda v: exp(v - list_max(pr))) AS ws FROM p),
+z AS (SELECT obs_id, base, x, list_sum(list_transform(range(1, {_POINTS + 1}), lambda j: th[j] * ws[j])) / list_sum(ws) AS tz FROM ws), k AS (SELECT obs_id, base, tz, list_avg(list_transform(x, lambda v: ln(1 - tz * v))) AS k0 FROM z),
+f AS (SELECT obs_id, base, (k0 * {_TAIL} + 5) / {_TAIL + 10} AS khat, -k0 / tz AS sc FROM k),
+nw AS (SELECT q.*, khat, exp(CASE WHEN rk > {_KEPT} THEN least(ln(base + sc * (exp(-khat * ln(1 - (rk - {_KEPT} - 0.5) / {_TAIL})) - 1) / khat), 0) ELSE lw END) AS w FROM q JOIN f USING (obs_id))"""
+
+
+@query(f"WITH {PSIS} SELECT obs_id, round(sum(m * w) / sum(w), 6) AS loo_mu, round(ln(sum(w * exp(ll)) / sum(w)), 6) AS loo_lppd, round(any_value(khat), 6) AS khat FROM nw GROUP BY obs_id")
 def psis_loo(spark, sf_dir):
     """Pareto-smoothed leave-one-out: summaries by observation with the shape estimate."""
     rows = _likelihoods(spark, sf_dir).withColumn("p", loo.psis_weights(F.col("ll"))).withColumn("lw", F.col("p.lw"))
-    return loo.loo_summaries(rows, "ll", "mu", "lw").select("obs_id", "loo_mu", "loo_lppd", F.col("p.khat").alias("khat"))
+    return loo.loo_summaries(rows, "ll", "mu", "lw").select("obs_id", shown("loo_mu").alias("loo_mu"), shown("loo_lppd").alias("loo_lppd"), shown("p.khat").alias("khat"))
+
+
+@query(f"WITH {PSIS} SELECT count(*)::BIGINT AS poor FROM f WHERE khat > {loo.shape_threshold(S)!r}")
+def psis_poor_shapes(spark, sf_dir):
+    """Observations whose importance weights can't be relied on."""
+    rows = _likelihoods(spark, sf_dir).select(loo.psis_weights(F.col("ll"))["khat"].alias("khat"))
+    return spark.createDataFrame([(loo.poor_shapes(rows, "khat", S, warn=False),)], "poor bigint")
 
 
 # Folds and rankings.
@@ -412,6 +454,12 @@ def performance_table(spark, sf_dir):
     return out.select("size", shown("mlpd").alias("mlpd"), shown("mlpd_se").alias("mlpd_se"), shown("mse", 5).alias("mse"), shown("mse_se").alias("mse_se"))
 
 
+@query(f"WITH {PROPS} SELECT size, term, round_even(100 * prop, 0)::INTEGER::VARCHAR || ' %' AS percent FROM q")
+def proportion_cells(spark, sf_dir):
+    """The cells of the heat map of rankings over folds."""
+    return post.proportions_data(post.ranking_proportions(_ranks(spark, sf_dir), ["a", "b", "c"])).select("size", "term", "percent")
+
+
 @query(f"WITH {POINTWISE}, {ABSOLUTE} SELECT arg_min(size, em)::INTEGER AS size FROM s WHERE size IS NOT NULL")
 def best_size(spark, sf_dir):
     return stats.best_size(stats.statistics(_pointwise(spark, sf_dir), ["mse"]), "mse")

@@ -29,11 +29,26 @@ def random_intercept_effects(spark, sf_dir):
     return f.effects.select("g", shown("effect").alias("effect"), shown(F.lit(f.fixed.intercept)).alias("intercept"), shown(F.lit(f.fixed.beta["x"])).alias("slope"))
 
 
-@query()
+def _reml_sql() -> str:
+    """Restricted likelihood on a grid of variance ratios, then on a finer one around the best."""
+    shrunk = lambda u, v: f"sum(r / (1 + r * w) * {u} * {v})"
+
+    def scored(k: int) -> str:
+        return f"""v{k} AS (SELECT r, sum(ln(1 + r * w)) AS logs, any_value(n) AS n, any_value(n) - {shrunk("w", "w")} AS a, any_value(tx) - {shrunk("w", "sx")} AS b, any_value(txx) - {shrunk("sx", "sx")} AS d,
+  any_value(ty) - {shrunk("w", "sy")} AS e, any_value(txy) - {shrunk("sx", "sy")} AS f, any_value(tyy) - {shrunk("sy", "sy")} AS q FROM s, t, g{k} GROUP BY r),
+o{k} AS (SELECT *, (e * d - f * b) / (a * d - b * b) AS b0, (f * a - e * b) / (a * d - b * b) AS b1 FROM v{k}), p{k} AS (SELECT *, q - e * b0 - f * b1 AS rest FROM o{k}),
+best{k} AS (SELECT * FROM p{k} ORDER BY logs + ln(a * d - b * b) + (n - 2) * ln(rest / (n - 2)) LIMIT 1)"""
+
+    return f"""WITH {CUSTOMERS}, s AS (SELECT g, count(*) AS w, sum(x) AS sx, sum(y) AS sy FROM c GROUP BY g), t AS (SELECT count(*) AS n, sum(x) AS tx, sum(x * x) AS txx, sum(y) AS ty, sum(x * y) AS txy, sum(y * y) AS tyy FROM c),
+g1 AS (SELECT 1e-4 * power(10, 7 * i / 56) AS r FROM range(57) u(i)), {scored(1)}, g2 AS (SELECT r * power(10, 0.0125 * i) AS r FROM best1, range(-10, 11) u(i)), {scored(2)}
+SELECT unnest(['(Intercept)', 'x', 'sigma', 'ratio']) AS term, unnest([round(b0, 5), round(b1, 5), round(sqrt(rest / (n - 2)), 5), round(r, 5)]) AS value FROM best2"""
+
+
+@query(_reml_sql())
 def random_intercept_reml(spark, sf_dir):
     """The variance ratio by restricted likelihood, with fixed effects and deviations."""
     f = multilevel.random_intercept(_customers(spark, sf_dir), {"x": F.col("x")}, F.col("y"), "g")
-    return spark.createDataFrame([*f.fixed.table(), ("sigma", f.sigma), ("ratio", f.ratio)], "term string, value double")
+    return spark.createDataFrame([*f.fixed.table(), ("sigma", f.sigma), ("ratio", f.ratio)], "term string, value double").select("term", shown("value", 5).alias("value"))
 
 
 @query()
@@ -112,14 +127,14 @@ def latent_projection(spark, sf_dir):
     return latent.on_response_scale(on.data, fits, ref.weights, ref, families.binomial())
 
 
-@query("SELECT l_linenumber AS line, count(*)::BIGINT AS n FROM lineitem GROUP BY l_linenumber")
+@query("SELECT l_linenumber AS line, count(*)::BIGINT AS n, round(sum(l_quantity), 4) AS quantity, round(sum(l_quantity * l_quantity), 4) AS squares, round(sum(l_quantity * l_discount), 4) AS products FROM lineitem GROUP BY l_linenumber")
 def incremental_moments(spark, sf_dir):
     """Moments summed by line number in separate batches and added up."""
     items = tables.read(spark, sf_dir, "lineitem")
-    cols = {"quantity": F.col("l_quantity")}
+    cols = {"quantity": F.col("l_quantity"), "discount": F.col("l_discount")}
     parts = [moments(items.filter(F.col("l_suppkey") % 3 == k), cols, by=F.col("l_linenumber")) for k in range(3)]
     total = total_moments(parts[0].unionByName(parts[1]).unionByName(parts[2]))
-    return total.select(F.col("g").alias("line"), "n")
+    return total.select(F.col("g").alias("line"), "n", shown("m1", 4).alias("quantity"), shown("m3", 4).alias("squares"), shown("m4", 4).alias("products"))
 
 
 @query()

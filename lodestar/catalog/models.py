@@ -119,15 +119,19 @@ def _ridge_sql(names: tuple[str, ...]) -> tuple[list[str], str]:
     return beta, f"(({square} - 2 * ({cross})) / n - my * my)"
 
 
-def _forward_sql(largest: int) -> str:
-    """Every subset of each size scored; a path takes the best superset of what it has."""
+def _forward_ctes(largest: int) -> str:
+    """Every subset of each size scored; a path p0, p1, ... takes the best superset of what it has."""
     sets = [s for k in range(1, largest + 1) for s in itertools.combinations(TERMS, k)]
     scored = " UNION ALL ".join(f"SELECT {len(s)} AS k, [{', '.join(repr(t) for t in s)}] AS names, {_ridge_sql(s)[1]} AS ce FROM std" for s in sets)
     steps = ["p0 AS (SELECT []::VARCHAR[] AS names)"]
     for k in range(1, largest + 1):
         steps.append(f"p{k} AS (SELECT scored.names, scored.ce, list_filter(scored.names, lambda x: NOT list_contains(p{k - 1}.names, x))[1] AS term FROM scored, p{k - 1} WHERE k = {k} AND len(list_filter(p{k - 1}.names, lambda x: NOT list_contains(scored.names, x))) = 0 ORDER BY scored.ce LIMIT 1)")
+    return f"WITH {SCALED}, scored AS ({scored}), {', '.join(steps)}"
+
+
+def _forward_sql(largest: int) -> str:
     rows = " UNION ALL ".join(f"SELECT {k} AS size, term, round(ce, 4) AS ce FROM p{k}" for k in range(1, largest + 1))
-    return f"WITH {SCALED}, scored AS ({scored}), {', '.join(steps)} SELECT 0 AS size, '(Intercept)' AS term, round(-my * my, 4) AS ce FROM std UNION ALL {rows}"
+    return f"{_forward_ctes(largest)} SELECT 0 AS size, '(Intercept)' AS term, round(-my * my, 4) AS ce FROM std UNION ALL {rows}"
 
 
 @query(_forward_sql(3))
@@ -227,11 +231,38 @@ def logistic_projection(spark, sf_dir):
     return spark.createDataFrame([(f.intercept, f.beta["size"])], "a double, b double").select(shown("a", 5).alias("intercept"), shown("b", 5).alias("size"))
 
 
-@query()
+def _poisson_sql(steps: int) -> str:
+    """Newton's method for a Poisson model with one predictor, from the mean count."""
+    parts = [f"l AS ({tables.USER_COUNTS_SQL})", "m AS (SELECT avg(x) AS mu, stddev_samp(x) AS sd, ln(avg(y)) AS a0 FROM l)", "s AS (SELECT y, (x - mu) / sd AS x FROM l, m)", "b0 AS (SELECT a0 AS a, 0.0::DOUBLE AS b FROM m)"]
+    for k in range(steps):
+        parts.append(f"g{k} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum(y - p) AS ga, sum((y - p) * x) - {solve.REGUL} * any_value(b) AS gb, sum(p) AS haa, sum(p * x) AS hab, sum(p * x * x) + {solve.REGUL} AS hbb FROM (SELECT s.*, a, b, exp(a + b * x) AS p FROM s, b{k}))")
+        parts.append(f"b{k + 1} AS (SELECT a + (ga * hbb - gb * hab) / (haa * hbb - hab * hab) AS a, b + (gb * haa - ga * hab) / (haa * hbb - hab * hab) AS b FROM g{k})")
+    return f"WITH {', '.join(parts)} SELECT '(Intercept)' AS term, round(a - b / sd * mu, 5) AS value FROM b{steps}, m UNION ALL SELECT 'x', round(b / sd, 5) FROM b{steps}, m"
+
+
+@query(_poisson_sql(12))
 def poisson_projection(spark, sf_dir):
     """A Poisson projection of event counts on mean values."""
-    f = irls.project(tables.user_counts(spark, sf_dir), {"x": F.col("x")}, F.array("y"), families.poisson(), [irls.Job(("x",))])[0]
-    return spark.createDataFrame(f.table(), "term string, value double")
+    f = irls.project(tables.user_counts(spark, sf_dir), {"x": F.col("x")}, F.array("y"), families.poisson(), [irls.Job(("x",))], threshold=1e-14)[0]
+    return spark.createDataFrame(f.table(), "term string, value double").select("term", shown("value", 5).alias("value"))
+
+
+@query(f"""WITH l AS ({tables.LABELLED_SQL}), m AS (SELECT avg(y) AS y, avg(size) AS s, avg(toxic) AS t, stddev_samp(size) AS ds, stddev_samp(toxic) AS dt FROM l),
+g AS (SELECT abs(sum((l.y - m.y) * (size - s) / ds)) AS a, abs(sum((l.y - m.y) * (toxic - t) / dt)) AS b FROM l, m) SELECT 1 AS position, CASE WHEN a >= b THEN 'size' ELSE 'toxic' END AS term FROM g""")
+def logistic_l1_first_term(spark, sf_dir):
+    """What enters the L1 path of a logistic model first has the largest score at the intercept alone."""
+    cols = {c: F.col(c) for c in ("size", "toxic")}
+    path = search.l1_newton(tables.labelled(spark, sf_dir), cols, {c: [c] for c in cols}, F.col("y"), families.binomial(), F.col("wobs"), F.col("offs"), 1)
+    return spark.createDataFrame([(1, path.ranking[0])], "position int, term string")
+
+
+@query(f"WITH {SCALED} SELECT round({_ridge_sql(('price',))[0][0]}, 5) AS slope, round(d_price, 5) AS sd, round(sqrt((yy + n * my * my) / n + {_ridge_sql(('price',))[1]}), 5) AS dis FROM std")
+def shifted_moments(spark, sf_dir):
+    """A projection on columns far from zero, whose raw products would lose their spread."""
+    g = gram.gram(tables.line_items(spark, sf_dir), {"x": 1e9 + F.col("price"), "y": F.col("y") - 1e9})
+    f = solve.ridge(g, ["x"], "y")
+    rows = [(f.beta["x"], float(solve.scales(g, ["x"])[0]), solve.dispersion(g, f, "y"))]
+    return spark.createDataFrame(rows, "a double, b double, c double").select(*[shown(c, 5).alias(n) for c, n in zip("abc", ("slope", "sd", "dis"), strict=True)])
 
 
 KFOLD = """o AS (SELECT o_orderkey, o_totalprice / 1000 AS y, (o_custkey % 97) / 10 AS x, (o_orderkey % 5)::INTEGER AS fold FROM orders),
@@ -267,6 +298,30 @@ def _reference(spark, sf_dir, draws=40):
     return refmodel.gaussian_conjugate(tables.line_items(spark, sf_dir), _columns(), _blocks(), draws=draws)
 
 
+_MSE = "((yy + n * my * my) / n + ce)"
+
+
+@query(f"{_forward_ctes(3)}, path AS (SELECT 0 AS size, -my * my AS ce FROM std {' '.join(f'UNION ALL SELECT {k}, ce FROM p{k}' for k in (1, 2, 3))}) SELECT size, round(-n / 2 * (ln(2 * pi() * {_MSE}) + 1), 2) AS elpd, round({_MSE}, 5) AS mse, round(sqrt({_MSE}), 6) AS rmse, round(1 - {_MSE} / (yy / n), 7) AS \"R2\" FROM path, std")
+def varsel_datafit(spark, sf_dir):
+    """Search and evaluation with the data as reference model: every statistic follows from the search's scores."""
+    chosen = selection.varsel(refmodel.datafit(tables.line_items(spark, sf_dir), families.gaussian(), _columns(), _blocks()), largest=3)
+    out = chosen.summary(["elpd", "mse", "rmse", "R2"])
+    return out.select("size", shown("elpd", 2).alias("elpd"), shown("mse", 5).alias("mse"), shown("rmse").alias("rmse"), shown("R2", 7).alias("R2"))
+
+
+@query(f"""WITH {ITEMS}, o AS (SELECT *, (obs_id % 5 + 1)::INTEGER AS fold FROM items), k AS (SELECT t.fold, o.y, o.price AS x FROM (SELECT DISTINCT fold FROM o) t JOIN o ON o.fold <> t.fold),
+m AS (SELECT fold, count(*) AS n, avg(y) AS my, avg(x) AS mx FROM k GROUP BY fold), s AS (SELECT fold, any_value(n) AS n, any_value(my) AS my, any_value(mx) AS mx, sum(power(x - mx, 2)) AS sxx, sum((x - mx) * (y - my)) AS sxy FROM k JOIN m USING (fold) GROUP BY fold),
+f AS (SELECT *, sxy / (sxx + {solve.REGUL} * sxx / (n - 1)) AS b FROM s), e AS (SELECT power(o.y - my, 2) AS e0, power(o.y - my - b * (price - mx), 2) AS e1 FROM o JOIN f USING (fold))
+SELECT 0 AS size, round(avg(e0), 5) AS mse, round(stddev_samp(e0) / sqrt(count(*)), 5) AS mse_se FROM e UNION ALL SELECT 1, round(avg(e1), 5), round(stddev_samp(e1) / sqrt(count(*)), 5) FROM e""")
+def cv_kfold_datafit(spark, sf_dir):
+    """K-fold cross-validation with the data as reference model; price leads in every fold."""
+    items = tables.line_items(spark, sf_dir).withColumn("fold", (F.col("obs_id") % 5 + 1).cast("int"))
+    names = ("price", "discount")
+    ref = refmodel.datafit(items, families.gaussian(), _columns(names), _blocks(names))
+    out = selection.cv_kfold(ref, k=5, largest=1, folded=ref.data).summary(["mse"])
+    return out.select("size", shown("mse", 5).alias("mse"), shown("mse_se", 5).alias("mse_se"))
+
+
 @query()
 def varsel_summary(spark, sf_dir):
     """Forward search under a conjugate reference model, every size evaluated."""
@@ -325,13 +380,20 @@ def binomial_cv_kfold(spark, sf_dir):
     return selection.cv_kfold(ref, k=3, clusters=2).summary(["elpd", "acc"])
 
 
-@query()
+_FORCED = {t: _ridge_sql(tuple(sorted(("discount", "tax", t), key=TERMS.index)))[1] for t in ("price", "quantity")}
+
+
+@query(f"WITH {SCALED}, last AS ({' UNION ALL '.join(f'SELECT {t!r} AS term, {ce} AS ce FROM std' for t, ce in _FORCED.items())}) SELECT 0 AS size, '(Intercept)' AS term, round(-my * my, 4) AS ce FROM std UNION ALL SELECT 2, 'discount + tax', round({_ridge_sql(('discount', 'tax'))[1]}, 4) FROM std UNION ALL SELECT 3, arg_min(term, ce), round(min(ce), 4) FROM last")
 def forced_search(spark, sf_dir):
     """A search in which discount and tax enter before anything else."""
     g = gram.gram(tables.line_items(spark, sf_dir), {**_columns(), "y": F.col("y")})
-    return search.forward(g, _blocks(), "y", 3, candidates=fm.forced_terms(["discount", "tax"], ["price", "quantity"])).table(spark)
+    path = search.forward(g, _blocks(), "y", 3, candidates=fm.forced_terms(["discount", "tax"], ["price", "quantity"]))
+    return path.table(spark).select("size", "term", shown("ce", 4).alias("ce"))
 
 
-@query("SELECT * FROM (VALUES ('1'), ('x'), ('z'), ('x + z + x:z'), ('(1 | g)'), ('x + (x | g)'), ('z + (z | g)'), ('x + (1 | g)'), ('z + (1 | g)'), ('x + z + x:z + (1 | g)'), ('x + z + x:z + (x + z + x:z | g)')) t(block)")
+@query("""WITH main(t, varies) AS (VALUES ('rain', true), ('soil', false), ('sun', true)), varying AS (SELECT t FROM main WHERE varies)
+SELECT '1' AS block UNION ALL SELECT t FROM main UNION ALL SELECT '(1 | farm)' UNION ALL SELECT t || ' + (1 | farm)' FROM varying UNION ALL SELECT t || ' + (' || t || ' | farm)' FROM varying
+UNION ALL SELECT 'factor(crop)' UNION ALL SELECT 'factor(crop) + s(day, by = factor(crop))'""")
 def candidate_blocks(spark, sf_dir):
-    return spark.createDataFrame([(b,) for b in fm.split_blocks(fm.parse("y ~ x + z + x:z + (x + z + x:z | g)"))], "block string")
+    f = fm.parse("harvest ~ rain + soil + sun + s(day, by = factor(crop)) + (rain + sun | farm)")
+    return spark.createDataFrame([(b,) for b in fm.split_blocks(f, factors=["factor(crop)"])], "block string")

@@ -2,10 +2,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestar.functions import families
 from lodestar.operators import draws, irls, loo, search, solve
-from lodestar.operators.gram import INTERCEPT, Gram
+from lodestar.operators.gram import INTERCEPT, Gram, grams
+from lodestar.operators.gram import gram as gram_of
 
 
 def made(n=200, p=4, seed=0, weights=None):
@@ -152,3 +154,34 @@ def test_newton_equals_ridge_for_gaussian(spark):
     for fit, names in zip(f, (["x0", "x1"], ["x1"]), strict=True):
         exact = solve.ridge(g, names, "y")
         assert np.allclose([fit.intercept, *fit.beta.values()], [exact.intercept, *exact.beta.values()], atol=1e-6)
+
+
+def test_moments_of_columns_far_from_zero(spark):
+    """A straight line a billion away from zero keeps its slope, also with folds, targets and Newton passes."""
+    x = 1e9 + np.arange(300) / 1000
+    df = spark.createDataFrame([(float(v), float(i), i % 3) for i, v in enumerate(x)], "x double, y double, fold int")
+    cols = {"x": F.col("x"), "y": F.col("y")}
+    g = gram_of(df, cols)
+    assert solve.ridge(g, ["x"], "y", 0.0).beta["x"] == pytest.approx(1000, rel=1e-6)
+    assert solve.scales(g, ["x"])[0] == pytest.approx(np.std(np.arange(300) / 1000, ddof=1), rel=1e-6)
+    by = grams(df, cols, by=F.col("fold"))
+    assert solve.ridge(by[0] + by[1], ["x"], "y", 0.0).beta["x"] == pytest.approx(1000, rel=1e-6)
+    assert g.part(["x"], ["y"])[0, 0] == pytest.approx(float((x * np.arange(300)).sum()), rel=1e-12)
+    f = irls.project(df, {"x": F.col("x")}, F.array((F.col("y") + 1) / 302), families.binomial("logit"), [irls.Job(("x",))], regul=0.0)[0]
+    assert f.beta["x"] > 1
+    constant = gram_of(df, {"c": F.lit(1e9), "y": F.col("y")})
+    assert solve.scales(constant, ["c"])[0] == 0
+
+
+def test_l1_newton_meets_its_conditions(spark):
+    """At the first penalty below the largest, one logistic coefficient solves its subgradient equation."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=200)
+    y = (rng.random(200) < 1 / (1 + np.exp(-x))).astype(float)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x double, y double")
+    path = search.l1_newton(df, {"x": F.col("x")}, {"x": ["x"]}, F.col("y"), families.binomial(), F.lit(1.0), F.lit(0.0), n_lambda=4, ratio=0.1, tol=1e-9)
+    f, sd = path.fits[1], np.std(x, ddof=1)
+    p = 1 / (1 + np.exp(-(f.intercept + f.beta["x"] * x)))
+    top = 1.001 * abs(((y - y.mean()) * (x - x.mean())).sum() / sd)
+    assert (y - p).sum() == pytest.approx(0, abs=1e-4)
+    assert ((y - p) * x).sum() / sd == pytest.approx(0.1 * top, rel=1e-4)
