@@ -8,7 +8,7 @@ the window fits between the text's start and end when laid over the meeting plac
 length bounds), and counts if its words are equal there, word by word.
 
 The benchmark is processed in blocks of at most ``BLOCK_BYTES`` of text, each a broadcast of bounded
-size, against all documents. One block needs no shuffle of documents. With more blocks, what each
+size (arrays of some twenty times the text), against all documents. One block needs no shuffle of documents. With more blocks, what each
 block finds is written to the shared folder and united by the text's digest.
 """
 
@@ -28,7 +28,9 @@ WINDOW = 13
 SHINGLE = 5
 #: Contaminated: at least one word in this many is hit.
 SHARE = 20
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 16 << 20
+#: Pairs of a place and a window that are compared at once.
+PAIRS = 1 << 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 22
@@ -47,36 +49,62 @@ def rolling(ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class Block:
-    """The windows of some benchmark items and, once ``order`` has set it, their prefix index."""
+    """The windows of some benchmark items as flat arrays and, once ``order`` has set it, their prefix index.
+
+    Words are numbered and items laid end to end; a window is a start and a length there. So a block
+    takes a few dozen bytes a word, whatever its windows overlap.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int, shingle: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set] = {}
+        self.names: list[str] = []
+        words, starts, lengths, owners = [], [], [], []
+        at = 0
         for item, text in items:
-            words = plain_words(text)
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.windows = [(np.array(w, np.int64), sorted(items)) for w, items in found.items()]
-        self.sizes = sorted({min(shingle, len(w)) for w, _ in self.windows})
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in plain_words(text)]
+            if not ids:
+                continue
+            n = max(1, len(ids) - window + 1)
+            words.append(np.array(ids, np.int32))
+            starts.append(np.arange(at, at + n, dtype=np.int64))
+            lengths.append(np.full(n, min(window, len(ids)), np.int32))
+            owners.append(np.full(n, len(self.names), np.int32))
+            self.names.append(item)
+            at += len(ids)
+        flat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        self.words, self.starts, self.lengths, self.owners = flat(words, np.int32), flat(starts, np.int64), flat(lengths, np.int32), flat(owners, np.int32)
         self.shingle = shingle
-        hashes = [rolling(w, min(shingle, len(w))) for w, _ in self.windows]
-        self.hashes = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
-        self.index: dict[int, list[tuple[int, int]]] = {}
+        self.sizes = sorted({min(shingle, int(n)) for n in np.unique(self.lengths)})
+        self.hashes = np.unique(np.concatenate([np.empty(0, np.uint64), *[self._shingles(n).ravel() for n in np.unique(self.lengths)]]))
         self._filter(self.hashes)
 
+    def _shingles(self, length: int) -> np.ndarray:
+        """Hashes of the shingles of every window of one length, a row for each."""
+        k = min(self.shingle, int(length))
+        own = self.starts[self.lengths == length]
+        return rolling(self.words, k)[own[:, None] + np.arange(int(length) - k + 1)]
+
     def _filter(self, hashes: np.ndarray) -> None:
         self.filter = np.zeros(1 << _SLOTS, bool) if len(hashes) else None
         if len(hashes):
             self.filter[hashes >> np.uint64(64 - _SLOTS)] = True
 
-    def order(self, counts: dict[int, int]) -> None:
-        """Indexes every window under its rarest shingle, the first of equals."""
-        for i, (w, _) in enumerate(self.windows):
-            own = rolling(w, min(self.shingle, len(w))).tolist()
-            at = min(range(len(own)), key=lambda j: (counts.get(own[j], 0), own[j], j))
-            self.index.setdefault(own[at], []).append((at, i))
-        self.hashes = np.array(sorted(self.index), np.uint64)
+    def order(self, shingles: np.ndarray, counts: np.ndarray) -> None:
+        """Indexes every window under its rarest shingle, the first of equals; shingles that aren't given don't occur."""
+        seen = np.zeros(len(self.hashes), np.int64)
+        seen[np.searchsorted(self.hashes, shingles)] = counts
+        rank = np.empty(len(self.hashes), np.int64)
+        rank[np.lexsort((self.hashes, seen))] = np.arange(len(self.hashes))
+        anchor, offset = np.empty(len(self.starts), np.uint64), np.empty(len(self.starts), np.int64)
+        for length in np.unique(self.lengths):
+            own = self._shingles(length)
+            best = rank[np.searchsorted(self.hashes, own)].argmin(axis=1)
+            here = self.lengths == length
+            offset[here], anchor[here] = best, own[np.arange(len(own)), best]
+        by = np.argsort(anchor, kind="stable")
+        self.anchors, self.offsets = anchor[by], offset[by]
+        self.starts, self.lengths, self.owners = self.starts[by], self.lengths[by], self.owners[by]
+        self.hashes = np.unique(self.anchors)
         self._filter(self.hashes)
 
     def meetings(self, ids: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -111,18 +139,25 @@ class Block:
     def hits(self, words: list[bytes]) -> tuple[list[int], list[str]]:
         """Starts and ends of the verified windows' joined spans, flattened, and the items they are of."""
         ids = self.ids_of(words)
-        spans, items, done = [], set(), set()
+        spans, items = [], set()
         for at, h in self.meetings(ids, ids > 0):
-            for p, x in zip(at.tolist(), h.tolist(), strict=True):
-                for offset, i in self.index.get(x, ()):
-                    start, (w, of) = p - offset, self.windows[i]
-                    if start < 0 or start + len(w) > len(ids) or (start, i) in done:
-                        continue
-                    if np.array_equal(ids[start : start + len(w)], w):
-                        done.add((start, i))
-                        spans.append((start, start + len(w)))
-                        items.update(of)
-        return joined(spans), sorted(items)
+            low, high = (np.searchsorted(self.anchors, h, side) for side in ("left", "right"))
+            # Pairs of a place and a window under its shingle, a bounded number at once.
+            ends = np.cumsum(high - low)
+            for first in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+                pair = np.arange(first, min(first + PAIRS, int(ends[-1])))
+                place = np.searchsorted(ends, pair, "right")
+                window = high[place] - (ends[place] - pair)
+                start = at[place] - self.offsets[window]
+                fits = (start >= 0) & (start + self.lengths[window] <= len(ids))
+                start, window = start[fits], window[fits]
+                equal = np.ones(len(start), bool)
+                for i in range(int(self.lengths[window].max(initial=0))):
+                    within = equal & (self.lengths[window] > i)
+                    equal[within] = ids[start[within] + i] == self.words[self.starts[window[within]] + i]
+                spans += set(zip(start[equal].tolist(), (start + self.lengths[window])[equal].tolist(), strict=True))
+                items.update(np.unique(self.owners[window[equal]]).tolist())
+        return joined(spans), sorted({self.names[i] for i in items})
 
 
 def joined(spans: list[tuple[int, int]]) -> list[int]:
@@ -164,7 +199,8 @@ def ordered(docs: DataFrame, text: str, block: Block) -> Block:
 
     # At most one row for each of the block's shingles comes back.
     totals = docs.select(F.col(text).cast("string")).mapInArrow(counted, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
-    block.order(dict(zip(totals["shingle"].to_numpy().view(np.uint64).tolist(), totals["n"].to_pylist(), strict=True)))
+    block.order(totals["shingle"].to_numpy().view(np.uint64), totals["n"].to_numpy())
+    shared.destroy()
     return block
 
 
@@ -228,7 +264,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and hit_spans (word starts and ends).
 
     A null or wordless text has no words, no hits and is clean. Repeated documents each keep their
-    row; an item that occurs twice in the benchmark counts once. An empty benchmark hits nothing.
+    row; an item that occurs twice in the benchmark counts once. An empty benchmark hits nothing, an
+    empty table gives no rows. Texts of any length are read whole. Of a window's shingles that are
+    equally rare the one of the least hash is its prefix. Item ids are compared and sorted as
+    strings. Other columns of ``docs`` are not read, whatever their names.
     """
     rows = with_hits(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), benchmark, "hits", **options)
     n_hit = covered("hits.spans")

@@ -153,6 +153,23 @@ def test_components_of_chains_and_stars(spark):
     assert got == brute_components(fps)
 
 
+def test_one_fingerprint_of_many_rows_is_split(spark):
+    """A fingerprint that most rows share is dealt to several tasks by Spark's skew handling."""
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    held = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(20_000).select(F.col("id").alias("key"), F.when(F.col("id") % 10 < 7, F.lit(5)).otherwise(F.col("id") * 2654435761).cast("long").alias("fp"))
+        out = simhash.with_components(rows)
+        assert out.filter("fp = 5").select("component_id").distinct().collect()[0].component_id == 0
+        assert len(out.collect()) == 20_000
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_keep_one_of_each(spark):
     a, b = "the quick brown fox jumps over the lazy dog again and again", "something else entirely with other words in it"
     df = docs(spark, [a, a, b, a, None, None, b], ids=[5, 3, 9, 3, 7, None, 2])
@@ -259,6 +276,33 @@ def test_language_odd_texts(spark):
     assert kept.columns == df.columns and kept.filter("text IS NULL").count() == 0
 
 
+def test_language_forward_pass_in_plain_python():
+    m = langid.train([(f"the and of {i}".encode(), "en") for i in range(30)] + [(f"der die und {i}".encode(), "de") for i in range(30)])
+    text = " the und of "
+    total, n = [0.0] * (len(m.languages) + 1), 0
+    for size in langid.GRAMS:
+        for i in range(len(text) - size + 1):
+            h = size * 0x9E3779B1 % (1 << 32)
+            for c in text[i : i + size]:
+                h = ((h ^ ord(c)) * 0x01000193) % (1 << 32)
+                h ^= h >> 15
+            bucket = (h * 0x85EBCA6B) % (1 << 32) >> 16
+            total, n = [t + v for t, v in zip(total, m.scores[bucket].tolist(), strict=True)], n + 1
+    z = [(t / n + b) / m.temperature for t, b in zip(total, m.bias.tolist(), strict=False)]
+    p = [np.exp(v) / sum(np.exp(u) for u in z) for v in z]
+    lang, score, passed = m.predict(b"The 1 UND, of")
+    assert lang == m.languages[int(np.argmax(p))] and score == pytest.approx(max(p), rel=1e-9)
+    assert passed == (score >= m.bar and total[-1] / n >= m.known_bar)
+
+
+def test_language_learns_every_language_of_an_uneven_table(spark):
+    texts = [f"the and of to in {i}" for i in range(600)] + [f"der die und das {i}" for i in range(9)]
+    df = docs(spark, texts, langs=["en"] * 600 + ["de"] * 9)
+    taken = langid.sample(df, "doc_id", "text", "lang", 40).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in taken}["en"] == 20 and {r.lang for r in taken} == {"en", "de"}
+    assert sorted(langid.sample(df, "doc_id", "text", "lang", 40).collect()) == sorted(langid.sample(df.repartition(7), "doc_id", "text", "lang", 40).collect())
+
+
 def test_language_chunks_do_not_matter(monkeypatch):
     m = langid.train([(f"the and of {i}".encode(), "en") for i in range(30)] + [(f"der die und {i}".encode(), "de") for i in range(30)])
     codes = langid.code_points(("the und of die " * 500).encode())
