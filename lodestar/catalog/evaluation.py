@@ -479,6 +479,19 @@ def keyed_numbers(spark, sf_dir):
     return o.groupBy((F.col("o_orderkey") % 10).alias("bucket")).agg(F.sum(keyed(F.col("o_orderkey"), 2)).alias("total"))
 
 
+_CATEGORIES = ("low", "middle", "high")
+
+
+@query(f"""WITH p AS (SELECT o_orderkey AS k, 0.2 + (o_orderkey % 7) / 20 AS a, 0.3::DOUBLE AS b FROM orders), d AS (SELECT k, a, b, j, (({keyed_sql("k * 3 + j", 8)}) + 0.5) / 4294967296 AS u FROM p, range(3) t(j))
+SELECT CASE WHEN u < a THEN 'low' WHEN u < a + b THEN 'middle' ELSE 'high' END AS level, j::INTEGER AS draw, count(*)::BIGINT AS n FROM d GROUP BY 1, 2""")
+def category_samples(spark, sf_dir):
+    """Levels drawn by their probabilities, three for each order."""
+    a = 0.2 + (F.col("obs_id") % 7) / 20
+    o = tables.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id"))
+    out = evaluate.sampled_categories(o, F.array(a, F.lit(0.3), 0.7 - a), list(_CATEGORIES), 3, 8)
+    return out.select(F.posexplode("predicted").alias("draw", "level")).groupBy("level", "draw").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT s::INTEGER AS draw FROM range(1, {S + 1}) t(s) ORDER BY {keyed_sql('s', 4)} LIMIT 7")
 def draw_subsample(spark, sf_dir):
     return spark.createDataFrame([(s,) for s in draws.subsampled(S, 7, 4)], "draw int")

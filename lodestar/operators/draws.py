@@ -81,6 +81,19 @@ def _spread_about(mu: Column, w: Column):
     return lambda mean: total(F.zip_with(mu, w, lambda v, u: u * (v - mean) * (v - mean)))
 
 
+def reduction(total: int, n_draws: int | None = None, clusters: int | None = None) -> tuple[str, int]:
+    """Whether draws are clustered or thinned, and to how many.
+
+    A number of clusters goes before a number of draws; neither is more than there are; without
+    either every draw is kept, and as many clusters as draws are the draws themselves.
+    """
+    if any(n is not None and n < 1 for n in (n_draws, clusters)):
+        raise ValueError("at least one draw or cluster is needed")
+    if clusters is not None and clusters < total:
+        return "clusters", clusters
+    return "draws", total if clusters is not None or n_draws is None else min(n_draws, total)
+
+
 def mean_by_cluster(draws: DataFrame, cluster: str, value: str, weight: str) -> DataFrame:
     """Weighted means of parameter draws by cluster; draws without label are dropped."""
     return draws.filter(F.col(cluster).isNotNull()).groupBy(cluster).agg((F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias(value))

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lodestar.functions.arrays import doubles, log_weighted_mean_exp, weighted_mean
+from lodestar.functions.arrays import doubles, log_weighted_mean_exp, total, weighted_mean
 from lodestar.functions.families import Family
+from lodestar.operators import multilevel
+from lodestar.operators.keyed import uniform
 from lodestar.operators.loo import smoothed
 from lodestar.operators.solve import Fit
 
@@ -117,7 +119,25 @@ def sampled(df: DataFrame, mu: str, family: Family, draws: int, seed: int, dis:
     return df.withColumn("predicted", sample(F.col(key), F.col(mu), F.col("wobs")))
 
 
-def group_effects(df: DataFrame, effects: DataFrame, group: str, effect: str) -> DataFrame:
-    """Adds a group's effect to each row; levels that were not seen have effect zero."""
+def sampled_categories(df: DataFrame, probabilities: Column, levels: list[str], draws: int, seed: int = 0, key: str = "obs_id") -> DataFrame:
+    """Adds ``predicted``: an array of levels drawn by their probabilities, keyed by seed, observation and draw.
+
+    A draw takes the first level whose cumulative probability passes a uniform number; all in SQL functions.
+    """
+    names = F.array(*[F.lit(v) for v in levels])
+    upto = F.transform(F.sequence(F.lit(1), F.lit(len(levels) - 1)), lambda i: total(F.slice("_p", F.lit(1), i))) if len(levels) > 1 else F.array().cast("array<double>")
+    drawn = lambda j: F.get(names, F.size(F.filter("_upto", lambda c: c <= uniform(F.col(key) * draws + j, seed))))
+    return df.withColumn("_p", probabilities).withColumn("_upto", upto).withColumn("predicted", F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), drawn)).drop("_p", "_upto")
+
+
+def group_effects(df: DataFrame, effects: DataFrame, group: str, effect: str, sd: float | None = None, all_new: bool = False, seed: int = 1) -> DataFrame:
+    """Adds a group's effect to each row.
+
+    Levels that were not seen have effect zero or, given the effects' deviation ``sd``, a normal draw
+    keyed by the level; ``all_new`` takes every level as one that was not seen.
+    """
+    new = F.lit(0.0) if sd is None else multilevel.new_effect(F.col(group), sd, seed)
+    if all_new:
+        return df.withColumn(effect, new)
     known = effects.select(group, F.col(effect).alias("_effect"))
-    return df.join(known, group, "left").withColumn(effect, F.coalesce("_effect", F.lit(0.0))).drop("_effect")
+    return df.join(known, group, "left").withColumn(effect, F.coalesce("_effect", new)).drop("_effect")

@@ -46,13 +46,16 @@ def moments_of(df: DataFrame, columns: dict[str, Column], weight: Column) -> tup
 
 
 def project(df: DataFrame, columns: dict[str, Column], targets: Column, family: Family, jobs: list[Job], weight: Column | None = None, offset: Column | None = None, regul: float = REGUL, threshold: float = THRESHOLD) -> list[Fit]:
-    """Ridge projections of target means on the response scale, one for each job."""
+    """Ridge projections of target means on the response scale, one for each job.
+
+    The rows that every pass reads are kept, in memory or on disk, until the last fit is done.
+    """
     weight = F.lit(1.0) if weight is None else weight
     offset = F.lit(0.0) if offset is None else offset
     mean, sd, _ = moments_of(df, columns, weight)
     names = list(columns)
     unit = np.where(sd > 0, sd, 1.0)
-    rows = df.select(weight.cast("double").alias("w"), offset.cast("double").alias("o"), targets.alias("t"), *[((c - m) / u).cast("double").alias(f"x{i}") for i, (c, m, u) in enumerate(zip(columns.values(), mean, unit, strict=True))])
+    rows = df.select(weight.cast("double").alias("w"), offset.cast("double").alias("o"), targets.alias("t"), *[((c - m) / u).cast("double").alias(f"x{i}") for i, (c, m, u) in enumerate(zip(columns.values(), mean, unit, strict=True))]).persist()
     at = {n: i for i, n in enumerate(names)}
     index = [[0, *[1 + at[c] for c in j.cols if sd[at[c]] > 0]] for j in jobs]
     beta = [np.zeros(len(ix)) for ix in index]
@@ -83,6 +86,7 @@ def project(df: DataFrame, columns: dict[str, Column], targets: Column, family:
                 continue
             step[i] = move
             beta[i] = beta[i] + move
+    rows.unpersist()
     return [_original(j, names, index[i], beta[i], mean, unit) for i, j in enumerate(jobs)]
 
 

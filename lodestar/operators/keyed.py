@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 MODULUS = 1 << 32
 MULTIPLIER = 1664525
 INCREMENT = 1013904223
-BUCKETS = 1024
+#: Rows of a range that are numbered together, about; and the least and most ranges.
+RANGE_ROWS = 1 << 18
+RANGES = (1 << 10, 1 << 20)
 
 
 def keyed(key: Column, seed: int = 0) -> Column:
@@ -35,10 +37,11 @@ def keyed_sql(key: str, seed: int = 0) -> str:
 def rank_by_hash(df: DataFrame, name: str, hash_column: str, *ties: str) -> DataFrame:
     """Adds the 1-based rank by a hash in [0, 2**32) and tie-breaking columns, over the whole table.
 
-    Rows are numbered within ranges of the hash; the ranges' counts, ``BUCKETS`` at most, give the
-    offsets. No window spans the table.
+    Rows are numbered within ranges of the hash, as many as the table's count asks for; the ranges'
+    counts give the offsets. No window spans the table.
     """
-    bucket = F.floor(F.col(hash_column) / (MODULUS // BUCKETS)).cast("int")
+    ranges = min(max(1 << (df.count() // RANGE_ROWS).bit_length(), RANGES[0]), RANGES[1])
+    bucket = F.floor(F.col(hash_column) / (MODULUS // ranges)).cast("int")
     marked = df.withColumn("_range", bucket)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = marked.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.arrays import doubles, log_weighted_mean_exp, weighted_mean
 from lodestar.functions.families import Family, gaussian
-from lodestar.operators import evaluate
+from lodestar.operators import evaluate, loo
 from lodestar.operators.solve import Fit
 from lodestar.sources.refmodel import RefModel
 
@@ -50,3 +50,20 @@ def on_response_scale(df: DataFrame, fits: list[Fit], weights: list[float], ref:
         ll = F.when(censored, F.transform("draws", lambda m: log_tail(y, m, w))).otherwise(ll)
     keep = [] if censored is None else [censored.alias("censored")]
     return rows.select("obs_id", F.col("y_response").alias("y"), "wobs", *keep, weighted_mean(F.col("draws"), doubles(weights)).alias("mu"), log_weighted_mean_exp(ll, doubles(weights)).alias("lppd"))
+
+
+def samples_on_response_scale(df: DataFrame, fits: list[Fit], weights: list[float], ref: RefModel, family: Family, draws: int, seed: int = 1) -> DataFrame:
+    """Adds ``predicted``: draws of the response from latent fits, a fit taken with its weight for each."""
+    rows = df.withColumn("_mus", evaluate.means(evaluate.predictors(fits, ref.columns, F.col("offs")), family))
+    return evaluate.sampled(rows, "_mus", family, draws, seed, None, weights).drop("_mus")
+
+
+def leave_one_out_response(latent: RefModel, family: Family, log_lik: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+    """The rows of a latent model with, as response, the mean predictor under the weights that leave the observation out.
+
+    The plain mean has seen the response it stands for. Adds ``khat``, the weights' Pareto shapes.
+    """
+    lik = log_lik or (lambda y, m, w: family.log_lik(y, m, w))
+    rows = latent.data.withColumn("_ll", F.transform("mu", lambda e: lik(F.col("y_response"), family.link.inverse(e), F.col("wobs"))))
+    rows = rows.withColumn("_psis", loo.psis_weights(F.col("_ll")))
+    return rows.withColumns({"y": loo.expectation(F.col("mu"), F.col("_psis.lw")), "khat": F.col("_psis.khat")}).drop("_ll", "_psis")

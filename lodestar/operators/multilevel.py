@@ -125,8 +125,13 @@ def penalized_quasi(df: DataFrame, columns: dict[str, Column], y: Column, group:
     return MixedFit(fit.fixed, fit.sigma, fit.ratio, fit.effects.withColumnRenamed("_g", group))
 
 
+def new_effect(level: Column, sd: float, seed: int = 1) -> Column:
+    """A normal draw keyed by the level's hash: the same level always has the same effect."""
+    u = [(F.pmod(F.xxhash64(level.cast("string"), F.lit(seed + i)), F.lit(1 << 32)) + 0.5) / (1 << 32) for i in (0, 1)]
+    return sd * F.sqrt(-2 * F.log(u[0])) * F.cos(2 * np.pi * u[1])
+
+
 def new_level_effects(levels: DataFrame, group: str, sd: float, seed: int = 1) -> DataFrame:
-    """Effects for levels that were not seen: normal draws keyed by the level's hash."""
-    u = [(F.pmod(F.xxhash64(F.col(group).cast("string"), F.lit(seed + i)), F.lit(1 << 32)) + 0.5) / (1 << 32) for i in (0, 1)]
-    return levels.withColumn("effect", sd * F.sqrt(-2 * F.log(u[0])) * F.cos(2 * np.pi * u[1]))
+    """Effects for levels that were not seen."""
+    return levels.withColumn("effect", new_effect(F.col(group), sd, seed))
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import arrays, families
-from lodestar.operators import categories, design, evaluate, irls, multilevel, smooth
+from lodestar.operators import categories, design, draws, evaluate, irls, latent, loo, multilevel, smooth
 from lodestar.plans import options, selection
 from lodestar.sources import refmodel
 from lodestar.streaming.moments import running_moments, total_moments
@@ -214,3 +214,73 @@ def test_running_moments_equal_batch(spark, tmp_path):
 def test_arguments_are_checked(call):
     with pytest.raises(ValueError):
         call()
+
+
+def test_reduction_of_draws():
+    assert [draws.reduction(10, *a) for a in ((None, None), (4, None), (40, None), (4, 3), (None, 10), (4, 99), (None, 1))] == [("draws", 10), ("draws", 4), ("draws", 10), ("clusters", 3), ("draws", 10), ("draws", 10), ("clusters", 1)]
+    with pytest.raises(ValueError):
+        draws.reduction(10, 0)
+
+
+def test_new_levels_draw_effects_or_have_none(spark):
+    df = table(spark, obs_id=range(3000)).withColumn("g", F.concat(F.lit("g"), F.col("obs_id").cast("int").cast("string")))
+    known = spark.createDataFrame([("g1", 7.0)], "g string, effect double")
+    plain = {r.g: r.effect for r in evaluate.group_effects(df, known, "g", "effect").collect()}
+    assert plain["g1"] == 7.0 and set(plain.values()) == {0.0, 7.0}
+    drawn = {r.g: r.effect for r in evaluate.group_effects(df, known, "g", "effect", sd=2.0).collect()}
+    fresh = {r.g: r.effect for r in evaluate.group_effects(df.repartition(5), known, "g", "effect", sd=2.0, all_new=True).collect()}
+    assert drawn["g1"] == 7.0 != fresh["g1"] and all(fresh[k] == v for k, v in drawn.items() if k != "g1")
+    assert np.std(list(fresh.values())) == pytest.approx(2.0, rel=0.1) and abs(np.mean(list(fresh.values()))) < 0.2
+
+
+def test_latent_responses_leave_the_observation_out(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=60)
+    df = table(spark, obs_id=range(60), y=rng.random(60) < 1 / (1 + np.exp(-x)), wobs=[1] * 60, offs=[0] * 60, x=x).withColumn("obs_id", F.col("obs_id").cast("long"))
+    ref = refmodel.glm_laplace(df, families.binomial(), {"x": F.col("x")}, {"x": ["x"]}, draws=60)
+    on = latent.latent_model(ref)
+    seen = {r.obs_id: r for r in on.data.collect()}
+    for r in latent.leave_one_out_response(on, families.binomial()).collect():
+        eta = np.array(seen[r.obs_id].mu)
+        p = 1 / (1 + np.exp(-eta))
+        lw, khat = loo.smoothed(-np.log(p if r.y_response else 1 - p)[None, :])
+        assert r.y == pytest.approx(float((eta * np.exp(lw[0])).sum()), rel=1e-9) and r.khat == pytest.approx(khat[0])
+        assert (r.y < seen[r.obs_id].y) == bool(r.y_response)
+    out = latent.samples_on_response_scale(df, list(ref.fits), ref.weights, ref, families.binomial(), 200).collect()
+    assert all(set(r.predicted) <= {0.0, 1.0} for r in out)
+    assert np.mean([np.mean(r.predicted) for r in out]) == pytest.approx(np.mean([1 / (1 + np.exp(-np.array(seen[r.obs_id].mu))) for r in out]), abs=0.03)
+
+
+def test_censored_rows_count_by_their_tail(spark):
+    df = table(spark, obs_id=range(20), y=np.arange(20) % 2, wobs=[1] * 20, offs=[0] * 20, x=np.linspace(-1, 1, 20)).withColumn("obs_id", F.col("obs_id").cast("long"))
+    ref = refmodel.glm_laplace(df, families.binomial(), {"x": F.col("x")}, {"x": ["x"]}, draws=10)
+    on = latent.latent_model(ref).data
+    tail = lambda y, m, w: F.log(m)
+    plain = {r.obs_id: r for r in latent.on_response_scale(on, list(ref.fits), ref.weights, ref, families.binomial()).collect()}
+    for r in latent.on_response_scale(on, list(ref.fits), ref.weights, ref, families.binomial(), censored=F.col("obs_id") < 5, log_tail=tail).collect():
+        assert r.mu == plain[r.obs_id].mu
+        assert r.lppd == pytest.approx(np.log(r.mu) if r.obs_id < 5 else plain[r.obs_id].lppd)
+    with pytest.raises(ValueError):
+        latent.on_response_scale(on, list(ref.fits), ref.weights, ref, families.binomial(), censored=F.col("obs_id") < 5)
+
+
+def test_poor_shapes_warn(spark):
+    df = table(spark, khat=[0.1, 0.9, 0.2])
+    with pytest.warns(UserWarning, match="1 of 3"):
+        assert loo.poor_shapes(df, "khat", 1000) == 1
+
+
+def test_a_search_is_used_again_and_projected(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=80), rng.normal(size=80)
+    df = table(spark, obs_id=range(80), y=2 * a + 0.2 * b + rng.normal(size=80) * 0.1, wobs=[1] * 80, offs=[0] * 80, a=a, b=b).withColumn("obs_id", F.col("obs_id").cast("long"))
+    cols = {c: F.col(c) for c in "ab"}
+    ref = refmodel.gaussian_conjugate(df, cols, {c: [c] for c in cols}, draws=20)
+    first = selection.varsel(ref, prediction_draws=5)
+    again = selection.varsel(ref, prediction_draws=5, path=first.path)
+    assert again.path is first.path and sorted(first.pointwise.collect(), key=repr) == sorted(again.pointwise.collect(), key=repr)
+    p = first.project(1, n_draws=5)
+    assert p.terms == ["a"] and {r.obs_id: r.lpd for r in p.lpd(df).collect()} == pytest.approx({r.obs_id: r.lppd for r in first.pointwise.filter("size = 1").collect()})
+    with pytest.raises(ValueError, match="binomial"):
+        first.summary(["auc"])
+    first.release()
