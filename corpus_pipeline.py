@@ -1,7 +1,8 @@
 """A corpus pipeline: quality, language, near-duplicates, decontamination, tokens.
 
 Every stage works on all that the one before it kept, written as Parquet and read again. Stages but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``. Any column may be null, texts may be empty or of any
+length, rows may repeat, tables may be empty, and columns beside those of ``documents`` pass through.
 """
 
 from __future__ import annotations
@@ -15,27 +16,27 @@ from lodestar.llm.columns import remove, shared_dir, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject; null and empty texts, and repeated rows, stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
+    """Documents whose language is recognised; texts that are null or have no letter go, and without labelled rows all do."""
     return langid.keep_identified(docs)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
+    """One document, that of the smallest id, of each group of near-duplicates; rows that repeat an id count as one, those without id stay."""
     return simhash.keep_one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no more of the benchmark than the contract allows."""
+    """Documents that hold no more of the benchmark than the contract allows; null and empty texts, and repeated rows, stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text by document."""
+    """Token counts and digests of ids and decoded text by row; null counts as empty."""
     return bpe.round_trip(docs)
 
 
