@@ -1,5 +1,7 @@
 """The pipeline's stages against plain Python, each on what it is given."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestar.llm import decontaminate, langid, quality
 
@@ -29,3 +31,25 @@ def test_stages_keep_columns_and_decide(spark):
     last = corpus_pipeline.run(spark, SF)
     assert ids(last) == ids(after[3][1])
     assert set(last.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing extra columns; then no rows at all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (900_001, None, "en", "s", 0), (900_002, "", None, "s", 0), (900_003, "### 123", "en", "s", 7), (900_004, "the and of to " * 30_000, "en", "s", 420_000)], docs.schema)
+    repeated = docs.limit(1)
+    rows = docs.unionByName(odd).unionByName(repeated).withColumn("hits", F.lit("clash")).withColumn("scored", F.lit(1))
+    again = repeated.first().doc_id
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, SF)
+        rows = spark.createDataFrame(rows.collect(), rows.schema)
+        assert rows.columns == [*docs.columns, "hits", "scored"], name
+        kept = [r.doc_id for r in rows.collect()]
+        if name == "quality":
+            assert None in kept and {900_001, 900_002} <= set(kept)
+        else:
+            assert not {None, 900_001, 900_002, 900_003} & set(kept), name
+        assert kept.count(again) <= (2 if name in ("quality", "language") else 1)
+        assert stage(spark, rows.limit(0), SF).count() == 0, name
+    assert corpus_pipeline.tokenize(spark, odd, SF).count() == 5
+    assert corpus_pipeline.tokenize(spark, odd.limit(0), SF).count() == 0
