@@ -159,11 +159,11 @@ def project_three_terms(spark, sf_dir):
 
 
 @query(f"""WITH {SCALED}, top AS (SELECT 1.001 * greatest({", ".join(f"abs(c_{t} / d_{t})" for t in TERMS)}) AS hi FROM std)
-SELECT i::INTEGER AS step, round(exp(ln(hi) + i / 149 * ln(1e-5)), 3) AS lambda FROM top, range(0, 150) r(i) WHERE i % 10 = 0""")
+SELECT i::INTEGER AS step, round(exp(ln(hi) + i / 149 * ln(1e-5)), 3) AS lambda FROM top, range(0, 150) r(i)""")
 def lambda_grid(spark, sf_dir):
     g = gram.gram(tables.line_items(spark, sf_dir), {**_columns(), "y": F.col("y")})
     grid = solve.lambda_grid(g, list(TERMS), "y")
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(grid) if i % 10 == 0], "step int, lambda double").select("step", shown("lambda", 3).alias("lambda"))
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(grid)], "step int, lambda double").select("step", shown("lambda", 3).alias("lambda"))
 
 
 @query(f"""WITH {SCALED} SELECT i::INTEGER AS step, round(sign(c_price) * greatest(abs(c_price / d_price) - 1.001 * abs(c_price / d_price) * exp(i / 29 * ln(1e-5)), 0) / (s_price_price / (d_price * d_price)) / d_price, 6) AS beta FROM std, range(0, 30) r(i)""")
