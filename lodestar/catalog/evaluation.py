@@ -32,6 +32,11 @@ def _pointwise(spark, sf_dir):
     return rows.withColumns({"lppd": lik(F.col("mu")), "lppd_ref": lik(F.col("mu_ref"))})
 
 
+def _joined(spark, sf_dir):
+    """Without the reference's values, which differences then join by obs_id as their SQL does; it repeats in a few rows."""
+    return _pointwise(spark, sf_dir).drop("mu_ref", "lppd_ref")
+
+
 def _ordered(df, digits):
     return df.select(F.coalesce("size", F.lit(-1)).alias("size"), "statistic", *[shown(c, digits).alias(c) for c in ("value", "se", "lq", "uq")])
 
@@ -74,7 +79,7 @@ def elpd_mlpd_gmpd(spark, sf_dir):
 
 @query(_value(_ELPD, RELATIVE, 4))
 def elpd_mlpd_gmpd_delta(spark, sf_dir):
-    return _ordered(stats.statistics(_pointwise(spark, sf_dir), ["elpd", "mlpd", "gmpd"], "ref"), 4)
+    return _ordered(stats.statistics(_joined(spark, sf_dir), ["elpd", "mlpd", "gmpd"], "ref"), 4)
 
 
 _R2 = "sqrt(greatest((ee / (n - 1) - 2 * em / vm * ev / (n - 1) + power(em / vm, 2) * vv / (n - 1)) / (vm * vm), 0))"
@@ -92,7 +97,7 @@ _R2_D = f"sqrt(greatest(({_VAR} - 2 * (em - bm) / vm * ev / (n - 1) + power((em
 
 @query(_value({"mse": _normal("(em - bm)", f"sqrt({_VAR})"), "rmse": _normal("(sqrt(em) - sqrt(bm))", _RMSE_D), "R2": _normal("((bm - em) / vm)", _R2_D)}, RELATIVE, 6))
 def mse_rmse_r2_delta(spark, sf_dir):
-    return _ordered(stats.statistics(_pointwise(spark, sf_dir), ["mse", "rmse", "R2"], "ref"), 6)
+    return _ordered(stats.statistics(_joined(spark, sf_dir), ["mse", "rmse", "R2"], "ref"), 6)
 
 
 LABEL_SCORES = f"{LABELS}, pw AS (SELECT obs_id, y, wobs, unnest([NULL, 1]::INTEGER[]) AS size, unnest([1 / (1 + exp(-(4 - 6 * size - toxic))), round(size, 2)]) AS mu, 0.0::DOUBLE AS lppd FROM l)"
@@ -163,6 +168,56 @@ def srs_difference_estimator(spark, sf_dir):
     return out.select(shown("y_hat", 3).alias("y_hat"), shown("v_y_hat", 2).alias("v_y_hat"), shown("hat_v_y", 0).alias("hat_v_y"))
 
 
+# Exact values for a third of the observations, rounded means as the approximation of all.
+
+SUBSAMPLED = f"""{POINTWISE},
+fast AS (SELECT obs_id, y, quantity AS w, price * (1 - discount) * (1 + tax) + discount AS mu_ref, {keyed_sql("obs_id", 4)} % 3 = 0 AS m, unnest([0, 1, 2]::INTEGER[]) AS size, unnest([40.0, price, price * (1 - discount)]) AS mu FROM items),
+errors AS (SELECT *, round_even(mu, 0) + 0.25 AS mu_fast, 0.5 * ln(2 * pi()) + ln(2.0) AS c FROM fast),
+dens AS (SELECT *, -c - 0.5 * power((y - mu) / 2, 2) AS lppd, -c - 0.5 * power((y - mu_fast) / 2, 2) AS lppd_fast, -c - 0.5 * power((y - mu_ref) / 2, 2) AS lppd_ref FROM errors),
+cells AS (SELECT size, y, w, m, lppd - {{lppd_b}} AS d_y, lppd_fast - {{lppd_b}} AS d_a, power(mu - y, 2) AS e_y, power(mu_fast - y, 2) AS e_a, {{e_b}} AS b FROM dens),
+long2 AS (SELECT size, 'd' AS t, 1.0::DOUBLE AS w, m, d_a AS a, d_y AS x FROM cells UNION ALL SELECT size, 'e', w, m, e_a, e_y FROM cells),
+tot AS (SELECT size, t, count(*)::DOUBLE AS n, count_if(m)::DOUBLE AS k, sum(CASE WHEN m THEN w END) AS sm, count(*) * sum(w * a) / sum(w) AS ta, count(*) * sum(w * a * a) / sum(w) AS t2,
+  count(*) * sum(CASE WHEN m THEN w * (x - a) END) / sum(CASE WHEN m THEN w END) AS te, count(*) * sum(CASE WHEN m THEN w * (x * x - a * a) END) / sum(CASE WHEN m THEN w END) AS tq FROM long2 GROUP BY size, t),
+spread AS (SELECT size, t, any_value(n * n * (1 - k / n) / (k - 1)) * sum(CASE WHEN m THEN w / sm * power(x - a - te / n, 2) END) AS vs FROM long2 JOIN tot USING (size, t) GROUP BY size, t),
+est AS (SELECT size, t, n, ta + te AS total, ta / n AS fast_mean, vs + t2 + tq - (te * te - vs + 2 * ta * (ta + te) - ta * ta) / n AS var FROM tot JOIN spread USING (size, t)),
+mid AS (SELECT size, sum(w) AS sw, sum(CASE WHEN m THEN w END) AS sm, sum(w * y) / sum(w) AS ym, sum(w * b) / sum(w) AS bm FROM cells GROUP BY size),
+mid2 AS (SELECT size, sum(w * power(y - ym, 2)) / any_value(sw) AS vm FROM cells JOIN mid USING (size) GROUP BY size),
+pairs AS (SELECT size, w, m, sw, sm, n, vm, e_a - fast_mean AS ca, e_y - total / n AS cy, b - bm AS cb, power(y - ym, 2) - vm AS cv FROM cells JOIN mid USING (size) JOIN mid2 USING (size) JOIN est USING (size) WHERE t = 'e'),
+co AS (SELECT size, any_value(n) AS n, any_value(vm) AS vm, sum(w / sw * cb * cb) AS bb, sum(w / sw * cv * cv) AS vv, sum(w / sw * ca * cb) + sum(CASE WHEN m THEN w / sm * (cy - ca) * cb END) AS eb,
+  sum(w / sw * (ca - {{own}}) * cv) + sum(CASE WHEN m THEN w / sm * (cy - ca) * cv END) AS ev FROM pairs GROUP BY size),
+s AS (SELECT size, co.n, d.total / co.n AS dm, sqrt(d.var) AS sed, e.total / co.n AS em, e.var / co.n / co.n AS ve, bm, vm, bb / (co.n - 1) AS vb, eb / (co.n - 1) AS ceb, ev / (co.n - 1) AS cev, vv / (co.n - 1) AS vy
+  FROM co JOIN mid USING (size) JOIN (FROM est WHERE t = 'd') d USING (size) JOIN (FROM est WHERE t = 'e') e USING (size))"""
+
+
+def _subsampled(spark, sf_dir):
+    rows = _pointwise(spark, sf_dir).filter(F.col("size").isNotNull()).withColumn("mu_fast", F.bround("mu", 0) + 0.25)
+    return rows.withColumns({"lppd_fast": families.gaussian().log_lik(F.col("y"), F.col("mu_fast"), F.lit(1.0), F.lit(2.0)), "sampled": keyed(F.col("obs_id"), 4) % 3 == 0})
+
+
+def _subsampled_sql(parts: dict[str, tuple[str, str, str, str]], lppd_b: str, e_b: str, own: str) -> str:
+    rows = " UNION ALL ".join(f"SELECT size, '{k}' AS statistic, round({v}, 3) AS value, round({se}, 3) AS se, round({lo}, 3) AS lq, round({hi}, 3) AS uq FROM s" for k, (v, se, lo, hi) in parts.items())
+    return f"WITH {SUBSAMPLED.format(lppd_b=lppd_b, e_b=e_b, own=own)} {rows}"
+
+
+@query(_subsampled_sql({
+    "elpd": _normal("(dm * n)", "sed"), "mlpd": _normal("dm", "(sed / n)"), "mse": _lognormal("em", "sqrt(ve)"), "rmse": _lognormal("sqrt(em)", "sqrt(ve / em / 4)"),
+    "R2": _normal("(1 - em / vm)", "sqrt(greatest((ve - 2 * em / vm * cev + power(em / vm, 2) * vy) / (vm * vm), 0))"),
+}, "0", "0.0::DOUBLE", "0"))
+def subsampled_statistics(spark, sf_dir):
+    return _ordered(stats.subsampled_statistics(_subsampled(spark, sf_dir), ["elpd", "mlpd", "mse", "rmse", "R2"]), 3)
+
+
+_VAR_S = "greatest(ve - 2 * ceb + vb, 0)"
+
+
+@query(_subsampled_sql({
+    "elpd": _normal("(dm * n)", "sed"), "mse": _normal("(em - bm)", f"sqrt({_VAR_S})"), "rmse": _normal("(sqrt(em) - sqrt(bm))", "sqrt(greatest((ve / em - 2 * ceb / sqrt(em * bm) + vb / bm) / 4, 0))"),
+    "R2": _normal("((bm - em) / vm)", f"sqrt(greatest(({_VAR_S} - 2 * (em - bm) / vm * cev + power((em - bm) / vm, 2) * vy) / (vm * vm), 0))"),
+}, "lppd_ref", "power(mu_ref - y, 2)", "cb"))
+def subsampled_statistics_delta(spark, sf_dir):
+    return _ordered(stats.subsampled_statistics(_subsampled(spark, sf_dir), ["elpd", "mse", "rmse", "R2"], True), 3)
+
+
 # Families on labelled documents and counts.
 
 PROB = f"{LABELS}, p AS (SELECT y, lang, 1 / (1 + exp(-(4 - 6 * size))) AS m, 1 / (1 + exp(-(3.5 - 5 * size - toxic))) AS q FROM l)"

@@ -34,9 +34,13 @@ def complete(aggregate: Column, value: Column) -> Column:
     return F.when(F.count("*") == F.count(value), aggregate)
 
 
+def cut_zero(x: Column) -> Column:
+    """Small negative rounding errors cut to zero; null stays null."""
+    return F.when(x < 0, 0.0).otherwise(x)
+
+
 def cut_root(x: Column) -> Column:
-    """Square root with small negative rounding errors cut to zero."""
-    return F.sqrt(F.greatest(x, F.lit(0.0)))
+    return F.sqrt(cut_zero(x))
 
 
 def weighted_sd(df: DataFrame, by: list[str], value: str, weight: str, name: str = "wsd") -> DataFrame:
@@ -89,19 +93,32 @@ def statistics(pointwise: DataFrame, stats: list[str] | None = None, baseline: s
         F.sum(F.pow(F.col("d") - F.col("dm"), 2)).alias("dd"), F.sum(F.pow(F.col("c") - F.col("cm"), 2)).alias("cc"),
         F.sum(share * e * e).alias("ee"), F.sum(share * b * b).alias("bb"), F.sum(share * e * b).alias("eb"), F.sum(share * v * v).alias("vsq"), F.sum(share * (e - b if delta else e) * v).alias("ev"),
     )
-    sums = sums.withColumn("vv", F.greatest(F.col("vsq") - F.col("vm") * F.col("vm"), zero))
+    sums = sums.withColumn("vv", cut_zero(F.col("vsq") - F.col("vm") * F.col("vm")))
     n, less = F.col("n"), F.when(F.col("n") > 1, F.col("n") - 1)
-    var_e, var_b, cov = F.col("ee") / less, F.col("bb") / less, F.col("eb") / less
-    var_y, cov_y = F.col("vv") / less, F.col("ev") / less
-    em, bm, vm = F.col("em"), F.col("bm"), F.col("vm")
-    se_d = F.sqrt(F.col("dd") / less) * F.sqrt(n)
-    var_mse = F.greatest(var_e - 2 * cov + var_b, zero) if delta else var_e
+    sums = sums.withColumns({
+        "var_d": F.col("dd") / less * n, "var_c": F.col("cc") / less / n, "var_e": F.col("ee") / less, "var_b": F.col("bb") / less,
+        "cov_eb": F.col("eb") / less, "var_y": F.col("vv") / less, "cov_ey": F.col("ev") / less,
+    })
+    return _results(sums, stats, delta, alpha)
+
+
+def _results(sums: DataFrame, stats: list[str], delta: bool, alpha: float) -> DataFrame:
+    """Values, standard errors and intervals by size.
+
+    ``sums`` has the rows' number n, the means dm, cm, em, bm and vm of differences in log density, correctness,
+    squared errors of model and baseline, and squares of y about its mean; var_d, the variance of the sum of d;
+    variances of the other means, and the covariances of em with bm and of em (less bm) with vm.
+    """
+    n, em, bm, vm = (F.col(c) for c in ("n", "em", "bm", "vm"))
+    var_e, var_b, cov, var_y, cov_y = (F.col(c) for c in ("var_e", "var_b", "cov_eb", "var_y", "cov_ey"))
+    se_d = F.sqrt("var_d")
+    var_mse = cut_zero(var_e - 2 * cov + var_b) if delta else var_e
     share_y = (em - bm if delta else em) / vm
     value = {
         "elpd": F.col("dm") * n, "mlpd": F.col("dm"), "gmpd": F.exp("dm"), "acc": F.col("cm"), "pctcorr": F.col("cm"),
         "mse": em - bm if delta else em, "rmse": F.sqrt(em) - F.sqrt(bm) if delta else F.sqrt(em), "R2": (bm - em) / vm if delta else 1 - em / vm,
     }
-    acc_se = F.sqrt(F.col("cc") / less) / F.sqrt(n)
+    acc_se = F.sqrt("var_c")
     rmse_var = (var_e / em - 2 * cov / F.sqrt(em * bm) + var_b / bm) / 4 if delta else var_e / em / 4
     se = {
         "elpd": se_d, "mlpd": se_d / n, "gmpd": se_d / n * F.exp("dm"), "acc": acc_se, "pctcorr": acc_se,
@@ -121,6 +138,78 @@ def statistics(pointwise: DataFrame, stats: list[str] | None = None, baseline: s
     return sums.select("size", F.inline(F.array(*out)))
 
 
+def subsampled_statistics(pointwise: DataFrame, stats: list[str] | None = None, delta: bool = False, alpha: float = ALPHA) -> DataFrame:
+    """The moment statistics where exact values are known for a simple random sample of the observations only.
+
+    Rows have mu and lppd, read where ``sampled`` is true (null counts as false), and mu_fast and lppd_fast, the
+    approximations known everywhere; with ``delta`` also mu_ref and lppd_ref. Values come from the difference
+    estimator; standard errors hold its own variance and the estimated variance between observations. A size
+    whose rows are all sampled gets the plain statistics. A missing input makes a statistic null, as does a
+    size without, or with a single, sampled row. AUC has no such estimator and is an error.
+    """
+    stats = list(stats or MOMENT_STATS)
+    for s in stats:
+        is_utility(s)
+        if s == "auc":
+            raise ValueError("the AUC can't be estimated from a subsample")
+    zero, y, m = F.lit(0.0), F.col("y"), F.coalesce("sampled", F.lit(False))
+    ref = F.pow(F.col("mu_ref") - y, 2) if delta else zero
+    hit = lambda mu: (F.bround(mu, 0) == y).cast("double")
+    less_ref = lambda c, r: F.col(c) - F.col(r) if delta else F.col(c)
+    hits = lambda c: hit(F.col(c)) - (hit(F.col("mu_ref")) if delta else zero)
+    known = lambda c: F.when(m, c)
+    rows = pointwise.select(
+        "size", F.col("wobs").alias("w"), m.alias("m"), y.alias("y"), ref.alias("b"),
+        less_ref("lppd_fast", "lppd_ref").alias("d_a"), known(less_ref("lppd", "lppd_ref")).alias("d_y"),
+        F.pow(F.col("mu_fast") - y, 2).alias("e_a"), known(F.pow(F.col("mu") - y, 2)).alias("e_y"),
+        hits("mu_fast").alias("c_a"), known(hits("mu")).alias("c_y"),
+    )
+    weights = {"d": F.lit(1.0), "e": F.col("w"), "c": F.lit(1.0)}
+    everywhere = lambda w, c: complete(F.sum(w * c) / F.sum(w), c)
+
+    def sampled(w: Column, c: Column) -> Column:
+        return F.when(F.count_if("m") == F.count(F.when(F.col("m"), c)), F.sum(F.when(F.col("m"), w * c)) / F.sum(F.when(F.col("m"), w)))
+
+    gap = lambda t: F.col(f"{t}_y") - F.col(f"{t}_a")
+    first = rows.groupBy("size").agg(
+        F.count("*").alias("n"), F.count_if("m").alias("k"), everywhere(F.col("w"), F.col("y")).alias("ym"), everywhere(F.col("w"), F.col("b")).alias("bm"),
+        *[everywhere(w, F.col(f"{t}_a")).alias(f"{t}_mean") for t, w in weights.items()], *[sampled(w, gap(t)).alias(f"{t}_gap") for t, w in weights.items()],
+    ).withColumnRenamed("size", "of")
+    both = rows.join(F.broadcast(first), F.col("size").eqNullSafe(F.col("of")))
+    # About the mean of the approximation the difference estimator of a variance needs no products of totals.
+    off = lambda t, kind: F.col(f"{t}_{kind}") - F.col(f"{t}_mean")
+    v, w = F.pow(F.col("ym") - F.col("y"), 2), F.col("w")
+    approx, exact = off("e", "a"), F.col("e_y") - F.col("e_mean") - F.col("e_gap")
+    own = F.col("b") - F.col("bm")
+    less_own = own if delta else zero
+
+    def products(left_a: Column, left_y: Column, right: Column) -> Column:
+        return everywhere(w, left_a * right) + sampled(w, (left_y - left_a) * right)
+
+    sums = both.groupBy("size").agg(
+        *[F.first(c).alias(c) for c in ("n", "k", "bm", *[f"{t}_{c}" for t in weights for c in ("mean", "gap")])],
+        *[everywhere(u, F.pow(off(t, "a"), 2)).alias(f"{t}_sq") for t, u in weights.items()],
+        *[sampled(u, F.pow(off(t, "y"), 2) - F.pow(off(t, "a"), 2)).alias(f"{t}_more") for t, u in weights.items()],
+        *[sampled(u, F.pow(gap(t) - F.col(f"{t}_gap"), 2)).alias(f"{t}_spread") for t, u in weights.items()],
+        everywhere(w, v).alias("vm"), everywhere(w, v * v).alias("vsq"), everywhere(w, own * own).alias("bb"),
+        products(approx, exact, own).alias("eb"), products(approx - less_own, exact - less_own, v).alias("ev"),
+    )
+    n, k = F.col("n"), F.col("k")
+    less, less_k = F.when(n > 1, n - 1), F.when(k > 1, k - 1)
+
+    def variance(t: str) -> Column:
+        """Of the estimated sum: by sampling, and between observations."""
+        by_sampling = n * n * (1 - k / n) * F.col(f"{t}_spread") / less_k
+        between = n * (F.col(f"{t}_sq") + F.col(f"{t}_more")) - n * F.pow(f"{t}_gap", 2) + by_sampling / n
+        return F.when(k == n, between * n / less).otherwise(by_sampling + between)
+
+    sums = sums.withColumns({
+        **{f"{t}m": F.col(f"{t}_mean") + F.col(f"{t}_gap") for t in weights}, "var_d": variance("d"), "var_e": variance("e") / (n * n), "var_c": variance("c") / (n * n),
+        "var_b": F.col("bb") / less, "cov_eb": F.col("eb") / less, "cov_ey": F.col("ev") / less, "var_y": cut_zero(F.col("vsq") - F.col("vm") * F.col("vm")) / less,
+    })
+    return _results(sums, stats, delta, alpha)
+
+
 def auc(rows: DataFrame, by: list[str], y: str = "y", score: str = "mu", weight: str = "wobs", name: str = "auc") -> DataFrame:
     """Area under the ROC curve by group, ties counted half; null with missing inputs or one class only.
 
@@ -149,26 +238,27 @@ def bootstrap_auc(rows: DataFrame, n: int, key: str, replicates: int, seed: int
     return by_replicate.agg(F.stddev_samp("auc").alias("se"), F.percentile("auc", F.lit(alpha / 2)).alias("lq"), F.percentile("auc", F.lit(1 - alpha / 2)).alias("uq"))
 
 
-def difference_estimate(rows: DataFrame, approx: str, exact: str, sampled: str, weight: str | None = None) -> DataFrame:
-    """Subsampling difference estimator of a sum: y_hat, its variance, and that of the sum itself.
+def difference_estimate(rows: DataFrame, approx: str, exact: str, sampled: str, weight: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Subsampling difference estimator of a sum: y_hat, its variance, and that of the sum itself, for each group of ``by``.
 
     ``approx`` is known for every row, ``exact`` where ``sampled`` is true; rows are a simple random
     sample without replacement. With all rows sampled the estimate is exact and its variance zero.
     """
     w = F.lit(1.0) if weight is None else F.col(weight)
-    rows = rows.select(F.col(approx).alias("a"), F.when(F.col(sampled), F.col(exact)).alias("y"), w.alias("w"), F.col(sampled).alias("m"))
+    rows = rows.select(*by, F.col(approx).alias("a"), F.when(F.col(sampled), F.col(exact)).alias("y"), w.alias("w"), F.col(sampled).alias("m"))
     inside = lambda c: F.sum(F.when(F.col("m"), c))
     e = F.col("y") - F.col("a")
-    first = rows.agg(F.count("*").alias("n_all"), F.count_if("m").alias("n_m"), F.sum("w").alias("sw"), inside(F.col("w")).alias("sm"), F.sum(F.col("w") * F.col("a")).alias("wa"), F.sum(F.col("w") * F.col("a") * F.col("a")).alias("waa"), inside(F.col("w") * e).alias("we"), inside(F.col("w") * (F.col("y") * F.col("y") - F.col("a") * F.col("a"))).alias("wq"))
-    second = rows.crossJoin(F.broadcast(first.select((F.col("we") / F.col("sm")).alias("em"), "sm"))).agg(inside(F.col("w") / F.col("sm") * F.pow(e - F.col("em"), 2)).alias("ve"))
-    met = first.crossJoin(second)
+    first = rows.groupBy(*by).agg(F.count("*").alias("n_all"), F.count_if("m").alias("n_m"), F.sum("w").alias("sw"), inside(F.col("w")).alias("sm"), F.sum(F.col("w") * F.col("a")).alias("wa"), F.sum(F.col("w") * F.col("a") * F.col("a")).alias("waa"), inside(F.col("w") * e).alias("we"), inside(F.col("w") * (F.col("y") * F.col("y") - F.col("a") * F.col("a"))).alias("wq"))
+    means = F.broadcast(first.select(*by, (F.col("we") / F.col("sm")).alias("em"), "sm"))
+    second = (rows.join(means, list(by)) if by else rows.crossJoin(means)).groupBy(*by).agg(inside(F.col("w") / F.col("sm") * F.pow(e - F.col("em"), 2)).alias("ve"))
+    met = first.join(second, list(by)) if by else first.crossJoin(second)
     n_all, n = F.col("n_all"), F.col("n_m")
     t, t2 = F.col("wa") * n_all / F.col("sw"), F.col("waa") * n_all / F.col("sw")
     te, tq = n_all * F.col("we") / F.col("sm"), n_all * F.col("wq") / F.col("sm")
     var_e = F.col("ve") * n / F.when(n > 1, n - 1)
     v = n_all * n_all * (1 - n / n_all) * var_e / n
     y_hat = t + te
-    return met.select(y_hat.alias("y_hat"), v.alias("v_y_hat"), (t2 + tq - (te * te - v + 2 * t * y_hat - t * t) / n_all).alias("hat_v_y"))
+    return met.select(*by, y_hat.alias("y_hat"), v.alias("v_y_hat"), (t2 + tq - (te * te - v + 2 * t * y_hat - t * t) / n_all).alias("hat_v_y"))
 
 
 def best_size(table: DataFrame, stat: str) -> DataFrame:

@@ -25,6 +25,7 @@ from lodestar.operators.gram import INTERCEPT, Gram, gram, grams
 from lodestar.operators.search import SearchPath
 from lodestar.operators.solve import Fit
 from lodestar.plans import options
+from lodestar.shared import cut
 from lodestar.sources.refmodel import RefModel, glm_laplace, posterior
 
 CLUSTERS = 20
@@ -423,6 +424,19 @@ def predict(ref: RefModel, data: DataFrame, kind: str = "response") -> DataFrame
     raise ValueError(f"unknown kind of prediction {kind}")
 
 
+def _loo_subsample(ref: RefModel, n: int, key: str, seed: int, method: str, largest: int, clusters: int, prediction_draws: int, regul: float) -> DataFrame:
+    """Fast leave-one-out of all observations (mu_fast, lppd_fast), the repeated search's mu and lppd of the ``sampled`` ones, and the reference's."""
+    _repeatable(ref)
+    fast = cv_loo(ref, method, largest, clusters, prediction_draws, regul).pointwise
+    picked = loo.subsample(ref.data, key, n, seed)
+    exact = _loo_searches(ref, picked, method, largest, clusters, prediction_draws, regul, seed).select("obs_id", "size", "mu", "lppd", F.lit(True).alias("sampled"))
+    sub = fast.filter(F.col("size").isNotNull()).withColumnsRenamed({"mu": "mu_fast", "lppd": "lppd_fast"})
+    if "mu_ref" not in sub.columns:
+        own = fast.filter(F.col("size").isNull()).select("obs_id", F.col("mu").alias("mu_ref"), F.col("lppd").alias("lppd_ref"))
+        sub = sub.join(own, "obs_id")
+    return sub.join(exact, ["obs_id", "size"], "left").withColumn("sampled", F.coalesce("sampled", F.lit(False)))
+
+
 def cv_loo_subsampled(ref: RefModel, n: int, key: str = "obs_id", seed: int = 0, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 100, regul: float = solve.REGUL) -> DataFrame:
     """(size, y_hat, v_y_hat, hat_v_y): elpd of searches repeated without each of n sampled observations.
 
@@ -430,10 +444,11 @@ def cv_loo_subsampled(ref: RefModel, n: int, key: str = "obs_id", seed: int = 0,
     sampled ones, any number up to all, the search itself runs on moments without the observation, in
     tasks, and the difference estimator joins both.
     """
-    _repeatable(ref)
-    fast = cv_loo(ref, method, largest, clusters, prediction_draws, regul)
-    picked = loo.subsample(ref.data, key, n, seed)
-    exact = _loo_searches(ref, picked, method, largest, clusters, prediction_draws, regul, seed).select("obs_id", "size", F.col("lppd").alias("exact"))
-    joined = fast.pointwise.filter(F.col("size").isNotNull()).join(exact, ["obs_id", "size"], "left").withColumn("sampled", F.col("exact").isNotNull()).persist()
-    parts = [stats.difference_estimate(joined.filter(F.col("size") == s), "lppd", "exact", "sampled").select(F.lit(s).alias("size"), "*") for s in fast.path.sizes]
-    return functools.reduce(DataFrame.unionByName, parts)
+    rows = _loo_subsample(ref, n, key, seed, method, largest, clusters, prediction_draws, regul).select("size", "lppd_fast", "lppd", "sampled")
+    return stats.difference_estimate(cut(rows), "lppd_fast", "lppd", "sampled", by=("size",))
+
+
+def cv_loo_subsampled_summary(ref: RefModel, n: int, names: list[str] | None = None, delta: bool = False, alpha: float = stats.ALPHA, key: str = "obs_id", seed: int = 0, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 100, regul: float = solve.REGUL) -> DataFrame:
+    """(size, statistic, value, se, lq, uq) of the same subsampled searches; with ``delta``, differences to the reference model."""
+    rows = _loo_subsample(ref, n, key, seed, method, largest, clusters, prediction_draws, regul)
+    return stats.subsampled_statistics(cut(rows), names, delta, alpha)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import arrays, families
-from lodestar.operators import categories, design, draws, evaluate, irls, latent, loo, multilevel, smooth
+from lodestar.operators import categories, design, draws, evaluate, irls, latent, loo, multilevel, smooth, stats
 from lodestar.plans import options, selection
 from lodestar.sources import refmodel
 from lodestar.streaming.moments import running_moments, total_moments
@@ -169,6 +169,12 @@ def test_leave_one_out_repeats_the_search(spark):
     sums = {r["size"]: r for r in selection.cv_loo_subsampled(ref, 30, clusters=3, prediction_draws=10).collect()}
     for size, r in sums.items():
         assert r.y_hat == pytest.approx(sum(v[1] for (_, s), v in got.items() if s == size)) and r.v_y_hat == pytest.approx(0)
+    want = {(r["size"], r.statistic): r for r in stats.statistics(whole.pointwise, baseline="ref").filter("size IS NOT NULL").collect()}
+    for r in selection.cv_loo_subsampled_summary(ref, 30, delta=True, clusters=3, prediction_draws=10).collect():
+        assert tuple(r)[2:] == pytest.approx(tuple(want[r["size"], r.statistic])[2:], rel=1e-6, abs=1e-9)
+    part = {r["size"]: r for r in selection.cv_loo_subsampled_summary(ref, 12, ["elpd"], clusters=3, prediction_draws=10).collect()}
+    for r in selection.cv_loo_subsampled(ref, 12, clusters=3, prediction_draws=10).collect():
+        assert (part[r["size"]].value, part[r["size"]].se) == pytest.approx((r.y_hat, np.sqrt(r.v_y_hat + r.hat_v_y)))
     poisson = refmodel.from_draws(df, spark.createDataFrame([(i, [1.0]) for i in range(30)], "obs_id long, mu array<double>"), families.poisson(), cols, terms)
     for call in (lambda: selection.cv_loo(poisson, validate_search=True), lambda: selection.cv_loo_subsampled(poisson, 3)):
         with pytest.raises(ValueError, match="need a Gaussian reference model"):

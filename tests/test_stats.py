@@ -50,6 +50,25 @@ def test_difference_estimator_covers(spark):
     assert hits >= 11 and np.mean(means) == pytest.approx(y.sum(), rel=0.01)
 
 
+def test_subsampled_statistics_of_odd_tables(spark):
+    """All rows sampled gives the plain statistics; none, one, missing values and empty tables have null or no rows."""
+    schema = "size int, obs_id long, y double, wobs double, mu double, lppd double, mu_fast double, lppd_fast double, sampled boolean"
+    one = [(1, i, float(i % 2), 1.0 + i % 3, 0.1 * i, -0.2 * i, 0.3, -1.0, True) for i in range(8)]
+    none = [(2, *r[1:8], None) for r in one]
+    single = [(3, *r[1:8], r[1] == 4) for r in one]
+    missing = [(4, *r[1:5], None, *r[6:8], r[1] < 5) for r in one]
+    df = spark.createDataFrame(one + none + single + missing, schema)
+    got = {(r["size"], r.statistic): r for r in stats.subsampled_statistics(df).collect()}
+    for r in stats.statistics(df.filter("size = 1")).collect():
+        assert tuple(got[1, r.statistic])[2:] == pytest.approx(tuple(r)[2:])
+    for s in stats.MOMENT_STATS:
+        assert got[2, s].value is None and got[3, s].value is not None and got[3, s].se is None
+        assert (got[4, s].value is None) == (s in ("elpd", "mlpd", "gmpd"))
+    assert stats.subsampled_statistics(df.filter("false")).count() == 0
+    with pytest.raises(ValueError, match="AUC"):
+        stats.subsampled_statistics(df, ["auc"])
+
+
 def test_missing_density_makes_the_statistic_null(spark):
     rows = spark.createDataFrame([(1, i, 1.0, 1.0, 0.5, None if i == 3 else -1.0) for i in range(5)], "size int, obs_id long, y double, wobs double, mu double, lppd double")
     r = stats.statistics(rows, ["elpd", "mse"]).collect()
