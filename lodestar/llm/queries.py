@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, chat, decontaminate, html_extract, langid, license_scan, media, quality, simhash, warc
+from lodestar.llm import bpe, chat, decontaminate, html_extract, langid, license_scan, media, packing, quality, simhash, warc
 from lodestar.llm.columns import table
 
 
@@ -53,7 +53,11 @@ def op10_media(spark, sf_dir):
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_language, op4_chat, op5_warc, op6_html, op7_quality, op8_license, op9_bpe, op10_media)}
+def op12_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_language, op4_chat, op5_warc, op6_html, op7_quality, op8_license, op9_bpe, op10_media, op12_packing)}
 
 WINDOWS = decontaminate.WINDOW
 
