@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, chat, decontaminate, html_extract, langid, license_scan, media, packing, quality, simhash, vector_codes, warc
+from lodestar.llm import bpe, chat, collocations, decontaminate, html_extract, langid, license_scan, media, packing, quality, simhash, vector_codes, warc
 from lodestar.llm.columns import table
 
 
@@ -53,6 +53,10 @@ def op10_media(spark, sf_dir):
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op13_vector_codes(spark, sf_dir):
     return vector_codes.encode(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_language, op4_chat, op5_warc, op6_html, op7_quality, op8_license, op9_bpe, op10_media, op12_packing, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_language, op4_chat, op5_warc, op6_html, op7_quality, op8_license, op9_bpe, op10_media, op11_collocations, op12_packing, op13_vector_codes)}
 
 WINDOWS = decontaminate.WINDOW
 
@@ -108,5 +112,6 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM owned
 """,
     "op8_license": license_scan.oracle(),
+    "op11_collocations": collocations.oracle(),
     "op13_vector_codes": vector_codes.oracle(),
 }
