@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 from itertools import accumulate
@@ -33,8 +33,10 @@ NEAR = 0.5
 BROADCAST_HOSTS = 100_000
 #: A winning container with less than this share of the text of the page's best gives way to it.
 LEAST_SHARE = 0.3
-#: Siblings of the chosen container with this share of its score and fewer links than this belong to it.
+#: Siblings of the chosen container with fewer links than this belong to it, if they have its tag and classes or this share of its score.
 SIBLING_SHARE, SIBLING_LINKS = 0.2, 0.3
+#: A paragraph of fewer characters in an article's own header is a byline or date.
+STANDFIRST = 60
 #: What no form has: most of the running text. What a small part has: this share of it at most.
 MOST, LITTLE = 0.5, 0.1
 #: Longer paths are told apart by a digest.
@@ -61,6 +63,8 @@ GOOD = frozenset("article content main post entry story body text page".split())
 SIDE = frozenset("ad ads advert adverts advertisement advertising adsense adslot adsbygoogle werbung anzeige publicite publicidad sponsor sponsored promo promotion cookie cookies consent gdpr newsletter comment comments commentlist disqus replies sidebar nav navbar navigation menu breadcrumb breadcrumbs share sharing social footer masthead toolbar pagination pager popup modal overlay login signup".split())
 UNSURE = frozenset("banner notice notices alert subscribe subscription reply respond discussion widget widgets related recommended recommendations teaser teasers skip header".split())
 NEUTRAL = frozenset("area bar block bottom box button buttons container content form group holder icons inner item items left link links list main media message panel posts articles stories right row section slot thread top unit wrap wrapper".split())
+#: Side names that are also common words: in an article they need links, or no paragraphs, to count.
+WORDS = frozenset("menu share sharing social promo promotion sponsor sponsored masthead overlay popup modal login signup toolbar pager footer".split())
 LAYOUT = frozenset("with has no layout".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
@@ -72,7 +76,7 @@ _PARTS = re.compile(r"[^a-z]+")
 _TITLED = re.compile(r"(?:^|\s)(?:article|content|main|post|entry|story|page)[-_]*header(?:\s|$)", re.I)
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-FREE, FORM, SIDE_PART, PERHAPS = range(4)
+FREE, FORM, SIDE_PART, PERHAPS, TOLD = range(5)
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -134,8 +138,11 @@ def named(attributes: dict[str, str]) -> int:
         if head is None and (parts[0] in SIDE or parts[0] in UNSURE) and all(w in NEUTRAL or w in SIDE or w in UNSURE for w in parts[1:]):
             head = parts[0]
         if head in SIDE or head in UNSURE and any(w in SIDE for w in parts):
-            return SIDE_PART
-        if head in UNSURE and not GOOD & {*parts}:
+            if head not in WORDS:
+                return SIDE_PART
+            told = TOLD
+            continue
+        if head in UNSURE and not GOOD & {*parts} and told == FREE:
             told = PERHAPS
     return told
 
@@ -143,11 +150,11 @@ def named(attributes: dict[str, str]) -> int:
 class Open:
     """An open element, with what holds for all that is in it."""
 
-    __slots__ = ("tag", "container", "own", "dropped", "header", "link", "block", "article")
+    __slots__ = ("tag", "container", "own", "dropped", "header", "block", "article")
 
     def __init__(self, tag: str, over: Open | None):
         self.tag, self.own = tag, False
-        self.container, self.dropped, self.header, self.link, self.block, self.article = (over.container, over.dropped, over.header, over.link, over.block, over.article) if over else (-1, False, False, False, "", False)
+        self.container, self.dropped, self.header, self.block, self.article = (over.container, over.dropped, over.header, over.block, over.article) if over else (-1, False, False, "", False)
 
 
 class Page:
@@ -156,9 +163,12 @@ class Page:
     def __init__(self, html: str, strict: bool = True):
         self.blocks: list[tuple[str, int, str]] = []  # text, characters within links, tag
         self.containers: list[list] = []  # path, first block, last block, tag, parent, weight, kind, in an article
+        self.articles: list[int] = []  # the article around each container, or -1
         self.strict, self.pieces, self.links = strict, [], 0
         self.stack = [Open("", None)]
-        self.count: Counter[str] = Counter()
+        # Places on the stack of the open elements of each name, and of the open blocks; nothing walks the stack.
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.open_blocks: list[int] = []
         self._start("html", {})
         for kind, value, attributes in tokens(html):
             if kind == "<":
@@ -173,22 +183,23 @@ class Page:
 
     def _text(self, raw: str) -> None:
         top = self.stack[-1]
-        if top.dropped or top.header and top.block not in HEADINGS:
+        if top.dropped or top.header and top.block not in HEADINGS and not (top.block == "p" and top.article):
             return
         text = unescape(raw) if "&" in raw else raw
         self.pieces.append(text)
-        if top.link:
+        if self.at["a"]:
             self.links += len(text.strip())
 
     def _flush(self) -> None:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
-            if text:
+            # Of an article's own header, headings and a standfirst are text; bylines and dates are short.
+            if text and not (self.stack[-1].header and self.stack[-1].block == "p" and (len(text) < STANDFIRST or self.links * 2 > len(text))):
                 self.blocks.append((text, min(self.links, len(text)), self.stack[-1].block))
             self.pieces, self.links = [], 0
 
     def _start(self, name: str, given: dict[str, str]) -> None:
-        if name in ("html", "body") and self.count[name]:
+        if name in ("html", "body") and self.at[name]:
             return
         if name in BLOCKS:
             self._flush()
@@ -200,11 +211,11 @@ class Page:
         here = Open(name, self.stack[-1])
         if name in BLOCKS:
             here.block = name
-        here.link |= name == "a"
         here.article |= name in ("article", "main")
         kind = FREE
         if not here.dropped:
-            here.dropped = name in SKIPPED or self.strict and self._unwanted(name, given)
+            inline = name == "button" and here.block == "p"
+            here.dropped = name in SKIPPED or self.strict and not inline and self._unwanted(name, given)
             if self.strict and name in CONTAINERS and name not in WHOLE:
                 kind = FORM if name in ("form", "fieldset") or name == "header" and not here.article else named(given)
             if self.strict and (name == "header" and here.article or name not in WHOLE and _TITLED.search(given.get("class", ""))):
@@ -217,9 +228,12 @@ class Page:
             if len(path) > PATH_CHARS:
                 path = "#" + hashlib.md5(path.encode()).hexdigest()
             here.container, here.own = len(self.containers), True
+            self.articles.append(here.container if name == "article" else self.articles[parent] if parent >= 0 else -1)
             self.containers.append([path, len(self.blocks), None, name, parent, self._weight(name, classes), kind, self.stack[-1].article])
+        self.at[name].append(len(self.stack))
+        if name in BLOCKS:
+            self.open_blocks.append(len(self.stack))
         self.stack.append(here)
-        self.count[name] += 1
 
     @staticmethod
     def _unwanted(name: str, given: dict[str, str]) -> bool:
@@ -240,61 +254,71 @@ class Page:
     def _close_implied(self, name: str) -> None:
         """A block ends an open paragraph, a heading an open heading, an item an open item, a row an open row."""
         ends = CLOSES.get(name, ())
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i].tag
-            if name in BLOCKS and tag == "p" or tag in HEADINGS and name in HEADINGS or tag in ends:
-                self._flush()
-                self._pop_to(i)
-                return
-            if tag in BLOCKS or name not in BLOCKS and not ends:
-                return
+        block = self.open_blocks[-1] if self.open_blocks else -1
+        tag = self.stack[block].tag if block >= 0 else ""
+        # Of what may end: the innermost within the innermost block, else that block itself.
+        inner = max((self.at[t][-1] for t in ends if self.at[t]), default=-1)
+        if inner > block:
+            i = inner
+        elif block > 0 and (name in BLOCKS and tag == "p" or tag in HEADINGS and name in HEADINGS or tag in ends):
+            i = block
+        else:
+            return
+        self._flush()
+        self._pop_to(i)
 
     def _pop_to(self, i: int) -> None:
-        for entry in self.stack[i:]:
-            self.count[entry.tag] -= 1
+        for entry in reversed(self.stack[i:]):
+            if entry.tag:
+                self.at[entry.tag].pop()
             if entry.own:
                 self.containers[entry.container][2] = len(self.blocks)
         del self.stack[i:]
+        while self.open_blocks and self.open_blocks[-1] >= i:
+            self.open_blocks.pop()
 
     def _end(self, name: str) -> None:
         if name in BLOCKS:
             self._flush()
         elif name in ("td", "th"):
             self.pieces.append(" ")
-        if not self.count[name] or name in ("html", "body"):
+        if not self.at[name] or name in ("html", "body"):
             return
-        i = len(self.stack) - 1
-        while self.stack[i].tag != name:
-            i -= 1
+        i = self.at[name][-1]
         # An inline end tag behind a block that is still open doesn't close that block.
-        if name in BLOCKS or name in ("td", "th") or not any(e.tag in BLOCKS for e in self.stack[i + 1 :]):
+        if name in BLOCKS or name in ("td", "th") or not (self.open_blocks and self.open_blocks[-1] > i):
             self._pop_to(i)
         else:
-            self.count[name] -= 1
+            self.at[name].pop()
             self.stack[i].tag = ""
-            for e in self.stack[i + 1 :]:
-                e.link &= name != "a"
 
     def _leave_out(self) -> None:
         """Marks the blocks of side parts; the rest is kept."""
         self.kept = [True] * len(self.blocks)
         self.under: dict[int, list[int]] = {}
+        self.running: dict[int, list[int]] = {}
         for c, (_, _, _, _, parent, *_) in enumerate(self.containers):
             self.under.setdefault(parent, []).append(c)
         running = [0, *accumulate(max(0, len(t) - links) for t, links, _ in self.blocks)]
         whole = [0, *accumulate(len(t) for t, *_ in self.blocks)]
+        prose = [0, *accumulate(len(t) if tag == "p" and len(t) >= STANDFIRST else 0 for t, _, tag in self.blocks)]
         has_article = any(c[3] in ("article", "main") for c in self.containers)
         done = 0
         for _, first, last, _, _, _, kind, inside in self.containers:
             if kind == FREE or last <= done or first == last:
                 continue
             own, all_chars = running[last] - running[first], whole[last] - whole[first]
-            if own > (1 - LITTLE if kind == SIDE_PART else MOST) * running[-1]:
+            if own > (1 - LITTLE if kind in (SIDE_PART, TOLD) else MOST) * running[-1]:
                 continue
             small = own <= LITTLE * running[-1]
+            # Within an article a name alone says little: paragraphs without many links stay.
+            if kind == TOLD and inside and prose[last] > prose[first] and own >= (1 - SIBLING_LINKS) * all_chars:
+                continue
             if kind != PERHAPS or own < 0.7 * all_chars or has_article and not inside or small:
                 self.kept[first:last] = [False] * (last - first)
                 done = last
+        self.chars = [0, *accumulate(len(t) if k else 0 for (t, *_), k in zip(self.blocks, self.kept, strict=True))]
+        self.linked = [0, *accumulate(links if k else 0 for (_, links, _), k in zip(self.blocks, self.kept, strict=True))]
 
     def scores(self) -> list[float]:
         """Running text under each container: all of a block for its own, half for the one above."""
@@ -320,10 +344,13 @@ class Page:
 
     def raised(self, container: int) -> int:
         """The article around a container, if there is one, else the container."""
-        at = container
-        while at >= 0 and self.containers[at][3] != "article":
-            at = self.containers[at][4]
-        return at if at >= 0 else container
+        return self.articles[container] if self.articles[container] >= 0 else container
+
+    def beside(self, scores: list[float], parent: int) -> list[int]:
+        """Containers under one parent that have running text and few links."""
+        if parent not in self.running:
+            self.running[parent] = [c for c in self.under[parent] if scores[c] > 0 and self.links_of(c) < SIBLING_LINKS]
+        return self.running[parent]
 
     def title(self, container: int) -> list[str]:
         """Headings right before a container: they stand over it."""
@@ -334,12 +361,12 @@ class Page:
 
     def size(self, container: int) -> int:
         _, first, last, *_ = self.containers[container]
-        return sum(len(self.blocks[b][0]) for b in range(first, last) if self.kept[b])
+        return self.chars[last] - self.chars[first]
 
     def links_of(self, container: int) -> float:
         """The share of a container's text that is links."""
         _, first, last, *_ = self.containers[container]
-        return sum(self.blocks[b][1] for b in range(first, last) if self.kept[b]) / max(1, self.size(container))
+        return (self.linked[last] - self.linked[first]) / max(1, self.size(container))
 
     def texts(self, containers: list[int]) -> list[str]:
         """Kept blocks of the containers, each once, in page order."""
@@ -357,8 +384,9 @@ def siblings(page: Page, scores: list[float], best: int) -> list[int]:
     tag, parent = page.containers[best][3:5]
     if tag in ("article", "main", "body", "html"):
         return [best]
-    beside = (c for c in page.under[parent] if scores[c] > 0 and scores[c] >= SIBLING_SHARE * scores[best])
-    return sorted({best, *(c for c in beside if page.links_of(c) < SIBLING_LINKS)})
+    path, least = page.containers[best][0], SIBLING_SHARE * scores[best]
+    beside = (c for c in page.beside(scores, parent) if scores[c] >= least or page.containers[c][0] == path)
+    return sorted({best, *beside})
 
 
 def votes(html: str) -> list[tuple[str, int]]:
@@ -367,11 +395,12 @@ def votes(html: str) -> list[tuple[str, int]]:
     scores = page.scores()
     best = max(scores, default=0.0)
     shares: dict[str, int] = {}
-    done: set[int] = set()
+    done: set[int] = set()  # parents whose children have been looked at
     for c, score in enumerate(scores):
-        if score > 0 and score >= NEAR * best and c not in done:
-            chosen = siblings(page, scores, page.raised(c))
-            done.update(chosen)
+        top = page.raised(c)
+        if score > 0 and score >= NEAR * best and page.containers[top][4] not in done:
+            chosen = siblings(page, scores, top)
+            done.add(page.containers[top][4])
             path = AND.join(sorted({page.containers[x][0] for x in chosen}))
             shares[path] = max(shares.get(path, 0), round(1000 * score / best))
     return list(shares.items())
