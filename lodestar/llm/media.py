@@ -13,12 +13,13 @@ import hashlib
 import re
 import struct
 import zlib
+from collections.abc import Callable
 
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.columns import column_function, small_batches
+from lodestar.llm.columns import column_function, quoted, small_batches
 
 #: Payloads are padded with bytes 255 to a positive multiple of this.
 UNIT = 576
@@ -77,41 +78,78 @@ class Marks:
         return places[i] if i < len(places) else -1
 
 
-def _png(b: bytes, at: int) -> int:
-    p, first = at + 8, True
-    while p + 12 <= len(b):
-        size, kind = int.from_bytes(b[p : p + 4], "big"), b[p + 4 : p + 8]
-        if p + 12 + size > len(b) or first and (kind != b"IHDR" or size != 13):
-            return 0
-        if zlib.crc32(b[p + 4 : p + 8 + size]) != int.from_bytes(b[p + 8 + size : p + 12 + size], "big"):
-            return 0
-        p, first = p + 12 + size, False
-        if kind == b"IEND":
-            return p - at
-    return 0
+class Chains:
+    """Where chains of blocks end, by the place of each block: a chain that meets a known place is not walked again."""
+
+    def __init__(self):
+        self.known: dict[tuple[str, int], object] = {}
+
+    def end(self, name: str, at: int, step: Callable[[int], tuple[int | None, object]], joined: Callable[[object, object], object] = lambda here, rest: rest):
+        """The outcome at ``at``: ``step`` gives the next place and this block's part, or no place and the outcome.
+
+        A chain's outcome is that of its last block, put together backwards by ``joined``.
+        """
+        path, out = [], None
+        while True:
+            if (name, at) in self.known:
+                out = self.known[name, at]
+                break
+            after, here = step(at)
+            path.append((at, here))
+            if after is None:
+                out = here
+                self.known[name, at] = out
+                path.pop()
+                break
+            at = after
+        for place, here in reversed(path):
+            out = joined(here, out)
+            self.known[name, place] = out
+        return out
+
+
+def _png(b: bytes, at: int, chains: Chains | None = None) -> int:
+    """Chunks are followed to the end by their lengths first; only then are their sums taken, each once."""
+    chains = chains or Chains()
+    if b[at + 8 : at + 16] != b"\0\0\0\rIHDR":
+        return 0
+
+    def step(p: int):
+        size = int.from_bytes(b[p : p + 4], "big")
+        if p + 12 + size > len(b) or not b[p + 4 : p + 8].isalpha():
+            return None, 0
+        return (None, p + 12 + size) if b[p + 4 : p + 8] == b"IEND" else (p + 12 + size, None)
+
+    def sound(p: int):
+        stop = p + 8 + int.from_bytes(b[p : p + 4], "big")
+        good = zlib.crc32(memoryview(b)[p + 4 : stop]) == int.from_bytes(b[stop : stop + 4], "big")
+        return (stop + 4, True) if good and b[p + 4 : p + 8] != b"IEND" else (None, good)
 
+    end = chains.end("png", at + 8, step)
+    return end - at if end and chains.end("sums", at + 8, sound) else 0
 
-def _gif(b: bytes, at: int) -> int:
+
+def _gif(b: bytes, at: int, chains: Chains | None = None) -> int:
+    chains = chains or Chains()
     if b[at + 4 : at + 6] not in (b"7a", b"9a") or at + 13 > len(b):
         return 0
-    p = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0)
-
-    def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        return p + 1
-
-    seen = False
-    while p < len(b):
-        if b[p] == 0x3B:
-            return p + 1 - at if seen else 0
-        if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 <= len(b):
-            p, seen = blocks(p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 128 else 0)), True
-        else:
-            return 0
-    return 0
+
+    def data(p: int):
+        return (p + b[p] + 1, None) if p < len(b) and b[p] else (None, p + 1)
+
+    def step(p: int):
+        """A part's outcome is the place behind the end mark, 0 without one, and whether an image came before it."""
+        if p < len(b) and b[p] == 0x3B:
+            return None, (p + 1, False)
+        if p < len(b) and b[p] == 0x21:
+            return chains.end("data", p + 2, data), False
+        if p + 10 <= len(b) and b[p] == 0x2C:
+            return chains.end("data", p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 128 else 0), data), True
+        return None, (0, False)
+
+    first = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0)
+    end, seen = chains.end("gif", first, step, lambda image, rest: (rest[0], rest[1] or image))
+    return end - at if end and seen else 0
 
 
 def _bmp(b: bytes, at: int) -> int:
@@ -121,20 +159,22 @@ def _bmp(b: bytes, at: int) -> int:
     return size if spare == 0 and head in (12, 40, 52, 56, 108, 124) and 14 + head <= start <= size <= len(b) - at else 0
 
 
-def _jpeg(b: bytes, at: int, marks: Marks | None = None) -> int:
-    marks = marks or Marks(b)
-    p, frame = at + 2, False
-    while p + 4 <= len(b) and b[p] == 0xFF:
-        kind = b[p + 1]
+def _jpeg(b: bytes, at: int, marks: Marks | None = None, chains: Chains | None = None) -> int:
+    marks, chains = marks or Marks(b), chains or Chains()
+
+    def step(p: int):
+        """A segment's outcome is the place behind the start of the scan, 0 without one, and whether a frame came before it."""
         size = int.from_bytes(b[p + 2 : p + 4], "big")
-        if size < 2 or p + 2 + size > len(b):
-            return 0
-        frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
-        p += 2 + size
+        if p + 4 > len(b) or b[p] != 0xFF or size < 2 or p + 2 + size > len(b):
+            return None, (0, False)
+        kind = b[p + 1]
         if kind == 0xDA:
-            end = marks.first(b"\xff\xd9", p) if frame else -1
-            return end + 2 - at if end >= 0 else 0
-    return 0
+            return None, (p + 2 + size, False)
+        return p + 2 + size, 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
+
+    scan, frame = chains.end("jpeg", at + 2, step, lambda here, rest: (rest[0], rest[1] or here))
+    end = marks.first(b"\xff\xd9", scan) if scan and frame else -1
+    return end + 2 - at if end >= 0 else 0
 
 
 def _gzip(b: bytes, at: int) -> int:
@@ -165,15 +205,16 @@ def _pdf(b: bytes, at: int, marks: Marks | None = None) -> int:
     return size
 
 
+#: Validators of (bytes, place, places of marks, known ends of chains), giving the length or 0.
 VALID = {
-    "audio/wav": lambda b, at: (wav_data(b, at) or (0,))[0],
-    "image/png": _png,
-    "image/gif": _gif,
-    "image/bmp": _bmp,
-    "application/gzip": _gzip,
+    "audio/wav": lambda b, at, marks, chains: (wav_data(b, at) or (0,))[0],
+    "image/bmp": lambda b, at, marks, chains: _bmp(b, at),
+    "application/gzip": lambda b, at, marks, chains: _gzip(b, at),
+    "image/png": lambda b, at, marks, chains: _png(b, at, chains),
+    "image/gif": lambda b, at, marks, chains: _gif(b, at, chains),
+    "image/jpeg": _jpeg,
+    "application/pdf": lambda b, at, marks, chains: _pdf(b, at, marks),
 }
-#: Formats that end at a mark found by searching on.
-MARKED = {"image/jpeg": _jpeg, "application/pdf": _pdf}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -187,12 +228,12 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniffed(b: bytes, finder: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """Type, start and length of every confirmed medium, in order; what lies inside an embedded one isn't told apart."""
-    found, inside, marks = [], 0, Marks(b)
+    found, inside, marks, chains = [], 0, Marks(b), Chains()
     for end, (kind, back) in finder.iter(b.decode("latin-1")):
         start = end + 1 - back
         if start < 0 or found and 0 < start < inside:
             continue
-        if size := VALID[kind](b, start) if kind in VALID else MARKED[kind](b, start, marks):
+        if size := VALID[kind](b, start, marks, chains):
             found.append((kind, start, size))
             inside = max(inside, start + size if start else 0)
     return sorted(found, key=lambda x: x[1])
@@ -232,7 +273,7 @@ def carve(df: DataFrame, data: str) -> DataFrame:
     rows = sniff(df, data).select("*", F.explode("sniffed.embedded").alias("carved"))
     kind, start, size = (F.regexp_extract("carved", r"^(.*)@(\d+)\+(\d+)$", i) for i in (1, 2, 3))
     content = F.substring(F.col(data), start.cast("int") + 1, size.cast("int"))
-    return rows.select(*[F.col(c) for c in df.columns], kind.alias("media_type"), start.cast("bigint").alias("start"), content.alias("content"))
+    return rows.select(*quoted(df), kind.alias("media_type"), start.cast("bigint").alias("start"), content.alias("content"))
 
 
 def padded(text: bytes | None) -> bytes:
