@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 #: Lower-cases A-Z, keeps a-z, 0-9 and every byte above 0x7F, and blanks the rest.
@@ -71,6 +72,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def quoted(df: DataFrame) -> list:
+    """The columns of ``df`` by their names, whatever these hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.columns import column_function, cut, free_name, plain_words, small_batches
+from lodestar.llm.columns import column_function, cut, free_name, plain_words, quoted, small_batches
 
 WINDOW = 13
 SHINGLE = 5
@@ -74,10 +74,29 @@ class Block:
         flat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
         self.words, self.starts, self.lengths, self.owners = flat(words, np.int32), flat(starts, np.int64), flat(lengths, np.int32), flat(owners, np.int32)
         self.shingle = shingle
+        self._collapse()
         self.sizes = sorted({min(shingle, int(n)) for n in np.unique(self.lengths)})
         self.hashes = np.unique(np.concatenate([np.empty(0, np.uint64), *[self._shingles(n).ravel() for n in np.unique(self.lengths)]]))
         self._filter(self.hashes)
 
+    def _collapse(self) -> None:
+        """Keeps equal windows once: ``owners[first[w]:first[w + 1]]`` are the items of window w."""
+        whole = np.zeros(len(self.starts), np.uint64)
+        for n in np.unique(self.lengths):
+            here = self.lengths == n
+            whole[here] = rolling(self.words, int(n))[self.starts[here]]
+        by = np.lexsort((self.owners, whole, self.lengths))
+        starts, lengths, whole = self.starts[by], self.lengths[by], whole[by]
+        same = np.zeros(len(by), bool)
+        same[1:] = (lengths[1:] == lengths[:-1]) & (whole[1:] == whole[:-1])
+        for i in range(int(lengths.max(initial=0))):
+            at = np.flatnonzero(same & (lengths > i))
+            same[at] = self.words[starts[at] + i] == self.words[starts[at - 1] + i]
+        new = np.flatnonzero(~same)
+        self.starts, self.lengths, self.owners = starts[new], lengths[new], self.owners[by]
+        self.first = np.append(new, len(by))
+        self.window = np.arange(len(new))
+
     def _shingles(self, length: int) -> np.ndarray:
         """Hashes of the shingles of every window of one length, a row for each."""
         k = min(self.shingle, int(length))
@@ -103,7 +122,7 @@ class Block:
             offset[here], anchor[here] = best, own[np.arange(len(own)), best]
         by = np.argsort(anchor, kind="stable")
         self.anchors, self.offsets = anchor[by], offset[by]
-        self.starts, self.lengths, self.owners = self.starts[by], self.lengths[by], self.owners[by]
+        self.starts, self.lengths, self.window = self.starts[by], self.lengths[by], self.window[by]
         self.hashes = np.unique(self.anchors)
         self._filter(self.hashes)
 
@@ -139,7 +158,7 @@ class Block:
     def hits(self, words: list[bytes]) -> tuple[list[int], list[str]]:
         """Starts and ends of the verified windows' joined spans, flattened, and the items they are of."""
         ids = self.ids_of(words)
-        spans, items = [], set()
+        spans, met = [], set()
         for at, h in self.meetings(ids, ids > 0):
             low, high = (np.searchsorted(self.anchors, h, side) for side in ("left", "right"))
             # Pairs of a place and a window under its shingle, a bounded number at once.
@@ -156,8 +175,13 @@ class Block:
                     within = equal & (self.lengths[window] > i)
                     equal[within] = ids[start[within] + i] == self.words[self.starts[window[within]] + i]
                 spans += set(zip(start[equal].tolist(), (start + self.lengths[window])[equal].tolist(), strict=True))
-                items.update(np.unique(self.owners[window[equal]]).tolist())
-        return joined(spans), sorted({self.names[i] for i in items})
+                met.update(np.unique(self.window[window[equal]]).tolist())
+        if not met:
+            return [], []
+        held = np.zeros(len(self.names), bool)
+        for w in met:
+            held[self.owners[self.first[w] : self.first[w + 1]]] = True
+        return joined(set(spans)), sorted({self.names[i] for i in np.flatnonzero(held)})
 
 
 def joined(spans: list[tuple[int, int]]) -> list[int]:
@@ -242,7 +266,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, text: str = "tex
     united = united.select(F.col("digest").alias(digest), F.struct("pairs", "found_items").alias(met))
     out = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)).join(united, digest, "left")
     struct = F.struct(words(F.col(text).cast("string")).alias("n_words"), merge(F.col(met).getField("pairs")).alias("spans"), F.coalesce(F.col(met).getField("found_items"), F.array().cast("array<string>")).alias("items"))
-    return out.select(*[out[c] for c in docs.columns], struct.alias(name))
+    return out.select(*quoted(docs), struct.alias(name))
 
 
 def _found(docs: DataFrame, text: str, block: Block) -> DataFrame:
@@ -280,4 +304,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
     mark = free_name(docs, "hits")
     rows = with_hits(docs, benchmark, mark, text)
     hit = covered(f"{mark}.spans")
-    return rows.filter(~((hit > 0) & (SHARE * hit >= F.col(f"{mark}.n_words")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.filter(~((hit > 0) & (SHARE * hit >= F.col(f"{mark}.n_words")))).select(*quoted(docs))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.columns import column_function, free_name, small_batches
+from lodestar.llm.columns import column_function, free_name, quoted, small_batches
 
 SAMPLE_ROWS = 4000
 BUCKETS = 1 << 16
@@ -243,4 +243,4 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     """``docs`` without the rows whose language is rejected; columns stay as they are."""
     model = trained(docs, key, text, lang)
     mark = free_name(docs, "predicted")
-    return docs.withColumn(mark, predicted(docs, model, text)).filter(F.col(mark).getField("passed")).select(*docs.columns)
+    return docs.withColumn(mark, predicted(docs, model, text)).filter(F.col(mark).getField("passed")).select(*quoted(docs))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.columns import column_function, cut, free_name, remove, shared_dir, small_batches
+from lodestar.llm.columns import column_function, cut, free_name, quoted, remove, shared_dir, small_batches
 
 BITS = 6
 SYMBOLS = 1 << BITS
@@ -384,4 +384,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     fence = _cheap(labelled_fences(scores, labels, key).select(F.struct("lang", "median", "fence").alias(by_lang)), MANY_LANGUAGES)
     out = held.join(fence, language == F.col(f"{by_lang}.lang"), "left")
     rate = (F.col(f"{mark}.nll") + PRIOR * F.col(f"{by_lang}.median")) / (F.col(f"{mark}.n") + PRIOR)
-    return out.filter(~F.coalesce((F.col(f"{mark}.n") > 0) & (rate > F.col(f"{by_lang}.fence")), F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.filter(~F.coalesce((F.col(f"{mark}.n") > 0) & (rate > F.col(f"{by_lang}.fence")), F.lit(False))).select(*quoted(docs))

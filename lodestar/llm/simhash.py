@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.columns import column_function, cut, small_batches, spaced_words
+from lodestar.llm.columns import column_function, cut, quoted, small_batches, spaced_words
 
 SHINGLE = 3
 SEED = 42
@@ -122,7 +122,7 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     marked = cut(with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "fp").select("key", "fp"))
     # A key that occurs more than once belongs to the least component of its rows.
     keyed = with_components(marked.filter(F.col("key").isNotNull())).groupBy("key").agg(F.min("component_id").alias("component_id"), F.count("*").alias("copies"))
-    out = docs.join(keyed.filter("key <> component_id").select(F.col("key").alias(key)), key, "left_anti").select(*docs.columns)
+    out = docs.join(keyed.filter("key <> component_id").select(F.col("key").alias(key)), key, "left_anti").select(*quoted(docs))
     if keyed.filter("key = component_id AND copies > 1").isEmpty():
         return out
     return out.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.filter(F.col(key).isNull()))
