@@ -734,5 +734,5 @@ def test_json_of_queries_is_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in names and json.dumps(sorted(names))
