@@ -309,6 +309,22 @@ def varsel_datafit(spark, sf_dir):
     return out.select("size", shown("elpd", 2).alias("elpd"), shown("mse", 5).alias("mse"), shown("rmse").alias("rmse"), shown("R2", 7).alias("R2"))
 
 
+#: Of draws y + 1 with dispersion one half: what is left of y about a fit to them, and the projected variance.
+_SHIFTED = f"({_MSE} + 1)", f"({_MSE} + 0.25)"
+
+
+@query(f"{_forward_ctes(3)}, path AS (SELECT 0 AS size, '(Intercept)' AS term, -my * my AS ce FROM std {' '.join(f'UNION ALL SELECT {k}, term, ce FROM p{k}' for k in (1, 2, 3))}) SELECT size, term, round(ce + my * my - (my + 1) * (my + 1), 4) AS ce, round(-n / 2 * (ln(2 * pi() * {_SHIFTED[1]}) + {_SHIFTED[0]} / {_SHIFTED[1]}), 2) AS elpd, round({_SHIFTED[0]}, 5) AS mse FROM path, std")
+def draws_varsel(spark, sf_dir):
+    """A user's posterior draws as reference model: one draw, a unit over the response."""
+    items = tables.line_items(spark, sf_dir)
+    keyed = items.withColumn("obs_id", F.monotonically_increasing_id())  # obs_id repeats in the smallest table
+    drawn = keyed.withColumn("mu", F.array(F.col("y") + 1))
+    ref = refmodel.RefModel(drawn, families.gaussian(), _columns(), _blocks(), [0.5], [1.0])
+    chosen = selection.varsel(ref, largest=3)
+    out = chosen.summary(["elpd", "mse"]).join(chosen.path.table(spark), "size")
+    return out.select("size", "term", shown("ce", 4).alias("ce"), shown("elpd", 2).alias("elpd"), shown("mse", 5).alias("mse"))
+
+
 @query(f"""WITH {ITEMS}, o AS (SELECT *, (obs_id % 5 + 1)::INTEGER AS fold FROM items), k AS (SELECT t.fold, o.y, o.price AS x FROM (SELECT DISTINCT fold FROM o) t JOIN o ON o.fold <> t.fold),
 m AS (SELECT fold, count(*) AS n, avg(y) AS my, avg(x) AS mx FROM k GROUP BY fold), s AS (SELECT fold, any_value(n) AS n, any_value(my) AS my, any_value(mx) AS mx, sum(power(x - mx, 2)) AS sxx, sum((x - mx) * (y - my)) AS sxy FROM k JOIN m USING (fold) GROUP BY fold),
 f AS (SELECT *, sxy / (sxx + {solve.REGUL} * sxx / (n - 1)) AS b FROM s), e AS (SELECT power(o.y - my, 2) AS e0, power(o.y - my - b * (price - mx), 2) AS e1 FROM o JOIN f USING (fold))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.arrays import doubles, let, total
+from lodestar.operators.gram import summed_blocks
 from lodestar.operators.keyed import INCREMENT, MODULUS, MULTIPLIER
 
 #: Draw weights within a cluster are shrunk by this factor, for numerical stability.
@@ -102,20 +103,12 @@ def mean_by_cluster(draws: DataFrame, cluster: str, value: str, weight: str) ->
 def draw_gram(df: DataFrame, eta: str, n_draws: int, change: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> np.ndarray:
     """Inner products of all pairs of draws over all observations, from one Arrow pass; ``change`` maps the values first."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = np.zeros((n_draws, n_draws))
-        for batch in batches:
-            if batch.num_rows:
-                x = change(np.array(batch.column(0).to_pylist(), dtype=float))
-                g += x.T @ x
-        at = np.arange(n_draws * n_draws)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(g.ravel())], ["at", "v"])
-
-    cells = df.select(eta).mapInArrow(partial, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(n_draws * n_draws)
-    for r in cells:
-        out[r["at"]] = r.v
-    return out.reshape(n_draws, n_draws)
+    def blocks(batch: pa.RecordBatch) -> Iterator[tuple]:
+        x = change(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_draws))
+        yield 0, batch.num_rows, x.T @ x
+
+    found = summed_blocks(df.select(F.lit(0).alias("g"), F.col(eta).cast("array<double>")), blocks, n_draws)
+    return found[0][1] if found else np.zeros((n_draws, n_draws))
 
 
 def kmeans(gram: np.ndarray, k: int, seed: int = 1, rounds: int = 50) -> list[int]:

@@ -8,7 +8,7 @@ small row per task and group is shuffled.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,6 +111,83 @@ def _wide(z: DataFrame, k: int) -> DataFrame:
     return packed.select("g", "n", *[F.get("m", F.lit(i)).alias(f"m{i}") for i in range(len(upper[0]))])
 
 
+def draw_name(draw: int) -> str:
+    """The name of a draw's fits, counted from 1, among the columns of a moment matrix."""
+    return f"_m{draw}"
+
+
+def draw_moments(df: DataFrame, columns: dict[str, Column], draws: Column, n_draws: int, weight: Column | None = None, by: Column | None = None) -> dict:
+    """Moments of the columns and of every draw of an array of fits, by group: X'WX, X'WM and M'WM in one Arrow pass.
+
+    All are taken about means, from a scan before: columns about their own, draws about that of all
+    draws. Each task and group sends its matrix by rows, which are summed row by row before they
+    reach the driver, so what any task or the driver holds is as large as one matrix.
+    """
+    weight = (F.lit(1.0) if weight is None else weight).cast("double")
+    values = list(columns.values())
+    level = F.aggregate(draws, F.lit(0.0), lambda a, x: a + x) / n_draws
+    mean = df.agg(F.sum(weight).alias("w"), *[F.sum(weight * c).alias(f"s{i}") for i, c in enumerate([*values, level])]).first()
+    shift = [float(mean[f"s{i}"] / mean.w) if mean.w else 0.0 for i in range(len(values) + 1)]
+    near = [(c - F.lit(s)).cast("double").alias(f"z{i}") for i, (c, s) in enumerate(zip(values, shift, strict=False))]
+    z = df.select((F.lit(0) if by is None else by).alias("g"), weight.alias("w"), draws.cast("array<double>").alias("m"), *near)
+
+    last, k = shift[-1], len(values)
+
+    def blocks(batch: pa.RecordBatch) -> Iterator[tuple]:
+        groups = np.array(batch.column(0).to_pylist())
+        w = batch.column(1).to_numpy(zero_copy_only=False)
+        m = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(w), n_draws) - last
+        x = np.column_stack([np.ones(len(w)), *[batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 3 + k)], m])
+        for g in set(groups.tolist()):
+            own = groups == g
+            yield g, int(own.sum()), (x[own] * w[own, None]).T @ x[own]
+
+    names = (INTERCEPT, *columns, *[draw_name(i + 1) for i in range(n_draws)])
+    shifts = (0.0, *shift[:-1], *[shift[-1]] * n_draws)
+    return {g: Gram(names, matrix, n, shifts) for g, (n, matrix) in summed_blocks(z, blocks, len(names)).items()}
+
+
+def summed_blocks(df: DataFrame, blocks: Callable[[pa.RecordBatch], Iterator[tuple]], k: int) -> dict:
+    """Sums of (group, rows, k x k matrix) over all batches: {group: (rows, matrix)}. The group is ``df``'s column g."""
+    kind = dict(df.dtypes)["g"]
+    schema = f"g {kind}, at int, n bigint, line binary"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        g_type = None
+        for batch in batches:
+            g_type = batch.schema.field(0).type
+            if batch.num_rows:
+                for g, n, matrix in blocks(batch):
+                    old = sums.get(g)
+                    sums[g] = (n, matrix) if old is None else (old[0] + n, old[1] + matrix)
+        for g, (n, matrix) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * k, g_type), pa.array(range(k), pa.int32()), pa.array([n] * k, pa.int64()), pa.array([line.tobytes() for line in matrix], pa.binary())], ["g", "at", "n", "line"])
+
+    def add(table: pa.Table) -> pa.Table:
+        lines = sum(np.frombuffer(v.as_py(), float) for v in table.column("line"))
+        n = sum(table.column("n").to_pylist())
+        return pa.table({"g": table.column("g").slice(0, 1), "at": table.column("at").slice(0, 1), "n": pa.array([n], pa.int64()), "line": pa.array([lines.tobytes()], pa.binary())})
+
+    found: dict = {}
+    for r in df.mapInArrow(partial, schema).groupBy("g", "at").applyInArrow(add, schema).collect():
+        matrix = found.setdefault(r["g"], (r["n"], np.zeros((k, k))))[1]
+        matrix[r["at"]] = np.frombuffer(bytes(r["line"]), float)
+    return found
+
+
+def combined(g: Gram, targets: dict[str, dict[str, float]]) -> Gram:
+    """Moments with weighted sums of known columns appended: ``targets`` maps new names to weights by column."""
+    at = {n: i for i, n in enumerate(g.names)}
+    lift = np.zeros((len(at), len(targets)))
+    for j, parts in enumerate(targets.values()):
+        for name, w in parts.items():
+            lift[at[name], j] += w
+    full = np.hstack([np.eye(len(at)), lift])
+    shift = (*g.shift, *(np.array(g.shift) @ lift).tolist()) if g.shift else ()
+    return Gram((*g.names, *targets), full.T @ g.matrix @ full, g.rows, shift)
+
+
 def gram(df: DataFrame, columns: dict[str, Column], weight: Column | None = None) -> Gram:
     return next(iter(grams(df, columns, weight).values()), Gram((INTERCEPT, *columns), np.zeros((len(columns) + 1,) * 2), 0))
 

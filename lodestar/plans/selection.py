@@ -14,14 +14,14 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.arrays import doubles
 from lodestar.functions.families import EPS
 from lodestar.operators import crossval, draws, evaluate, irls, loo, post, search, solve, stats
 from lodestar.operators import formula as fm
-from lodestar.operators.gram import INTERCEPT, Gram, gram, grams
+from lodestar.operators.gram import INTERCEPT, Gram, combined, draw_moments, draw_name, gram, grams
 from lodestar.operators.search import SearchPath
 from lodestar.operators.solve import Fit
 from lodestar.plans import options
@@ -101,11 +101,28 @@ class GaussianFits:
     dis: list[float]
 
 
+def _moments(ref: RefModel) -> Gram:
+    """Moments of predictors and response, and of a user's draws less offsets, which don't follow from coefficients."""
+    columns = {**ref.columns, "_y": _target()}
+    if ref.fits or ref.is_datafit:
+        return gram(ref.data, columns, F.col("wobs"))
+    found = draw_moments(ref.data, columns, _less_offsets(), ref.n_draws, F.col("wobs"))
+    if not found:
+        raise ValueError("no observations")
+    return found[0]
+
+
+def _less_offsets() -> Column:
+    return F.transform("mu", lambda v: v - F.col("offs"))
+
+
 def _gaussian(ref: RefModel, g: Gram, fits: list[Fit], dis: list[float], keep: int) -> GaussianFits:
     """At most ``keep`` thinned draws as targets; the data itself is one target without dispersion."""
     if ref.is_datafit:
         return GaussianFits(g, ["_y"], [1.0], [0.0])
-    numbers = draws.thinned(len(fits), keep)
+    numbers = draws.thinned(len(dis), keep)
+    if not fits:
+        return GaussianFits(g, [draw_name(i) for i in numbers], [1 / len(numbers)] * len(numbers), [dis[i - 1] for i in numbers])
     chosen = [fits[i - 1] for i in numbers]
     names = [f"_m{i}" for i in numbers]
     return GaussianFits(with_targets(g, chosen, names), names, [1 / len(names)] * len(names), [dis[i - 1] for i in numbers])
@@ -115,6 +132,13 @@ def _searched(ref: RefModel, g: Gram, fits: list[Fit], method: str, largest: int
     """Clustered draws are searched; the L1 path takes their single mean."""
     if ref.is_datafit:
         found, weights = g, {"_y": 1.0}
+    elif not fits:
+        # All draws are about one value, so that their distances are those of what they are less it.
+        names = [draw_name(i + 1) for i in range(ref.n_draws)]
+        labels = draws.kmeans(g.shifted(names, names), 1 if method == "l1" else min(clusters, ref.n_draws))
+        own = draws.Clusters(tuple(labels), tuple(ref.weights))
+        weights = dict(zip([f"_c{k}" for k in range(own.n)], own.shares(), strict=True))
+        found = combined(g, {c: dict(zip(names, own.within(k), strict=True)) for k, c in enumerate(weights)})
     else:
         names = [INTERCEPT, *g.names[1:-1]]
         beta = np.array([[f.intercept, *[f.beta.get(c, 0.0) for c in names[1:]]] for f in fits])
@@ -163,7 +187,7 @@ def varsel(ref: RefModel, method: str = "forward", largest: int = LARGEST, clust
     options.check_search(method, list(ref.terms))
     if ref.family.name != "gaussian":
         return _varsel_newton(ref, method, largest, clusters, prediction_draws, regul, test, path)
-    g = gram(ref.data, {**ref.columns, "_y": _target()}, F.col("wobs"))
+    g = _moments(ref)
     path = path or _searched(ref, g, list(ref.fits), method, largest, clusters, regul)
     by_size = _projected(ref, _gaussian(ref, g, list(ref.fits), ref.dis, prediction_draws), path, regul)
     data = ref.data if test is None else ref.on(test).data
@@ -248,15 +272,23 @@ def _searched_newton(ref: RefModel, method: str, largest: int, clusters: int, re
     return SearchPath(ranking, sizes, firsts, scores)
 
 
-def cv_kfold(ref: RefModel, key: str = "obs_id", k: int = 5, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 50, regul: float = solve.REGUL, seed: int = 0, validate_search: bool = True, folded: DataFrame | None = None) -> Selection:
+def cv_kfold(ref: RefModel, key: str = "obs_id", k: int = 5, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 50, regul: float = solve.REGUL, seed: int = 0, validate_search: bool = True, folded: DataFrame | None = None, refits: DataFrame | None = None, refit_dis: dict[int, list[float]] | None = None) -> Selection:
     """K-fold cross-validation of search and projection: fold moments from one scan, complements by subtraction.
 
     The reference model is refitted on every complement, and evaluated like the submodels on the rows
-    that were left out.
+    that were left out. A model of a user's draws is refitted by the user: ``refits`` (fold, obs_id,
+    mu) has, for every fold, the draws of the model fitted without it, at all observations;
+    ``refit_dis`` their dispersions by fold. ``folded`` are the observations with their fold, from 1.
     """
     options.check_search(method, list(ref.terms))
+    if refits is None and not ref.fits and not ref.is_datafit:
+        raise ValueError("draws can't be refitted without a fold: give refits")
+    if refits is not None and folded is None:
+        raise ValueError("refits need the folds that they leave out")
     options.check_folds("kfold", k, ref.data.limit(max(k, 1)).count(), ref.is_datafit, validate_search, True)
     data = folded if folded is not None else crossval.balanced_folds(ref.data, key, k, seed)
+    if refits is not None:
+        return _cv_kfold_refits(ref, data, k, refits, refit_dis or {}, method, largest, clusters, prediction_draws, regul, validate_search)
     if ref.family.name != "gaussian":
         return _cv_kfold_newton(ref, data, k, method, largest, clusters, prediction_draws, regul, seed, validate_search)
     by_fold = grams(data, {**ref.columns, "_y": _target()}, F.col("wobs"), F.col("fold"))
@@ -274,6 +306,30 @@ def cv_kfold(ref: RefModel, key: str = "obs_id", k: int = 5, method: str = "forw
     return Selection(ref, path, table.persist(), rankings)
 
 
+def _cv_kfold_refits(ref: RefModel, data: DataFrame, k: int, refits: DataFrame, refit_dis: dict[int, list[float]], method: str, largest: int, clusters: int, prediction_draws: int, regul: float, validate_search: bool) -> Selection:
+    """A user's refits: Gaussian ones from moments of each refit's training rows, all in one pass; others fold by fold."""
+    full = varsel(ref, method, largest, clusters, prediction_draws, regul)
+    rows = data.drop("mu").join(refits.select(F.col("fold").alias("refit"), "obs_id", "mu"), "obs_id")
+    one = rows.select(F.size("mu").alias("n")).agg(F.min("n").alias("a"), F.max("n").alias("b")).first()
+    if one.a != one.b or one.a is None or ref.family.has_dispersion and any(len(refit_dis.get(f, [])) != one.a for f in range(1, k + 1)):
+        raise ValueError("every refit needs the same number of draws for every observation, and every draw its dispersion")
+    weights, rankings, parts = [1 / one.a] * one.a, {0: full.path.ranking}, []
+    gaussian = ref.family.name == "gaussian"
+    moments = draw_moments(rows.filter(F.col("fold") != F.col("refit")), {**ref.columns, "_y": _target()}, _less_offsets(), one.a, F.col("wobs"), F.col("refit")) if gaussian else {}
+    for fold in range(1, k + 1):
+        own = replace(ref, data=rows.filter((F.col("refit") == fold) & (F.col("fold") != fold)).drop("refit"), dis=refit_dis.get(fold, [1.0] * one.a), weights=weights, fits=(), predict=None)
+        test = rows.filter((F.col("refit") == fold) & (F.col("fold") == fold)).drop("refit")
+        if gaussian:
+            path = _searched(own, moments[fold], [], method, largest, clusters, regul) if validate_search else full.path
+            by_size = _projected(own, _gaussian(own, moments[fold], [], own.dis, prediction_draws), path, regul)
+        else:
+            path = _searched_newton(own, method, largest, clusters, regul) if validate_search else full.path
+            by_size = _projected_newton(own, path, prediction_draws, regul)
+        rankings[fold] = path.ranking
+        parts.append(_pointwise(own, test, by_size, weights, own.dis))
+    return Selection(ref, full.path, functools.reduce(DataFrame.unionByName, parts).persist(), rankings, full.by_size)
+
+
 def _cv_kfold_newton(ref: RefModel, data: DataFrame, k: int, method: str, largest: int, clusters: int, prediction_draws: int, regul: float, seed: int, validate_search: bool) -> Selection:
     """Other families: the reference model, search and projections again on each fold's training rows."""
     plain = data.drop("mu")
@@ -401,7 +457,7 @@ def project(ref: RefModel, terms: list[str], n_draws: int = PREDICTION_DRAWS, re
         raise ValueError(f"unknown terms {unknown}")
     cols = [c for t in terms for c in ref.terms[t]]
     if ref.family.name == "gaussian":
-        g = gram(ref.data, {**ref.columns, "_y": _target()}, F.col("wobs"))
+        g = _moments(ref)
         held = _gaussian(ref, g, list(ref.fits), ref.dis, n_draws)
         fits = [solve.ridge(held.g, cols, t, regul) for t in held.targets]
         dis = [solve.dispersion(held.g, f, t, d * d) for f, t, d in zip(fits, held.targets, held.dis, strict=True)]
@@ -414,6 +470,8 @@ def project(ref: RefModel, terms: list[str], n_draws: int = PREDICTION_DRAWS, re
 
 def predict(ref: RefModel, data: DataFrame, kind: str = "response") -> DataFrame:
     """Predictions of the reference model for rows with y, wobs and offs: ``response`` or ``link`` means, or ``lpd``."""
+    if not ref.fits:
+        return _predict_draws(ref.on(data), kind)
     rows = evaluate.pointwise(data, ref.columns, {0: (list(ref.fits), ref.weights, ref.dis)}, ref.family)
     if kind == "response":
         return rows.select("obs_id", F.col("mu").alias("pred"))
@@ -424,6 +482,16 @@ def predict(ref: RefModel, data: DataFrame, kind: str = "response") -> DataFrame
     raise ValueError(f"unknown kind of prediction {kind}")
 
 
+def _predict_draws(ref: RefModel, kind: str) -> DataFrame:
+    """``predict`` from the draws of the model's own rows."""
+    if kind == "link":
+        eta = F.transform("mu", ref.family.link.link)
+        return ref.data.select("obs_id", F.aggregate(F.zip_with(eta, doubles(ref.weights), lambda v, w: v * w), F.lit(0.0), lambda a, x: a + x).alias("pred"))
+    if kind not in ("response", "lpd"):
+        raise ValueError(f"unknown kind of prediction {kind}")
+    return evaluate.summarize(ref.data, "mu", ref.family, ref.weights, ref.dis).select("obs_id", F.col({"response": "mu", "lpd": "lppd"}[kind]).alias("pred"))
+
+
 def _loo_subsample(ref: RefModel, n: int, key: str, seed: int, method: str, largest: int, clusters: int, prediction_draws: int, regul: float) -> DataFrame:
     """Fast leave-one-out of all observations (mu_fast, lppd_fast), the repeated search's mu and lppd of the ``sampled`` ones, and the reference's."""
     _repeatable(ref)

@@ -6,6 +6,7 @@ A reference model is a table of observations (obs_id, y, wobs, offs, the predict
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -30,6 +31,7 @@ class RefModel:
     weights: list[float]
     is_datafit: bool = False
     fits: tuple[Fit, ...] = ()
+    predict: Callable[[DataFrame], DataFrame] | None = None
 
     @property
     def n_draws(self) -> int:
@@ -39,6 +41,10 @@ class RefModel:
         """The same model's predictions for other rows with y, wobs and offs."""
         if self.is_datafit:
             raise ValueError("the data as reference model has no predictions for new data")
+        if self.predict:
+            return replace(self, data=self.predict(data))
+        if not self.fits:
+            raise ValueError("draws have no predictions for new rows without a function that gives them")
         mu = evaluate.means(evaluate.predictors(list(self.fits), self.columns, F.col("offs")), self.family)
         return replace(self, data=data.withColumn("mu", mu))
 
@@ -93,12 +99,19 @@ def glm_laplace(data: DataFrame, family: Family, columns: dict[str, Column], ter
     return RefModel(data.withColumn("mu", mus), family, columns, terms, [1.0] * draws, [1 / draws] * draws, fits=tuple(fits))
 
 
-def from_draws(data: DataFrame, draws: DataFrame, family: Family, columns: dict[str, Column], terms: dict[str, list[str]], dis: list[float] | None = None) -> RefModel:
-    """A user's table (obs_id, mu array) of posterior expectations."""
+def from_draws(data: DataFrame, draws: DataFrame, family: Family, columns: dict[str, Column], terms: dict[str, list[str]], dis: list[float] | None = None, predict: Callable[[DataFrame], DataFrame] | None = None) -> RefModel:
+    """A user's table (obs_id, mu array) of posterior expectations, offsets included, on the response scale.
+
+    ``dis`` holds each draw's dispersion where the family has one. ``predict`` adds the column mu to
+    new rows with y, wobs, offs and the predictors; without it the model can't be evaluated on rows
+    that it wasn't given for.
+    """
     n = draws.select(F.size("mu").alias("n")).agg(F.min("n").alias("a"), F.max("n").alias("b")).first()
+    if n.a is None or n.a < 1:
+        raise ValueError("every observation needs an array of at least one draw")
     if n.a != n.b or (family.has_dispersion and (dis is None or len(dis) != n.a)):
         raise ValueError("every observation needs the same number of draws, and every draw its dispersion")
-    return RefModel(data.join(draws.select("obs_id", "mu"), "obs_id"), family, columns, terms, list(dis or [1.0] * n.a), [1 / n.a] * n.a)
+    return RefModel(data.join(draws.select("obs_id", "mu"), "obs_id"), family, columns, terms, list(dis or [1.0] * n.a), [1 / n.a] * n.a, predict=predict)
 
 
 FAMILIES = {"gaussian": gaussian, "binomial": binomial, "poisson": poisson}
