@@ -31,8 +31,7 @@ def canonical(term: str) -> str:
     """The term without stray blanks, an interaction's parts in order."""
     term = re.sub(r"\s+", " ", term.strip())
     if is_group(term):
-        slope, group = (s.strip() for s in term[1:-1].split("|"))
-        return f"({' + '.join(canonical(t) for t in split_top(slope)) or '1'} | {canonical(group)})"
+        return group_term(*group_parts(term))
     parts = split_top(term, ":")
     return ":".join(sorted(p.strip() for p in parts)) if len(parts) > 1 else term
 
@@ -67,12 +66,92 @@ class Formula:
         return [t for t in self.terms if test[kind](t)]
 
 
+def signed_parts(text: str) -> list[tuple[int, str]]:
+    """Parts between plus and minus signs outside brackets, with their signs."""
+    parts, depth, now, sign = [], 0, "", 1
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if depth == 0 and c in "+-":
+            if now.strip():
+                parts.append((sign, now.strip()))
+            elif c == "-" and parts and sign == -1:
+                raise ValueError(f"two signs in a row: {text}")
+            now, sign = "", 1 if c == "+" else -1
+        else:
+            now += c
+    if depth:
+        raise ValueError(f"brackets don't match: {text}")
+    return [*parts, (sign, now.strip())] if now.strip() else parts
+
+
+def _joined(left: list[str], right: list[str]) -> list[str]:
+    """Interactions of every term of one side with every one of the other; a factor counts once."""
+    return [":".join(dict.fromkeys([*split_top(a, ":"), *split_top(b, ":")])) for a in left for b in right]
+
+
 def expand_product(part: str) -> list[str]:
-    """``a * b`` as a, b and their interactions; other parts as they are."""
-    factors = split_top(part, "*")
-    if len(factors) == 1 or is_group(part) or is_smooth(part):
+    """The terms that a part stands for: ``a * b``, ``a / b``, ``(a + b)^2``, ``(a + b):c``; others as they are.
+
+    A power holds all interactions up to that order; ``a / b`` is a and b within all of a.
+    """
+    part = part.strip()
+    if is_group(part) or is_smooth(part):
         return [part]
-    return [":".join(c) for n in range(1, len(factors) + 1) for c in itertools.combinations(factors, n)]
+    if len(factors := split_top(part, "*")) > 1:
+        known: list[str] = []
+        for f in factors:
+            own = expand_product(f)
+            known = [*known, *own, *_joined(known, own)] if known else own
+        return sorted(dict.fromkeys(known), key=lambda t: len(split_top(t, ":")))
+    if len(factors := split_top(part, "/")) > 1:
+        outer = expand_product("/".join(factors[:-1]))
+        within = ":".join(dict.fromkeys(f for t in outer for f in split_top(t, ":")))
+        return [*outer, *_joined([within], expand_product(factors[-1]))]
+    if len(factors := split_top(part, ":")) > 1:
+        known = expand_product(factors[0])
+        for f in factors[1:]:
+            known = _joined(known, expand_product(f))
+        return list(dict.fromkeys(known))
+    if len(factors := split_top(part, "^")) > 1:
+        if len(factors) > 2 or not factors[1].isdigit() or int(factors[1]) < 1:
+            raise ValueError(f"a power of terms must be a whole number: {part}")
+        base, known = expand_product(factors[0]), []
+        for n in range(1, int(factors[1]) + 1):
+            known += [":".join(dict.fromkeys(f for t in c for f in split_top(t, ":"))) for c in itertools.combinations(base, n)]
+        return list(dict.fromkeys(known))
+    if part.startswith("(") and part.endswith(")"):
+        return expand_sum(part[1:-1])[0]
+    return [part]
+
+
+def expand_sum(text: str) -> tuple[list[str], bool]:
+    """Terms of a sum in which later parts can take away earlier ones, and whether it has an intercept."""
+    terms, intercept = [], True
+    for sign, part in signed_parts(text):
+        if part in ("0", "1"):
+            intercept = (part == "1") == (sign > 0)
+            continue
+        own = expand_product(part)
+        if sign > 0:
+            terms += own
+        else:
+            gone = {canonical(t) for t in own}
+            terms = [t for t in terms if canonical(t) not in gone]
+    return list(dict.fromkeys(terms)), intercept
+
+
+def group_parts(term: str) -> tuple[list[str], str, bool]:
+    """Slopes of a group term, its grouping factor, and whether it has an intercept."""
+    slope, group = (s.strip() for s in term[1:-1].split("|"))
+    slopes, intercept = expand_sum(slope)
+    return [canonical(s) for s in slopes], canonical(group), intercept
+
+
+def group_term(slopes: list[str], group: str, intercept: bool = True) -> str:
+    """The term of these slopes: ``(1 | g)``, ``(x | g)``, or ``(0 + x | g)`` without intercept."""
+    if not slopes and not intercept:
+        raise ValueError(f"a group term of {group} with neither intercept nor slope")
+    return f"({'' if intercept else '0 + '}{' + '.join(slopes) or '1'} | {group})"
 
 
 def parse(text: str, columns: list[str] | None = None) -> Formula:
@@ -85,16 +164,17 @@ def parse(text: str, columns: list[str] | None = None) -> Formula:
     responses = tuple(r.strip() for r in split_top(inner, ",")) if inner else ()
     if len(responses) > 2:
         raise ValueError("at most two response columns")
-    terms, offsets, intercept = [], [], True
-    for part in split_top(right):
-        if part in ("0", "-1"):
-            intercept = False
-        elif part == ".":
-            terms += [c for c in columns or [] if c not in responses]
-        elif part.startswith("offset("):
-            offsets.append(part[7:-1].strip())
-        elif part != "1":
-            terms += expand_product(part)
+    offsets, kept = [], []
+    for sign, part in signed_parts(right):
+        if part.startswith("offset("):
+            if sign > 0:
+                offsets.append(part[7:-1].strip())
+            elif (inner := part[7:-1].strip()) in offsets:
+                offsets.remove(inner)
+        else:
+            others = [c for c in columns or [] if c not in responses]
+            kept += [(sign, c) for c in others] if part == "." else [(sign, part)]
+    terms, intercept = expand_sum(" ".join(f"{'+' if sign > 0 else '-'} {part}" for sign, part in kept))
     for t in terms:
         if is_group(t) and "(" in t[1:-1].split("|")[1]:
             raise ValueError(f"function calls behind the bar: {t}")
@@ -104,16 +184,17 @@ def parse(text: str, columns: list[str] | None = None) -> Formula:
 
 
 def flatten(terms: list[str]) -> list[str]:
-    """Distinct terms, group terms merged by grouping factor, and no linear term of a smooth that is there."""
+    """Distinct terms, group terms merged by grouping factor (with an intercept if one of them has it), and no linear term of a smooth that is there."""
     plain = list(dict.fromkeys(canonical(t) for t in terms if not is_group(canonical(t))))
     smooth = {a.strip() for t in plain if is_smooth(t) for a in split_top(t[t.index("(") + 1 : -1], ",") if "=" not in a}
     plain = [t for t in plain if t not in smooth or is_smooth(t)]
-    groups: dict[str, list[str]] = {}
+    groups: dict[str, tuple[list[str], bool]] = {}
     for t in terms:
-        if is_group(t := canonical(t)):
-            slope, group = (s.strip() for s in t[1:-1].split("|"))
-            groups.setdefault(group, []).extend(s for s in split_top(slope) if s != "1")
-    return plain + [f"({' + '.join(dict.fromkeys(s)) or '1'} | {g})" for g, s in groups.items()]
+        if is_group(t):
+            slopes, group, intercept = group_parts(t)
+            known, had = groups.get(group, ([], False))
+            groups[group] = ([*known, *slopes], had or intercept)
+    return plain + [group_term(list(dict.fromkeys(s)), g, i) for g, (s, i) in groups.items()]
 
 
 def lower_orders(term: str) -> list[str]:
@@ -149,12 +230,13 @@ def split_blocks(formula: Formula, lower: bool = True, factors: list[str] | None
     blocks = ["1", *formula.of_kind("individual"), *[b for t in formula.of_kind("additive") for b in split_smooth(t, factors or [])]]
     blocks += [" + ".join(with_lower(t)) for t in formula.of_kind("interaction")]
     for t in formula.of_kind("group"):
-        slope, group = (s.strip() for s in t[1:-1].split("|"))
-        blocks.append(f"(1 | {group})")
-        for s in split_top(slope):
-            if s != "1":
-                main = " + ".join(with_lower(s))
-                blocks += [f"{main} + ({main} | {group})", f"{main} + (1 | {group})"]
+        slopes, group, intercept = group_parts(t)
+        if intercept:
+            blocks.append(f"(1 | {group})")
+        for s in slopes:
+            main = " + ".join(with_lower(s))
+            own = f"({'' if intercept else '0 + '}{main} | {group})"
+            blocks += ([f"{main} + {own}"] if lower else [own]) + ([f"{main} + (1 | {group})"] if intercept and lower else [])
     return list(dict.fromkeys(blocks))
 
 
@@ -162,7 +244,11 @@ def size(terms: list[str]) -> int:
     """Number of terms with the intercept; a group term counts its intercept and every slope."""
     n = 1
     for t in flatten([p for t in terms for q in split_top(t) for p in expand_product(q) if p != "1"]):
-        n += 1 + sum(s != "1" for s in split_top(t[1:-1].split("|")[0])) if is_group(t) else 1
+        if is_group(t):
+            slopes, _, intercept = group_parts(t)
+            n += len(slopes) + intercept
+        else:
+            n += 1
     return n
 
 

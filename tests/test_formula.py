@@ -52,6 +52,49 @@ def test_products_offsets_and_responses():
     assert f.offsets == ("log(n)",)
 
 
+@pytest.mark.parametrize(
+    ("text", "terms", "intercept"),
+    [
+        ("a + b - a", ("b",), True),
+        ("a * b - a:b", ("a", "b"), True),
+        ("(a + b)^2", ("a", "b", "a:b"), True),
+        ("(a + b + c)^2 - b:a", ("a", "b", "c", "a:c", "b:c"), True),
+        ("a / b", ("a", "a:b"), True),
+        ("(a + b) / c", ("a", "b", "a:b:c"), True),
+        ("(a + b):c", ("a:c", "b:c"), True),
+        ("(a + b) * c", ("a", "b", "c", "a:c", "b:c"), True),
+        ("a - 1", ("a",), False),
+        ("0 + a", ("a",), False),
+        ("a - 0", ("a",), True),
+        ("-1 + a + 1", ("a",), True),
+        ("a*a", ("a",), True),
+        ("I(x^2 - 1) + log(a - b)", ("I(x^2 - 1)", "log(a - b)"), True),
+        ("a + (a | g) - (a | g)", ("a",), True),
+        ("offset(w) + a - offset(w)", ("a",), True),
+        ("(0 + a | g)", ("(0 + a | g)",), True),
+        ("(a - 1 | g)", ("(0 + a | g)",), True),
+        ("(1 | g) + (0 + a | g)", ("(a | g)",), True),
+        ("(a * b | g)", ("(a + b + a:b | g)",), True),
+    ],
+)
+def test_arithmetic_of_formulas(text, terms, intercept):
+    f = fm.parse(f"y ~ {text}")
+    assert (f.terms, f.intercept) == (terms, intercept)
+
+
+@pytest.mark.parametrize("text", ["(a + b)^x", "a + (b", "(0 | g)", "(a + b)^0"])
+def test_formulas_that_mean_nothing_are_errors(text):
+    with pytest.raises(ValueError):
+        fm.parse(f"y ~ {text}")
+
+
+def test_groups_without_intercept():
+    f = fm.parse("y ~ x + z + (0 + x + z:x | g)")
+    assert set(fm.split_blocks(f)) == {"1", "x", "z", "x + (0 + x | g)", "x + z + x:z + (0 + x + z + x:z | g)"}
+    assert set(fm.split_blocks(f, lower=False)) == {"1", "x", "z", "(0 + x | g)", "(0 + x:z | g)"}
+    assert [fm.size([t]) for t in ("(0 + x | g)", "(x | g)", "(1 | g)", "x + (0 + x | g)")] == [2, 3, 2, 3]
+
+
 @pytest.mark.parametrize("bad", ["y ~ te(x)", "y ~ (x | log(g))", "cbind(a, b, c) ~ x"])
 def test_rejects(bad):
     with pytest.raises(ValueError):
