@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import functions as F
@@ -136,6 +137,38 @@ def auc_weighted(spark, sf_dir):
 REPLICATES = 40
 
 
+def _poisson_cdf(n: int) -> list[float]:
+    p = upto = math.exp(-1.0)
+    out = [upto]
+    for k in range(1, n):
+        p *= 1.0 / k
+        upto += p
+        out.append(upto)
+    return out
+
+
+#: Poisson numbers of mean one, keyed by observation, replicate and side; replicate 0 is the data itself.
+_TAKEN = "CASE WHEN r = 0 THEN 1 ELSE " + " + ".join(f"(u > {c!r})::INT" for c in _poisson_cdf(14)) + " END"
+
+
+@query(f"""WITH {LABEL_SCORES},
+s AS (SELECT *, ('0x' || substr(md5(obs_id || ':5'), 1, 8))::BIGINT AS s1, ('0x' || substr(md5(obs_id || ':5'), 9, 8))::BIGINT AS s2 FROM pw),
+u AS (SELECT coalesce(size, -1) AS size, r, y, mu, ((s1 + (2 * r + y::BIGINT) * s2) % 4294967296 + 0.5) / 4294967296 AS u FROM s, range({REPLICATES + 1}) t(r)),
+tied AS (SELECT size, r, mu, sum(CASE WHEN y = 0 THEN {_TAKEN} ELSE 0 END) AS w0, sum(CASE WHEN y = 1 THEN {_TAKEN} ELSE 0 END) AS w1 FROM u GROUP BY size, r, mu),
+ranked AS (SELECT *, coalesce(sum(w1) OVER (PARTITION BY size, r ORDER BY mu DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tied),
+a AS (SELECT size, r, sum(w0 * (before + w1 / 2)) / (sum(w0) * sum(w1)) AS auc FROM ranked GROUP BY size, r),
+d AS (SELECT a.size, a.r, a.auc, a.auc - b.auc AS diff FROM a JOIN a b ON a.r = b.r AND b.size = -1)
+SELECT size, round(max(auc) FILTER (r = 0), 7) AS auc, round(stddev_samp(auc) FILTER (r > 0), 7) AS se, round(quantile_cont(auc, {stats.ALPHA / 2!r}) FILTER (r > 0), 7) AS lq, round(quantile_cont(auc, {1 - stats.ALPHA / 2!r}) FILTER (r > 0), 7) AS uq,
+  round(max(diff) FILTER (r = 0), 7) AS diff, round(stddev_samp(diff) FILTER (r > 0), 7) AS diff_se FROM d GROUP BY size""")
+def auc_summary(spark, sf_dir):
+    """The AUC by size with standard errors, bounds and differences, over replicates of one sorted sweep."""
+    rows = _label_scores(spark, sf_dir)
+    here, less = (stats.auc_statistics(rows, b, replicates=REPLICATES, seed=5) for b in (None, "ref"))
+    less = less.select(F.coalesce("size", F.lit(-1)).alias("size"), F.col("value").alias("diff"), F.col("se").alias("diff_se"))
+    out = here.withColumn("size", F.coalesce("size", F.lit(-1))).join(less, "size")
+    return out.select("size", shown("value", 7).alias("auc"), *[shown(c, 7).alias(c) for c in ("se", "lq", "uq", "diff", "diff_se")])
+
+
 @query(f"""WITH {LABELS}, b AS (SELECT y, wobs, size AS mu, (row_number() OVER (ORDER BY obs_id) - 1) AS slot, (count(*) OVER ())::BIGINT AS n FROM l),
 d AS (SELECT r AS replicate, {keyed_sql("r * n + slot", 3)} % n AS slot FROM b, range({REPLICATES}) t(r)),
 pw AS (SELECT replicate, y, wobs, mu FROM d JOIN b USING (slot)),

@@ -8,12 +8,16 @@ over the same partitions; any missing input makes a statistic null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.keyed import keyed, prefix_sums
+from lodestar.operators.keyed import MODULUS, keyed, prefix_sums
 
 UTILITIES = ("elpd", "mlpd", "gmpd", "R2", "acc", "pctcorr", "auc")
 LOSSES = ("mse", "rmse")
@@ -238,6 +242,148 @@ def bootstrap_auc(rows: DataFrame, n: int, key: str, replicates: int, seed: int
     return by_replicate.agg(F.stddev_samp("auc").alias("se"), F.percentile("auc", F.lit(alpha / 2)).alias("lq"), F.percentile("auc", F.lit(1 - alpha / 2)).alias("uq"))
 
 
+#: Rows whose replicate weights are made at once.
+SWEEP_ROWS = 512
+#: Trials of a row beyond which its resampling weights would lose precision.
+MOST_TRIALS = 500
+
+
+def resampled(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Poisson numbers of the given means from uniform ones: how often a resample with replacement takes something."""
+    k, p = np.zeros(u.shape), np.broadcast_to(np.exp(-mean), u.shape).copy()
+    upto, step = p.copy(), 0
+    while (more := u > upto).any() and step < 20 * MOST_TRIALS:
+        k += more
+        step += 1
+        p *= mean / step
+        upto += p
+    return k
+
+
+def _row_seeds(key: Column, seed: int) -> list[Column]:
+    """Two integers under 2^32 from a key, as good as independent between keys."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
+    return [F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint").alias(name) for at, name in ((1, "s1"), (9, "s2"))]
+
+
+def auc_replicates(pointwise: DataFrame, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """(size, auc): an array of the AUC and its bootstrap replicates for each size; null with missing inputs or one class.
+
+    y counts successes of wobs trials. A replicate weighs every success and failure by a Poisson number
+    keyed by observation and replicate, alike for all sizes. Rows are sorted once, over ranges of size
+    and prediction; a range keeps an array of sums over replicates, one number each, and no row is
+    multiplied. Ranges come together through their own areas and sums, and through the ties at their ends,
+    so that many equal predictions can be spread over ranges.
+    """
+    spark = pointwise.sparkSession
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    missing = F.greatest(*[F.col(c).isNull().cast("int") for c in ("y", "mu", "wobs")])
+    rows = pointwise.select(F.coalesce("size", F.lit(-1)).alias("size"), F.coalesce("mu", F.lit(0.0)).alias("mu"), F.coalesce("y", F.lit(0.0)).cast("double").alias("y"), F.coalesce("wobs", F.lit(0.0)).cast("double").alias("wobs"), missing.alias("bad"), *_row_seeds(F.col("obs_id"), seed))
+    order = ["size", F.desc("mu"), "s1"]
+    ranged = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    width = replicates + 1
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), np.arange(width)
+        now: dict | None = None  # sums of the size at hand
+
+        def made(s: dict) -> pa.RecordBatch:
+            cells = [s["size"], part, s["bad"], s["head"][0], s["tail"][0], *[v.tobytes() for v in (*s["head"][1:], s["area"], s["in0"], s["in1"], *s["tail"][1:])]]
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, SEGMENT_TYPES, strict=True)], SEGMENT)
+
+        def close_tail(s: dict) -> None:
+            """The last tie belongs to the inside, unless it is the first as well."""
+            if s["tail"][0] != s["head"][0]:
+                _, w0, w1 = s["tail"]
+                s["area"] += w0 * (s["in1"] + w1 / 2)
+                s["in0"] += w0
+                s["in1"] += w1
+
+        for batch in batches:
+            for first in range(0, batch.num_rows, SWEEP_ROWS):
+                size, mu, y, n, bad, s1, s2 = (c.to_numpy(zero_copy_only=False) for c in batch.slice(first, SWEEP_ROWS).columns)
+                if (n > MOST_TRIALS).any():
+                    raise ValueError(f"rows of more than {MOST_TRIALS} trials can't be resampled: split them")
+                sides = []
+                for side, count in ((0, n - y), (1, y)):
+                    u = ((s1[:, None] + (2 * at + side) * s2[:, None]) % MODULUS + 0.5) / MODULUS
+                    w = resampled(u, np.maximum(count, 0)[:, None])
+                    w[:, 0] = np.maximum(count, 0)
+                    sides.append(w)
+                starts = np.flatnonzero(np.concatenate([[True], (size[1:] != size[:-1]) | (mu[1:] != mu[:-1])]))
+                w0, w1 = (np.add.reduceat(w, starts, axis=0) for w in sides)
+                bads = np.add.reduceat(bad, starts)
+                for k, i in enumerate(starts):
+                    if now is None or now["size"] != size[i]:
+                        if now:
+                            yield made(now)
+                        zero = np.zeros(width)
+                        now = {"size": int(size[i]), "bad": 0, "head": (float(mu[i]), zero.copy(), zero.copy()), "tail": (float(mu[i]), zero.copy(), zero.copy()), "area": zero.copy(), "in0": zero.copy(), "in1": zero.copy()}
+                    now["bad"] += int(bads[k])
+                    if mu[i] == now["head"][0]:
+                        now["head"] = (now["head"][0], now["head"][1] + w0[k], now["head"][2] + w1[k])
+                    elif mu[i] == now["tail"][0]:
+                        now["tail"] = (now["tail"][0], now["tail"][1] + w0[k], now["tail"][2] + w1[k])
+                    else:
+                        close_tail(now)
+                        now["tail"] = (float(mu[i]), w0[k], w1[k])
+        if now:
+            yield made(now)
+
+    def joined(table: pa.Table) -> pa.Table:
+        held = sorted(table.to_pylist(), key=lambda r: r["part"])
+        vector = lambda v: np.frombuffer(v, float)
+        parts: list[tuple] = []  # ties (mu, w0, w1) and insides (None, w0, w1, area), from the largest prediction down
+        for r in held:
+            inside = vector(r["in0"]), vector(r["in1"])
+            one = [(r["mu_head"], vector(r["head0"]), vector(r["head1"]))]
+            if r["mu_tail"] != r["mu_head"]:
+                one += [(None, *inside, vector(r["area"])), (r["mu_tail"], vector(r["tail0"]), vector(r["tail1"]))]
+            for p in one:
+                if parts and p[0] is not None and p[0] == parts[-1][0]:
+                    parts[-1] = (p[0], parts[-1][1] + p[1], parts[-1][2] + p[2])
+                else:
+                    parts.append(p)
+        area, total0, above = np.zeros(width), np.zeros(width), np.zeros(width)
+        for p in parts:
+            area = area + p[1] * above + (p[3] if p[0] is None else p[1] * p[2] / 2)
+            total0, above = total0 + p[1], above + p[2]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found = area / (total0 * above)
+        sound = not any(r["bad"] for r in held) and np.isfinite(found[0])
+        return pa.table({"size": pa.array([held[0]["size"]], pa.int32()), "auc": pa.array([[None if not np.isfinite(v) else float(v) for v in found] if sound else None], pa.list_(pa.float64()))})
+
+    segments = ranged.mapInArrow(sweep, ", ".join(f"{n} {t}" for n, t in zip(SEGMENT, ("int", "int", "bigint", "double", "double", *["binary"] * 7), strict=True)))
+    out = segments.groupBy("size").applyInArrow(joined, "size int, auc array<double>")
+    return out.select(F.when(F.col("size") >= 0, F.col("size")).alias("size"), "auc")
+
+
+SEGMENT = ["size", "part", "bad", "mu_head", "mu_tail", "head0", "head1", "area", "in0", "in1", "tail0", "tail1"]
+SEGMENT_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), *[pa.binary()] * 7]
+
+
+def _quantile(values: Column, p: float) -> Column:
+    """Of a sorted array, between neighbours in proportion."""
+    place = (F.size(values) - 1) * F.lit(p)
+    low = F.floor(place).cast("int")
+    a, b = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
+    return a + (b - a) * (place - low)
+
+
+def auc_statistics(pointwise: DataFrame, baseline: str | int | None = None, alpha: float = ALPHA, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """(size, statistic, value, se, lq, uq) of the AUC, or of its difference to a baseline, with standard error and bounds over bootstrap replicates."""
+    found = auc_replicates(pointwise, replicates, seed)
+    if baseline is not None:
+        base = found.filter(F.col("size").eqNullSafe(F.lit(None if baseline == "ref" else baseline))).select(F.col("auc").alias("base"))
+        found = found.crossJoin(F.broadcast(base)).select("size", F.zip_with("auc", "base", lambda a, b: a - b).alias("auc"))  # one row
+    drawn = found.select("size", F.get("auc", F.lit(0)).alias("value"), F.array_sort(F.array_compact(F.slice("auc", 2, max(replicates, 1)))).alias("drawn"))
+    n = F.size("drawn")
+    mean = F.aggregate("drawn", F.lit(0.0), lambda a, v: a + v) / n
+    spread = F.aggregate(F.transform("drawn", lambda v: (v - F.col("m")) * (v - F.col("m"))), F.lit(0.0), lambda a, v: a + v)
+    drawn = drawn.withColumn("m", F.when(n > 0, mean))
+    return drawn.select("size", F.lit("auc").alias("statistic"), "value", F.when(n > 1, F.sqrt(spread / (n - 1))).alias("se"), F.when(n > 0, _quantile(F.col("drawn"), alpha / 2)).alias("lq"), F.when(n > 0, _quantile(F.col("drawn"), 1 - alpha / 2)).alias("uq"))
+
+
 def difference_estimate(rows: DataFrame, approx: str, exact: str, sampled: str, weight: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Subsampling difference estimator of a sum: y_hat, its variance, and that of the sum itself, for each group of ``by``.
 

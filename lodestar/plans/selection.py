@@ -65,8 +65,14 @@ class Selection:
         """Statistics by size with differences to the reference model."""
         if names:
             options.check_stats(names, self.ref.family.name)
-        here = stats.statistics(self.pointwise, names, baseline, alpha)
-        return post.performance_table(here, stats.statistics(self.pointwise, names, "ref", alpha), names or list(stats.MOMENT_STATS))
+        return post.performance_table(self._statistics(names, baseline, alpha), self._statistics(names, "ref", alpha), names or list(stats.MOMENT_STATS))
+
+    def _statistics(self, names: list[str] | None, baseline: str | int | None = None, alpha: float = stats.ALPHA) -> DataFrame:
+        """Moment statistics in their passes, and the AUC in its own."""
+        plain = [s for s in names or stats.MOMENT_STATS if s != "auc"]
+        parts = [stats.statistics(self.pointwise, plain, baseline, alpha)] if plain else []
+        parts += [stats.auc_statistics(self.pointwise, baseline, alpha)] if "auc" in (names or []) else []
+        return functools.reduce(DataFrame.unionByName, parts)
 
     def release(self) -> None:
         """Lets the pointwise table go; it is kept from the first use on."""
@@ -81,10 +87,10 @@ class Selection:
         return project(self.ref, terms, n_draws)
 
     def reference(self, names: list[str] | None = None) -> DataFrame:
-        return post.reference_performance(stats.statistics(self.pointwise, names))
+        return post.reference_performance(self._statistics(names))
 
     def suggested(self, stat: str = "elpd", **rule) -> DataFrame:
-        return post.suggest_size(stats.statistics(self.pointwise, [stat], "ref"), stat, max(self.path.sizes), **rule)
+        return post.suggest_size(self._statistics([stat], "ref"), stat, max(self.path.sizes), **rule)
 
     def proportions(self, cumulate: bool = False) -> DataFrame:
         folds = {f: r for f, r in self.fold_rankings.items() if f}

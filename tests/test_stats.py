@@ -152,3 +152,73 @@ def test_bootstrap_draws_without_cross_join(spark):
     assert sorted((r.replicate, r.slot, r.v) for r in got.collect()) == sorted((k, d, 2 * d) for k in range(6) for d in (once(k * 50 + i) % 50 for i in range(50)))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "broadcast" not in plan
+
+
+def auc_by_pairs(y, n, mu):
+    """Of all pairs of a failure and a success, those in order, ties half."""
+    w1, w0 = np.asarray(y, float), np.asarray(n, float) - y
+    above = (mu[:, None] < mu[None, :]) + (mu[:, None] == mu[None, :]) / 2
+    return float(w0 @ above @ w1 / (w0.sum() * w1.sum()))
+
+
+@pytest.mark.parametrize("partitions", ["2", "7"])
+def test_auc_over_ranges_is_that_of_all_pairs(spark, partitions):
+    """Many equal predictions fall into several ranges; trials count as so many rows."""
+    rng = np.random.default_rng(4)
+    n = rng.integers(1, 5, 600)
+    y = rng.binomial(n, 0.4)
+    scores = {None: rng.normal(size=600), 0: np.zeros(600), 1: np.round(rng.normal(size=600), 1), 2: np.where(rng.random(600) < 0.7, 0.5, rng.random(600))}
+    rows = spark.createDataFrame([(s, i, float(y[i]), float(mu[i]), float(n[i])) for s, mu in scores.items() for i in range(600)], "size int, obs_id long, y double, mu double, wobs double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = {r["size"]: r.auc for r in stats.auc_replicates(rows, 30, 1).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found.keys() == scores.keys()
+    for s, mu in scores.items():
+        assert found[s][0] == pytest.approx(auc_by_pairs(y, n, mu), rel=1e-12) and len(found[s]) == 31
+    assert np.std(found[0]) == 0
+
+
+def test_auc_bootstrap_spread_is_that_of_resampling(spark):
+    rng = np.random.default_rng(6)
+    y = (rng.random(400) < 0.5).astype(float)
+    mu = y + rng.normal(size=400) * 2
+    rows = spark.createDataFrame([(1, i, float(a), float(b), 1.0) for i, (a, b) in enumerate(zip(y, mu, strict=True))], "size int, obs_id long, y double, mu double, wobs double")
+    drawn = []
+    for _ in range(400):
+        at = rng.integers(400, size=400)
+        drawn.append(auc_by_pairs(y[at], np.ones(400), mu[at]))
+    r = stats.auc_statistics(rows, replicates=400).first()
+    assert r.se == pytest.approx(np.std(drawn), rel=0.2)
+    assert (r.lq, r.uq) == pytest.approx(np.quantile(drawn, [stats.ALPHA / 2, 1 - stats.ALPHA / 2]), abs=0.01)
+
+
+def test_auc_without_both_classes_or_with_missing_inputs_is_null(spark):
+    schema = "size int, obs_id long, y double, mu double, wobs double"
+    one = spark.createDataFrame([(1, 1, 1.0, 0.2, 1.0), (1, 2, 1.0, 0.4, 1.0)], schema)
+    gap = spark.createDataFrame([(1, 1, 1.0, None, 1.0), (1, 2, 0.0, 0.4, 1.0)], schema)
+    for rows in (one, gap):
+        assert [tuple(r) for r in stats.auc_statistics(rows, replicates=5).collect()] == [(1, "auc", None, None, None, None)]
+    assert stats.auc_statistics(one.limit(0), replicates=5).count() == 0
+    with pytest.raises(Exception, match="trials"):
+        stats.auc_statistics(one.withColumn("wobs", one.wobs * 1000), replicates=5).collect()
+
+
+def test_auc_in_summaries(spark):
+    from lodestar.functions import families
+    from lodestar.plans import selection
+    from lodestar.sources import refmodel
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=120)
+    df = spark.createDataFrame([(i, float(rng.random() < 1 / (1 + np.exp(-1.5 * v))), 1.0, 0.0, float(v), float(rng.normal())) for i, v in enumerate(x)], "obs_id long, y double, wobs double, offs double, x double, z double")
+    cols = {c: F.col(c) for c in "xz"}
+    chosen = selection.varsel(refmodel.glm_laplace(df, families.binomial(), cols, {c: [c] for c in cols}, draws=10), clusters=2, prediction_draws=5)
+    table = {r["size"]: r for r in chosen.summary(["auc", "elpd"]).collect()}
+    assert table[0].auc == 0.5 and table[1].auc > 0.7 and table[1].auc_se > 0 and table[1].auc_lower < table[1].auc < table[1].auc_upper
+    assert table[0].auc_diff < 0 and table[2].auc_diff == pytest.approx(0, abs=0.02)
+    assert chosen.suggested("auc").first().suggested_size in (1, 2)
+    assert [r.statistic for r in chosen.reference(["auc"]).collect()] == ["auc"]
