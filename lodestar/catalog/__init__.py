@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from lodestar.catalog import evaluation, extensions, models  # noqa: F401
+from lodestar.catalog import evaluation, extensions, grouped, models  # noqa: F401
 from lodestar.catalog.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -52,12 +52,14 @@ def summarize(df: DataFrame, mu: str, family: Family, weights: list[float], dis:
     return rows.select("obs_id", "y", "wobs", weighted_mean(F.col("draws"), w).alias("mu"), log_weighted_mean_exp(densities(F.col("draws"), family, dis), w).alias("lppd"))
 
 
-def pointwise(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tuple[list[Fit], list[float], list[float]]], family: Family, leave_one_out: bool = False, reference: tuple[list[Fit], list[float], list[float]] | None = None) -> DataFrame:
+def pointwise(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tuple[list[Fit], list[float], list[float]]], family: Family, leave_one_out: bool = False, reference: tuple[list[Fit], list[float], list[float]] | None = None, shifts: dict[int, str] | None = None) -> DataFrame:
     """The pointwise table of submodels: for each size, fits by draw, their weights and dispersions.
 
     With a ``reference`` model, its rows have no size, and every row carries its values too, as
     mu_ref and lppd_ref, so that differences to it need no join.
 
+    ``shifts`` names, by size, array columns over its fits that are added to the linear predictors.
+
     With ``leave_one_out`` each row's draws are weighted by smoothed importance of leaving it out.
 
     One scan for all sizes; a batch of rows is multiplied by every size's coefficients at once. Draws
@@ -69,6 +71,7 @@ def pointwise(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tupl
     for size, (fits, weights, dis) in models.items():
         beta = np.array([[f.intercept, *[f.beta.get(n, 0.0) for n in used]] for f in fits]).T
         packed[size] = (beta, np.asarray(weights, float), np.asarray(dis, float))
+    shifted = list(shifts or {})
     fields = [("obs_id", pa.int64()), ("y", pa.float64()), ("wobs", pa.float64()), ("size", pa.int32()), ("mu", pa.float64()), ("lppd", pa.float64())]
     schema = pa.schema(fields + ([("mu_ref", pa.float64()), ("lppd_ref", pa.float64())] if reference else []))
 
@@ -76,10 +79,11 @@ def pointwise(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tupl
         for batch in batches:
             if not batch.num_rows:
                 continue
-            y, w, o, *x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns))
+            y, w, o, *x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 4 + len(used)))
+            more = {s: batch.column(4 + len(used) + i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for i, s in enumerate(shifted)}
             z, beside = np.column_stack([np.ones(batch.num_rows), *x]), ()
             for size, (beta, weights, dis) in packed.items():
-                mu = family.link.np_inverse(z @ beta + o[:, None])
+                mu = family.link.np_inverse(z @ beta + o[:, None] + more.get(size, 0.0))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     ll, lw = family.np_log_lik(y[:, None], mu, w[:, None], dis), np.log(weights)[None, :]
                     if leave_one_out:
@@ -92,7 +96,7 @@ def pointwise(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tupl
                 cells = (batch.column(0), y, w, pa.nulls(len(y), pa.int32()) if size is None else np.full(len(y), size, np.int32), mean, lppd, *beside)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
 
-    rows = df.select(F.col("obs_id").cast("bigint"), F.col("y").cast("double"), F.col("wobs").cast("double"), F.col("offs").cast("double"), *[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(used)])
+    rows = df.select(F.col("obs_id").cast("bigint"), F.col("y").cast("double"), F.col("wobs").cast("double"), F.col("offs").cast("double"), *[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(used)], *[F.col(c).alias(f"s{i}") for i, c in enumerate((shifts or {}).values())])
     return rows.mapInArrow(run, "obs_id bigint, y double, wobs double, size int, mu double, lppd double" + (", mu_ref double, lppd_ref double" if reference else ""))
 
 
