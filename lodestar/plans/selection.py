@@ -60,6 +60,7 @@ class Selection:
     pointwise: DataFrame
     fold_rankings: dict[int, list[str]]
     by_size: dict[int, tuple[list[Fit], list[float], list[float]]] | None = None
+    rankings: DataFrame | None = None
 
     def summary(self, names: list[str] | None = None, baseline: str | int | None = None, alpha: float = stats.ALPHA) -> DataFrame:
         """Statistics by size with differences to the reference model."""
@@ -93,6 +94,9 @@ class Selection:
         return post.suggest_size(self._statistics([stat], "ref"), stat, max(self.path.sizes), **rule)
 
     def proportions(self, cumulate: bool = False) -> DataFrame:
+        """Shares of folds, or of left-out observations, that rank a term at a position."""
+        if self.rankings is not None:
+            return post.ranking_proportions(self.rankings, self.path.ranking, cumulate)
         folds = {f: r for f, r in self.fold_rankings.items() if f}
         return post.ranking_proportions(search.rank_table(self.ref.data.sparkSession, folds), self.path.ranking, cumulate)
 
@@ -218,8 +222,8 @@ def _clustered(ref: RefModel, wanted: int) -> draws.Clusters:
     """k-means of all draws on the link scale."""
     if ref.n_draws <= wanted:
         return draws.Clusters(tuple(range(ref.n_draws)), tuple(ref.weights))
-    link, top = ref.family.link, 1 - EPS if ref.family.name == "binomial" else np.inf
-    labels = draws.kmeans(draws.draw_gram(ref.data, "mu", ref.n_draws, lambda mu: link.np_link(np.clip(mu, EPS, top))), wanted)
+    link, low, top = ref.family.link, -np.inf if ref.family.name == "gaussian" else EPS, 1 - EPS if ref.family.name == "binomial" else np.inf
+    labels = draws.kmeans(draws.draw_gram(ref.data, "mu", ref.n_draws, lambda mu: link.np_link(np.clip(mu, low, top))), wanted)
     return draws.Clusters(tuple(labels), tuple(ref.weights))
 
 
@@ -350,17 +354,27 @@ def _cv_kfold_newton(ref: RefModel, data: DataFrame, k: int, method: str, larges
     return Selection(ref, full.path, functools.reduce(DataFrame.unionByName, parts).persist(), rankings, full.by_size)
 
 
-def cv_loo(ref: RefModel, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 100, regul: float = solve.REGUL, validate_search: bool = False, seed: int = 0) -> Selection:
+def cv_loo(ref: RefModel, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 100, regul: float = solve.REGUL, validate_search: bool | str = False, seed: int = 0, path: SearchPath | None = None, warn_shape: bool = True) -> Selection:
     """Leave-one-out: smoothed importance weights of reference and projected draws on the full-data path.
 
     With ``validate_search`` the submodels come from a search repeated without each observation;
-    without, the elpd by size ignores that the search has seen the observation.
+    without, the elpd by size ignores that the search has seen the observation. ``"weights"`` repeats
+    the search without any refit: the reference draws' clusters are weighted anew for each observation by
+    its importance weights, which works for all Gaussian reference models; ``True`` also refits a
+    conjugate one. ``path`` is an earlier search on all data, used again. Unreliable importance
+    weights are warned of, at the price of one more scan, unless ``warn_shape`` is false.
     """
     options.check_search(method, list(ref.terms))
-    options.check_folds("loo", 0, 0, ref.is_datafit, validate_search, True)
+    options.check_folds("loo", 0, 0, ref.is_datafit, bool(validate_search), True)
+    if validate_search not in (True, False, "weights"):
+        raise ValueError(f"unknown way to validate the search: {validate_search}")
+    if validate_search == "weights":
+        return _loo_weights(ref, method, largest, clusters, prediction_draws, regul, path, warn_shape)
     if validate_search:
         _repeatable(ref)
-    chosen = varsel(ref, method, largest, clusters, prediction_draws, regul)
+    if warn_shape:
+        loo.poor_shapes(_shapes(ref), "khat", ref.n_draws)
+    chosen = varsel(ref, method, largest, clusters, prediction_draws, regul, path=path)
     if ref.fits and not validate_search:
         table = _pointwise(ref, ref.data, chosen.by_size, ref.weights, ref.dis, leave_one_out=True)
         return Selection(ref, chosen.path, table.persist(), {0: chosen.path.ranking}, chosen.by_size)
@@ -415,6 +429,82 @@ def _loo_searches(ref: RefModel, rows: DataFrame, method: str, largest: int, clu
     return cells.repartition(F.col("obs_id")).mapInArrow(run, "obs_id bigint, y double, wobs double, size int, mu double, lppd double")
 
 
+def _shapes(ref: RefModel) -> DataFrame:
+    """The Pareto shape of each observation's importance weights under the reference model."""
+    family, dis, n_draws = ref.family, np.array(ref.dis), ref.n_draws
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                y, w = (batch.column(i).to_numpy(zero_copy_only=False)[:, None] for i in (0, 1))
+                mu = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(y), n_draws)
+                yield pa.RecordBatch.from_arrays([pa.array(loo.smoothed(-family.np_log_lik(y, mu, w, dis))[1])], ["khat"])
+
+    return ref.data.select(F.col("y").cast("double"), F.col("wobs").cast("double"), F.col("mu").cast("array<double>")).mapInArrow(run, "khat double")
+
+
+def _loo_weights(ref: RefModel, method: str, largest: int, clusters: int, prediction_draws: int, regul: float, path: SearchPath | None, warn_shape: bool) -> Selection:
+    """Leave-one-out searches from the moments of all draws: an observation only changes the draws' weights.
+
+    The moments, as large as draws and predictors squared, go to tasks over the rows. There every row
+    weighs the draws by its smoothed importance, which moves each cluster's center and share, searches,
+    projects single draws onto every size, and is predicted by them under the same weights.
+    """
+    if ref.family.name != "gaussian":
+        raise ValueError("searches from re-weighted moments need a Gaussian reference model")
+    g = _moments(ref)
+    names = [draw_name(i + 1) for i in range(ref.n_draws)]
+    if ref.fits:
+        g = with_targets(g, list(ref.fits), names)
+    chosen = varsel(ref, method, largest, clusters, prediction_draws, regul, path=path)
+    labels = tuple(draws.kmeans(g.centered(names, names), 1 if method == "l1" else min(clusters, ref.n_draws)))
+    columns, terms, family, dis = list(ref.columns), ref.terms, ref.family, np.array(ref.dis)
+    numbers = draws.thinned(ref.n_draws, prediction_draws)
+    picked = [i - 1 for i in numbers]
+
+    def searched(weights: np.ndarray) -> SearchPath:
+        own = draws.Clusters(labels, (1.0,) * len(labels)).reweighted(np.maximum(weights, 1e-300))
+        shares = dict(zip([f"_c{k}" for k in range(own.n)], own.shares(), strict=True))
+        found = combined(g, {c: dict(zip(names, own.within(k), strict=True)) for k, c in enumerate(shares)})
+        target = next(iter(shares))
+        return search.l1(found, terms, target, largest) if method == "l1" else search.forward(found, terms, target, largest, regul, shares)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple] = {}  # projections of single draws don't depend on the observation
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, y, w, o, *x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1))
+            mu = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(len(y), len(dis))
+            lw, khat = loo.smoothed(-family.np_log_lik(y[:, None], mu, w[:, None], dis))
+            out = []
+            for i in range(len(y)):
+                weights = np.exp(lw[i])
+                found = searched(weights)
+                own = np.log(np.maximum(weights[picked], 1e-300) / np.maximum(weights[picked], 1e-300).sum())
+                at = dict(zip(columns, (float(c[i]) for c in x), strict=True))
+                for k, size in enumerate(found.sizes):
+                    cols = tuple(c for step in found.ranking[:k] for t in fm.split_top(step) for c in terms[t])
+                    if cols not in known:
+                        fits = [solve.ridge(g, list(cols), names[d], regul) for d in picked]
+                        known[cols] = np.array([[f.intercept, *[f.beta[c] for c in cols]] for f in fits]), np.array([solve.dispersion(g, f, names[d], dis[d] ** 2) for f, d in zip(fits, picked, strict=True)])
+                    beta, sub_dis = known[cols]
+                    q = beta @ np.array([1.0, *[at[c] for c in cols]]) + o[i]
+                    ll = family.np_log_lik(y[i], q, w[i], sub_dis) + own
+                    out.append((ids[i], y[i], w[i], size, float(q @ np.exp(own)), float(ll.max() + np.log(np.exp(ll - ll.max()).sum())), None, None))
+                ll = family.np_log_lik(y[i], mu[i], w[i], dis) + lw[i]
+                out.append((ids[i], y[i], w[i], None, float(mu[i] @ weights), float(ll.max() + np.log(np.exp(ll - ll.max()).sum())), float(khat[i]), found.ranking))
+            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["obs_id", "y", "wobs", "size", "mu", "lppd", "khat", "ranking"])
+
+    cells = ref.data.select(F.col("obs_id").cast("bigint"), *[F.col(c).cast("double") for c in ("y", "wobs", "offs")], *[c.cast("double").alias(f"_z{i}") for i, c in enumerate(ref.columns.values())], F.col("mu").cast("array<double>").alias("_mu"))
+    table = cut(cells.mapInArrow(run, "obs_id bigint, y double, wobs double, size int, mu double, lppd double, khat double, ranking array<string>"))
+    if warn_shape:
+        loo.poor_shapes(table.filter("size IS NULL"), "khat", ref.n_draws)
+    rankings = table.filter("size IS NULL").select(F.col("obs_id").alias("fold"), F.posexplode("ranking").alias("position", "term")).select("fold", (F.col("position") + 1).alias("position"), "term")
+    return Selection(ref, chosen.path, table.drop("khat", "ranking").persist(), {0: chosen.path.ranking}, chosen.by_size, rankings)
+
+
 def _loo_rows(rows: DataFrame, ref: RefModel, dis: list[float], size: int | None) -> DataFrame:
     with_lik = rows.withColumn("ll", evaluate.densities(F.col("draws"), ref.family, dis))
     raw = loo.psis_weights(F.col("ll"))["lw"] if loo.tail_length(len(dis)) >= 5 else loo.sis_weights(F.col("ll"))

@@ -113,3 +113,50 @@ def test_what_draws_lack_is_an_error(spark, model):
         refmodel.from_draws(df, known.data.select("obs_id", "mu"), families.gaussian(), cols, known.terms)
     with pytest.raises(ValueError, match="at least one draw"):
         refmodel.from_draws(df, known.data.select("obs_id", "mu").limit(0), families.gaussian(), cols, known.terms, [])
+
+
+@pytest.mark.parametrize("method", ["forward", "l1"])
+def test_searches_without_each_observation_by_weights(spark, model, method):
+    """Re-weighted clusters follow the definition, and agree with refitted searches within Monte Carlo error."""
+    from lodestar.operators import draws, loo, search, solve
+
+    df, _, known, drawn = model
+    got = selection.cv_loo(drawn, method, clusters=3, prediction_draws=30, validate_search="weights", warn_shape=False)
+    same = selection.cv_loo(known, method, clusters=3, prediction_draws=30, validate_search="weights", warn_shape=False)
+    agree(rows_of(got), rows_of(same), 1e-5)
+    assert got.rankings.count() == 120 * 3 and {r["size"] for r in got.proportions().collect()} == {1, 2, 3}
+    rows = {r.obs_id: r for r in known.data.collect()}
+    g = selection.with_targets(selection._moments(known), list(known.fits), [f"_m{i + 1}" for i in range(30)])
+    labels = draws.kmeans(g.centered([f"_m{i + 1}" for i in range(30)], [f"_m{i + 1}" for i in range(30)]), 3 if method == "forward" else 1)
+    values = rows_of(got)
+    for i in (3, 77):
+        r, dis = rows[i], np.array(known.dis)
+        lw = loo.smoothed(-families.gaussian().np_log_lik(np.array([[r.y]]), np.array([r.mu]), np.array([[r.wobs]]), dis))[0][0]
+        weights = np.exp(lw)
+        centers = {}
+        for k in range(max(labels) + 1):
+            own = np.where(np.array(labels) == k, weights, 0)
+            centers[f"_c{k}"] = {f"_m{s + 1}": float(v) for s, v in enumerate(own / own.sum())}, float(own.sum())
+        found = combined(g, {c: v for c, (v, _) in centers.items()})
+        path = search.l1(found, known.terms, "_c0") if method == "l1" else search.forward(found, known.terms, "_c0", weights={c: s for c, (_, s) in centers.items()})
+        fits = [solve.ridge(g, path.ranking[:2], f"_m{s + 1}") for s in range(30)]
+        q = np.array([f.intercept + sum(b * r[c] for c, b in f.beta.items()) + r.offs for f in fits])
+        assert values[2, i][0] == pytest.approx(float(q @ weights), rel=1e-6)
+    if method == "forward":
+        big = refmodel.gaussian_conjugate(df, known.columns, known.terms, draws=400)
+        one, two = (selection.cv_loo(big, clusters=3, prediction_draws=100, validate_search=v, warn_shape=False).summary(["elpd"]).collect() for v in ("weights", True))
+        for a, b in zip(sorted(one, key=lambda r: r["size"]), sorted(two, key=lambda r: r["size"]), strict=True):
+            assert a.elpd == pytest.approx(b.elpd, abs=4)
+
+
+def test_poor_weights_warn_and_paths_are_used_again(spark, model):
+    df, cols, known, _ = model
+    first = selection.varsel(known, clusters=3, prediction_draws=10)
+    again = selection.cv_loo(known, path=first.path, prediction_draws=10, warn_shape=False)
+    assert again.path is first.path
+    far = df.withColumn("y", F.when(F.col("obs_id") == 5, 1e4).otherwise(F.col("y")))
+    spiked = refmodel.from_draws(far, known.data.select("obs_id", "mu"), families.gaussian(), cols, known.terms, known.dis)
+    with pytest.warns(UserWarning, match="Pareto shape"):
+        selection.cv_loo(spiked, prediction_draws=10)
+    with pytest.raises(ValueError, match="unknown way"):
+        selection.cv_loo(known, validate_search="maybe")
