@@ -1,7 +1,7 @@
 """Collocations of two to four words by vertically partitioned suffix trees.
 
 Texts are read once into chunks of word numbers in the shared folder. Words are known by a hash of
-language and word, and a table of all of them shows that no two share one. A suffix is the up to
+language and word; a second hash beside it in the table of their counts shows that no two share one. A suffix is the up to
 four words from a place to the end of its piece; it ends before a word that is too rare to be in any
 candidate. Prefixes of suffixes are counted a word longer at a time wherever a prefix has more
 occurrences than fit the memory of a task, so that what remains are prefixes of one to four words,
@@ -36,6 +36,8 @@ CHUNK_WORDS = 1 << 21
 GROUP_SUFFIXES = 1 << 22
 #: Buckets of prefixes for each group that they are gathered into.
 SPREAD = 8
+#: The most frequent words, 512 KB of hashes, have numbers that all tasks know; others are sent with their hashes.
+COMMON = 1 << 16
 #: The filter of frequent words has at most 2^27 bits, 16 MB; words that share a bit with one are counted for nothing.
 FILTER_BITS = 27
 KEYS = ("k1", "k2", "k3", "k4")
@@ -62,7 +64,7 @@ class _Numbers(dict):
         return len(self.words)
 
 
-CHUNK = "langs array<string>, lang_of binary, words binary, hashes binary, counts binary, places binary"
+CHUNK = "langs array<string>, lang_of binary, words binary, hashes binary, checks binary, counts binary, places binary"
 
 
 def chunks(df: DataFrame, lang: str, text: str, seed: int) -> DataFrame:
@@ -76,8 +78,9 @@ def chunks(df: DataFrame, lang: str, text: str, seed: int) -> DataFrame:
             counts = np.bincount(places, minlength=len(words) + 1)[1:]
             tags = [g.encode() + b"\0" for g in langs]
             hashes = np.array([xxhash.xxh64_intdigest(tags[g] + w, seed) or 1 for g, w in words], np.uint64)
-            row = [langs, np.array([g for g, _ in words], np.uint32).tobytes(), b"\n".join(w for _, w in words), hashes.tobytes(), counts.astype(np.uint32).tobytes(), places.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.list_(pa.string())), *[pa.array([v], pa.binary()) for v in row[1:]]], ["langs", "lang_of", "words", "hashes", "counts", "places"])
+            checks = np.array([xxhash.xxh32_intdigest(tags[g] + w, seed) for g, w in words], np.uint32)
+            row = [langs, np.array([g for g, _ in words], np.uint32).tobytes(), b"\n".join(w for _, w in words), hashes.tobytes(), checks.tobytes(), counts.astype(np.uint32).tobytes(), places.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.list_(pa.string())), *[pa.array([v], pa.binary()) for v in row[1:]]], ["langs", "lang_of", "words", "hashes", "checks", "counts", "places"])
 
         for batch in batches:
             for g, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -101,17 +104,31 @@ def _uint(column: pa.Array, i: int, kind=np.uint32) -> np.ndarray:
     return np.frombuffer(column[i].as_buffer(), kind)
 
 
-def word_rows(held: DataFrame) -> DataFrame:
-    """(h, lang, word, n) of every chunk's words."""
+def word_counts(held: DataFrame) -> DataFrame:
+    """(h, other, lang, n) of every chunk's words; ``other`` is a second hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 langs = pa.DictionaryArray.from_arrays(pa.array(_uint(batch.column(1), i).astype(np.int32)), pa.array(batch.column(0)[i].as_py(), pa.string())).dictionary_decode()
-                words = pa.array(batch.column(2)[i].as_py().split(b"\n"), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(_uint(batch.column(3), i, np.int64)), langs, words, pa.array(_uint(batch.column(4), i).astype(np.int64))], ["h", "lang", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(_uint(batch.column(2), i, np.int64)), pa.array(_uint(batch.column(3), i, np.int32)), langs, pa.array(_uint(batch.column(4), i).astype(np.int64))], ["h", "other", "lang", "n"])
 
-    return held.select("langs", "lang_of", "words", "hashes", "counts").mapInArrow(run, "h bigint, lang string, word string, n bigint")
+    return held.select("langs", "lang_of", "hashes", "checks", "counts").mapInArrow(run, "h bigint, other int, lang string, n bigint")
+
+
+def spelled(held: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, word) of the words whose hashes are in ``wanted``, read off the chunks."""
+    keep = Filter(wanted, wanted.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashes = _uint(batch.column(1), i, np.uint64)
+                at = np.flatnonzero(keep(hashes))
+                words = batch.column(0)[i].as_py().split(b"\n") if len(at) else []
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array([words[j].decode() for j in at], pa.string())], ["h", "word"])
+
+    return held.select("words", "hashes").mapInArrow(run, "h bigint, word string").join(wanted, "h", "left_semi").distinct()
 
 
 def language_totals(held: DataFrame) -> DataFrame:
@@ -250,8 +267,26 @@ def vertical_partition(held: DataFrame, words: DataFrame, keep: Filter, total: i
     return Partition(large, bits, group_of)
 
 
-def grouped_suffixes(held: DataFrame, keep: Filter, partition: Partition) -> DataFrame:
-    """(group, hashes, suffixes, counts): each chunk's distinct suffixes for a group, by numbers into their own hashes."""
+def most_common(words: DataFrame) -> np.ndarray:
+    """Hashes of the most frequent words, the first of all first; their numbers count from 1."""
+    found = [r["h"] for r in words.orderBy(F.desc("n"), "h").limit(COMMON).select("h").collect()]
+    return np.array(found, np.int64).view(np.uint64)
+
+
+def grouped_suffixes(held: DataFrame, keep: Filter, partition: Partition, common: np.ndarray) -> DataFrame:
+    """(group, n, hashes, suffixes, counts): each chunk's distinct suffixes for a group.
+
+    Numbers up to that of ``common`` are of those words, larger ones of the ``hashes`` sent along.
+    """
+    by = np.argsort(common)
+    ordered = common[by]
+
+    def numbers(hashes: np.ndarray) -> np.ndarray:
+        """Of a chunk's words: their numbers among the common ones, or 0."""
+        if not len(ordered):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)
+        return np.where(ordered[at] == hashes, by[at] + 1, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,19 +295,31 @@ def grouped_suffixes(held: DataFrame, keep: Filter, partition: Partition) -> Dat
                 rows, counts = distinct(rows, np.ones(len(rows), np.int64))
                 if not len(rows):
                     continue
-                group = partition.groups(hashes[rows])
+                group, known = partition.groups(hashes[rows]), numbers(hashes)
                 order = np.argsort(group, kind="stable")
                 starts = np.flatnonzero(np.diff(group[order], prepend=-1))
                 out = []
                 for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
                     at = order[a:b]
-                    own, renamed = np.unique(np.concatenate([[0], rows[at].T.ravel()]), return_inverse=True)
-                    renamed = renamed[1:].astype(np.uint16 if len(own) < 1 << 16 else np.uint32)
-                    out.append((int(group[at[0]]), hashes[own[1:]].tobytes(), renamed.tobytes(), counts[at].astype(np.uint32).tobytes()))
+                    cells = rows[at].T.ravel()
+                    named = known[cells]
+                    rest = np.flatnonzero((named == 0) & (cells != 0))
+                    own, place = np.unique(cells[rest], return_inverse=True)
+                    named[rest] = len(common) + 1 + place
+                    out.append((int(group[at[0]]), len(at), hashes[own].tobytes(), _small(named), _small(counts[at])))
                 for j in range(0, len(out), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[j : j + 64], strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], ["group", "hashes", "suffixes", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[j : j + 64], strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["group", "n", "hashes", "suffixes", "counts"])
+
+    return held.select("hashes", "places").mapInArrow(run, "group int, n bigint, hashes binary, suffixes binary, counts binary")
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Numbers under 2^32 in few bytes: their first bytes together, then their second ones, and so on."""
+    return pa.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
 
-    return held.select("hashes", "places").mapInArrow(run, "group int, hashes binary, suffixes binary, counts binary")
+def _large(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * n, codec="zstd"), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 def distinct(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +337,7 @@ def distinct(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def subtree(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], partition: Partition, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(hashes by depth, count) of the nodes of two words or more, from (hashes, suffixes, counts): those with enough leaves, and those that other groups share."""
     hashes = np.unique(np.concatenate([np.zeros(1, np.uint64), *[h for h, _, _ in parts]]))
-    numbers = [np.concatenate([[0], np.searchsorted(hashes, h)]).astype(np.uint32) for h, _, _ in parts]
+    numbers = [np.concatenate([[0], np.searchsorted(hashes, h)]).astype(np.uint32) for h, _, _ in parts]  # hashes needn't be sorted
     rows, leaves = distinct(np.concatenate([n[s] for n, (_, s, _) in zip(numbers, parts, strict=True)]), np.concatenate([c for _, _, c in parts]))
     nodes, counts, new = [np.empty((0, DEPTH), np.uint64)], [np.empty(0, np.int64)], np.zeros(len(rows), bool)
     new[0] = True
@@ -306,15 +353,16 @@ def subtree(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], partition: P
     return np.concatenate(nodes), np.concatenate(counts)
 
 
-def phrases(blobs: DataFrame, partition: Partition) -> DataFrame:
+def phrases(blobs: DataFrame, partition: Partition, common: np.ndarray) -> DataFrame:
     """(k1, ..., k4, depth, a): the frequent phrases of two words or more by their words' hashes, 0 beyond their end."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = []
         for i in range(table.num_rows):
-            h, s, c = (np.frombuffer(table.column(n)[i].as_py(), k) for n, k in (("hashes", np.uint64), ("suffixes", np.uint8), ("counts", np.uint32)))
-            s = s.view(np.uint16 if len(h) + 1 < 1 << 16 else np.uint32).reshape(DEPTH, -1).T
-            parts.append((h, s, c.astype(np.int64)))
+            n, h, s, c = (table.column(name)[i].as_py() for name in ("n", "hashes", "suffixes", "counts"))
+            own, renamed = np.unique(np.concatenate([[0], _large(s, DEPTH * n)]), return_inverse=True)
+            hashes = np.concatenate([np.zeros(1, np.uint64), common, np.frombuffer(h, np.uint64)])[own[1:]]
+            parts.append((hashes, renamed[1:].reshape(DEPTH, -1).T, _large(c, n).astype(np.int64)))
         nodes, counts = subtree(parts, partition)
         return pa.table({**{k: pa.array(nodes[:, d].copy().view(np.int64)) for d, k in enumerate(KEYS)}, "a": pa.array(counts, pa.int64())})
 
@@ -348,20 +396,22 @@ def scored(found: DataFrame, words: DataFrame) -> DataFrame:
     return open_.select(*KEYS, "a", F.array_min(cuts).alias("cut")).select(*KEYS, "a", "cut.l", "cut.r", "cut.score")
 
 
-def best(candidates: DataFrame, words: DataFrame, totals: DataFrame, top: int = TOP) -> DataFrame:
+def best(candidates: DataFrame, words: DataFrame, held: DataFrame, top: int = TOP) -> DataFrame:
     """Each language's first candidates, in words.
 
     Ranks without the words leave the first ``top`` and their ties, of which every task keeps its own first
-    before they meet; only those are looked up.
+    before they meet; only their words are looked up.
     """
     by_lang = Window.partitionBy("lang")
-    named = candidates.join(words.select(F.col("h").alias("k1"), "lang", F.col("word").alias("w1")), "k1")
-    first = named.withColumn("at", F.rank().over(by_lang.orderBy(F.desc("score"), F.desc("a")))).filter(F.col("at") <= top)
-    for i in range(2, DEPTH + 1):
-        first = first.join(words.select(F.col("h").alias(f"k{i}"), F.col("word").alias(f"w{i}")), f"k{i}", "left")
+    named = candidates.join(words.select(F.col("h").alias("k1"), "lang"), "k1")
+    first = cut(named.withColumn("at", F.rank().over(by_lang.orderBy(F.desc("score"), F.desc("a")))).filter(F.col("at") <= top))
+    wanted = cut(first.select(F.explode(F.array(*KEYS)).alias("h")).filter("h <> 0").distinct())
+    spellings = cut(spelled(held, wanted))
+    for i, k in enumerate(KEYS, 1):
+        first = first.join(spellings.select(F.col("h").alias(k), F.col("word").alias(f"w{i}")), k, "left")
     first = first.withColumn("phrase", F.concat_ws(" ", *[f"w{i}" for i in range(1, DEPTH + 1)]))
     ranked = first.withColumn("rank", F.row_number().over(by_lang.orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("bigint")).filter(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(language_totals(held), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def collocations(df: DataFrame, lang: str = "lang", text: str = "text", top: int = TOP) -> DataFrame:
@@ -386,8 +436,9 @@ def collocations(df: DataFrame, lang: str = "lang", text: str = "text", top: int
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     budget = min(GROUP_SUFFIXES, max(1, stats["n"] // (2 * tasks)))
     partition = vertical_partition(held, words, keep, stats["n"], budget)
-    found = cut(phrases(grouped_suffixes(held, keep, partition), partition))
-    out = cut(best(scored(found, words), words, language_totals(held), top))
+    common = most_common(words)
+    found = cut(phrases(grouped_suffixes(held, keep, partition, common), partition, common))
+    out = cut(best(scored(found, words), words, held, top))
     remove(spark, folder)
     return out
 
@@ -396,9 +447,8 @@ def _read(spark: SparkSession, df: DataFrame, lang: str, text: str, path: str, s
     """Chunks, and words that are frequent or share a hash."""
     chunks(df, lang, text, seed).write.option("compression", "zstd").parquet(path)
     held = spark.read.schema(CHUNK).parquet(path)
-    one = F.struct("lang", "word")
-    words = word_rows(held).groupBy("h").agg(F.sum("n").alias("n"), F.min(one).alias("one"), (F.min(one) != F.max(one)).alias("clash"))
-    return held, cut(words.filter((F.col("n") >= LEAST) | F.col("clash")).select("h", "n", "one.lang", "one.word", "clash"))
+    words = word_counts(held).groupBy("h").agg(F.sum("n").alias("n"), F.min("lang").alias("lang"), (F.min("other") != F.max("other")).alias("clash"))
+    return held, cut(words.filter((F.col("n") >= LEAST) | F.col("clash")))
 
 
 def oracle() -> str:
