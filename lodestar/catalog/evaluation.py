@@ -423,11 +423,13 @@ def predictive_variance(spark, sf_dir):
     return rows.groupBy("cluster").agg(shown(F.sum("v")).alias("total"))
 
 
-@query(f"WITH {CLUSTERS} SELECT c::INTEGER AS cluster, round(sum(w * (10 + s % 7)) / sum(w), 8) AS value FROM c GROUP BY c")
+@query(f"WITH {DRAWS}, {CLUSTERS}, v AS (SELECT s, regr_slope(m, y) AS value FROM d GROUP BY s) SELECT c::INTEGER AS cluster, round(sum(w * value) / sum(w), 8) AS value FROM c JOIN v USING (s) GROUP BY c")
 def cluster_parameters(spark, sf_dir):
-    rows = [(c, 10.0 + s % 7, w) for s, c, w in zip(range(1, S + 1), CLUSTERING.labels, CLUSTERING.weights, strict=True)]
-    table = spark.createDataFrame(rows, "cluster int, value double, weight double")
-    return draws.mean_by_cluster(table, "cluster", "value", "weight").select("cluster", shown("value", 8).alias("value"))
+    """A parameter of every draw, its slope over the responses, averaged by cluster."""
+    long = _drawn(spark, sf_dir).select("y", F.posexplode("mu").alias("at", "m"))
+    slopes = long.groupBy((F.col("at") + 1).alias("s")).agg(F.regr_slope("m", "y").alias("value"))
+    known = spark.createDataFrame([(s, c, w) for s, c, w in zip(range(1, S + 1), CLUSTERING.labels, CLUSTERING.weights, strict=True)], "s int, cluster int, weight double")
+    return draws.mean_by_cluster(slopes.join(known, "s"), "cluster", "value", "weight").select("cluster", shown("value", 8).alias("value"))
 
 
 def _sigma(s: int) -> float:
@@ -580,9 +582,12 @@ def category_samples(spark, sf_dir):
     return out.select(F.posexplode("predicted").alias("draw", "level")).groupBy("level", "draw").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT s::INTEGER AS draw FROM range(1, {S + 1}) t(s) ORDER BY {keyed_sql('s', 4)} LIMIT 7")
+@query(f"WITH {DRAWS}, i AS (SELECT s::INTEGER AS s FROM range(1, {S + 1}) t(s) ORDER BY {keyed_sql('s', 4)} LIMIT 7) SELECT s AS draw, round(sum(m), 5) AS total FROM d JOIN i USING (s) GROUP BY s")
 def draw_subsample(spark, sf_dir):
-    return spark.createDataFrame([(s,) for s in draws.subsampled(S, 7, 4)], "draw int")
+    """Seven draws in keyed random order, with what each adds up to."""
+    numbers = draws.subsampled(S, 7, 4)
+    rows = _drawn(spark, sf_dir).select(F.posexplode(draws.picked(F.col("mu"), numbers)).alias("at", "m"))
+    return rows.groupBy(F.get(F.array(*[F.lit(n) for n in numbers]), F.col("at")).alias("draw")).agg(shown(F.sum("m"), 5).alias("total"))
 
 
 @query(f"WITH {POINTWISE}, {ABSOLUTE} SELECT size, ['(Intercept)', 'price', 'discount'][size + 1] AS term, round(em, 5) AS value, round((SELECT em FROM s WHERE size IS NULL), 5) AS reference FROM s WHERE size IS NOT NULL")

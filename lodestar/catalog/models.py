@@ -51,10 +51,16 @@ def design_matrix_dummies(spark, sf_dir):
     return x.groupBy("returnflag", "linestatus").agg(F.count("*").alias("n"), F.sum(f"`{flags[0]}`").alias("flag_n"), F.sum(f"`{flags[1]}`").alias("flag_r"), shown(F.sum(f"`{inter[1]}`"), 4).alias("r_o_price"))
 
 
-@query("SELECT * FROM (VALUES ('discount', 1), ('price', 1), ('tax', 1), ('discount:price', 2), ('discount:tax', 2), ('price:tax', 2), ('discount:price:tax', 3)) t(term, parts)")
+_PRODUCTS = {":".join(s): s for k in (1, 2, 3) for s in itertools.combinations(("discount", "price", "tax"), k)}
+
+
+@query(f"WITH {ITEMS} " + " UNION ALL ".join(f"SELECT '{t}' AS term, {len(s)} AS parts, round(sum({' * '.join(s)}), 4) AS total FROM items" for t, s in _PRODUCTS.items()))
 def interaction_terms_expand(spark, sf_dir):
-    terms = fm.parse("charge ~ price * discount * tax").terms
-    return spark.createDataFrame([(t, len(fm.split_top(t, ":"))) for t in terms], "term string, parts int")
+    """The terms of a product of three, each with its column's sum over all rows."""
+    terms = list(fm.parse("charge ~ price * discount * tax").terms)
+    x, names = design.Design().matrix(tables.line_items(spark, sf_dir), terms, [])
+    sums = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(len(fm.split_top(t, ":"))).alias("parts"), shown(F.sum(f"`{names[t][0]}`"), 4).alias("total")) for t in terms])
+    return x.agg(sums.alias("all")).select(F.inline("all"))
 
 
 @query(f"""WITH {ITEMS} SELECT round(avg(power(price, 2)), 4) AS price_2, round(avg(power(price, 3)), 2) AS price_3, round(avg(sqrt(quantity)), 8) AS root_quantity, round(avg(ln(price)), 8) AS log_price, round(avg(abs(discount - tax)), 8) AS gap FROM items""")
@@ -407,9 +413,18 @@ def forced_search(spark, sf_dir):
     return path.table(spark).select("size", "term", shown("ce", 4).alias("ce"))
 
 
-@query("""WITH main(t, varies) AS (VALUES ('rain', true), ('soil', false), ('sun', true)), varying AS (SELECT t FROM main WHERE varies)
-SELECT '1' AS block UNION ALL SELECT t FROM main UNION ALL SELECT '(1 | farm)' UNION ALL SELECT t || ' + (1 | farm)' FROM varying UNION ALL SELECT t || ' + (' || t || ' | farm)' FROM varying
-UNION ALL SELECT 'factor(crop)' UNION ALL SELECT 'factor(crop) + s(day, by = factor(crop))'""")
+@query(f"""WITH {ITEMS}, f AS (SELECT count(DISTINCT returnflag) AS flags, count(DISTINCT linestatus) AS levels FROM items), main(t, own, varies) AS (SELECT 'price', 1, true FROM f UNION ALL SELECT 'tax', 1, true FROM f UNION ALL SELECT 'discount', 1, false FROM f UNION ALL SELECT 'returnflag', flags - 1, false FROM f)
+SELECT t AS block, own::INTEGER AS columns, 0 AS effects FROM main UNION ALL SELECT '(1 | linestatus)', 0, levels::INTEGER FROM f
+UNION ALL SELECT t || ' + (1 | linestatus)', 1, levels::INTEGER FROM main, f WHERE varies UNION ALL SELECT t || ' + (' || t || ' | linestatus)', 1, 2 * levels::INTEGER FROM main, f WHERE varies
+UNION ALL SELECT 'returnflag + s(quantity, by = returnflag)', flags::INTEGER - 1, 0 FROM f""")
 def candidate_blocks(spark, sf_dir):
-    f = fm.parse("harvest ~ rain + soil + sun + s(day, by = factor(crop)) + (rain + sun | farm)")
-    return spark.createDataFrame([(b,) for b in fm.split_blocks(f, factors=["factor(crop)"])], "block string")
+    """What may enter a search, with the columns of the design and the group effects that it brings on this table."""
+    items = tables.line_items(spark, sf_dir)
+    levels = design.levels_of(items, ["returnflag", "linestatus"])
+    f = fm.parse("charge ~ price + tax + discount + returnflag + s(quantity, by = returnflag) + (price + tax | linestatus)")
+    rows = []
+    for b in fm.split_blocks(f, factors=["returnflag"])[1:]:
+        parts = fm.flatten(fm.split_top(b))
+        columns = sum(len(levels["returnflag"]) - 1 if t == "returnflag" else 1 for t in parts if not (fm.is_group(t) or fm.is_smooth(t)))
+        rows.append((b, columns, sum((fm.size([t]) - 1) * len(levels[fm.group_parts(t)[1]]) for t in parts if fm.is_group(t))))
+    return spark.createDataFrame(rows, "block string, columns int, effects int")

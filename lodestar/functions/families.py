@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -13,8 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.functions import normal
+
 EPS = 2.220446049250313e-16
-_NORMAL = NormalDist()
 
 
 def lgamma(x: Column) -> Column:
@@ -37,12 +37,12 @@ def np_lgamma(x: np.ndarray) -> np.ndarray:
 
 @F.pandas_udf(T.DoubleType())
 def _pnorm(x: pd.Series) -> pd.Series:
-    return x.map(_NORMAL.cdf, na_action="ignore")
+    return pd.Series(normal.cdf(x.to_numpy(float)), index=x.index)
 
 
 @F.pandas_udf(T.DoubleType())
 def _qnorm(p: pd.Series) -> pd.Series:
-    return p.map(lambda v: _NORMAL.inv_cdf(v) if 0 < v < 1 else math.copysign(math.inf, v - 0.5), na_action="ignore")
+    return pd.Series(normal.quantile(np.clip(p.to_numpy(float), 0.0, 1.0)), index=p.index)
 
 
 @dataclass(frozen=True)
@@ -66,16 +66,13 @@ def _phi(x):
     return np.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)
 
 
-_cdf = np.vectorize(_NORMAL.cdf, otypes=[float])
-_quantile = np.vectorize(_NORMAL.inv_cdf, otypes=[float])
-
 LINKS = {
     link.name: link
     for link in (
         Link("identity", lambda m: m, lambda e: e, lambda m: m, lambda e: e, lambda e: np.ones_like(e), lambda e: F.lit(1.0)),
         Link("log", F.log, F.exp, np.log, np.exp, np.exp, F.exp),
         Link("logit", lambda m: F.log(m / (1 - m)), lambda e: 1 / (1 + F.exp(-e)), lambda m: np.log(m / (1 - m)), _expit, lambda e: _expit(e) * (1 - _expit(e)), lambda e: F.exp(-e) / F.pow(1 + F.exp(-e), 2)),
-        Link("probit", lambda m: _qnorm(m), lambda e: _pnorm(e), _quantile, _cdf, _phi, lambda e: F.exp(-0.5 * e * e) / math.sqrt(2 * math.pi)),
+        Link("probit", lambda m: _qnorm(m), lambda e: _pnorm(e), normal.quantile, normal.cdf, _phi, lambda e: F.exp(-0.5 * e * e) / math.sqrt(2 * math.pi)),
         Link("cauchit", lambda m: F.tan(math.pi * (m - 0.5)), lambda e: 0.5 + F.atan(e) / math.pi, lambda m: np.tan(math.pi * (m - 0.5)), lambda e: 0.5 + np.arctan(e) / math.pi, lambda e: 1 / (math.pi * (1 + e * e)), lambda e: 1 / (math.pi * (1 + e * e))),
         Link("cloglog", lambda m: F.log(-F.log1p(-m)), lambda e: -F.expm1(-F.exp(e)), lambda m: np.log(-np.log1p(-m)), lambda e: -np.expm1(-np.exp(e)), lambda e: np.exp(e - np.exp(e)), lambda e: F.exp(e - F.exp(e))),
         Link("inverse", lambda m: 1 / m, lambda e: 1 / e, lambda m: 1 / m, lambda e: 1 / e, lambda e: -1 / (e * e), lambda e: -1 / (e * e)),

@@ -72,10 +72,24 @@ def require_complete(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def response(df: DataFrame, y: str, weights: str | None = None, offset: str | None = None, failures: str | None = None) -> DataFrame:
-    """Adds y, wobs and offs as doubles; with failures, y counts successes and wobs all trials."""
+    """Adds y, wobs and offs as doubles; with failures, y counts successes and wobs all trials.
+
+    A response of strings or booleans becomes 0 and 1, 1 for all but the first level. Negative or missing
+    weights, and negative counts, are an error where they are read.
+    """
+    kind = df.select(F.expr(y).alias("y")).dtypes[0][1]
+    value = F.expr(y).cast("double")
+    if kind in ("string", "boolean"):
+        levels = sorted(r[0] for r in df.select(F.expr(y).alias("y")).filter("y IS NOT NULL").distinct().limit(3).collect())
+        if len(levels) != 2:
+            raise ValueError(f"a response of names needs two levels, not {len(levels)}; more are categories")
+        value = F.when(F.expr(y).isNotNull(), (F.expr(y) != levels[0]).cast("double"))
+    wobs = (F.expr(y) + F.expr(failures)).cast("double") if failures else F.expr(weights or "1").cast("double")
+    bad = wobs.isNull() | F.isnan(wobs) | (wobs < 0)
     if failures:
-        return df.withColumns({"y": F.expr(y).cast("double"), "wobs": (F.expr(y) + F.expr(failures)).cast("double"), "offs": F.expr(offset or "0").cast("double")})
-    return df.withColumns({"y": F.expr(y).cast("double"), "wobs": F.expr(weights or "1").cast("double"), "offs": F.expr(offset or "0").cast("double")})
+        bad = bad | (value < 0) | (F.expr(failures) < 0)
+    checked = F.when(bad, F.raise_error("weights and counts of trials must be known and not negative")).otherwise(wobs)
+    return df.withColumns({"y": value, "wobs": checked.cast("double"), "offs": F.expr(offset or "0").cast("double")})
 
 
 def over_categories(df: DataFrame, probabilities: str, levels: list[str]) -> DataFrame:

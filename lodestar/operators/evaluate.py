@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from lodestar.functions.arrays import doubles, log_weighted_mean_exp, total, weighted_mean
+from lodestar.functions import normal
 from lodestar.functions.families import Family
 from lodestar.operators import multilevel
 from lodestar.operators.keyed import uniform
@@ -110,15 +111,34 @@ def sampled(df: DataFrame, mu: str, family: Family, draws: int, seed: int, dis:
 
     @pandas_udf("array<double>")
     def sample(keys: pd.Series, mus: pd.Series, trials: pd.Series) -> pd.Series:
-        out = []
-        for k, m, n in zip(keys, mus, trials, strict=True):
-            rng = np.random.Generator(np.random.PCG64([seed, int(k) & 0xFFFFFFFF, int(k) >> 32 & 0xFFFFFFFF]))
-            m = np.asarray(m, dtype=float)
-            at = rng.choice(len(m), size=draws, p=weights) if weights is not None else np.arange(draws) % len(m)
-            m = m[at]
-            s = np.asarray(dis)[at] if dis else None
-            out.append({"binomial": lambda m=m, n=n: rng.binomial(int(n), np.clip(m, 0, 1)), "poisson": lambda m=m: rng.poisson(m), "Gamma": lambda m=m, s=s: rng.gamma(s, m / s), "student_t": lambda m=m, s=s: m + s * rng.standard_t(nu, len(m))}.get(name, lambda m=m, s=s: rng.normal(m, s))().astype(float))
-        return pd.Series(out)
+        if not len(keys):
+            return pd.Series([], dtype=object)
+        ids, m = keys.to_numpy().astype(np.int64), np.stack(mus.to_numpy()).astype(float)
+        if weights is not None:
+            upto = np.cumsum(weights) / np.sum(weights)
+            at = np.minimum(np.searchsorted(upto, normal.uniforms(ids, draws, seed), "right"), m.shape[1] - 1)
+        else:
+            at = np.broadcast_to(np.arange(draws) % m.shape[1], (len(ids), draws))
+        m = np.take_along_axis(m, at, axis=1)
+        s = np.asarray(dis, float)[at] if dis else None
+        u = normal.uniforms(ids, draws, seed, 1)
+        if name == "binomial":
+            n, p = trials.to_numpy(float)[:, None], np.clip(m, 0, 1)
+            flip = p > 0.5  # few failures are counted instead of many successes
+            q = np.where(flip, 1 - p, p)
+            k = normal.counts(u, np.exp(n * np.log1p(-q)), lambda k: (n - k + 1) / k * q / (1 - q))
+            out = np.where(flip, n - k, k)
+        elif name == "poisson":
+            # Large means are sums of small ones.
+            parts = max(1, int(np.ceil(np.max(m, initial=0.0) / 200)))
+            out = sum(normal.counts(normal.uniforms(ids, draws, seed, 1 + i), np.exp(-m / parts), lambda k: m / parts / k) for i in range(parts))
+        elif name == "Gamma":
+            out = normal.gammas(ids, s, seed, 2) * m / s
+        elif name == "student_t":
+            out = m + s * normal.normals(ids, draws, seed, 2) / np.sqrt(2 * normal.gammas(ids, np.full(m.shape, nu / 2), seed, 4) / nu)
+        else:
+            out = m + s * normal.normals(ids, draws, seed, 2)
+        return pd.Series(list(out))
 
     return df.withColumn("predicted", sample(F.col(key), F.col(mu), F.col("wobs")))
 

@@ -95,7 +95,11 @@ def l1_newton(df: DataFrame, columns: dict[str, Column], blocks: dict[str, list[
     cols = [c for group in blocks.values() for c in group]
     term_of = {c: t for t, group in blocks.items() for c in group}
     largest = len(blocks) if largest is None else min(largest, len(blocks))
-    _, sd, _ = irls.moments_of(df, {c: columns[c] for c in cols}, weight)
+    # The rows that every approximation reads are kept until the path is done.
+    kept = df.select(weight.cast("double").alias("w"), offset.cast("double").alias("o"), target.cast("double").alias("t"), *[columns[c].cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).persist()
+    df, weight, offset, target = kept, F.col("w"), F.col("o"), F.col("t")
+    columns = {c: F.col(f"x{i}") for i, c in enumerate(cols)}
+    _, sd, _ = irls.moments_of(df, columns, weight)
 
     def approximation(fit: Fit) -> tuple[Gram, dict[str, float]]:
         p = family.pseudo_data(irls.predictor(fit, columns), target, offset, weight)
@@ -126,7 +130,8 @@ def l1_newton(df: DataFrame, columns: dict[str, Column], blocks: dict[str, list[
     sized = solve.sized_fits(path, ordered, max(counts))
     chosen = [sized[n] for n in counts]
     means = [family.link.inverse(irls.predictor(f, columns) + offset) for f in chosen]
-    row = df.agg(*[(F.sum(weight * family.cross_entropy(target, m)) / F.sum(weight)).alias(f"c{i}") for i, m in enumerate(means)]).first()
+    row = kept.agg(*[(F.sum(weight * family.cross_entropy(target, m)) / F.sum(weight)).alias(f"c{i}") for i, m in enumerate(means)]).first()
+    kept.unpersist()
     return SearchPath(ranking, list(range(len(chosen))), chosen, [row[f"c{i}"] for i in range(len(chosen))])
 
 

@@ -185,3 +185,66 @@ def test_l1_newton_meets_its_conditions(spark):
     top = 1.001 * abs(((y - y.mean()) * (x - x.mean())).sum() / sd)
     assert (y - p).sum() == pytest.approx(0, abs=1e-4)
     assert ((y - p) * x).sum() / sd == pytest.approx(0.1 * top, rel=1e-4)
+
+
+def test_normal_distribution_on_arrays():
+    import math
+    from statistics import NormalDist
+
+    from lodestar.functions import normal
+
+    x = np.concatenate([np.linspace(-37, 37, 2001), [0.0, 3.0, -3.0, np.nan, np.inf, -np.inf]])
+    got = normal.cdf(x)
+    for a, b in zip(x, got, strict=True):
+        if np.isnan(a):
+            assert np.isnan(b)
+        else:
+            assert b == pytest.approx(math.erfc(-a / math.sqrt(2)) / 2, rel=3e-12, abs=1e-300)
+    p = np.concatenate([np.geomspace(1e-300, 0.5, 500), 1 - np.geomspace(1e-15, 0.5, 200)])
+    assert normal.quantile(p) == pytest.approx([NormalDist().inv_cdf(v) for v in p], rel=1e-9, abs=1e-12)
+    assert normal.quantile([0, 1]).tolist() == [-np.inf, np.inf] and np.isnan(normal.quantile([np.nan])[0])
+
+
+def test_keyed_numbers_have_their_moments():
+    from lodestar.functions import normal
+
+    keys = np.arange(4000)
+    u, z = normal.uniforms(keys, 50, 1), normal.normals(keys, 50, 1)
+    assert (u > 0).all() and (u < 1).all() and u.mean() == pytest.approx(0.5, abs=0.003) and u.var() == pytest.approx(1 / 12, abs=0.001)
+    assert z.mean() == pytest.approx(0, abs=0.01) and z.std() == pytest.approx(1, abs=0.01)
+    assert abs(np.corrcoef(u[:, 0], u[:, 1])[0, 1]) < 0.05 and abs(np.corrcoef(u[:-1, 0], u[1:, 0])[0, 1]) < 0.05
+    assert (normal.uniforms(keys[::-1], 50, 1)[::-1] == u).all() and (normal.uniforms(keys, 50, 2) != u).all()
+    for shape in (0.3, 1.0, 4.5):
+        g = normal.gammas(keys, np.full((4000, 50), shape), 3)
+        assert g.mean() == pytest.approx(shape, rel=0.02) and g.var() == pytest.approx(shape, rel=0.05)
+
+
+def test_samplers_have_their_moments(spark):
+    from lodestar.functions import families
+    from lodestar.functions.arrays import doubles
+    from lodestar.operators import evaluate
+    from pyspark.sql import functions as F
+
+    rows = spark.range(600).select(F.col("id").alias("obs_id"), F.lit(7.0).alias("wobs"))
+    cases = {"binomial": (families.binomial(), [0.2, 0.9], None, 7 * 0.55), "poisson": (families.poisson(), [0.5, 350.0], None, 175.25), "gamma": (families.gamma(), [2.0, 6.0], [3.0, 3.0], 4.0), "t": (families.student_t(6.0), [1.0, -3.0], [0.5, 0.5], -1.0)}
+    for family, mu, dis, mean in cases.values():
+        out = evaluate.sampled(rows.withColumn("m", doubles(mu)), "m", family, 100, 3, dis).collect()
+        values = np.array([r.predicted for r in out])
+        assert values.mean() == pytest.approx(mean, rel=0.03)
+        if family.name == "poisson":
+            assert values[:, 1::2].var() == pytest.approx(350, rel=0.05) and (values == np.round(values)).all()
+        if family.name == "binomial":
+            assert values.min() >= 0 and values.max() <= 7 and values[:, 0::2].var() == pytest.approx(7 * 0.16, rel=0.05)
+
+
+def test_responses_are_checked(spark):
+    from lodestar.operators import design
+
+    rows = spark.createDataFrame([("no", 1.0, 2), ("yes", 2.0, 3)], "s string, w double, n int")
+    assert [(r.y, r.wobs) for r in design.response(rows, "s", "w").collect()] == [(0.0, 1.0), (1.0, 2.0)]
+    assert [r.y for r in design.response(rows, "n > 2").collect()] == [0.0, 1.0]
+    for call in (lambda: design.response(rows, "n", "w - 2").collect(), lambda: design.response(rows, "n", failures="n - 4").collect()):
+        with pytest.raises(Exception, match="not negative"):
+            call()
+    with pytest.raises(ValueError, match="two levels"):
+        design.response(rows.filter("n = 2"), "s")
