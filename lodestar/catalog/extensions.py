@@ -8,7 +8,7 @@ from lodestar.catalog.registry import query, shown
 from lodestar.functions import families
 from lodestar.operators import categories, latent, multilevel, search, smooth, solve
 from lodestar.operators.gram import gram, moments
-from lodestar.plans import selection
+from lodestar.plans import categorical, selection
 from lodestar.sources import refmodel, tables
 from lodestar.streaming.moments import total_moments
 
@@ -66,6 +66,29 @@ def _priorities(spark, sf_dir):
     return rows, levels, categories.one_hot(F.col("y"), levels)
 
 
+def _category_search_sql(steps: int = 12) -> str:
+    """Both sizes of a two-category search: the overall shares, and Newton's method for one predictor."""
+    newton = []
+    for k in range(steps):
+        newton.append(f"g{k} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum(y - p) AS ga, sum((y - p) * x) - {solve.REGUL} * any_value(b) AS gb, sum(p * (1 - p)) AS haa, sum(p * (1 - p) * x) AS hab, sum(p * (1 - p) * x * x) + {solve.REGUL} AS hbb FROM (SELECT s.*, a, b, 1 / (1 + exp(-(a + b * x))) AS p FROM s, b{k}))")
+        newton.append(f"b{k + 1} AS (SELECT a + (ga * hbb - gb * hab) / (haa * hbb - hab * hab) AS a, b + (gb * haa - ga * hab) / (haa * hbb - hab * hab) AS b FROM g{k})")
+    return f"""WITH l AS ({tables.LABELLED_SQL}), m AS (SELECT avg(y) AS share, avg(size) AS mu, stddev_samp(size) AS sd FROM l), s AS (SELECT y, (size - mu) / sd AS x FROM l, m), b0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b), {', '.join(newton)},
+e AS (SELECT y, share, 1 / (1 + exp(-(a + b * x))) AS p FROM s, m, b{steps})
+SELECT 0 AS size, '(Intercept)' AS term, round(-avg(y * ln(share) + (1 - y) * ln(1 - share)), 6) AS ce, round(sum(y * ln(share) + (1 - y) * ln(1 - share)), 3) AS elpd, round(avg(((share > 0.5)::INT = y)::INT), 6) AS acc FROM e
+UNION ALL SELECT 1, 'size', round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6), round(sum(y * ln(p) + (1 - y) * ln(1 - p)), 3), round(avg(((p > 0.5)::INT = y)::INT), 6) FROM e"""
+
+
+@query(_category_search_sql())
+def category_search(spark, sf_dir):
+    """A search over categories, which for two of them is the binomial one; the observed categories are the reference."""
+    rows = tables.labelled(spark, sf_dir).withColumn("y", F.when(F.col("y") == 1, "good").otherwise("bad"))
+    rows = rows.withColumn("mu", F.array(categories.one_hot(F.col("y"), ["bad", "good"])))
+    model = categorical.from_draws(rows, ["bad", "good"], {"size": F.col("size")}, {"size": ["size"]})
+    chosen = categorical.varsel(model)
+    out = chosen.summary(["elpd", "acc"]).join(chosen.path.table(spark), "size")
+    return out.select("size", "term", shown("ce").alias("ce"), shown("elpd", 3).alias("elpd"), shown("acc").alias("acc"))
+
+
 SHARES = "s AS (SELECT o_orderpriority AS level, count(*) AS n, row_number() OVER (ORDER BY o_orderpriority) AS k FROM orders GROUP BY o_orderpriority)"
 
 

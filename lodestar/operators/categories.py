@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.families import EPS, cumulative_probabilities, link_of, softmax_probabilities
-from lodestar.operators.irls import predictor
+from lodestar.operators.irls import moments_of, predictor
 from lodestar.operators.solve import REGUL, Fit
 
 STEPS = 80
@@ -165,3 +165,166 @@ def latent_from_softmax(probabilities: Column, n_categories: int) -> Column:
 def binomial_categories(mu: Column) -> Column:
     """Both categories' probabilities of a Bernoulli mean."""
     return F.array(1 - mu, mu)
+
+
+@dataclass(frozen=True)
+class Job:
+    """One fit of many: its columns, and which target of an array of targets it projects."""
+
+    cols: tuple[str, ...]
+    target: int = 0
+
+
+@dataclass(frozen=True)
+class CategoryFit:
+    """Parameters of a fit, and its mean cross-entropy with the target."""
+
+    theta: np.ndarray
+    cols: tuple[str, ...]
+    score: float
+
+
+def softmax_probabilities_of(theta: np.ndarray, x: np.ndarray, n_categories: int) -> np.ndarray:
+    """Rows of probabilities; ``theta`` has intercept and slopes of every category but the first."""
+    eta = np.column_stack([np.zeros(len(x)), x @ theta.reshape(n_categories - 1, x.shape[1]).T])
+    e = np.exp(eta - eta.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def ordinal_probabilities_of(theta: np.ndarray, x: np.ndarray, n_categories: int, link: str) -> np.ndarray:
+    """Rows of probabilities; ``theta`` has the thresholds, then slopes that are subtracted from them."""
+    k = n_categories - 1
+    cum = link_of(link).np_inverse(theta[None, :k] - (x[:, 1:] @ theta[k:])[:, None])
+    return np.maximum(np.diff(np.column_stack([np.zeros(len(x)), cum, np.ones(len(x))]), axis=1), EPS)
+
+
+def _softmax_sums(theta, x, t, w, n_categories):
+    k, p = n_categories - 1, x.shape[1]
+    prob, mass = softmax_probabilities_of(theta, x, n_categories), t.sum(axis=1)
+    grad = ((w[:, None] * (mass[:, None] * prob - t))[:, 1:].T @ x).ravel()
+    rest, wm = prob[:, 1:], w * mass
+    hess = np.zeros((k, p, k, p))
+    for a in range(k):
+        for b in range(a, k):
+            block = (x * (wm * rest[:, a] * ((a == b) - rest[:, b]))[:, None]).T @ x
+            hess[a, :, b, :] = block
+            hess[b, :, a, :] = block.T
+    return -float((w[:, None] * t * np.log(np.maximum(prob, 1e-300))).sum()), grad, hess.reshape(k * p, k * p)
+
+
+def _ordinal_sums(theta, x, t, w, n_categories, link):
+    k, lk, z = n_categories - 1, link_of(link), x[:, 1:]
+    eta = theta[None, :k] - (z @ theta[k:])[:, None]
+    zero = np.zeros((len(x), 1))
+    prob = np.maximum(np.diff(np.column_stack([zero, lk.np_inverse(eta), zero + 1]), axis=1), EPS)
+    dens = np.column_stack([zero, lk.np_slope(eta), zero])
+    d = np.zeros((len(x), k + 1, len(theta)))
+    for c in range(k + 1):
+        if c < k:
+            d[:, c, c] += dens[:, c + 1]
+        if c > 0:
+            d[:, c, c - 1] -= dens[:, c]
+        d[:, c, k:] = -(dens[:, c + 1] - dens[:, c])[:, None] * z
+    grad = -np.einsum("n,nc,ncp->p", w, t / prob, d)
+    scaled = d * np.sqrt(w * t.sum(axis=1))[:, None, None] / np.sqrt(prob)[:, :, None]
+    flat = scaled.reshape(-1, len(theta))
+    return -float((w[:, None] * t * np.log(prob)).sum()), grad, flat.T @ flat
+
+
+def project_many(df: DataFrame, columns: dict[str, Column], targets: Column, n_categories: int, jobs: list[Job], ordered: bool = False, link: str = "logit", weight: Column | None = None, regul: float = REGUL, tol: float = 1e-12) -> list[CategoryFit]:
+    """Projections of many targets on many sets of columns: every Newton step of all of them is one pass over kept rows.
+
+    ``targets`` is an array over targets of arrays over categories. Columns are standardized for the
+    penalty; parameters come back on their own scale.
+    """
+    w = (F.lit(1.0) if weight is None else weight).cast("double")
+    mean, sd, _ = moments_of(df, columns, w)
+    unit = np.where(sd > 0, sd, 1.0)
+    names, k = list(columns), n_categories - 1
+    rows = df.select(w.alias("w"), F.flatten(targets).alias("t"), *[((c - float(m)) / float(u)).cast("double").alias(f"x{i}") for i, (c, m, u) in enumerate(zip(columns.values(), mean, unit, strict=True))]).persist()
+    n_targets = max(j.target for j in jobs) + 1
+    shares = rows.agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.get("t", F.lit(i))).alias(f"c{i}") for i in range(n_targets * n_categories)]).first()
+    share = np.array([shares[f"c{i}"] or 0.0 for i in range(n_targets * n_categories)]).reshape(n_targets, n_categories)
+    index = [[0, *[1 + names.index(c) for c in j.cols if sd[names.index(c)] > 0]] for j in jobs]
+    theta, ridge = [], []
+    for j, ix in zip(jobs, index, strict=True):
+        own = share[j.target]
+        if ordered:
+            upto = np.cumsum(own)[:-1] / max(own.sum(), 1e-300) if own.min() > 0 else np.arange(1, n_categories) / n_categories
+            theta.append(np.concatenate([link_of(link).np_link(np.clip(upto, 1e-6, 1 - 1e-6)), np.zeros(len(ix) - 1)]))
+            ridge.append(np.array([0.0] * k + [regul] * (len(ix) - 1)))
+        else:
+            theta.append(np.zeros(k * len(ix)))
+            ridge.append(np.tile([0.0] + [regul] * (len(ix) - 1), k))
+    kernel = (lambda th, x, t, w: _ordinal_sums(th, x, t, w, n_categories, link)) if ordered else (lambda th, x, t, w: _softmax_sums(th, x, t, w, n_categories))
+    step = [np.zeros_like(t) for t in theta]
+    loss, first, plain, halved = [np.inf] * len(jobs), [None] * len(jobs), [0.0] * len(jobs), [0] * len(jobs)
+    open_jobs = list(range(len(jobs)))
+    for _ in range(2 * STEPS):
+        inside = [i for i in open_jobs if not ordered or bool(np.all(np.diff(theta[i][:k]) > 0))]
+        sums = _sums_of(rows, n_categories, kernel, [(i, jobs[i].target, index[i], theta[i]) for i in inside]) if inside else {}
+        still = []
+        for i in open_jobs:
+            value, grad, hess = sums.get(i, (np.inf, None, None))
+            whole = value + 0.5 * float(ridge[i] @ theta[i] ** 2)
+            first[i] = abs(whole) if first[i] is None and np.isfinite(whole) else first[i]
+            if not np.isfinite(whole) or whole > loss[i] + 1e-12 * (first[i] or 1.0):
+                step[i] = step[i] / 2
+                theta[i] = theta[i] - step[i]
+                halved[i] += 1
+                if halved[i] <= 40:
+                    still.append(i)
+                continue
+            loss[i], plain[i], halved[i] = whole, value, 0
+            grad = grad + ridge[i] * theta[i]
+            move = -np.linalg.solve(hess + np.diag(ridge[i] + 1e-10), grad)
+            if -grad @ move < tol * max(first[i], 1e-300):
+                continue
+            step[i], theta[i] = move, theta[i] + move
+            still.append(i)
+        open_jobs = still
+        if not open_jobs:
+            break
+    rows.unpersist()
+    total = float(shares.w or 0.0)
+    return [CategoryFit(_unscaled(theta[i], index[i], names, jobs[i], mean, unit, k, ordered), jobs[i].cols, float(plain[i] / total) if total else 0.0) for i in range(len(jobs))]
+
+
+def _unscaled(theta: np.ndarray, index: list[int], names: list[str], job: Job, mean: np.ndarray, unit: np.ndarray, k: int, ordered: bool) -> np.ndarray:
+    """Parameters for columns as they are, with zeros for those that are constant."""
+    at = {names[i - 1]: n for n, i in enumerate(index[1:], 1)}
+    own = np.array([mean[names.index(c)] for c in job.cols]), np.array([unit[names.index(c)] for c in job.cols])
+    pick = lambda row, offset: np.array([row[at[c] - offset] if c in at else 0.0 for c in job.cols]) / own[1] if job.cols else np.empty(0)
+    if ordered:
+        beta = pick(theta[k:], 1)
+        return np.concatenate([theta[:k] + beta @ own[0] if job.cols else theta[:k], beta])
+    rows = []
+    for row in theta.reshape(k, len(index)):
+        beta = pick(row, 0)
+        rows.append(np.concatenate([[row[0] - (beta @ own[0] if job.cols else 0.0)], beta]))
+    return np.concatenate(rows)
+
+
+def _sums_of(rows: DataFrame, n_categories: int, kernel: Callable, fits: list[tuple[int, int, list[int], np.ndarray]]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Value, gradient and curvature of every open fit, from one pass; one row for each fit and task is summed."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w = batch.column(0).to_numpy(zero_copy_only=False)
+            t = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(w), -1, n_categories)
+            x = np.column_stack([np.ones(len(w)), *[batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, batch.num_columns)]])
+            for i, target, index, theta in fits:
+                value, grad, hess = kernel(theta, x[:, index], t[:, target], w)
+                flat = np.concatenate([[value], grad, hess.ravel()])
+                sums[i] = flat if i not in sums else sums[i] + flat
+        out = [(i, k, float(v)) for i, flat in sums.items() for k, v in enumerate(flat)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["fit", "at", "v"])
+
+    flats = {i: np.zeros(1 + len(th) + len(th) ** 2) for i, _, _, th in fits}
+    for i, at, v in rows.mapInArrow(partial, "fit bigint, at bigint, v double").groupBy("fit", "at").agg(F.sum("v").alias("v")).collect():
+        flats[i][at] = v
+    return {i: (flats[i][0], flats[i][1 : 1 + len(th)], flats[i][1 + len(th) :].reshape(len(th), -1)) for i, _, _, th in fits}
