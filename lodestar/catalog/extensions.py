@@ -9,6 +9,7 @@ from lodestar.functions import families
 from lodestar.operators import categories, latent, multilevel, search, smooth, solve
 from lodestar.operators.gram import gram, moments
 from lodestar.plans import categorical, selection
+from lodestar.plans import latent as latent_plan
 from lodestar.sources import refmodel, tables
 from lodestar.streaming.moments import total_moments
 
@@ -89,6 +90,27 @@ def category_search(spark, sf_dir):
     return out.select("size", "term", shown("ce").alias("ce"), shown("elpd", 3).alias("elpd"), shown("acc").alias("acc"))
 
 
+#: Predictors 4 - 6 size - toxic as a reference of one draw; all projections are ridge fits to them.
+LATENT = f"""l AS ({tables.LABELLED_SQL}), e AS (SELECT *, 4 - 6 * size - toxic AS eta FROM l),
+m AS (SELECT count(*) AS n, avg(size) AS ms, avg(toxic) AS mt, avg(eta) AS me, stddev_samp(size) AS ds, stddev_samp(toxic) AS dt FROM e),
+c AS (SELECT any_value(n) AS n, any_value(ms) AS ms, any_value(mt) AS mt, any_value(me) AS me, any_value(ds) AS ds, any_value(dt) AS dt,
+  sum(power((size - ms) / ds, 2)) + {solve.REGUL} AS ss, sum(power((toxic - mt) / dt, 2)) + {solve.REGUL} AS tt, sum((size - ms) / ds * (toxic - mt) / dt) AS st, sum((size - ms) / ds * (eta - me)) AS es, sum((toxic - mt) / dt * (eta - me)) AS et FROM e, m),
+b AS (SELECT *, (es * tt - et * st) / (ss * tt - st * st) AS b1, (et * ss - es * st) / (ss * tt - st * st) AS b2 FROM c),
+f AS (SELECT y, eta, size, toxic, unnest([0, 1, 2]) AS k, [me, me + es / ss * (size - ms) / ds, me + b1 * (size - ms) / ds + b2 * (toxic - mt) / dt] AS fits FROM e, b),
+g AS (SELECT k, y, eta, fits[k + 1] AS fit FROM f), p AS (SELECT *, 1 / (1 + exp(-fit)) AS p FROM g)"""
+
+
+@query(f"WITH {LATENT} SELECT k AS size, ['(Intercept)', 'size', 'toxic'][k + 1] AS term, round(sum(y * ln(p) + (1 - y) * ln(1 - p)), 4) AS elpd, round(avg((round_even(p, 0) = y)::INT), 6) AS acc, round(sqrt(avg(power(eta - fit, 2))), 6) AS latent_rmse FROM p GROUP BY k")
+def latent_varsel(spark, sf_dir):
+    """A latent search with statistics of every size on the response scale, and errors on the latent one."""
+    rows = tables.labelled(spark, sf_dir)
+    drawn = rows.select("obs_id", F.array(1 / (1 + F.exp(-(4 - 6 * F.col("size") - F.col("toxic"))))).alias("mu"))
+    cols = {c: F.col(c) for c in ("size", "toxic")}
+    chosen = latent_plan.varsel(refmodel.from_draws(rows, drawn, families.binomial(), cols, {c: [c] for c in cols}))
+    out = chosen.summary(["elpd", "acc"]).join(chosen.summary(["rmse"], response_scale=False).select("size", "rmse"), "size").join(chosen.path.table(spark), "size")
+    return out.select("size", "term", shown("elpd", 4).alias("elpd"), shown("acc").alias("acc"), shown("rmse").alias("latent_rmse"))
+
+
 SHARES = "s AS (SELECT o_orderpriority AS level, count(*) AS n, row_number() OVER (ORDER BY o_orderpriority) AS k FROM orders GROUP BY o_orderpriority)"
 
 

@@ -21,12 +21,12 @@ DEVIATIONS = {"probit": 1.0, "logit": 1.6}
 def latent_model(ref: RefModel) -> RefModel:
     """The reference model on its link scale: the response is the mean predictor, the family Gaussian.
 
-    Links without a known deviation get none, and densities on the latent scale are then not defined.
+    A user's draws are taken to the link scale. Links without a known deviation get none, and densities on the latent scale are then not defined.
     """
     if ref.is_datafit:
         raise ValueError("a latent projection needs a reference model with predictions")
     deviation = DEVIATIONS.get(ref.family.link.name)
-    eta = evaluate.predictors(list(ref.fits), ref.columns, F.col("offs"))
+    eta = evaluate.predictors(list(ref.fits), ref.columns, F.col("offs")) if ref.fits else F.transform("mu", ref.family.link.link)
     data = ref.data.withColumn("y_response", F.col("y")).withColumn("mu", eta)
     data = data.withColumn("y", weighted_mean(F.col("mu"), doubles(ref.weights)))
     return replace(ref, data=data, family=gaussian(), dis=[deviation or float("nan")] * ref.n_draws)
