@@ -72,6 +72,7 @@ def test_split_prefixes(spark, rows, monkeypatch, budget):
     whole = co.vertical_partition
     monkeypatch.setattr(co, "GROUP_SUFFIXES", budget)
     monkeypatch.setattr(co, "CHUNK_WORDS", 2000)
+    monkeypatch.setattr(co, "COMMON", budget // 30)
     monkeypatch.setattr(co, "vertical_partition", lambda *a: seen.append(whole(*a)) or seen[-1])
     assert sorted(map(tuple, co.collocations(frame(spark, rows).repartition(2)).collect())) == brute(rows)
     assert len(seen[0].large) == 3 if budget == 40 else seen[0].large

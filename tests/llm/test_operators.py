@@ -596,6 +596,65 @@ def test_quality_fences_follow_labelled_documents(spark):
     assert max(map(rate, spread)) <= new["a"].fence < min(map(rate, odd)) and new["b"] == old["b"]
 
 
+def judged_by_hand(texts, langs, good):
+    """Rows of judge by document: Kneser-Ney probabilities of every 4-gram, then quantiles by language."""
+    grams = [[tuple(("   " + t)[i : i + 4]) for i in range(len(t))] for t in texts]
+    tables = [dict(Counter(g for i in good for g in grams[i]))]
+    for _ in range(3):
+        tables.insert(0, dict(Counter(g[1:] for g in tables[0])))
+    vocabulary = len(tables[0])
+    amounts = [quality.discounts(*(Counter(t.values())[n] for n in (1, 2, 3, 4))) for t in tables]
+    after = [{} for _ in tables]
+    for t, own in zip(tables, after, strict=True):
+        for g, c in t.items():
+            own.setdefault(g[:-1], []).append(c)
+
+    def p(g):
+        if not g:
+            return 1 / (vocabulary + 1)
+        d, others = amounts[len(g) - 1], after[len(g) - 1].get(g[:-1])
+        if not others:
+            return p(g[1:])
+        c = tables[len(g) - 1].get(g, 0)
+        return ((c - d[min(c, 3) - 1]) if c else 0) / sum(others) + sum(d[min(v, 3) - 1] for v in others) / sum(others) * p(g[1:])
+
+    nll = [sum(-np.log(p(g)) for g in own) for own in grams]
+    fences = {}
+    for lang in set(langs):
+        bins = sorted(int(np.floor(nll[i] / len(texts[i]) * quality.BINS)) for i, g in enumerate(langs) if g == lang and texts[i])
+        q1, median, q3 = ((bins[int(np.ceil(q * len(bins))) - 1] + 0.5) / quality.BINS for q in (0.25, 0.5, 0.75))
+        rate = lambda i, m=median: (nll[i] + quality.PRIOR * m) / (len(texts[i]) + quality.PRIOR)
+        fence = max(q3 + quality.REACH * (q3 - q1), median + quality.LEAST_REACH)
+        own = sorted(int(np.floor(rate(i) * quality.BINS)) for i in good if langs[i] == lang and texts[i])
+        if len(own) >= quality.LEAST_GOOD:
+            fence = min(fence, (own[int(np.ceil(quality.GOOD_SHARE * len(own))) - 1] + 1) / quality.BINS)
+        fences[lang] = fence, rate
+    return {i: (np.exp(nll[i] / len(t)), fences[langs[i]][1](i), fences[langs[i]][0]) for i, t in enumerate(texts) if t}
+
+
+def test_quality_judges_every_document_as_by_hand(spark):
+    rng = random.Random(8)
+    words = {"en": ["the", "house", "of", "green", "word", "stone"], "de": ["über", "haus", "grün", "wort", "stein", "ß"]}
+    langs = [rng.choice(["en", "en", "de"]) for _ in range(260)]
+    texts = [" ".join(rng.choice(words[g]) for _ in range(rng.randint(3, 60))) for g in langs]
+    for i in range(0, 260, 9):
+        texts[i] = "".join(rng.choice("xqzjkw0#é¤") for _ in range(rng.randint(1, 300)))
+    texts[5], texts[6] = "", texts[7]
+    good = [i for i in range(260) if i % 9]
+    labels = spark.createDataFrame([(i, int(i % 9 > 0), 0) for i in range(260)], "doc_id long, quality int, toxic int")
+    want = judged_by_hand(texts, langs, good)
+    rejected = 0
+    for r in quality.judge(docs(spark, texts, langs=langs), labels).collect():
+        if not texts[r.doc_id]:
+            assert r.perplexity is None and not r.rejected
+            continue
+        perplexity, rate, fence = want[r.doc_id]
+        assert (r.perplexity, r.rate, r.fence) == pytest.approx((perplexity, rate, fence), rel=1e-5)
+        assert r.rejected == (rate > fence)
+        rejected += r.rejected
+    assert rejected > 10
+
+
 def test_quality_odd_tables(spark):
     df = docs(spark, ODD, langs=[None, "en"] * 5)
     labels = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (6, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")

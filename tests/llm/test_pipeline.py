@@ -53,3 +53,22 @@ def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
         assert stage(spark, rows.limit(0), SF).count() == 0, name
     assert corpus_pipeline.tokenize(spark, odd, SF).count() == 5
     assert corpus_pipeline.tokenize(spark, odd.limit(0), SF).count() == 0
+
+
+def test_every_stage_takes_the_odd_table_itself(spark):
+    """Not only what the stages before it have left: nulls, empty texts, repeats, and a column with a dot reach each."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a text without id", "en", "s", 17), (900_001, None, "en", "s", 0), (900_002, "", None, "s", 0), (900_003, "### 123", "en", "s", 7), (900_004, "the and of to " * 30_000, "en", "s", 420_000), (900_005, "", "en", None, None)], docs.schema)
+    rows = docs.unionByName(odd).unionByName(docs.limit(1)).withColumns({"a.b": F.lit("dot"), "fp": F.lit(1), "hits": F.lit(2)})
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, SF)
+        assert out.columns == rows.columns, name
+        kept[name] = [r.doc_id for r in out.collect()]
+    assert {900_001, 900_002, 900_005} <= set(kept["quality"]) and kept["quality"].count(None) == 2
+    assert not {900_001, 900_002, 900_003, 900_005} & set(kept["language"])
+    # Empty texts share a fingerprint with null ones: one of them stays; rows without id always do.
+    assert {900_001, 900_004} <= set(kept["near_duplicates"]) and not {900_002, 900_005} & set(kept["near_duplicates"]) and kept["near_duplicates"].count(None) == 2
+    assert {900_001, 900_002, 900_003, 900_004, 900_005} <= set(kept["decontamination"]) and kept["decontamination"].count(None) == 2
+    assert corpus_pipeline.tokenize(spark, rows, SF).count() == rows.count()
