@@ -590,6 +590,20 @@ def draw_subsample(spark, sf_dir):
     return rows.groupBy(F.get(F.array(*[F.lit(n) for n in numbers]), F.col("at")).alias("draw")).agg(shown(F.sum("m"), 5).alias("total"))
 
 
+@query(f"""WITH i AS ({tables.LINE_ITEMS_SQL}), c AS (SELECT *, price * (1 - discount) * (1 + tax) + discount AS mu_ref, unnest([0, 1, 2]::INTEGER[]) AS size, unnest([40.0, price, price * (1 - discount)]) AS mu FROM i),
+d AS (SELECT size, -0.5 * ln(2 * pi()) - ln(2.0) - 0.5 * power((y - mu) / 2, 2) AS own, -0.5 * ln(2 * pi()) - ln(2.0) - 0.5 * power((y - mu_ref) / 2, 2) AS ref FROM c),
+s AS (SELECT size, count(*) AS n, sum(own) AS elpd, sum(ref) AS reference, avg(own - ref) AS dm, stddev_samp(own - ref) / sqrt(count(*)) AS se FROM d GROUP BY size)
+SELECT size, 'elpd' AS statistic, round(elpd, 3) AS value, round(reference + n * (dm - {Z!r} * se), 3) AS lq, round(reference + n * (dm + {Z!r} * se), 3) AS uq, round(reference - 4, 3) AS threshold FROM s
+UNION ALL SELECT size, 'gmpd', round(exp(elpd / n), 7), round(exp(reference / n) * exp(dm - {Z!r} * se), 7), round(exp(reference / n) * exp(dm + {Z!r} * se), 7), round(exp(reference / n) * exp(-4.0 / n), 7) FROM s""")
+def plot_mixed(spark, sf_dir):
+    """Points of every size with intervals of their differences to the reference model, and a line four below it."""
+    rows = _pointwise(spark, sf_dir)
+    here, less = (stats.statistics(rows, ["elpd", "gmpd"], b) for b in (None, "ref"))
+    out = post.plot_data(here, ["price", "discount"], less, -4.0, tables.line_items(spark, sf_dir).count())
+    rounded = lambda c: F.when(F.col("statistic") == "elpd", shown(c, 3)).otherwise(shown(c, 7)).alias(c)
+    return out.select("size", "statistic", *[rounded(c) for c in ("value", "lq", "uq", "threshold")])
+
+
 @query(f"WITH {POINTWISE}, {ABSOLUTE} SELECT size, ['(Intercept)', 'price', 'discount'][size + 1] AS term, round(em, 5) AS value, round((SELECT em FROM s WHERE size IS NULL), 5) AS reference FROM s WHERE size IS NOT NULL")
 def plot_points(spark, sf_dir):
     out = post.plot_data(stats.statistics(_pointwise(spark, sf_dir), ["mse"]), ["price", "discount"])

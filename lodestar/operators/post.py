@@ -79,16 +79,31 @@ def suggest_size(diffs: DataFrame, stat: str, largest: int, pct: float = 0.0, ki
     return rows.crossJoin(F.broadcast(null)).agg(F.coalesce(F.min(F.when(enough, F.col("size"))), F.lit(largest)).cast("int").alias("suggested_size"))
 
 
-def plot_data(stats: DataFrame, ranking: list[str]) -> DataFrame:
-    """Points and intervals by size with the reference value and the term that entered, for drawing."""
+def plot_data(stats: DataFrame, ranking: list[str], diffs: DataFrame | None = None, thres_elpd: float | None = None, n_obs: int | None = None) -> DataFrame:
+    """Points and intervals by size with the reference value and the term that entered, for drawing.
+
+    With ``diffs``, statistics of differences to the reference, points stay as they are and intervals
+    show the differences' uncertainty, set about the reference value (for gmpd a ratio, times it).
+    ``thres_elpd`` adds the line that a difference in elpd over it would pass, scaled for mlpd and gmpd.
+    """
     spark = stats.sparkSession
     names = spark.createDataFrame([(i, t) for i, t in enumerate(["(Intercept)", *ranking])], "size int, term string")
     ref = stats.filter(F.col("size").isNull()).select("statistic", F.col("value").alias("reference"))
-    return stats.filter(F.col("size").isNotNull()).join(ref, "statistic", "left").join(F.broadcast(names), "size", "left")
-
-
-def plot_spec(statistic: str) -> str:
-    """A Vega-Lite specification for ``plot_data`` of one statistic."""
+    out = stats.filter(F.col("size").isNotNull()).join(ref, "statistic", "left").join(F.broadcast(names), "size", "left")
+    about = lambda c: F.when(F.col("statistic") == "gmpd", F.col("reference") * F.col(c)).otherwise(F.col("reference") + F.col(c))
+    if diffs is not None:
+        own = diffs.select("size", "statistic", F.col("lq").alias("_lq"), F.col("uq").alias("_uq"))
+        out = out.drop("lq", "uq").join(own, ["size", "statistic"], "left").withColumns({"lq": about("_lq"), "uq": about("_uq")}).drop("_lq", "_uq")
+    if thres_elpd is None:
+        return out
+    if not n_obs:
+        raise ValueError("a threshold needs the number of observations")
+    line = F.when(F.col("statistic") == "elpd", thres_elpd).when(F.col("statistic") == "mlpd", thres_elpd / n_obs).when(F.col("statistic") == "gmpd", math.exp(thres_elpd / n_obs))
+    return out.withColumn("_line", line).withColumn("threshold", about("_line")).drop("_line")
+
+
+def plot_spec(statistic: str, threshold: bool = False) -> str:
+    """A Vega-Lite specification for ``plot_data`` of one statistic, with its threshold line if it has one."""
     x = {"field": "size", "type": "ordinal", "title": "Submodel size"}
     value = {"field": "value", "type": "quantitative", "title": statistic, "scale": {"zero": False}}
     spec = {
@@ -100,4 +115,6 @@ def plot_spec(statistic: str) -> str:
             {"mark": {"type": "rule", "strokeDash": [4, 4]}, "encoding": {"y": {"aggregate": "max", "field": "reference", "type": "quantitative"}}},
         ],
     }
+    if threshold:
+        spec["layer"].append({"mark": {"type": "rule", "strokeDash": [1, 3]}, "encoding": {"y": {"aggregate": "max", "field": "threshold", "type": "quantitative"}}})
     return json.dumps(spec)

@@ -547,19 +547,44 @@ class Projection:
         return self.ref.data.sparkSession.createDataFrame(rows, "draw int, term string, value double, weight double")
 
 
-def project(ref: RefModel, terms: list[str], n_draws: int = PREDICTION_DRAWS, regul: float = solve.REGUL) -> Projection:
-    """Draws of the reference model projected onto the given terms; unknown terms are an error."""
+def _center_targets(ref: RefModel, g: Gram, wanted: int) -> tuple[Gram, list[str], list[float], list[float]]:
+    """Clusters' mean fits as targets of moments, their shares, and the mean predictive variance within each."""
+    names = [draw_name(i + 1) for i in range(ref.n_draws)]
+    if ref.fits:
+        g = with_targets(g, list(ref.fits), names)
+    inner = g.centered(names, names)
+    own = draws.Clusters(tuple(draws.kmeans(inner, wanted)), tuple(ref.weights))
+    targets = [f"_c{k}" for k in range(own.n)]
+    within = np.array([own.within(k) for k in range(own.n)])
+    level = g.mean(names)
+    spread = within @ (np.diag(inner) / g.weight + level**2) - np.einsum("ks,st,kt->k", within, inner / g.weight + np.outer(level, level), within)
+    variances = within @ np.array(ref.dis) ** 2 + np.maximum(spread, 0.0)
+    return combined(g, {c: dict(zip(names, w.tolist(), strict=True)) for c, w in zip(targets, within, strict=True)}), targets, own.shares(), variances.tolist()
+
+
+def project(ref: RefModel, terms: list[str], n_draws: int = PREDICTION_DRAWS, regul: float = solve.REGUL, clusters: int | None = None) -> Projection:
+    """Draws of the reference model, or the means of so many clusters of them, projected onto the given terms; unknown terms are an error."""
     if unknown := [t for t in terms if t not in ref.terms]:
         raise ValueError(f"unknown terms {unknown}")
     cols = [c for t in terms for c in ref.terms[t]]
     if ref.family.name == "gaussian":
         g = _moments(ref)
-        held = _gaussian(ref, g, list(ref.fits), ref.dis, n_draws)
+        kind, n = draws.reduction(ref.n_draws, n_draws, clusters)
+        if kind == "clusters" and not ref.is_datafit:
+            found, targets, shares, variances = _center_targets(ref, g, n)
+            fits = [solve.ridge(found, cols, t, regul) for t in targets]
+            return Projection(ref, terms, fits, [solve.dispersion(found, f, t, v) for f, t, v in zip(fits, targets, variances, strict=True)], shares)
+        held = _gaussian(ref, g, list(ref.fits), ref.dis, n)
         fits = [solve.ridge(held.g, cols, t, regul) for t in held.targets]
         dis = [solve.dispersion(held.g, f, t, d * d) for f, t, d in zip(fits, held.targets, held.dis, strict=True)]
         return Projection(ref, terms, fits, dis, held.weights)
     _without_dispersion(ref)
-    numbers = draws.thinned(ref.n_draws, n_draws)
+    kind, n = draws.reduction(ref.n_draws, n_draws, clusters)
+    if kind == "clusters":
+        own = _clustered(ref, n)
+        fits = irls.project(ref.data, ref.columns, draws.aggregated(F.col("mu"), own), ref.family, [irls.Job(tuple(cols), k) for k in range(own.n)], F.col("wobs"), F.col("offs"), regul)
+        return Projection(ref, terms, fits, [1.0] * len(fits), own.shares())
+    numbers = draws.thinned(ref.n_draws, n)
     fits = irls.project(ref.data, ref.columns, draws.picked(F.col("mu"), numbers), ref.family, [irls.Job(tuple(cols), k) for k in range(len(numbers))], F.col("wobs"), F.col("offs"), regul)
     return Projection(ref, terms, fits, [1.0] * len(fits), [1 / len(fits)] * len(fits))
 

@@ -160,3 +160,20 @@ def test_poor_weights_warn_and_paths_are_used_again(spark, model):
         selection.cv_loo(spiked, prediction_draws=10)
     with pytest.raises(ValueError, match="unknown way"):
         selection.cv_loo(known, validate_search="maybe")
+
+
+def test_projections_of_clusters(spark, model):
+    df, cols, known, drawn = model
+    rows = known.data.orderBy("obs_id").collect()
+    w = np.array([r.wobs for r in rows])
+    mu = np.array([r.mu for r in rows]) - np.array([[r.offs] for r in rows])
+    for ref in (known, drawn):
+        p = selection.project(ref, ["a", "b"], clusters=1)
+        center = mu.mean(axis=1)
+        x = np.column_stack([np.ones(120), *[[r[c] for r in rows] for c in "ab"]])
+        beta = np.linalg.solve((x * w[:, None]).T @ x, (x * w[:, None]).T @ center)
+        assert [p.fits[0].intercept, *p.fits[0].beta.values()] == pytest.approx(beta.tolist(), rel=1e-3)
+        var = np.mean(np.array(known.dis) ** 2) + mu.var(axis=1)
+        assert p.dis[0] == pytest.approx(np.sqrt(np.average(var + (center - x @ beta) ** 2, weights=w)), rel=1e-4)
+        assert p.weights == [1.0]
+        assert len(selection.project(ref, ["a"], clusters=4).fits) == 4 and len(selection.project(ref, ["a"], clusters=99).fits) == 30
