@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.families import EPS, cumulative_probabilities, link_of, softmax_probabilities
-from lodestar.operators.irls import moments_of, predictor
+from lodestar.operators.irls import moments_of, predictor, summed
 from lodestar.operators.solve import REGUL, Fit
 
 STEPS = 80
@@ -324,7 +324,5 @@ def _sums_of(rows: DataFrame, n_categories: int, kernel: Callable, fits: list[tu
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["fit", "at", "v"])
 
-    flats = {i: np.zeros(1 + len(th) + len(th) ** 2) for i, _, _, th in fits}
-    for i, at, v in rows.mapInArrow(partial, "fit bigint, at bigint, v double").groupBy("fit", "at").agg(F.sum("v").alias("v")).collect():
-        flats[i][at] = v
+    flats = summed(rows.mapInArrow(partial, "fit bigint, at bigint, v double"), {i: 1 + len(th) + len(th) ** 2 for i, _, _, th in fits})
     return {i: (flats[i][0], flats[i][1 : 1 + len(th)], flats[i][1 + len(th) :].reshape(len(th), -1)) for i, _, _, th in fits}

@@ -122,11 +122,7 @@ def _pass(rows: DataFrame, family: Family, fits: list[tuple[int, int, list[int],
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["fit", "at", "v"])
 
-    # As many rows come back as the fits have coefficients and their pairs.
-    cells = rows.mapInArrow(partial, "fit bigint, at bigint, v double").groupBy("fit", "at").agg(F.sum("v").alias("v")).collect()
-    flats = {i: np.zeros(1 + len(index) + len(index) ** 2) for i, _, index, _ in fits}
-    for i, at, v in cells:
-        flats[i][at] = v
+    flats = summed(rows.mapInArrow(partial, "fit bigint, at bigint, v double"), {i: 1 + len(index) + len(index) ** 2 for i, _, index, _ in fits})
     found = {}
     for i, _, index, _ in fits:
         k, flat = len(index), flats[i]
@@ -134,6 +130,18 @@ def _pass(rows: DataFrame, family: Family, fits: list[tuple[int, int, list[int],
     return found
 
 
+def summed(cells: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
+    """Sums of (fit, at, v) as an array for each fit; as many numbers come back as the fits have in all."""
+    table = cells.groupBy("fit", "at").agg(F.sum("v").alias("v")).toArrow()
+    starts = np.zeros(max(sizes, default=0) + 2, np.int64)
+    for i, n in sizes.items():
+        starts[i + 1] = n
+    starts = np.cumsum(starts)
+    flat = np.zeros(starts[-1])
+    flat[starts[table["fit"].to_numpy()] + table["at"].to_numpy()] = table["v"].to_numpy()
+    return {i: flat[starts[i] : starts[i] + n] for i, n in sizes.items()}
+
+
 def predictor(fit: Fit, columns: dict[str, Column]) -> Column:
     """The linear predictor of a fit as a column."""
     out = F.lit(float(fit.intercept))
