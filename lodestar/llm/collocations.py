@@ -268,9 +268,18 @@ def vertical_partition(held: DataFrame, words: DataFrame, keep: Filter, total: i
 
 
 def most_common(words: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words, the first of all first; their numbers count from 1."""
-    found = [r["h"] for r in words.orderBy(F.desc("n"), "h").limit(COMMON).select("h").collect()]
-    return np.array(found, np.int64).view(np.uint64)
+    """Hashes of at most ``COMMON`` words, those over a count that so many reach, the most frequent first; their numbers count from 1."""
+    steps = F.floor(F.log2("n") * 16).cast("int")
+    least, held = None, 0
+    for r in sorted(words.groupBy(steps.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
+        held += r["words"]
+        if held > COMMON:
+            break
+        least = r["step"]
+    if least is None:
+        return np.empty(0, np.uint64)
+    found = sorted((-r["n"], r["h"]) for r in words.filter(steps >= least).select("n", "h").collect())
+    return np.array([h for _, h in found], np.int64).view(np.uint64)
 
 
 def grouped_suffixes(held: DataFrame, keep: Filter, partition: Partition, common: np.ndarray) -> DataFrame:

@@ -113,6 +113,13 @@ def test_filter_says_yes_to_all_its_words(spark):
     assert keep(hashes[:2000]).all() and keep(hashes[2000:]).mean() < 0.1
 
 
+def test_common_words_are_bounded(spark, monkeypatch):
+    words = spark.createDataFrame([(i, n) for i, n in enumerate([1000, 900, 40, 40, 40, 39, 31])], "h long, n long")
+    for most, want in ((0, []), (1, [0]), (2, [0, 1]), (4, [0, 1]), (5, [0, 1, 2, 3, 4]), (6, [0, 1, 2, 3, 4, 5]), (99, [0, 1, 2, 3, 4, 5, 6])):
+        monkeypatch.setattr(co, "COMMON", most)
+        assert co.most_common(words).tolist() == want
+
+
 def test_big_counts_score_exactly(spark):
     a, left, right = 5 * 10**12 + 1, 7 * 10**12, 9 * 10**12 + 7
     found = spark.createDataFrame([(1, 2, 0, 0, a, 2)], "k1 long, k2 long, k3 long, k4 long, a long, depth int")
