@@ -11,6 +11,7 @@ from lodestar.catalog.registry import query, shown
 from lodestar.functions import arrays, families
 from lodestar.operators import crossval, design, draws, evaluate, loo, post, stats
 from lodestar.operators.keyed import keyed, keyed_sql, prefix_sums
+from lodestar.shared import cut
 from lodestar.sources import tables
 
 S = 24
@@ -177,7 +178,7 @@ a AS (SELECT replicate, sum(w0 * (before + w1 / 2)) / (sum(w0) * sum(w1)) AS auc
 SELECT round(stddev_samp(auc), 6) AS se, round(quantile_cont(auc, {stats.ALPHA / 2!r}), 6) AS lq, round(quantile_cont(auc, {1 - stats.ALPHA / 2!r}), 6) AS uq FROM a""")
 def bootstrap_auc(spark, sf_dir):
     rows = tables.labelled(spark, sf_dir)
-    hashed = rows.select("obs_id", "y", "wobs", F.col("size").alias("mu"))
+    hashed = cut(rows.select("obs_id", "y", "wobs", F.col("size").alias("mu")))
     n = hashed.count()
     slots = prefix_sums(hashed.withColumn("one", F.lit(1)), "obs_id", ["one"]).withColumn("slot", F.lit(n - 1) - F.col("before_one"))
     out = stats.bootstrap_auc(slots.select("slot", "y", "mu", "wobs"), n, "slot", REPLICATES, 3)

@@ -8,7 +8,7 @@ over the same partitions; any missing input makes a statistic null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.keyed import MODULUS, keyed, prefix_sums
+from lodestar.operators.keyed import INCREMENT, MODULUS, MULTIPLIER, keyed, prefix_sums
 
 UTILITIES = ("elpd", "mlpd", "gmpd", "R2", "acc", "pctcorr", "auc")
 LOSSES = ("mse", "rmse")
@@ -236,10 +236,72 @@ def bootstrap_rows(rows: DataFrame, n: int, key: str, replicates: int, seed: int
     return drawn.join(rows, key)
 
 
+#: Numbers of draws and of their counts that a group of neighbouring rows holds at once, about.
+DRAWN_TOGETHER = 1 << 18
+
+
+def _taken(rows: DataFrame, n: int, key: str, replicates: int, seed: int) -> DataFrame:
+    """(mu, y, wobs, s1, taken) of rows keyed 0..n-1: how often each replicate of ``bootstrap_rows`` has the row.
+
+    Draws are made from their numbers alone and shuffled as packed integers, by blocks of keys, which meet
+    the blocks of rows; neither rows nor draws become a row for each replicate.
+    """
+    spark = rows.sparkSession
+    block, tasks = max(1, DRAWN_TOGETHER // replicates), max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.arange(replicates)
+        for batch in batches:
+            for first in range(0, batch.num_rows, block):
+                number = batch.column(0).slice(first, block).to_numpy(zero_copy_only=False)
+                hashed = (at * n + number[:, None]) % MODULUS
+                for shift in (INCREMENT + seed * 69069, INCREMENT):
+                    hashed = (hashed * MULTIPLIER + shift) % MODULUS
+                cells = np.sort((hashed % n * replicates + at).ravel())
+                blocks, starts = np.unique(cells // (block * replicates), return_index=True)
+                parts = [(cells[a:b] % (block * replicates)).astype(np.int32).tobytes() for a, b in zip(starts, [*starts[1:], len(cells)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(parts, pa.binary())], ["block", "cells"])
+
+    def meet(held: pa.Table, drawn: pa.Table) -> pa.Table:
+        counts = np.zeros(block * replicates, np.int32)
+        for part in drawn.column("cells"):
+            counts += np.bincount(np.frombuffer(part.as_buffer(), np.int32), minlength=len(counts)).astype(np.int32)
+        counts = counts.reshape(block, replicates)
+        lines = [counts[i].tobytes() for i in held.column("s1").to_numpy() % block]
+        return held.drop_columns(["block"]).append_column("taken", pa.array(lines, pa.binary()))
+
+    drawn = spark.range(0, n, 1, tasks).mapInArrow(draw, "block bigint, cells binary")
+    blocked = rows.withColumn("block", F.floor(F.col(key) / block)).select("block", "mu", "y", "wobs", F.col(key).cast("bigint").alias("s1"))
+    return blocked.groupBy("block").cogroup(drawn.groupBy("block")).applyInArrow(meet, "mu double, y double, wobs double, s1 bigint, taken binary")
+
+
 def bootstrap_auc(rows: DataFrame, n: int, key: str, replicates: int, seed: int = 0, alpha: float = ALPHA, y: str = "y", score: str = "mu", weight: str = "wobs") -> DataFrame:
-    """Standard deviation and quantiles of the AUC over bootstrap replicates."""
-    by_replicate = auc(bootstrap_rows(rows, n, key, replicates, seed), ["replicate"], y, score, weight)
-    return by_replicate.agg(F.stddev_samp("auc").alias("se"), F.percentile("auc", F.lit(alpha / 2)).alias("lq"), F.percentile("auc", F.lit(1 - alpha / 2)).alias("uq"))
+    """Standard deviation and quantiles of the AUC over bootstrap replicates of rows keyed 0..n-1.
+
+    Replicates are those of ``bootstrap_rows``; a row has an array of how often each took it, and one sorted
+    sweep gives the AUC of all. A replicate that took a missing input, or one class only, has none.
+    """
+    double = lambda c: F.col(c).cast("double")
+    top = F.when(F.isnan(double(score)), float("inf")).otherwise(double(score))
+    named = rows.select(key, top.alias("mu"), double(y).alias("y"), double(weight).alias("wobs"))
+    if not replicates or not n:
+        found = rows.sparkSession.createDataFrame([], "auc double")
+    else:
+        order = [F.desc("mu"), "s1"]
+        taken = _taken(named, n, key, replicates, seed).select(F.lit(0).alias("size"), F.coalesce("mu", F.lit(0.0)).alias("mu"), F.when(F.col("mu").isNotNull(), F.col("y")).alias("y"), "wobs", F.lit(0).alias("bad"), "s1", "taken")
+        ranged = taken.repartitionByRange(max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
+
+        def weigh(own: pa.RecordBatch) -> list[np.ndarray]:
+            y, w = (own.column(c).to_numpy(zero_copy_only=False) for c in ("y", "wobs"))
+            lines = own.column("taken")
+            counts = np.frombuffer(b"".join(lines.to_pylist()), np.int32).reshape(len(lines), replicates)
+            missing = np.isnan(w) | own.column("y").is_null().to_numpy(zero_copy_only=False)
+            unit = np.where(missing, np.nan, w)[:, None]
+            times = np.where(counts > 0, counts * unit, 0.0)
+            return [np.where((missing | (y == side))[:, None], times, 0.0) for side in (0, 1)]
+
+        found = _swept(ranged, replicates, weigh, False).select(F.explode("auc").alias("auc"))
+    return found.agg(F.stddev_samp("auc").alias("se"), F.percentile("auc", F.lit(alpha / 2)).alias("lq"), F.percentile("auc", F.lit(1 - alpha / 2)).alias("uq"))
 
 
 #: Rows whose replicate weights are made at once.
@@ -281,10 +343,32 @@ def auc_replicates(pointwise: DataFrame, replicates: int = 2000, seed: int = 0)
     rows = pointwise.select(F.coalesce("size", F.lit(-1)).alias("size"), F.coalesce("mu", F.lit(0.0)).alias("mu"), F.coalesce("y", F.lit(0.0)).cast("double").alias("y"), F.coalesce("wobs", F.lit(0.0)).cast("double").alias("wobs"), missing.alias("bad"), *_row_seeds(F.col("obs_id"), seed))
     order = ["size", F.desc("mu"), "s1"]
     ranged = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    width = replicates + 1
+    at = np.arange(replicates + 1)
+
+    def weigh(own: pa.RecordBatch) -> list[np.ndarray]:
+        y, n, s1, s2 = (own.column(c).to_numpy(zero_copy_only=False) for c in ("y", "wobs", "s1", "s2"))
+        if (n > MOST_TRIALS).any():
+            raise ValueError(f"rows of more than {MOST_TRIALS} trials can't be resampled: split them")
+        sides = []
+        for side, count in ((0, n - y), (1, y)):
+            u = ((s1[:, None] + (2 * at + side) * s2[:, None]) % MODULUS + 0.5) / MODULUS
+            w = resampled(u, np.maximum(count, 0)[:, None])
+            w[:, 0] = np.maximum(count, 0)
+            sides.append(w)
+        return sides
+
+    return _swept(ranged, replicates + 1, weigh).select(F.when(F.col("size") >= 0, F.col("size")).alias("size"), "auc")
+
+
+def _swept(ranged: DataFrame, width: int, weigh: Callable[[pa.RecordBatch], list[np.ndarray]], first_counts: bool = True) -> DataFrame:
+    """(size, auc): arrays of ``width`` areas from rows sorted by size and falling prediction over ranges.
+
+    ``weigh`` gives a batch's weights of failures and successes, a column for each area; a size without the first
+    area has none at all, unless ``first_counts`` is false.
+    """
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), np.arange(width)
+        part = TaskContext.get().partitionId()
         now: dict | None = None  # sums of the size at hand
 
         def made(s: dict) -> pa.RecordBatch:
@@ -301,15 +385,9 @@ def auc_replicates(pointwise: DataFrame, replicates: int = 2000, seed: int = 0)
 
         for batch in batches:
             for first in range(0, batch.num_rows, SWEEP_ROWS):
-                size, mu, y, n, bad, s1, s2 = (c.to_numpy(zero_copy_only=False) for c in batch.slice(first, SWEEP_ROWS).columns)
-                if (n > MOST_TRIALS).any():
-                    raise ValueError(f"rows of more than {MOST_TRIALS} trials can't be resampled: split them")
-                sides = []
-                for side, count in ((0, n - y), (1, y)):
-                    u = ((s1[:, None] + (2 * at + side) * s2[:, None]) % MODULUS + 0.5) / MODULUS
-                    w = resampled(u, np.maximum(count, 0)[:, None])
-                    w[:, 0] = np.maximum(count, 0)
-                    sides.append(w)
+                own = batch.slice(first, SWEEP_ROWS)
+                size, mu, bad = (own.column(c).to_numpy(zero_copy_only=False) for c in ("size", "mu", "bad"))
+                sides = weigh(own)
                 starts = np.flatnonzero(np.concatenate([[True], (size[1:] != size[:-1]) | (mu[1:] != mu[:-1])]))
                 w0, w1 = (np.add.reduceat(w, starts, axis=0) for w in sides)
                 bads = np.add.reduceat(bad, starts)
@@ -350,12 +428,11 @@ def auc_replicates(pointwise: DataFrame, replicates: int = 2000, seed: int = 0)
             total0, above = total0 + p[1], above + p[2]
         with np.errstate(divide="ignore", invalid="ignore"):
             found = area / (total0 * above)
-        sound = not any(r["bad"] for r in held) and np.isfinite(found[0])
+        sound = not any(r["bad"] for r in held) and (np.isfinite(found[0]) or not first_counts)
         return pa.table({"size": pa.array([held[0]["size"]], pa.int32()), "auc": pa.array([[None if not np.isfinite(v) else float(v) for v in found] if sound else None], pa.list_(pa.float64()))})
 
     segments = ranged.mapInArrow(sweep, ", ".join(f"{n} {t}" for n, t in zip(SEGMENT, ("int", "int", "bigint", "double", "double", *["binary"] * 7), strict=True)))
-    out = segments.groupBy("size").applyInArrow(joined, "size int, auc array<double>")
-    return out.select(F.when(F.col("size") >= 0, F.col("size")).alias("size"), "auc")
+    return segments.groupBy("size").applyInArrow(joined, "size int, auc array<double>")
 
 
 SEGMENT = ["size", "part", "bad", "mu_head", "mu_tail", "head0", "head1", "area", "in0", "in1", "tail0", "tail1"]

@@ -222,3 +222,22 @@ def test_auc_in_summaries(spark):
     assert table[0].auc_diff < 0 and table[2].auc_diff == pytest.approx(0, abs=0.02)
     assert chosen.suggested("auc").first().suggested_size in (1, 2)
     assert [r.statistic for r in chosen.reference(["auc"]).collect()] == ["auc"]
+
+
+@pytest.mark.parametrize("replicates", [1, 7])
+def test_bootstrap_auc_is_one_sweep(spark, monkeypatch, replicates):
+    """The AUC of each resample, without a row for each replicate; odd rows spoil only the replicates that took them."""
+    rng = np.random.default_rng(4)
+    n = 60
+    y, mu = (rng.random(n) < 0.4).astype(float).tolist(), np.round(rng.random(n), 1).tolist()
+    y[7], mu[11], mu[12] = None, None, float("nan")
+    rows = spark.createDataFrame([(i, y[i], mu[i], 1.0 + i % 3) for i in range(n)], "slot long, y double, mu double, wobs double")
+    slow = stats.auc(stats.bootstrap_rows(rows, n, "slot", replicates, 3), ["replicate"]).agg(F.stddev_samp("auc").alias("se"), F.percentile("auc", F.lit(0.2)).alias("lq"), F.percentile("auc", F.lit(0.8)).alias("uq")).first()
+
+    def refused(*_, **__):
+        raise AssertionError("rows were multiplied")
+
+    monkeypatch.setattr(stats, "bootstrap_rows", refused)
+    monkeypatch.setattr(stats, "DRAWN_TOGETHER", 4 * replicates)  # several blocks
+    got = stats.bootstrap_auc(rows, n, "slot", replicates, 3, 0.4).first()
+    assert [v if v is None else round(v, 12) for v in got] == [v if v is None else round(v, 12) for v in slow]
