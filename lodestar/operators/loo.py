@@ -39,7 +39,7 @@ def generalized_pareto(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     quarter = x[:, int(n / 4 + 0.5) - 1]
     grid = 1 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))
     theta = 1 / x[:, -1:] + grid[None, :] / (3 * quarter[:, None])
-    k = np.log1p(-theta[:, :, None] * x[:, None, :]).mean(axis=2)
+    k = _mean_log1p(theta, x)
     profile = n * (np.log(-theta / k) - k - 1)
     weights = np.exp(profile - profile.max(axis=1, keepdims=True))
     theta_hat = (theta * weights).sum(axis=1) / weights.sum(axis=1)
@@ -47,6 +47,23 @@ def generalized_pareto(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (shape * n + 5) / (n + 10), -shape / theta_hat
 
 
+def _mean_log1p(theta: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The mean over x of log(1 - theta x) for each theta of a row: logarithms of products of four factors."""
+    out, product = np.zeros(theta.shape), np.ones(theta.shape)
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        for i in range(x.shape[1]):
+            product *= 1 - theta * x[:, i, None]
+            if i % 4 == 3 or i == x.shape[1] - 1:
+                out += np.log(product, out=product)
+                product.fill(1.0)
+    small = np.abs(out) < 1e-4  # where the ones would swallow digits, or products left the doubles' range
+    rows = (small | ~np.isfinite(out)).any(axis=1)
+    out /= x.shape[1]
+    if rows.any():
+        out[rows] = np.log1p(-theta[rows][:, :, None] * x[rows][:, None, :]).mean(axis=2)
+    return out
+
+
 def smoothed(ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of Pareto-smoothed, normalized log weights and their shapes; infinite where a tail can't be fitted."""
     if len(ratios) > ROWS:
@@ -100,11 +117,16 @@ def poor_shapes(df: DataFrame, khat: str, draws: int, warn: bool = True) -> int:
     """How many observations have a Pareto shape over the threshold for this many draws; warns if any has."""
     limit = shape_threshold(draws)
     row = df.agg(F.count_if(F.col(khat) > limit).alias("poor"), F.count("*").alias("n")).first()
-    if warn and row.poor:
-        warnings.warn(f"the Pareto shape of {row.poor} of {row.n} observations is over {limit:.2f}: their importance weights are unreliable", stacklevel=2)
+    if warn:
+        warn_poor(row.poor, row.n, draws)
     return row.poor
 
 
+def warn_poor(poor: int, n: int, draws: int) -> None:
+    if poor:
+        warnings.warn(f"the Pareto shape of {poor} of {n} observations is over {shape_threshold(draws):.2f}: their importance weights are unreliable", stacklevel=3)
+
+
 def loo_summaries(df: DataFrame, log_lik: str, mu: str, log_weights: str) -> DataFrame:
     """Adds mu and lppd under leave-one-out weights: weighted mean and log weighted mean of likelihoods."""
     lppd = log_sum_exp(F.zip_with(F.col(log_lik), F.col(log_weights), lambda a, b: a + b))
