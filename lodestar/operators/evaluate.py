@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,9 @@ from lodestar.functions import normal
 from lodestar.functions.families import Family
 from lodestar.operators import multilevel
 from lodestar.operators.keyed import uniform
-from lodestar.operators.loo import smoothed
+from lodestar.operators.loo import shape_threshold, smoothed
 from lodestar.operators.solve import Fit
+from lodestar.operators.stats import SUMS, Moments
 
 
 def predictors(fits: list[Fit], columns: dict[str, Column], offset: Column | None = None) -> Column:
@@ -66,41 +67,91 @@ def pointwise(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tupl
     One scan for all sizes; a batch of rows is multiplied by every size's coefficients at once. Draws
     never leave the kernel: each row gives one mean and one log density for each size.
     """
-    models = ({None: reference} if reference else {}) | by_size
-    used = [n for n in columns if any(f.beta.get(n) for fits, _, _ in models.values() for f in fits)]
-    packed = {}
-    for size, (fits, weights, dis) in models.items():
-        beta = np.array([[f.intercept, *[f.beta.get(n, 0.0) for n in used]] for f in fits]).T
-        packed[size] = (beta, np.asarray(weights, float), np.asarray(dis, float))
-    shifted = list(shifts or {})
+    evaluated, rows = _evaluator(df, columns, by_size, family, leave_one_out, reference, shifts)
     fields = [("obs_id", pa.int64()), ("y", pa.float64()), ("wobs", pa.float64()), ("size", pa.int32()), ("mu", pa.float64()), ("lppd", pa.float64())]
     schema = pa.schema(fields + ([("mu_ref", pa.float64()), ("lppd_ref", pa.float64())] if reference else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            y, w, o, *x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 4 + len(used)))
-            more = {s: batch.column(4 + len(used) + i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for i, s in enumerate(shifted)}
-            z, beside = np.column_stack([np.ones(batch.num_rows), *x]), ()
-            for size, (beta, weights, dis) in packed.items():
-                mu = family.link.np_inverse(z @ beta + o[:, None] + more.get(size, 0.0))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ll, lw = family.np_log_lik(y[:, None], mu, w[:, None], dis), np.log(weights)[None, :]
-                    if leave_one_out:
-                        lw = smoothed(lw - ll)[0]
-                    top = (ll + lw).max(axis=1)
-                    lppd = top + np.log(np.exp(ll + lw - top[:, None]).sum(axis=1))
-                mean = (mu * np.exp(lw)).sum(axis=1)
+            beside = ()
+            for size, y, w, mean, lppd, _ in evaluated(batch):
                 if size is None:
                     beside = (mean, lppd)
                 cells = (batch.column(0), y, w, pa.nulls(len(y), pa.int32()) if size is None else np.full(len(y), size, np.int32), mean, lppd, *beside)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
 
-    rows = df.select(F.col("obs_id").cast("bigint"), F.col("y").cast("double"), F.col("wobs").cast("double"), F.col("offs").cast("double"), *[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(used)], *[F.col(c).alias(f"s{i}") for i, c in enumerate((shifts or {}).values())])
     return rows.mapInArrow(run, "obs_id bigint, y double, wobs double, size int, mu double, lppd double" + (", mu_ref double, lppd_ref double" if reference else ""))
 
 
+#: Rows that are evaluated at once where nothing of them is kept.
+BLOCK = 1024
+
+
+def pointwise_sums(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tuple[list[Fit], list[float], list[float]]], family: Family, leave_one_out: bool, reference: tuple[list[Fit], list[float], list[float]]) -> DataFrame:
+    """The ``stats.SUMS`` of each task and size that statistics need of ``pointwise``, whose rows are never made.
+
+    With ``leave_one_out``, ``poor`` counts Pareto shapes over the threshold.
+    """
+    evaluated, rows = _evaluator(df, columns, by_size, family, leave_one_out, reference)
+    limits = {s: shape_threshold(len(w)) for s, (_, w, _) in ({None: reference} | by_size).items()} if leave_one_out else {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int | None, Moments] = {}
+        shift = None
+        for batch in batches:
+            for first in range(0, batch.num_rows, BLOCK):
+                beside = ()
+                for size, y, w, mean, lppd, shape in evaluated(batch.slice(first, BLOCK)):
+                    if size is None:
+                        beside = (mean, lppd)
+                    if shift is None:
+                        shift = float(y.mean()) if np.isfinite(y.mean()) else 0.0
+                    part = Moments.of(shift, y, w, mean, lppd, *beside)
+                    part.poor = 0 if shape is None else int((shape > limits[size]).sum())
+                    if size in held:
+                        held[size].add(part)
+                    else:
+                        held[size] = part
+        if held:
+            cells = ([*held], [m.n for m in held.values()], [m.poor for m in held.values()], [m.packed() for m in held.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["size", "n", "poor", "sums"])
+
+    return rows.mapInArrow(run, SUMS)
+
+
+def _evaluator(df: DataFrame, columns: dict[str, Column], by_size: dict[int, tuple[list[Fit], list[float], list[float]]], family: Family, leave_one_out: bool, reference: tuple[list[Fit], list[float], list[float]] | None, shifts: dict[int, str] | None = None) -> tuple[Callable[[pa.RecordBatch], Iterator[tuple]], DataFrame]:
+    """What evaluates a batch, as (size, y, wobs, mu, lppd, Pareto shapes or None), the reference first, and the rows that it takes."""
+    models = ({None: reference} if reference else {}) | by_size
+    used = [n for n in columns if any(f.beta.get(n) for fits, _, _ in models.values() for f in fits)]
+    packed = {}
+    for size, (fits, weights, dis) in models.items():
+        beta = np.array([[f.intercept, *[f.beta.get(n, 0.0) for n in used]] for f in fits]).T
+        packed[size] = (beta, np.asarray(weights, float), np.asarray(dis, float))
+    shifted = list(shifts or {})
+
+    def evaluated(batch: pa.RecordBatch) -> Iterator[tuple]:
+        if not batch.num_rows:
+            return
+        y, w, o, *x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 4 + len(used)))
+        more = {s: batch.column(4 + len(used) + i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for i, s in enumerate(shifted)}
+        z = np.column_stack([np.ones(batch.num_rows), *x])
+        for size, (beta, weights, dis) in packed.items():
+            mu, shape = family.link.np_inverse(z @ beta + o[:, None] + more.get(size, 0.0)), None
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ll, lw = family.np_log_lik(y[:, None], mu, w[:, None], dis), np.log(weights)[None, :]
+                if leave_one_out:
+                    lw, shape = smoothed(lw - ll)
+                ll += lw
+                top = ll.max(axis=1)
+                ll -= top[:, None]
+                lppd = top + np.log(np.exp(ll, out=ll).sum(axis=1))
+            mean = np.einsum("ij,ij->i", mu, np.exp(lw)) if leave_one_out else mu @ weights
+            yield size, y, w, mean, lppd, shape
+
+    rows = df.select(F.col("obs_id").cast("bigint"), F.col("y").cast("double"), F.col("wobs").cast("double"), F.col("offs").cast("double"), *[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(used)], *[F.col(c).alias(f"s{i}") for i, c in enumerate((shifts or {}).values())])
+    return evaluated, rows
+
+
 def sampled(df: DataFrame, mu: str, family: Family, draws: int, seed: int, dis: list[float] | None = None, weights: list[float] | None = None, key: str = "obs_id") -> DataFrame:
     """Adds ``predicted``: an array of draws from the predictive distribution, keyed by seed and observation.
 

@@ -142,6 +142,110 @@ def _results(sums: DataFrame, stats: list[str], delta: bool, alpha: float) -> Da
     return sums.select("size", F.inline(F.array(*out)))
 
 
+#: What every size keeps of its rows: weighted moments of y about a shift, its square, and the squared errors of
+#: submodel and reference; plain ones of log density and correctness, and of their differences to the reference.
+WEIGHTED, PLAIN = 4, 4
+SUMS = "size int, n bigint, poor bigint, sums binary"
+
+
+class Moments:
+    """Means and products about them of rows seen so far, for one size; batches and parts are added pairwise."""
+
+    def __init__(self, shift: float) -> None:
+        self.n, self.poor, self.shift, self.weight = 0, 0, shift, 0.0
+        self.mean, self.products = np.zeros(WEIGHTED), np.zeros((WEIGHTED, WEIGHTED))
+        self.plain, self.squares = np.zeros(PLAIN), np.zeros(PLAIN)
+
+    @classmethod
+    def of(cls, shift: float, y: np.ndarray, w: np.ndarray, mu: np.ndarray, lppd: np.ndarray, mu_ref: np.ndarray, lppd_ref: np.ndarray) -> Moments:
+        right = lambda m: ((r := np.round(m)) == y) | (np.isnan(r) & np.isnan(y))
+        out, off = cls(shift), y - shift
+        hit, hit_ref = right(mu).astype(float), right(mu_ref).astype(float)
+        z = np.stack([off, off * off, (mu - y) ** 2, (mu_ref - y) ** 2])
+        d = np.stack([lppd, lppd - lppd_ref, hit, hit - hit_ref])
+        out.n, out.weight = len(y), float(w.sum())
+        with np.errstate(invalid="ignore"):
+            out.mean, out.plain = (z @ w / out.weight if out.weight else np.zeros(WEIGHTED)), d.mean(axis=1)
+            z, d = z - out.mean[:, None], d - out.plain[:, None]
+            out.products, out.squares = (z * w) @ z.T, (d * d).sum(axis=1)
+        return out
+
+    def add(self, other: Moments) -> None:
+        """Both must have the same shift."""
+        n, weight = self.n + other.n, self.weight + other.weight
+        share, wide = other.n / n if n else 0.0, other.weight / weight if weight else 0.0
+        with np.errstate(invalid="ignore"):
+            far, off = other.mean - self.mean, other.plain - self.plain
+            self.products = self.products + other.products + self.weight * wide * np.outer(far, far)
+            self.squares = self.squares + other.squares + self.n * share * off * off
+            self.mean, self.plain = self.mean + wide * far, self.plain + share * off
+        self.n, self.poor, self.weight = n, self.poor + other.poor, weight
+
+    def about(self, shift: float) -> Moments:
+        """The same rows with y about another shift: its square is the old one plus multiples of y."""
+        move, out = self.shift - shift, Moments(shift)
+        lift = np.eye(WEIGHTED)
+        lift[1, 0] = 2 * move
+        out.n, out.poor, out.weight, out.plain, out.squares = self.n, self.poor, self.weight, self.plain, self.squares
+        out.mean = lift @ self.mean + np.array([move, move * move, 0.0, 0.0])
+        out.products = lift @ self.products @ lift.T
+        return out
+
+    def packed(self) -> bytes:
+        return np.concatenate([[self.shift, self.weight], self.mean, self.products.ravel(), self.plain, self.squares]).tobytes()
+
+    @classmethod
+    def unpacked(cls, n: int, poor: int, sums: bytes) -> Moments:
+        flat = np.frombuffer(sums, float)
+        out = cls(float(flat[0]))
+        out.n, out.poor, out.weight = n, poor, float(flat[1])
+        out.mean, rest = flat[2 : 2 + WEIGHTED], flat[2 + WEIGHTED :]
+        out.products, rest = rest[: WEIGHTED**2].reshape(WEIGHTED, WEIGHTED), rest[WEIGHTED**2 :]
+        out.plain, out.squares = rest[:PLAIN], rest[PLAIN:]
+        return out
+
+
+def merged(partial: DataFrame) -> DataFrame:
+    """One row for each size of the tasks' ``SUMS``, in the same form, y about its weighted mean."""
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = [Moments.unpacked(r["n"], r["poor"], r["sums"]) for r in sorted(table.to_pylist(), key=lambda r: r["sums"])]
+        weight = sum(m.weight for m in parts)
+        center = sum(m.weight * (m.shift + m.mean[0]) for m in parts) / weight if weight else 0.0
+        out = Moments(center)
+        for m in parts:
+            out.add(m.about(center))
+        return pa.table({"size": table.column("size").slice(0, 1), "n": pa.array([out.n]), "poor": pa.array([out.poor]), "sums": pa.array([out.packed()], pa.binary())})
+
+    return partial.groupBy("size").applyInArrow(add, SUMS)
+
+
+MOMENTS = "size int, n bigint, dm double, cm double, em double, bm double, vm double, var_d double, var_c double, var_e double, var_b double, cov_eb double, var_y double, cov_ey double"
+
+
+def moment_rows(found: list, delta: bool) -> list[tuple]:
+    """Rows of ``MOMENTS`` from those of ``merged``: of the values themselves, or of differences to the reference."""
+    out = []
+    for r in found:
+        m = Moments.unpacked(r["n"], r["poor"], bytes(r["sums"]))
+        less, c = (m.n - 1 if m.n > 1 else None), m.products / m.weight if m.weight else np.full_like(m.products, np.nan)
+        per = lambda v: None if less is None else float(v) / less  # noqa: E731, B023
+        d, hit = (1, 3) if delta else (0, 2)
+        on = 1.0 if delta else 0.0
+        mean = m.mean if m.weight else np.full(WEIGHTED, np.nan)
+        cells = [m.plain[d], m.plain[hit], mean[2], mean[3] if delta else 0.0, mean[1]]
+        spread = [per(m.squares[d] * m.n), per(m.squares[hit] / m.n), per(c[2, 2]), per(c[3, 3] if delta else 0.0), per(c[2, 3] if delta else 0.0), per(max(c[1, 1], 0.0) if c[1, 1] == c[1, 1] else c[1, 1]), per(c[2, 1] - (on * c[3, 1] if delta else 0.0))]
+        out.append((r["size"], m.n, *[float(v) for v in cells], *spread))
+    return out
+
+
+def moment_statistics(rows: DataFrame, stats: list[str], delta: bool, alpha: float = ALPHA) -> DataFrame:
+    """``statistics`` from rows of ``MOMENTS``."""
+    for s in stats:
+        is_utility(s)
+    return _results(rows, stats, delta, alpha)
+
+
 def subsampled_statistics(pointwise: DataFrame, stats: list[str] | None = None, delta: bool = False, alpha: float = ALPHA) -> DataFrame:
     """The moment statistics where exact values are known for a simple random sample of the observations only.
 

@@ -61,6 +61,7 @@ class Selection:
     fold_rankings: dict[int, list[str]]
     by_size: dict[int, tuple[list[Fit], list[float], list[float]]] | None = None
     rankings: DataFrame | None = None
+    sums: tuple[DataFrame, DataFrame] | None = None
 
     def summary(self, names: list[str] | None = None, baseline: str | int | None = None, alpha: float = stats.ALPHA) -> DataFrame:
         """Statistics by size with differences to the reference model."""
@@ -71,10 +72,23 @@ class Selection:
     def _statistics(self, names: list[str] | None, baseline: str | int | None = None, alpha: float = stats.ALPHA) -> DataFrame:
         """Moment statistics in their passes, and the AUC in its own."""
         plain = [s for s in names or stats.MOMENT_STATS if s != "auc"]
-        parts = [stats.statistics(self.pointwise, plain, baseline, alpha)] if plain else []
+        parts = [self._plain(plain, baseline, alpha)] if plain else []
         parts += [stats.auc_statistics(self.pointwise, baseline, alpha)] if "auc" in (names or []) else []
         return functools.reduce(DataFrame.unionByName, parts)
 
+    def _plain(self, names: list[str], baseline: str | int | None, alpha: float) -> DataFrame:
+        """From sums of one pass where the pointwise table has them, without that table."""
+        if self.merged is None or baseline not in (None, "ref"):
+            return stats.statistics(self.pointwise, names, baseline, alpha)
+        delta = baseline is not None
+        rows = self.pointwise.sparkSession.createDataFrame(stats.moment_rows(self.merged, delta), stats.MOMENTS)
+        return stats.moment_statistics(rows, names, delta, alpha)
+
+    @functools.cached_property
+    def merged(self) -> list | None:
+        """A row for each size with what its statistics need; ``sums`` names the pointwise table that its tasks' sums are of."""
+        return stats.merged(self.sums[1]).collect() if self.sums and self.sums[0] is self.pointwise else None
+
     def release(self) -> None:
         """Lets the pointwise table go; it is kept from the first use on."""
         self.pointwise.unpersist()
@@ -113,6 +127,8 @@ class GaussianFits:
 
 def _moments(ref: RefModel) -> Gram:
     """Moments of predictors and response, and of a user's draws less offsets, which don't follow from coefficients."""
+    if ref.moments:
+        return ref.moments
     columns = {**ref.columns, "_y": _target()}
     if ref.fits or ref.is_datafit:
         return gram(ref.data, columns, F.col("wobs"))
@@ -201,7 +217,8 @@ def varsel(ref: RefModel, method: str = "forward", largest: int = LARGEST, clust
     path = path or _searched(ref, g, list(ref.fits), method, largest, clusters, regul)
     by_size = _projected(ref, _gaussian(ref, g, list(ref.fits), ref.dis, prediction_draws), path, regul)
     data = ref.data if test is None else ref.on(test).data
-    return Selection(ref, path, _pointwise(ref, data, by_size, ref.weights, ref.dis).persist(), {0: path.ranking}, by_size)
+    table, sums = _tables(ref, data, by_size, ref.weights, ref.dis)
+    return Selection(ref, path, table, {0: path.ranking}, by_size, sums=sums)
 
 
 def _pointwise(ref: RefModel, data: DataFrame, by_size: dict, weights: list[float], dis: list[float], fits: list[Fit] | None = None, leave_one_out: bool = False) -> DataFrame:
@@ -212,6 +229,16 @@ def _pointwise(ref: RefModel, data: DataFrame, by_size: dict, weights: list[floa
     return evaluate.pointwise(data, ref.columns, by_size, ref.family, leave_one_out).unionByName(_reference(ref, data, weights, dis, fits))
 
 
+def _tables(ref: RefModel, data: DataFrame, by_size: dict, weights: list[float], dis: list[float], leave_one_out: bool = False) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """The pointwise table, kept from its first use on, and with it the sums by task if the reference has coefficients."""
+    table = _pointwise(ref, data, by_size, weights, dis, leave_one_out=leave_one_out).persist()
+    return table, (table, _sums(ref, data, by_size, weights, dis, list(ref.fits), leave_one_out)) if ref.fits else None
+
+
+def _sums(ref: RefModel, data: DataFrame, by_size: dict, weights: list[float], dis: list[float], fits: list[Fit], leave_one_out: bool = False) -> DataFrame:
+    return evaluate.pointwise_sums(data, ref.columns, by_size, ref.family, leave_one_out, (fits, weights, dis))
+
+
 def _without_dispersion(ref: RefModel) -> None:
     """The families that Newton passes serve; the others have no cross-entropy to project by."""
     if ref.family.name not in ("binomial", "poisson"):
@@ -247,7 +274,8 @@ def _varsel_newton(ref: RefModel, method: str, largest: int, clusters: int, pred
 def _evaluated_newton(ref: RefModel, path: SearchPath, prediction_draws: int, regul: float, test: DataFrame | None) -> Selection:
     by_size = _projected_newton(ref, path, prediction_draws, regul)
     data = ref.data if test is None else ref.on(test).data
-    return Selection(ref, path, _pointwise(ref, data, by_size, ref.weights, ref.dis).persist(), {0: path.ranking}, by_size)
+    table, sums = _tables(ref, data, by_size, ref.weights, ref.dis)
+    return Selection(ref, path, table, {0: path.ranking}, by_size, sums=sums)
 
 
 def _searched_newton(ref: RefModel, method: str, largest: int, clusters: int, regul: float) -> SearchPath:
@@ -304,16 +332,19 @@ def cv_kfold(ref: RefModel, key: str = "obs_id", k: int = 5, method: str = "forw
     by_fold = grams(data, {**ref.columns, "_y": _target()}, F.col("wobs"), F.col("fold"))
     full = functools.reduce(lambda a, b: a + b, by_fold.values())
     path = _searched(ref, full, list(ref.fits), method, largest, clusters, regul)
-    rankings, parts = {0: path.ranking}, []
+    rankings, parts, sums = {0: path.ranking}, [], []
     for fold, g in sorted(crossval.complements(by_fold).items()):
         fits, dis = ([], []) if ref.is_datafit else posterior(g, list(ref.columns), "_y", max(prediction_draws, 1), seed + fold)
         weights = [1 / max(len(fits), 1)] * max(len(fits), 1)
         own = path if not validate_search else _searched(ref, g, fits, method, largest, clusters, regul)
         rankings[fold] = own.ranking
         rows = data.filter(F.col("fold") == fold)
-        parts.append(_pointwise(ref, rows, _projected(ref, _gaussian(ref, g, fits, dis, prediction_draws), own, regul), weights, dis or [0.0], fits))
-    table = functools.reduce(DataFrame.unionByName, parts)
-    return Selection(ref, path, table.persist(), rankings)
+        by_size = _projected(ref, _gaussian(ref, g, fits, dis, prediction_draws), own, regul)
+        parts.append(_pointwise(ref, rows, by_size, weights, dis or [0.0], fits))
+        if fits:
+            sums.append(_sums(ref, rows, by_size, weights, dis, fits))
+    table = functools.reduce(DataFrame.unionByName, parts).persist()
+    return Selection(ref, path, table, rankings, sums=(table, functools.reduce(DataFrame.union, sums)) if sums else None)
 
 
 def _cv_kfold_refits(ref: RefModel, data: DataFrame, k: int, refits: DataFrame, refit_dis: dict[int, list[float]], method: str, largest: int, clusters: int, prediction_draws: int, regul: float, validate_search: bool) -> Selection:
@@ -344,14 +375,16 @@ def _cv_kfold_newton(ref: RefModel, data: DataFrame, k: int, method: str, larges
     """Other families: the reference model, search and projections again on each fold's training rows."""
     plain = data.drop("mu")
     full = varsel(ref, method, largest, clusters, prediction_draws, regul)
-    rankings, parts = {0: full.path.ranking}, []
+    rankings, parts, sums = {0: full.path.ranking}, [], []
     for fold in range(1, k + 1):
         train, test = plain.filter(F.col("fold") != fold), plain.filter(F.col("fold") == fold)
         own = glm_laplace(train, ref.family, ref.columns, ref.terms, ref.n_draws, seed + fold)
         part = varsel(own, method, largest, clusters, prediction_draws, regul, test) if validate_search else _evaluated_newton(own, full.path, prediction_draws, regul, test)
         rankings[fold] = part.path.ranking
         parts.append(part.pointwise)
-    return Selection(ref, full.path, functools.reduce(DataFrame.unionByName, parts).persist(), rankings, full.by_size)
+        sums += [part.sums[1]] if part.sums else []
+    table = functools.reduce(DataFrame.unionByName, parts).persist()
+    return Selection(ref, full.path, table, rankings, full.by_size, sums=(table, functools.reduce(DataFrame.union, sums)) if len(sums) == k else None)
 
 
 def cv_loo(ref: RefModel, method: str = "forward", largest: int = LARGEST, clusters: int = CLUSTERS, prediction_draws: int = 100, regul: float = solve.REGUL, validate_search: bool | str = False, seed: int = 0, path: SearchPath | None = None, warn_shape: bool = True) -> Selection:
@@ -362,7 +395,7 @@ def cv_loo(ref: RefModel, method: str = "forward", largest: int = LARGEST, clust
     the search without any refit: the reference draws' clusters are weighted anew for each observation by
     its importance weights, which works for all Gaussian reference models; ``True`` also refits a
     conjugate one. ``path`` is an earlier search on all data, used again. Unreliable importance
-    weights are warned of, at the price of one more scan, unless ``warn_shape`` is false.
+    weights are warned of, from the pass that also sums up what statistics need, unless ``warn_shape`` is false.
     """
     options.check_search(method, list(ref.terms))
     options.check_folds("loo", 0, 0, ref.is_datafit, bool(validate_search), True)
@@ -372,12 +405,15 @@ def cv_loo(ref: RefModel, method: str = "forward", largest: int = LARGEST, clust
         return _loo_weights(ref, method, largest, clusters, prediction_draws, regul, path, warn_shape)
     if validate_search:
         _repeatable(ref)
-    if warn_shape:
-        loo.poor_shapes(_shapes(ref), "khat", ref.n_draws)
     chosen = varsel(ref, method, largest, clusters, prediction_draws, regul, path=path)
     if ref.fits and not validate_search:
-        table = _pointwise(ref, ref.data, chosen.by_size, ref.weights, ref.dis, leave_one_out=True)
-        return Selection(ref, chosen.path, table.persist(), {0: chosen.path.ranking}, chosen.by_size)
+        table, sums = _tables(ref, ref.data, chosen.by_size, ref.weights, ref.dis, leave_one_out=True)
+        out = Selection(ref, chosen.path, table, {0: chosen.path.ranking}, chosen.by_size, sums=sums)
+        if warn_shape:
+            loo.warn_poor(*next(((r["poor"], r["n"]) for r in out.merged if r["size"] is None), (0, 0)), ref.n_draws)
+        return out
+    if warn_shape:
+        loo.poor_shapes(_shapes(ref), "khat", ref.n_draws)
     if validate_search:
         table = _loo_searches(ref, ref.data, method, largest, clusters, prediction_draws, regul, seed)
     else:
@@ -402,7 +438,7 @@ def _loo_searches(ref: RefModel, rows: DataFrame, method: str, largest: int, clu
     follows from the small matrix that is left.
     """
     g = gram(ref.data, {**ref.columns, "_y": _target()}, F.col("wobs"))
-    names, n_draws, plain = list(ref.columns), ref.n_draws, replace(ref, data=None, columns={}, fits=())
+    names, n_draws, plain = list(ref.columns), ref.n_draws, replace(ref, data=None, columns={}, fits=(), known=None)
     at = g.offsets(list(g.names))
 
     def without(z: np.ndarray, w: float) -> tuple[Gram, list[Fit], list[float]]:

@@ -32,6 +32,12 @@ class RefModel:
     is_datafit: bool = False
     fits: tuple[Fit, ...] = ()
     predict: Callable[[DataFrame], DataFrame] | None = None
+    known: tuple[DataFrame, Gram] | None = None
+
+    @property
+    def moments(self) -> Gram | None:
+        """Those of the predictors and ``_y``, the response less offsets, if this model was fitted by them to these rows."""
+        return self.known[1] if self.known and self.known[0] is self.data else None
 
     @property
     def n_draws(self) -> int:
@@ -76,7 +82,8 @@ def gaussian_conjugate(data: DataFrame, columns: dict[str, Column], terms: dict[
     g = gram(data, {**columns, "_y": target}, F.col("wobs"))
     fits, sigma = posterior(g, list(columns), "_y", draws, seed)
     mu = evaluate.predictors(fits, columns, F.col("offs"))
-    return RefModel(data.withColumn("mu", mu), gaussian(), columns, terms, sigma, [1 / draws] * draws, fits=tuple(fits))
+    rows = data.withColumn("mu", mu)
+    return RefModel(rows, gaussian(), columns, terms, sigma, [1 / draws] * draws, fits=tuple(fits), known=(rows, g))
 
 
 def glm_laplace(data: DataFrame, family: Family, columns: dict[str, Column], terms: dict[str, list[str]], draws: int = 200, seed: int = 1) -> RefModel:
