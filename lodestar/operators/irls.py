@@ -106,7 +106,7 @@ def _pass(rows: DataFrame, family: Family, fits: list[tuple[int, int, list[int],
             if not batch.num_rows:
                 continue
             w, o = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            t = np.array(batch.column(2).to_pylist(), dtype=float).reshape(batch.num_rows, -1)
+            t = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             x = np.column_stack([np.ones(batch.num_rows), *[batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, batch.num_columns)]])
             for i, target, index, beta in fits:
                 z = x[:, index]

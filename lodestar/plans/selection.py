@@ -371,10 +371,18 @@ def _cv_kfold_refits(ref: RefModel, data: DataFrame, k: int, refits: DataFrame,
     return Selection(ref, full.path, functools.reduce(DataFrame.unionByName, parts).persist(), rankings, full.by_size)
 
 
+def _with_means(ref: RefModel, rows: DataFrame) -> DataFrame:
+    """The reference draws' means at rows that carry the predictors, by their coefficients."""
+    return rows.withColumn("mu", evaluate.means(evaluate.predictors(list(ref.fits), ref.columns, F.col("offs")), ref.family))
+
+
 def _cv_kfold_newton(ref: RefModel, data: DataFrame, k: int, method: str, largest: int, clusters: int, prediction_draws: int, regul: float, seed: int, validate_search: bool) -> Selection:
-    """Other families: the reference model, search and projections again on each fold's training rows."""
-    plain = data.drop("mu")
-    full = varsel(ref, method, largest, clusters, prediction_draws, regul)
+    """Other families: the reference model, search and projections again on each fold's training rows.
+
+    Rows and folds are written once to the shared folder: every fold's many passes read them there, not their sources.
+    """
+    plain = cut(data.drop("mu"))
+    full = varsel(replace(ref, data=_with_means(ref, plain)) if ref.fits else ref, method, largest, clusters, prediction_draws, regul)
     rankings, parts, sums = {0: full.path.ranking}, [], []
     for fold in range(1, k + 1):
         train, test = plain.filter(F.col("fold") != fold), plain.filter(F.col("fold") == fold)

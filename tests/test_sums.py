@@ -1,6 +1,7 @@
 """Statistics from the sums of one pass, against those of the pointwise table."""
 
 import functools
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -78,3 +79,19 @@ def test_products_of_factors_keep_digits():
     x = np.array([[1e-300, 1.0, 2.0, 3.0, 4.0, 5.0], [1e-9, 2e-9, 3e-9, 4e-9, 5e-9, 6e-9], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]])
     theta = np.array([[-1e200, 0.1], [1e-6, -2.0], [-1e-12, 0.15]])
     assert loo._mean_log1p(theta, x) == pytest.approx(np.log1p(-theta[:, :, None] * x[:, None, :]).mean(axis=2), rel=1e-11)
+
+
+def test_folds_of_other_families_read_kept_rows(rows, monkeypatch):
+    class Stopped(Exception):
+        pass
+
+    def stop(train, *_):
+        plans.append(train._jdf.queryExecution().optimizedPlan().toString())
+        raise Stopped
+
+    plans, ref = [], model(rows, "binomial")
+    monkeypatch.setattr(selection, "varsel", lambda *_: SimpleNamespace(path=SimpleNamespace(ranking=[]), by_size={}))
+    monkeypatch.setattr(selection, "glm_laplace", stop)
+    with pytest.raises(Stopped):
+        selection.cv_kfold(ref, k=3)
+    assert "Window" not in plans[0] and "Join" not in plans[0]
